@@ -17,22 +17,27 @@ _OTHER = re.compile(r"[^\t\n\r\x20-\x7eÀ-ÖØ-öø-ɏ]")
 class ByteBpe:
     """``packed(text)`` is the text's ids as little-endian unsigned 32-bit integers.
 
-    Words don't interact in byte-level BPE, so ids are kept by word, for ``words`` words at most
-    (the older half goes when they are full). Texts with characters outside Latin letters and
+    Words don't interact in byte-level BPE, so ids are kept by word, for ``words`` words at most.
+    When they are full the younger half goes, as frequent words are met early. Texts with characters outside Latin letters and
     printable ASCII are encoded whole by the tokenizer, whose Unicode tables may differ from Python's.
     """
 
-    def __init__(self, path: str, words: int = 400_000):
+    def __init__(self, path: str, words: int = 1_000_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.words, self.known = words, {}
+        # the format's letters for bytes: printable ones stand for themselves, the others follow from 256 on
+        printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        self.letters = {b: b for b in printable} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in printable)}
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: set[str]) -> None:
         if len(self.known) > self.words:
-            for word in list(islice(self.known, self.words // 2)):
+            for word in list(islice(self.known, self.words // 2, None)):
                 del self.known[word]
-        for word, found in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            ids = found.ids
+        tokenize, letters = self.model.tokenize, self.letters
+        for word in words:
+            ids = [token.id for token in tokenize(word.encode().decode("latin-1").translate(letters))]
             self.known[word] = struct.pack(f"<{len(ids)}I", *ids)
 
     def packed(self, text: str) -> bytes:
@@ -41,9 +46,9 @@ class ByteBpe:
             return struct.pack(f"<{len(ids)}I", *ids)
         words = _WORDS.findall(text)
         if new := set(words).difference(self.known):
-            self._learn(list(new))
+            self._learn(new)
             if new := set(words).difference(self.known):
-                self._learn(list(new))
+                self._learn(new)
         return b"".join(map(self.known.__getitem__, words))
 
 
