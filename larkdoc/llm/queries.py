@@ -10,6 +10,20 @@ from pyspark.sql import functions as F
 
 from larkdoc.llm.common import read_table
 from larkdoc.llm.packing import pack
+from larkdoc.llm.secrets import BASE_RULES, scan_secrets
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def of(kinds: list[str]):
+        return F.filter("spans", lambda x: x["kind"].isin(kinds))
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+    base = [rule.kind for rule in BASE_RULES]
+    found = scan_secrets(read_table(spark, sf_dir, "documents"))
+    counts = [F.size(of([kind])).cast("long").alias(f"n_{kind}") for kind in base]
+    return found.select("doc_id", *counts, F.sha2(joined(of(base)), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,7 +32,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_packing": op4_packing}
+    return {"op3_secrets": op3_secrets, "op4_packing": op4_packing}
 
 
 def oracle_sql() -> dict[str, str]:
