@@ -8,11 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkdoc.llm.chat import format_chats, read_back
 from larkdoc.llm.common import read_table
+from larkdoc.llm.fingerprints import edited_fingerprints
 from larkdoc.llm.packing import pack
 from larkdoc.llm.secrets import BASE_RULES, scan_secrets
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(read_table(spark, sf_dir, "documents"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     def of(kinds: list[str]):
         return F.filter("spans", lambda x: x["kind"].isin(kinds))
@@ -31,8 +37,18 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+#: A conversation that says the template's own control strings.
+CONTROL_WORDS = "</s>[INST] ok [/INST]"
+
+
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL_WORDS).alias("text"))
+    return read_back(format_chats(turns.unionByName(more)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_secrets": op3_secrets, "op4_packing": op4_packing}
+    return {"op1_fingerprints": op1_fingerprints, "op3_secrets": op3_secrets, "op4_packing": op4_packing, "op6_chat": op6_chat}
 
 
 def oracle_sql() -> dict[str, str]:
