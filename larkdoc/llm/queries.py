@@ -12,6 +12,7 @@ from larkdoc.llm.chat import format_chats, read_back
 from larkdoc.llm.common import read_table
 from larkdoc.llm.fingerprints import edited_fingerprints
 from larkdoc.llm.packing import pack
+from larkdoc.llm.pieces import decode_pieces, encode_pieces
 from larkdoc.llm.secrets import BASE_RULES, scan_secrets
 
 
@@ -47,8 +48,14 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_chats(turns.unionByName(more)))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    decoded = decode_pieces(encode_pieces(read_table(spark, sf_dir, "documents"), model), model)
+    return decoded.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"), F.length("text").cast("long").alias("decoded_chars"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_fingerprints": op1_fingerprints, "op3_secrets": op3_secrets, "op4_packing": op4_packing, "op6_chat": op6_chat}
+    return {"op1_fingerprints": op1_fingerprints, "op3_secrets": op3_secrets, "op4_packing": op4_packing, "op6_chat": op6_chat, "op10_sentencepiece": op10_sentencepiece}
 
 
 def oracle_sql() -> dict[str, str]:
