@@ -14,14 +14,16 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkdoc.llm.common import id_and_text
+from larkdoc.llm.common import batched, id_and_text
 
 EXACT_LANES, NEAR_LANES, WINDOW = 16, 96, 8
 _BLOCK = 1 << 18
@@ -115,34 +117,35 @@ def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return id_and_text(docs, id_col, text_col).select("doc_id", fingerprint_of("text").alias("fingerprint"))
 
 
-def with_next(docs: DataFrame, rows_a_range: int = 2000, most_ranges: int = 200_000) -> DataFrame:
-    """(doc_id, text, next_text, range, place, guest): each row's next one by ascending doc_id, after the last the first.
+def in_ranges(docs: DataFrame, rows_a_range: int = 2000, most_ranges: int = 200_000) -> DataFrame:
+    """(range, guest, doc_id, text) sorted so that each row stands before its next one by ascending doc_id, the last before the first.
 
-    ``place`` numbers a range's rows; rows with ``guest`` over 0 only stand behind it. Ids are cut into ranges
-    at the first id of each of Spark's own range partitions, a number for each range (``most_ranges``
-    bounds them) being all that the driver sees. The rows with a range's first id also go, as guests,
-    to the range before, so that one shuffle by range brings every row together with its next one.
-    Rows with the same id are ordered by text; a null id comes before all others.
+    Ids are cut into ranges at the first id of each of Spark's own range partitions, a number for
+    each range (``most_ranges`` bounds them) being all that the driver sees. The rows with a range's
+    first id also go, as guests (``guest`` over 0), behind the range before, so that one shuffle by
+    range brings every row together with its next one. Rows with the same id are ordered by text; a
+    null id comes before all others.
     """
     spark = docs.sparkSession
-    ids = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"))
+    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
+    ids = docs.select(key.alias("key"))
     ranges = max(1, min(most_ranges, ids.count() // rows_a_range))
-    heads = sorted(r[0] for r in ids.repartitionByRange(ranges, "doc_id").groupBy(F.spark_partition_id()).agg(F.min("doc_id")).collect()) if ranges > 1 else [r[0] for r in ids.agg(F.min("doc_id")).collect() if r[0] is not None]
-    heads = np.array(heads, np.int64)
-    shared = spark.sparkContext.broadcast(heads)
+    firsts = ids.repartitionByRange(ranges, "key").groupBy(F.spark_partition_id()).agg(F.min("key").alias("first"))
+    heads = spark.sparkContext.broadcast(np.array(sorted(r["first"] for r in firsts.collect()), np.int64))
 
     @F.pandas_udf("array<int>")
     def places(keys: pd.Series) -> pd.Series:
-        found = np.maximum(np.searchsorted(shared.value, keys.to_numpy(), side="right") - 1, 0)
-        first = shared.value[found] == keys.to_numpy()
-        n = len(shared.value)
+        keys = keys.to_numpy()
+        found = np.searchsorted(heads.value, keys, side="right") - 1
+        n, first = len(heads.value), heads.value[found] == keys
         return pd.Series([[i, (i - 1) % n] if head else [i] for i, head in zip(found.tolist(), first.tolist(), strict=True)], dtype=object)
 
-    if not len(heads):
-        return docs.select("doc_id", "text", F.lit("").alias("next_text"), F.lit(0).alias("range"), F.lit(0).alias("place"), F.lit(0).alias("guest")).where("false")
-    dealt = docs.withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("places", places("key")).select("doc_id", "text", F.posexplode("places").alias("guest", "range"))
-    w = Window.partitionBy("range").orderBy("guest", F.col("doc_id").asc_nulls_first(), "text")
-    return dealt.select("doc_id", "text", F.lead("text").over(w).alias("next_text"), "range", F.row_number().over(w).alias("place"), "guest")
+    # not deterministic to the optimiser, or it would run a second time to drop empty arrays
+    dealt = docs.select("doc_id", "text", F.posexplode(places.asNondeterministic()(key)).alias("guest", "range"))
+    return dealt.select("range", "guest", "doc_id", "text").repartition("range").sortWithinPartitions("range", "guest", F.col("doc_id").asc_nulls_first(), "text")
+
+
+EDITED = "doc_id long, n_chars long, edited_sha256 string, print binary, edited_print binary, next_print binary"
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -150,13 +153,28 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     The edited text has the last quarter (rounded down) of the code points replaced by the first as
     many of the next document, or all it has. Columns: doc_id, n_chars, edited_sha256, fingerprint,
-    edited_fingerprint, near_edited, near_next. A document alone is its own next one. For nulls,
-    ties and the rest see ``document_fingerprints`` and ``with_next``.
+    edited_fingerprint, near_edited, near_next. A document alone is its own next one. Tasks hold two
+    documents at a time. For nulls, ties and the rest see ``document_fingerprints`` and ``in_ranges``.
     """
-    rows = with_next(id_and_text(docs, id_col, text_col))
-    edited = F.expr("concat(substring(text, 1, length(text) - length(text) div 4), substring(coalesce(next_text, ''), 1, length(text) div 4))")
-    rows = rows.select("doc_id", "range", "place", "guest", F.length("text").cast("long").alias("n_chars"), "text", edited.alias("edited"))
-    rows = rows.select("doc_id", "range", "place", "guest", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint_of("text").alias("print"), fingerprint_of("edited").alias("edited_print"))
-    following = F.lead("print").over(Window.partitionBy("range").orderBy("place"))
-    rows = rows.select("doc_id", "guest", "n_chars", "edited_sha256", "print", "edited_print", following.alias("next_print")).where("guest = 0")
-    return rows.select("doc_id", "n_chars", "edited_sha256", as_string("print").alias("fingerprint"), as_string("edited_print").alias("edited_fingerprint"), likeness_of("print", "edited_print").alias("near_edited"), likeness_of("print", "next_print").alias("near_next"))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("print", pa.binary()), ("edited_print", pa.binary()), ("next_print", pa.binary())])
+
+        def rows() -> Iterator[tuple]:
+            held = None
+            for batch in batches:
+                for place, guest, doc_id, value in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3), strict=True):
+                    if guest and held is None:
+                        continue
+                    text = value.as_py()
+                    own = fingerprint(text)
+                    if held is not None and held[0] == place:
+                        cut = len(held[2]) // 4
+                        edited = held[2][: len(held[2]) - cut] + text[:cut]
+                        yield held[1], len(held[2]), hashlib.sha256(edited.encode("utf-8", "replace")).hexdigest(), held[3], fingerprint(edited), own
+                    held = None if guest else (place, doc_id, text, own)
+
+        return batched(rows(), schema)
+
+    found = in_ranges(id_and_text(docs, id_col, text_col)).mapInArrow(task, EDITED)
+    return found.select("doc_id", "n_chars", "edited_sha256", as_string("print").alias("fingerprint"), as_string("edited_print").alias("edited_fingerprint"), likeness_of("print", "edited_print").alias("near_edited"), likeness_of("print", "next_print").alias("near_next"))
