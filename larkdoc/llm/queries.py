@@ -13,7 +13,9 @@ from larkdoc.llm.common import read_table
 from larkdoc.llm.fingerprints import edited_fingerprints
 from larkdoc.llm.packing import pack
 from larkdoc.llm.pieces import decode_pieces, encode_pieces
+from larkdoc.llm.quality import quality_scores
 from larkdoc.llm.secrets import BASE_RULES, scan_secrets
+from larkdoc.llm.toxicity import toxicity_scores
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +50,14 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_chats(turns.unionByName(more)))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     decoded = decode_pieces(encode_pieces(read_table(spark, sf_dir, "documents"), model), model)
@@ -55,7 +65,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_fingerprints": op1_fingerprints, "op3_secrets": op3_secrets, "op4_packing": op4_packing, "op6_chat": op6_chat, "op10_sentencepiece": op10_sentencepiece}
+    return {"op1_fingerprints": op1_fingerprints, "op3_secrets": op3_secrets, "op4_packing": op4_packing, "op6_chat": op6_chat, "op7_quality": op7_quality, "op9_toxicity": op9_toxicity, "op10_sentencepiece": op10_sentencepiece}
 
 
 def oracle_sql() -> dict[str, str]:
