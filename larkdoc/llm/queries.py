@@ -15,6 +15,7 @@ from larkdoc.llm.packing import pack
 from larkdoc.llm.pieces import decode_pieces, encode_pieces
 from larkdoc.llm.quality import quality_scores
 from larkdoc.llm.secrets import BASE_RULES, scan_secrets
+from larkdoc.llm.substrings import dedup_substrings
 from larkdoc.llm.toxicity import toxicity_scores
 
 
@@ -44,6 +45,13 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 CONTROL_WORDS = "</s>[INST] ok [/INST]"
 
 
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = dedup_substrings(read_table(spark, sf_dir, "documents"))
+    n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    joined = F.regexp_replace(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "), r"^\x20|\x20$", "")
+    return kept.select("doc_id", "n_words", n_removed.alias("n_removed"), F.sha2(joined, 256).alias("kept_sha256"))
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL_WORDS).alias("text"))
@@ -65,7 +73,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_fingerprints": op1_fingerprints, "op3_secrets": op3_secrets, "op4_packing": op4_packing, "op6_chat": op6_chat, "op7_quality": op7_quality, "op9_toxicity": op9_toxicity, "op10_sentencepiece": op10_sentencepiece}
+    return {"op1_fingerprints": op1_fingerprints, "op3_secrets": op3_secrets, "op4_packing": op4_packing, "op5_substrings": op5_substrings, "op6_chat": op6_chat, "op7_quality": op7_quality, "op9_toxicity": op9_toxicity, "op10_sentencepiece": op10_sentencepiece}
 
 
 def oracle_sql() -> dict[str, str]:
