@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from larkdoc.llm.chat import format_chats, read_back
 from larkdoc.llm.common import read_table
 from larkdoc.llm.fingerprints import edited_fingerprints
+from larkdoc.llm.near_duplicates import near_duplicates
 from larkdoc.llm.packing import pack
 from larkdoc.llm.pieces import decode_pieces, encode_pieces
 from larkdoc.llm.quality import quality_scores
@@ -23,6 +24,10 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(read_table(spark, sf_dir, "documents"))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     def of(kinds: list[str]):
         return F.filter("spans", lambda x: x["kind"].isin(kinds))
@@ -73,7 +78,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_fingerprints": op1_fingerprints, "op3_secrets": op3_secrets, "op4_packing": op4_packing, "op5_substrings": op5_substrings, "op6_chat": op6_chat, "op7_quality": op7_quality, "op9_toxicity": op9_toxicity, "op10_sentencepiece": op10_sentencepiece}
+    return {"op1_fingerprints": op1_fingerprints, "op2_near_duplicates": op2_near_duplicates, "op3_secrets": op3_secrets, "op4_packing": op4_packing, "op5_substrings": op5_substrings, "op6_chat": op6_chat, "op7_quality": op7_quality, "op9_toxicity": op9_toxicity, "op10_sentencepiece": op10_sentencepiece}
 
 
 def oracle_sql() -> dict[str, str]:
