@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,6 +77,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     decoded = decode_pieces(encode_pieces(read_table(spark, sf_dir, "documents"), model), model)
@@ -83,7 +88,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_fingerprints": op1_fingerprints, "op2_near_duplicates": op2_near_duplicates, "op3_secrets": op3_secrets, "op4_packing": op4_packing, "op5_substrings": op5_substrings, "op6_chat": op6_chat, "op7_quality": op7_quality, "op8_embeddings": op8_embeddings, "op9_toxicity": op9_toxicity, "op10_sentencepiece": op10_sentencepiece}
+    return {"op1_fingerprints": op1_fingerprints, "op2_near_duplicates": op2_near_duplicates, "op3_secrets": op3_secrets, "op4_packing": op4_packing, "op5_substrings": op5_substrings, "op6_chat": op6_chat, "op7_quality": op7_quality, "op8_embeddings": op8_embeddings, "op9_toxicity": op9_toxicity, "op10_sentencepiece": op10_sentencepiece, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
