@@ -69,7 +69,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     scanned = written(texts.mapInArrow(scan, "doc_id long, same binary, anchors array<long>").where("same is not null"), "anchors")
     firsts = scanned.groupBy("same").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     copies = scanned.join(firsts, "same").where("doc_id > first").groupBy("doc_id").agg(F.collect_set("same").alias("whole"))
-    single = scanned.join(firsts.select("same", "first"), "same", "left").where("first is null or doc_id = first")
+    single = scanned.groupBy("same").agg(F.min(F.struct("doc_id", "anchors")).alias("least")).select("least.*")
     anchors = single.select("doc_id", F.explode("anchors").alias("anchor"))
     repeated = anchors.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
     candidates = written(anchors.join(repeated, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")), "candidates")
