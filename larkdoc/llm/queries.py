@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkdoc.llm import oracles
 from larkdoc.llm.chat import format_chats, read_back
 from larkdoc.llm.common import read_table
 from larkdoc.llm.embeddings import near_vectors
@@ -92,4 +93,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The other queries (hashes of our own, classifiers, tokenizers) are tested against brute force, libraries or held-out rows."""
+    return {"op2_near_duplicates": oracles.NEAR_DUPLICATES, "op3_secrets": oracles.SECRETS, "op5_substrings": oracles.SUBSTRINGS, "op6_chat": oracles.chat(CONTROL_WORDS), "op8_embeddings": oracles.EMBEDDINGS}
