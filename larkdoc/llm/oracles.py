@@ -16,7 +16,7 @@ def _quoted(value: str) -> str:
 
 NEAR_DUPLICATES = f"""
 WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
-s AS (SELECT doc_id, array_to_string(ws[i:i + {SHINGLE - 1}], ' ') AS x FROM w, unnest(range(1, greatest(1, len(ws) - {SHINGLE - 2}) + 1)) AS t(i) WHERE len(ws) > 0),
+s AS (SELECT doc_id, array_to_string(ws[i:i + {SHINGLE - 1}], ' ') AS x FROM w, unnest(range(1, greatest(1, len(ws) - {SHINGLE - 1}) + 1)) AS t(i) WHERE len(ws) > 0),
 c AS (SELECT doc_id, x, count(*) AS n FROM s GROUP BY ALL),
 size AS (SELECT doc_id, sum(n) AS n FROM c GROUP BY doc_id),
 o AS (SELECT p.doc_id AS a, q.doc_id AS b, sum(least(p.n, q.n)) AS n FROM c p JOIN c q USING (x) WHERE p.doc_id < q.doc_id GROUP BY ALL),
