@@ -19,6 +19,7 @@ SHINGLE, SIMILARITY, BANDS, BAND_ROWS = 5, 0.8, 24, 5
 SMALL_BUCKET = 16
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _LEVELS = 40
+BAGS_AT_ONCE = 400_000
 
 
 def shingles(text: str, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -35,7 +36,8 @@ def overlap(first: tuple[np.ndarray, np.ndarray], second: tuple[np.ndarray, np.n
 
 
 def _draw(keys: np.ndarray, salt: int) -> np.ndarray:
-    return rolling.mixed(rolling.mixed(keys + np.uint64(salt * int(_GOLDEN) % (1 << 64))) ^ _GOLDEN)
+    """Random bits of (key, salt); keys that differ by a multiple of the constant don't meet in each other's salts."""
+    return rolling.mixed(rolling.mixed(keys) ^ np.uint64((salt * int(_GOLDEN) ^ salt << 17) % (1 << 64)))
 
 
 def bag_minhash(bags: list[tuple[np.ndarray, np.ndarray]], size: int) -> np.ndarray:
@@ -183,13 +185,24 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     texts = id_and_text(docs, id_col, text_col)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def signed(ids: list, same: list, bags: list) -> pa.RecordBatch:
+            keys = bands_of(bag_minhash(bags, bands * rows), bands, rows)
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(same, pa.binary()), pa.array(list(keys), pa.list_(pa.int64()))], names=["doc_id", "same", "bands"])
+
+        # signatures are drawn for many texts at once, as many as have BAGS_AT_ONCE shingles together
+        ids, same, bags, held = [], [], [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                said = [text.as_py() for text in part.column(1)]
-                same = [hashlib.sha256(b" ".join(t.encode("utf-8", "replace").split())).digest() for t in said]
-                keys = bands_of(bag_minhash([shingles(t) for t in said], bands * rows), bands, rows)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(same, pa.binary()), pa.array(list(keys), pa.list_(pa.int64()))], names=["doc_id", "same", "bands"])
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = text.as_py()
+                ids.append(doc_id)
+                same.append(hashlib.sha256(b" ".join(text.encode("utf-8", "replace").split())).digest())
+                bags.append(shingles(text))
+                held += len(bags[-1][0]) + 100
+                if held >= BAGS_AT_ONCE:
+                    yield signed(ids, same, bags)
+                    ids, same, bags, held = [], [], [], 0
+        if ids:
+            yield signed(ids, same, bags)
 
     scanned = written(texts.mapInArrow(scan, "doc_id long, same binary, bands array<long>"), "signatures")
     alike = scanned.where("doc_id is not null").groupBy("same").agg(F.min(F.struct("doc_id", "bands")).alias("least")).select("same", "least.doc_id", "least.bands")

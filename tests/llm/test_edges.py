@@ -67,7 +67,7 @@ def test_chats(spark):
     schema = "conv_id long, turn long, role string, text string, n_turns int"
     turns = spark.createDataFrame([(None, 0, "user", "a", 9), (1, None, None, None, 9), (1, 1, "user", "x", 9), (1, 1, "user", "x", 9), (2, 0, "tool", LONG, 9)], schema)
     found = {r["conv_id"]: r for r in chat.format_chats(turns).collect()}
-    assert {k: (r["n_turns"], r["refused_turn"]) for k, r in found.items()} == {None: (1, 2), 1: (3, 0), 2: (1, 0)}
+    assert {k: (r["n_turns"], r["refused_turn"]) for k, r in found.items()} == {None: (1, 1), 1: (3, 0), 2: (1, 0)}
     assert chat.INSTRUCTION_TEMPLATE.parsed(found[2]["formatted"]) == [("tool", LONG)]
     assert chat.read_back(chat.format_chats(turns.where("false"))).count() == 0
 
