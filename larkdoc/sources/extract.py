@@ -214,7 +214,8 @@ def extract_rows(files: DataFrame, extractors: dict[str, Callable[[bytes], Itera
                     found += [{"path": path, "extension": extension} | row for row in extractors[extension](bytes(content))]
                 except Exception as problem:  # any file can be broken in any way; it becomes a reject with its reason
                     found.append({"path": path, "extension": extension, "error": f"{type(problem).__name__}: {problem}"[:200]})
-            yield pd.DataFrame(found, columns=names).astype({"page": "Int32", "slide": "Int32"})
+            frame = pd.DataFrame(found, columns=names, dtype=object)
+            yield frame.where(frame.notna(), None)
 
     read = files.where(F.col("extension").isin(*extractors)).select("path", "extension", "content").mapInPandas(task, ROWS)
     empty = [F.lit(None).cast(kind).alias(name) for name, kind in (("page", "int"), ("slide", "int"), ("sheet", "string"))]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,13 +18,17 @@ class ChunkIndex:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
 
-    def versions(self) -> list[str]:
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
-        files = hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not files.exists(hadoop):
+    def _names(self, folder: str, prefix: str) -> list[str]:
+        """Names of finished folders in ``folder``, sorted."""
+        path_of = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        files = path_of(folder).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not files.exists(path_of(folder)):
             return []
-        names = [s.getPath() for s in files.listStatus(hadoop)]
-        return sorted(p.getName() for p in names if p.getName().startswith("version=") and files.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+        found = [status.getPath() for status in files.listStatus(path_of(folder))]
+        return sorted(p.getName() for p in found if p.getName().startswith(prefix) and files.exists(path_of(p, "_SUCCESS")))
+
+    def versions(self) -> list[str]:
+        return self._names(self.root, "version=")
 
     def read(self, version: str | None = None) -> DataFrame | None:
         found = [version] if version else self.versions()
@@ -79,13 +82,10 @@ class ChunkIndex:
 
     def restore_latest(self, folder: str) -> DataFrame:
         """Makes the backup with the greatest name the index; one row (restored, reason, document_count)."""
-        try:
-            names = self.spark.read.parquet(f"{folder}/backup_*").select(F.max(F.regexp_extract(F.input_file_name(), r"/(backup_[^/]+)/", 1)).alias("n")).first()["n"]
-        except AnalysisException:
-            names = None
+        names = self._names(folder, "backup_")
         if not names:
             return self._report("restored", False, "no backup", 0)
-        self.write(self.spark.read.parquet(f"{folder}/{names}"))
+        self.write(self.spark.read.parquet(f"{folder}/{names[-1]}"))
         return self._report("restored", True, None, self.count())
 
     def _report(self, name: str, done: bool, reason: str | None, n: int) -> DataFrame:
