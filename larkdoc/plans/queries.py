@@ -389,9 +389,9 @@ def select_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workspace.select_documents(asked, named)
 
 
-@query("SELECT doc_id, trim(regexp_replace(lower(strip_accents(left(text, 300))), '[^a-z0-9]+', ' ', 'g')) AS folded FROM documents")
+@query("SELECT doc_id, trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', ' ', 'g')) AS folded FROM documents")
 def fold_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", text.fold_text(F.substring("text", 1, 300)).alias("folded"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.fold_text("text").alias("folded"))
 
 
 # --- analytics ---
@@ -487,9 +487,9 @@ def clean_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", text.clean_label(F.col("text")).alias("label"))
 
 
-@query("SELECT qid, string_agg('**' || label || '**' || chr(10) || answer, chr(10) || chr(10) ORDER BY number) AS answer, list_sort(list_distinct(list(source))) AS sources FROM (SELECT doc_id % 50 AS qid, doc_id AS number, lang AS label, left(text, 40) AS answer, source FROM documents) GROUP BY qid")
+@query("SELECT qid, string_agg('**' || label || '**' || chr(10) || answer, chr(10) || chr(10) ORDER BY number) AS answer, list_sort(list_distinct(list(source))) AS sources FROM (SELECT doc_id % 50 AS qid, doc_id AS number, lang AS label, text AS answer, source FROM documents) GROUP BY qid")
 def compose_per_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = table(spark, sf_dir, "documents").select((F.col("doc_id") % 50).alias("qid"), F.col("doc_id").alias("number"), F.col("lang").alias("label"), F.substring("text", 1, 40).alias("answer"), F.array("source").alias("sources"))
+    parts = table(spark, sf_dir, "documents").select((F.col("doc_id") % 50).alias("qid"), F.col("doc_id").alias("number"), F.col("lang").alias("label"), F.col("text").alias("answer"), F.array("source").alias("sources"))
     return answers.compose_per_document(parts).withColumn("sources", F.array_sort("sources"))
 
 

@@ -192,7 +192,7 @@ def test_files(spark, tmp_path):
     w = 'xmlns:w="urn:w"'
     files = {
         "a.txt": "één\r\ntwee".encode("latin-1"),
-        "b.csv": b'x, "y\nz" ,\n,,\n1,2\n',
+        "b.csv": b'x,"y\nz" ,\n,,\n1,2\n',
         "c.json": b'{"a": {"b": [1, null, true]}, "c": "x"}',
         "d.xml": b"<r xmlns='urn:x'>t<k>v</k>tail</r>",
         "e.html": b"<html><title>T</title><nav>no</nav><p>one <b>two</b></p><script>no</script><!-- no --></html>",
