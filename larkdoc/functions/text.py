@@ -214,3 +214,35 @@ def document_aliases(name: Column) -> Column:
     words = F.split(stem, " ")
     last = F.when(F.size(words) >= 3, F.array_join(F.slice(words, -3, 3), " "))
     return F.array_distinct(F.filter(F.array(F.when(F.length(full) >= 3, full), F.when(F.length(stem) >= 3, stem), last), lambda a: a.isNotNull() & (a != "")))
+
+
+def numbered_list(names: Column) -> Column:
+    return F.array_join(F.transform(names, lambda n, i: F.concat((i + 1).cast("string"), F.lit(". "), n)), "\n")
+
+
+def annotate_question(question: Column, names: Column) -> Column:
+    """The question with the numbered names of its documents behind it, if there are several."""
+    return F.when(F.size(names) > 1, F.concat(question, F.lit("\n\n"), numbered_list(names))).otherwise(question)
+
+
+def clarification_text(names: Column, prompt: str = "Which document do you mean?") -> Column:
+    return F.concat(F.lit(prompt + "\n"), numbered_list(names))
+
+
+def title_or_default(title: Column, default: str) -> Column:
+    clean = strip(F.coalesce(title, F.lit("")))
+    return F.when(clean == "", F.lit(default)).otherwise(clean)
+
+
+def clamp(value: Column, low: int, high: int | None = None) -> Column:
+    """``value`` as an integer from ``low`` to ``high``; what is no number counts as ``low``."""
+    number = F.greatest(F.lit(low), F.coalesce(value.try_cast("int"), F.lit(low)))
+    return number if high is None else F.least(F.lit(high), number)
+
+
+def ingest_error_text(message: Column, known: dict[str, str] | None = None, default: str = "The file could not be read.") -> Column:
+    """Guidance for messages that hold a known part, else the message, else a default."""
+    out = F.when(is_blank(message), F.lit(default))
+    for part, guidance in (known or {}).items():
+        out = out.when(F.contains(message, F.lit(part)), F.lit(guidance))
+    return out.otherwise(message)

@@ -190,3 +190,29 @@ def search_messages(messages: DataFrame, needle: str) -> DataFrame:
     """Messages of users and assistants that hold ``needle`` in any case, and how often, overlaps included."""
     found = messages.where(F.col("role").isin("user", "assistant") & (F.instr(F.lower("text"), needle.lower()) > 0))
     return found.withColumn("occurrences", text.occurrences(F.col("text"), F.lit(needle)))
+
+
+def normalize_jobs(raw: DataFrame) -> DataFrame:
+    """Job records of text columns (job_id, status, progress, files_total, retry_count, max_retries) as typed, clamped ones."""
+    status = F.lower(F.trim(F.coalesce("status", F.lit(""))))
+    known = F.when(status.isin("queued", "processing", "completed", "failed"), status).otherwise("queued")
+    clean = raw.select("job_id", known.alias("status"), text.clamp(F.col("progress"), 0, 100).alias("progress"), text.clamp(F.col("files_total"), 0).alias("files_total"), text.clamp(F.col("retry_count"), 0).alias("retry_count"), F.coalesce(F.col("max_retries").try_cast("int"), F.lit(rules.MAX_RETRIES)).alias("max_retries"))
+    return clean.withColumn("can_retry", (F.col("status") == "failed") & (F.col("retry_count") < F.col("max_retries")))
+
+
+def payload_errors(jobs: DataFrame, files: DataFrame, named: int = 3) -> DataFrame:
+    """(job_id, error) for jobs (job_id, username, chat_id, file_paths): what keeps them from running, null if nothing.
+
+    ``files`` has the paths that exist. The first ``named`` missing paths are in the text.
+    """
+    wanted = jobs.select("job_id", F.posexplode_outer("file_paths").alias("_no", "path"))
+    gone = wanted.where("path is not null").join(files.select("path").distinct(), "path", "left_anti").groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("_no", "path"))).alias("_gone"))
+    paths = F.array_join(F.transform(F.slice("_gone", 1, named), lambda x: x["path"]), ", ")
+    error = F.when(F.col("username").isNull() | F.col("chat_id").isNull(), "no owner or chat").when(F.coalesce(F.size("file_paths"), F.lit(0)) <= 0, "no files").when(F.col("_gone").isNotNull(), F.concat(F.lit("missing files: "), paths))
+    return jobs.join(gone, "job_id", "left").select("job_id", error.alias("error"))
+
+
+def upload_listing(documents: DataFrame, jobs: DataFrame) -> DataFrame:
+    """(username, chat_id, name, progress, pending): stored documents and files of running jobs, whose progress is below 100."""
+    running = jobs.where(F.col("status").isin("queued", "processing")).select(*WORKSPACE, F.explode_outer("original_names").alias("name"), F.least(F.lit(99), F.coalesce("progress", F.lit(0))).alias("progress"), F.lit(True).alias("pending"))
+    return documents.select(*WORKSPACE, "name", F.lit(100).alias("progress"), F.lit(False).alias("pending")).unionByName(running)

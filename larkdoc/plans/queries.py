@@ -493,6 +493,46 @@ def compose_per_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.compose_per_document(parts).withColumn("sources", F.array_sort("sources"))
 
 
+# --- small workspace functions over whole tables ---
+
+
+@query("""SELECT event_id, CASE event_type WHEN 'view' THEN 5 + floor((event_id % 50) / 49 * 25) WHEN 'click' THEN 35 WHEN 'error' THEN 40 + floor((event_id % 50) / 49 * 55) WHEN 'purchase' THEN 98 ELSE 100 END::INT AS percent FROM events""")
+def job_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stages = {"view": "loading", "click": "chunking", "error": "indexing", "purchase": "saving"}
+    stage = F.coalesce(*[F.when(F.col("event_type") == k, v) for k, v in stages.items()], F.lit("completed"))
+    return table(spark, sf_dir, "events").select("event_id", text.progress_percent(stage, F.col("event_id") % 50, F.lit(49)).alias("percent"))
+
+
+@query("""WITH n AS (SELECT source, array_to_string(list(doc_id || '.txt' ORDER BY doc_id), chr(1)) AS l, count(*) AS k FROM documents GROUP BY source)
+SELECT source, CASE WHEN k > 1 THEN 'Compare.' || chr(10) || chr(10) || array_to_string(list_transform(string_split(l, chr(1)), lambda x, i: i || '. ' || x), chr(10)) ELSE 'Compare.' END AS question FROM n""")
+def annotated_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.transform(F.array_sort(F.collect_list("doc_id")), lambda i: F.concat(i.cast("string"), F.lit(".txt")))
+    return table(spark, sf_dir, "documents").groupBy("source").agg(names.alias("names")).select("source", text.annotate_question(F.lit("Compare."), F.col("names")).alias("question"))
+
+
+@query("""WITH j AS (SELECT event_id AS job_id, CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'completed' ELSE 'queued' END AS status, try_cast(regexp_extract(props, '(\d+)', 1) AS INT) AS p, (event_id % 5)::INT AS retry_count FROM events)
+SELECT job_id, status, least(100, greatest(0, coalesce(p, 0))) AS progress, 0 AS files_total, retry_count, 3 AS max_retries, status = 'failed' AND retry_count < 3 AS can_retry FROM j""")
+def normalized_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.when(F.col("event_type") == "error", " FAILED").when(F.col("event_type") == "purchase", "completed").otherwise(F.col("event_type"))
+    raw = table(spark, sf_dir, "events").select(F.col("event_id").alias("job_id"), status.alias("status"), F.nullif(F.regexp_extract("props", r"(\d+)", 1), F.lit("")).alias("progress"), F.lit("many").alias("files_total"), (F.col("event_id") % 5).cast("string").alias("retry_count"), F.lit(None).cast("string").alias("max_retries"))
+    return workspace.normalize_jobs(raw)
+
+
+@query(f"""WITH {FILES} SELECT username, chat_id, document_id || '.txt' AS name, 100 AS progress, false AS pending FROM files WHERE document_id % 4 <> 0 UNION ALL SELECT username, chat_id, document_id || '.txt', least(99, document_id % 150)::INT, true FROM files WHERE document_id % 4 = 0""")
+def upload_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _files(spark, sf_dir).withColumn("name", F.concat(F.col("document_id").cast("string"), F.lit(".txt")))
+    jobs = files.where("document_id % 4 = 0").select("username", "chat_id", F.lit("processing").alias("status"), F.array("name").alias("original_names"), (F.col("document_id") % 150).cast("int").alias("progress"))
+    return workspace.upload_listing(files.where("document_id % 4 <> 0"), jobs)
+
+
+@query(f"""WITH {FILES} SELECT document_id AS job_id, CASE WHEN document_id % 7 = 0 THEN 'no owner or chat' WHEN document_id % 5 = 0 THEN 'no files' WHEN document_id % 3 = 0 THEN 'missing files: /up/' || document_id END AS error FROM files""")
+def payload_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _files(spark, sf_dir)
+    path, n = F.concat(F.lit("/up/"), F.col("document_id").cast("string")), F.col("document_id")
+    jobs = files.select(n.alias("job_id"), F.when(n % 7 != 0, F.col("username")).alias("username"), "chat_id", F.when(n % 5 != 0, F.array(path)).otherwise(F.array().cast("array<string>")).alias("file_paths"))
+    return workspace.payload_errors(jobs, files.where("document_id % 3 <> 0").select(path.alias("path")))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -142,3 +142,36 @@ def answer_memo(asked: DataFrame, ttl: float = rules.MEMO_SECONDS) -> DataFrame:
 
     rows = asked.select("ask_id", "key", F.col("at").cast("double").alias("at")).repartition("key").sortWithinPartitions("key", "at", "ask_id")
     return rows.mapInPandas(task, "ask_id long, reused boolean")
+
+
+def pending_scopes_stream(messages: DataFrame, ttl: float = rules.PENDING_SECONDS) -> DataFrame:
+    """``pending_scopes`` over a stream; the time of the waiting question is the chat's state."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
+        waiting = group.get[0] if group.exists else None
+        rows, out = pd.concat(list(frames)).sort_values(["at", "message_id"]), []
+        for turn in rows[["at", "ambiguous", "selects"]].itertuples(index=False):
+            outcome, waiting = next(pending_replies([tuple(turn)], ttl, waiting))
+            out.append(outcome)
+        group.update((waiting,))
+        yield pd.DataFrame({"message_id": rows["message_id"], "outcome": out})
+
+    chosen = messages.select("message_id", "chat_id", F.col("at").cast("double").alias("at"), "ambiguous", "selects")
+    return chosen.groupBy("chat_id").applyInPandasWithState(step, "message_id long, outcome string", "waiting double", "append", GroupStateTimeout.NoTimeout)
+
+
+def answer_memo_stream(asked: DataFrame, ttl: float = rules.MEMO_SECONDS) -> DataFrame:
+    """``answer_memo`` over a stream; the time of the stored answer is the key's state."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
+        stored = group.get[0] if group.exists else None
+        rows, out = pd.concat(list(frames)).sort_values(["at", "ask_id"]), []
+        for at in rows["at"]:
+            reused = stored is not None and at - stored < ttl
+            stored = stored if reused else at
+            out.append(reused)
+        group.update((float(stored),))
+        yield pd.DataFrame({"ask_id": rows["ask_id"], "reused": out})
+
+    chosen = asked.select("ask_id", "key", F.col("at").cast("double").alias("at"))
+    return chosen.groupBy("key").applyInPandasWithState(step, "ask_id long, reused boolean", "stored double", "append", GroupStateTimeout.NoTimeout)

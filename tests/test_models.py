@@ -147,6 +147,24 @@ def test_rate_limit_stream_is_the_batch(spark, tmp_path):
     assert {tuple(r) for r in spark.sql("select event_id, allowed, retry_after from limited").collect()} == want and len(want) == 60
 
 
+def streamed(spark, tmp_path, whole, apply, name):
+    """What ``apply`` gives over a stream of ``whole`` in two parts, by ``n``."""
+    for k, part in enumerate((whole.where("n < 20"), whole.where("n >= 20"))):
+        part.drop("n").coalesce(1).write.parquet(f"{tmp_path}/{name}/part={k}")
+    source = spark.readStream.schema(whole.drop("n").schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{name}/part=*")
+    query = apply(source).writeStream.format("memory").queryName(name).option("checkpointLocation", f"{tmp_path}/c-{name}").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return {tuple(r) for r in spark.sql(f"select * from {name}").collect()}
+
+
+def test_state_streams_are_the_batches(spark, tmp_path):
+    rows = [(i, i % 3, float(i * 37), i % 2 == 0, i % 5 == 0, i) for i in range(40)]
+    said = spark.createDataFrame(rows, "message_id long, chat_id long, at double, ambiguous boolean, selects boolean, n int")
+    assert streamed(spark, tmp_path, said, lambda s: state.pending_scopes_stream(s, 120.0), "pending") == {tuple(r) for r in state.pending_scopes(said, 120.0).collect()}
+    asked = spark.createDataFrame([(i, i % 4, float(i * 50), i) for i in range(40)], "ask_id long, key long, at double, n int")
+    assert streamed(spark, tmp_path, asked, lambda s: state.answer_memo_stream(s, 500.0), "memo") == {tuple(r) for r in state.answer_memo(asked, 500.0).collect()}
+
+
 def test_daily_counts_stream_is_the_batch(spark, tmp_path):
     whole = events(spark, 200).withColumn("ts", F.expr("ts + make_dt_interval(0, event_id * 2)"))
     whole.coalesce(1).write.parquet(f"{tmp_path}/in")
