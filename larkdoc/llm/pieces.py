@@ -31,7 +31,7 @@ class Pieces:
     is encoded alone, and kept for the next time; ``words`` bounds how many are kept.
     """
 
-    def __init__(self, pieces: dict[int, str], scores: dict[int, float], byte_ids: list[int], kind: str = "bpe", unknown_id: int = 0, words: int = 700_000):
+    def __init__(self, pieces: dict[int, str], scores: dict[int, float], byte_ids: list[int], kind: str = "bpe", unknown_id: int = 0, words: int = 350_000):
         if any(SPACE in p.lstrip(SPACE) for p in pieces.values()):
             raise ValueError("a piece holds a space mark behind its beginning")
         self.pieces, self.scores, self.byte_ids, self.kind, self.unknown_id, self.words = pieces, scores, byte_ids, kind, unknown_id, words
@@ -95,7 +95,7 @@ class Pieces:
                 right = self.splits[x][0]
             else:
                 left = self.splits[x][1]
-        if len(self.pairs) > 2_000_000:
+        if len(self.pairs) > 250_000:
             self.pairs.clear()
         self.pairs[key] = good
         return good
