@@ -99,6 +99,32 @@ def bands_of(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def sketches_of(signatures: np.ndarray) -> list[bytes]:
+    """One byte of each slot."""
+    bytes_ = (rolling.mixed(signatures.view(np.uint64)) & np.uint64(255)).astype(np.uint8)
+    return [row.tobytes() for row in bytes_]
+
+
+def likely(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """The (a, b) of ``pairs`` whose slots agree as often as ``similarity`` makes likely, less five standard deviations.
+
+    So one in millions of links is lost here, fewer than the bands lose, and texts that only share a
+    passage aren't fetched and compared.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            first, second = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3))
+            size = first.shape[1]
+            good = (first == second).sum(1) >= size * (similarity - 5 * np.sqrt(similarity * (1 - similarity) / size))
+            yield batch.select([0, 1]).filter(pa.array(good))
+
+    joined = pairs.join(sketches.select(F.col("doc_id").alias("a"), F.col("sketch").alias("_a")), "a").join(sketches.select(F.col("doc_id").alias("b"), F.col("sketch").alias("_b")), "b")
+    return joined.select("a", "b", "_a", "_b").mapInArrow(task, "a long, b long")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float, pairs_a_group: int = 500) -> DataFrame:
     """The (a, b) of ``pairs`` whose texts' shingle multisets overlap by ``similarity`` or more.
 
@@ -125,8 +151,8 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float, pairs_a_grou
     return rows.select("a", "side", "b", "text").mapInArrow(task, "a long, b long")
 
 
-def _links(hits: DataFrame, texts: DataFrame, similarity: float) -> DataFrame | None:
-    """All links (a, b) needed for the components of documents that share a bucket; ``hits`` has (key, doc_id, n).
+def _classes(hits: DataFrame, sketches: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Components (node, component) of the links between documents that share a bucket; ``hits`` has (key, doc_id, n).
 
     Small buckets are compared pair by pair. In a larger one the member that shares the most
     buckets with others is compared with all; then, as long as members are left out of its
@@ -148,9 +174,9 @@ def _links(hits: DataFrame, texts: DataFrame, similarity: float) -> DataFrame |
         hub_ids = hubs.select(F.col("hub").alias("doc_id")).distinct()
         turned = compared.join(hub_ids.withColumnRenamed("doc_id", "b"), "b", "left_semi")
         hub_first = compared.join(hub_ids.withColumnRenamed("doc_id", "b"), "b", "left_anti").unionByName(turned.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    links = written(verified(hub_first, texts, similarity), "links")
+    links = written(verified(written(likely(hub_first, sketches, similarity), "likely"), texts, similarity), "links")
     if not some:
-        return links
+        return components(links)
     used, most = hubs.select("key", F.col("hub").alias("doc_id")), 8
     while True:
         labels = written(components(links), "labels")
@@ -160,11 +186,11 @@ def _links(hits: DataFrame, texts: DataFrame, similarity: float) -> DataFrame |
         order = Window.partitionBy("key").orderBy(F.desc("degree"), "doc_id")
         pivots = written(left.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).drop("rank"), "pivots")
         if pivots.isEmpty():
-            return links
+            return labels
         fresh = named.join(pivots.select("key", F.col("doc_id").alias("pivot"), F.col("label").alias("own")), "key").where("label <> own").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))
         fresh = fresh.distinct().join(compared, ["a", "b"], "left_anti").join(compared.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
         fresh = written(fresh, "pairs")
-        links = written(links.unionByName(verified(fresh, texts, similarity)), "links")
+        links = written(links.unionByName(verified(written(likely(fresh, sketches, similarity), "likely"), texts, similarity)), "links")
         compared = compared.unionByName(fresh)
         used, most = used.unionByName(pivots.select("key", "doc_id")), most * 8
 
@@ -186,8 +212,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def signed(ids: list, same: list, bags: list) -> pa.RecordBatch:
-            keys = bands_of(bag_minhash(bags, bands * rows), bands, rows)
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(same, pa.binary()), pa.array(list(keys), pa.list_(pa.int64()))], names=["doc_id", "same", "bands"])
+            signatures = bag_minhash(bags, bands * rows)
+            keys = pa.array(list(bands_of(signatures, bands, rows)), pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(same, pa.binary()), keys, pa.array(sketches_of(signatures), pa.binary())], names=["doc_id", "same", "bands", "sketch"])
 
         # signatures are drawn for many texts at once, as many as have BAGS_AT_ONCE shingles together
         ids, same, bags, held = [], [], [], 0
@@ -204,8 +231,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
         if ids:
             yield signed(ids, same, bags)
 
-    scanned = written(texts.mapInArrow(scan, "doc_id long, same binary, bands array<long>"), "signatures")
-    alike = scanned.where("doc_id is not null").groupBy("same").agg(F.min(F.struct("doc_id", "bands")).alias("least")).select("same", "least.doc_id", "least.bands")
+    scanned = written(texts.mapInArrow(scan, "doc_id long, same binary, bands array<long>, sketch binary"), "signatures")
+    alike = scanned.where("doc_id is not null").groupBy("same").agg(F.min(F.struct("doc_id", "bands", "sketch")).alias("least")).select("same", "least.*")
     alike = written(alike, "texts")
     keyed = alike.where(F.col("same") != F.lit(hashlib.sha256(b"").digest())).select("doc_id", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -213,8 +240,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     wanted = written(hits.select("doc_id").distinct(), "wanted")
     few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     chosen = texts.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    links = _links(hits, written(chosen, "candidate-texts"), similarity)
-    classes = components(links)
+    classes = _classes(hits, alike.select("doc_id", "sketch"), written(chosen, "candidate-texts"), similarity)
     named = alike.join(classes, F.col("doc_id") == F.col("node"), "left").select("same", F.coalesce("component", "doc_id").alias("class_id"))
     known = scanned.where("doc_id is not null").select("doc_id", "same").join(named, "same").select("doc_id", "class_id")
     return known.unionByName(scanned.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"))).select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
