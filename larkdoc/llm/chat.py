@@ -49,13 +49,35 @@ class Template:
     def _starts(self) -> re.Pattern:
         return re.compile(f"{re.escape(self.escape)}|(?={'|'.join(map(re.escape, self.controls))}).", re.S)
 
+    @cached_property
+    def beginnings(self) -> set[str]:
+        """What a text may end with that a mark behind it could complete to a control string."""
+        return {c[:k] for c in self.controls for k in range(1, len(c))}
+
     @cached_property
     def _tokens(self) -> re.Pattern:
         return re.compile(f"{re.escape(self.escape)}.|{'|'.join(map(re.escape, self.controls))}", re.S)
 
     def escaped(self, text: str) -> str:
-        """``text`` without control strings: an escape is doubled, and one splits each control string behind its first character."""
-        return self._starts.sub(lambda m: m[0] + self.escape, text)
+        """``text`` without control strings, also where a mark follows.
+
+        An escape is doubled; one splits each control string behind its first character; one stands
+        before each character from which on the text's end is the beginning of a control string.
+        """
+        longest = len(self.controls[0]) - 1
+        tail = [at for at in range(max(0, len(text) - longest), len(text)) if text[at:] in self.beginnings]
+
+        def split(m: re.Match) -> str:
+            return m[0] if m.end() in tail and m[0] != self.escape else m[0] + self.escape
+
+        starts = {m.start(): split(m) for m in self._starts.finditer(text)}
+        if not starts and not tail:
+            return text
+        out, at = [], 0
+        for k in sorted({*starts, *tail}):
+            out += [text[at:k], self.escape + text[k] if k in tail else starts[k]]
+            at = k + 1
+        return "".join(out) + text[at:]
 
     def unescaped(self, text: str) -> str:
         return re.sub(f"{re.escape(self.escape)}(.)", lambda m: m[1], text, flags=re.S)

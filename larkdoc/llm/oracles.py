@@ -59,12 +59,17 @@ def chat(control_words: str) -> str:
     template, escaped = INSTRUCTION_TEMPLATE, "replace(x, '\\', '\\\\')"
     for c in template.controls:
         escaped = f"replace({escaped}, {_quoted(c)}, {_quoted(c[0] + template.escape + c[1:])})"
+    # one more before each character from which on the end is the beginning of a control string, unless that follows a split
+    sizes = range(1, len(template.controls[0]))
+    ends = " + ".join(f"(length(x) >= {k} AND right(x, {k}) IN ({', '.join(_quoted(b) for b in sorted(template.beginnings) if len(b) == k)}))::INT" for k in sizes)
+    spared = " + ".join(["0"] + [f"ends_with(x, {_quoted(c)})::INT" for c in template.controls if c[1:] in template.beginnings])
+    chars = f"(length({escaped}) + {ends} - ({spared}))"
     marks = " ".join(f"WHEN '{role}' THEN {len(t.open + t.close)}" for role, t in template.turns.items())
     loss = ", ".join(_quoted(role) for role, t in template.turns.items() if t.loss)
     other = len(template.other.open + template.other.close)
     said = f"coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role IN ({loss})), '')"
     return f"""WITH t0 AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', {_quoted(control_words)} UNION ALL SELECT -7, 1, 'assistant', {_quoted(control_words)}),
-t AS (SELECT *, length({escaped.replace("(x,", "(text,", 1)}) + CASE role {marks} ELSE {2 * other} + length({escaped.replace("(x,", "(role,", 1)}) END AS n FROM t0)
+t AS (SELECT *, (SELECT {chars} FROM (SELECT text AS x)) + CASE role {marks} ELSE {2 * other} + (SELECT {chars} FROM (SELECT role AS x)) END AS n FROM t0)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256, length({said})::BIGINT AS loss_chars, sha256({said}) AS loss_sha256, sum(n)::BIGINT AS formatted_chars FROM t GROUP BY conv_id"""
 
 
