@@ -177,9 +177,8 @@ def _classes(hits: DataFrame, sketches: DataFrame, texts: DataFrame, similarity:
     links = written(verified(written(likely(hub_first, sketches, similarity), "likely"), texts, similarity), "links")
     if not some:
         return components(links)
-    used, most = hubs.select("key", F.col("hub").alias("doc_id")), 8
+    used, most, labels = hubs.select("key", F.col("hub").alias("doc_id")), 8, written(components(links), "labels")
     while True:
-        labels = written(components(links), "labels")
         named = large.join(labels, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", "degree", F.coalesce("component", "doc_id").alias("label"))
         home = named.join(hubs, (named["key"] == hubs["key"]) & (F.col("doc_id") == F.col("hub"))).select(named["key"], F.col("label").alias("home"))
         left = named.join(home, "key").where("label <> home").drop("home").join(used, ["key", "doc_id"], "left_anti")
@@ -190,11 +189,22 @@ def _classes(hits: DataFrame, sketches: DataFrame, texts: DataFrame, similarity:
         fresh = named.join(pivots.select("key", F.col("doc_id").alias("pivot"), F.col("label").alias("own")), "key").where("label <> own").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))
         fresh = fresh.distinct().join(compared, ["a", "b"], "left_anti").join(compared.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
         fresh = written(fresh, "pairs")
-        links = written(links.unionByName(verified(written(likely(fresh, sketches, similarity), "likely"), texts, similarity)), "links")
+        more = written(verified(written(likely(fresh, sketches, similarity), "likely"), texts, similarity), "links")
+        if not more.isEmpty():
+            labels = _joined(labels, more)
         compared = compared.unionByName(fresh)
         used, most = used.unionByName(pivots.select("key", "doc_id")), most * 8
 
 
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, component) after more links: only the components that these join are looked at anew."""
+    ends = links.select("a", "b").join(labels.select(F.col("node").alias("a"), F.col("component").alias("_a")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("component").alias("_b")), "b", "left")
+    merged = written(components(ends.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))).withColumnRenamed("component", "least"), "merged")
+    known = labels.join(merged.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("least", "component").alias("component"))
+    fresh = merged.join(labels.select("node"), "node", "left_anti").select("node", F.col("least").alias("component"))
+    return written(known.unionByName(fresh), "labels")
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = BAND_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, class_id, kept), one for each row of ``docs``: the smallest id of each class of near copies is kept.
 
