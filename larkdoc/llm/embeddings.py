@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from larkdoc.llm.common import components, written
 
-SAMPLE, SUBSPACES, CODES, MOST_LISTS, BLOCK, SPREAD = 8192, 8, 64, 4096, 1024, 2.0
+SAMPLE, SUBSPACES, CODES, MOST_LISTS, BLOCK, PAIRS = 8192, 8, 64, 4096, 8192, 1 << 20
 
 
 def _kmeans(points: np.ndarray, k: int, rounds: int, random: np.random.Generator) -> np.ndarray:
@@ -28,15 +28,20 @@ def _kmeans(points: np.ndarray, k: int, rounds: int, random: np.random.Generator
     return centres
 
 
+def _nearest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return ((centres**2).sum(1) - 2 * points @ centres.T).argmin(1)
+
+
 @dataclass
 class ProductIndex:
     """Coarse centres and, for each subspace, the codebook of the residuals; vectors have length 1."""
 
     coarse: np.ndarray
     books: np.ndarray  # subspaces x codes x width
+    groups: np.ndarray  # a number for each list; lists of a number are neighbours and are searched together
 
     @staticmethod
-    def fit(sample: np.ndarray, lists: int, seed: int = 3) -> ProductIndex:
+    def fit(sample: np.ndarray, lists: int, seed: int = 3, n_groups: int = 1) -> ProductIndex:
         random = np.random.default_rng(seed)
         coarse = _kmeans(sample, min(lists, len(sample)), 8, random)
         rest = sample - coarse[((coarse**2).sum(1) - 2 * sample @ coarse.T).argmin(1)]
@@ -44,7 +49,7 @@ class ProductIndex:
         rest = np.pad(rest, ((0, 0), (0, width * SUBSPACES - sample.shape[1])))
         books = [_kmeans(rest[:, s * width : (s + 1) * width], CODES, 8, random) for s in range(SUBSPACES)]
         k = max(map(len, books))
-        return ProductIndex(coarse, np.stack([np.pad(b, ((0, k - len(b)), (0, 0)), mode="edge") for b in books]))
+        return ProductIndex(coarse, np.stack([np.pad(b, ((0, k - len(b)), (0, 0)), mode="edge") for b in books]), _nearest(coarse, _kmeans(coarse, min(n_groups, len(coarse)), 8, random)))
 
     def _split(self, rest: np.ndarray) -> np.ndarray:
         width = self.books.shape[2]
@@ -58,19 +63,16 @@ class ProductIndex:
         back = np.stack([self.books[s][codes[:, s]] for s in range(SUBSPACES)], 1)
         return near, codes, np.sqrt(((rest - back) ** 2).sum((1, 2)))
 
-    def probes(self, vectors: np.ndarray, reach: float) -> list[np.ndarray]:
-        """The lists that may hold a vector within ``reach``.
+    def probes(self, vectors: np.ndarray, reach: float) -> np.ndarray:
+        """For each vector and list whether the list may hold a vector within ``reach``.
 
-        Such a vector lies in another list if the step to it crosses the border between the two
-        centres. A step in no special direction goes towards a centre by ``reach`` over the root of
-        the dimensions, as a standard deviation; borders within ``SPREAD`` of these are crossed.
+        A step s from a vector into another list has 2 s (c2 - c1) >= gap, the difference of the squared
+        distances to the two centres; s (c2 - c1) is at most ``reach`` times the distance between them.
         """
         square = (self.coarse**2).sum(1) - 2 * vectors @ self.coarse.T
         own = square.argmin(1)
         gap = square - square[np.arange(len(vectors)), own][:, None]
-        apart = np.sqrt(np.maximum(self.between[own], 0))
-        step = reach * min(1.0, SPREAD / np.sqrt(vectors.shape[1]))
-        return [np.flatnonzero(row) for row in gap <= 2 * step * apart + 1e-9]
+        return gap <= 2 * reach * np.sqrt(np.maximum(self.between[own], 0)) + 1e-9
 
     @cached_property
     def between(self) -> np.ndarray:
@@ -78,14 +80,10 @@ class ProductIndex:
         size = (self.coarse**2).sum(1)
         return size[:, None] + size[None] - 2 * self.coarse @ self.coarse.T
 
-    def distances(self, queries: np.ndarray, number: int, codes: np.ndarray) -> np.ndarray:
-        """Distances of queries to coded vectors of a list, from one table of subspace distances for each query."""
-        rest = self._split(queries - self.coarse[number])
-        out = np.zeros((len(queries), len(codes)), np.float32)
-        for s in range(SUBSPACES):
-            table = ((rest[:, s, None] - self.books[s][None]) ** 2).sum(2).astype(np.float32)
-            out += table[:, codes[:, s]]
-        return np.sqrt(out)
+    def decoded(self, number: int, codes: np.ndarray) -> np.ndarray:
+        """What the codes of a list's vectors stand for."""
+        rest = np.concatenate([self.books[s][codes[:, s]] for s in range(SUBSPACES)], 1)
+        return self.coarse[number] + rest[:, : self.coarse.shape[1]]
 
 
 def _joined(i: np.ndarray, j: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -108,12 +106,13 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id"
 
     Equal vectors are collapsed first and weigh as many rows as they are. The index is fitted on at
     most ``SAMPLE`` vectors, chosen by a hash of their ids; every vector is coded and every vector is
-    a query. A query probes the lists that may hold a vector of length 1 within the distance of
-    ``cosine`` (see ``ProductIndex.probes``), and drops an entry if its table-lookup distance
-    exceeds that distance by more than the entry's own coding error, so that none is lost in a
-    list; the rest are reranked by exact cosines. So links are missed only where a list isn't
-    probed: ``SPREAD`` keeps the recall above 0.99 in tests, and a larger one raises it to 1. A list is searched in blocks of ``BLOCK`` entries and
-    queries; a block gives counts and a smallest linked id for each vector, never pairs.
+    a query. A query probes all lists that can hold a vector within the distance of ``cosine`` (see
+    ``ProductIndex.probes``), and drops an entry if the distance to what its codes stand for exceeds that distance
+    by more than the entry's own coding error; the rest are reranked by exact cosines. So no link is
+    missed. Vectors without structure in many columns probe nearly all lists, and time then grows
+    with the square of the distinct vectors; a query is sent once to each group of lists, not to each
+    list. A group is searched in blocks of about ``BLOCK`` entries and queries, ``PAIRS`` pairs at a time;
+    a block gives counts and a smallest linked id for each vector, never pairs.
 
     Null or zero vectors, vectors with null, infinite or undefined components, and those of another
     length than the most frequent one link with nothing, as do rows with a null id. Rows that share
@@ -131,7 +130,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id"
     if not n:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     sample = np.array([r["v"] for r in classes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("v").collect()], float)
-    index = ProductIndex.fit(_units(sample), int(np.clip(np.sqrt(n), 1, MOST_LISTS)))
+    index = ProductIndex.fit(_units(sample), int(np.clip(np.sqrt(n), 1, MOST_LISTS)), n_groups=-(-n // BLOCK))
     shared = spark.sparkContext.broadcast(index)
     reach = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
 
@@ -142,14 +141,17 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id"
                 raw = np.array(part.column(0).to_pylist(), kind)
                 units = _units(raw.astype(float))
                 lists, codes, errors = shared.value.encode(units)
-                probed = shared.value.probes(units, reach)
-                sizes = [len(p) for p in probed]
-                again = np.repeat(np.arange(len(units)), sizes)
+                groups = shared.value.groups
+                probed = np.zeros((len(units), groups.max() + 1), bool)
+                again, lead = np.nonzero(shared.value.probes(units, reach))
+                probed[again, groups[lead]] = True
+                again, asked = np.nonzero(probed)
                 entry = np.concatenate([np.ones(len(units), bool), np.zeros(len(again), bool)])
                 source = np.concatenate([np.arange(len(units)), again])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.concatenate([lists, *probed]).astype(np.int32)),
+                        pa.array(np.concatenate([groups[lists], asked]).astype(np.int32)),
+                        pa.array(lists[source].astype(np.int32)),
                         pa.array(entry),
                         part.column(1).take(pa.array(source)),
                         part.column(2).take(pa.array(source)),
@@ -157,38 +159,58 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id"
                         pa.array([codes[i].tobytes() if e else None for i, e in zip(source, entry, strict=True)], pa.binary()),
                         pa.array(errors[source]),
                     ],
-                    names=["list", "entry", "rep", "copies", "vector", "codes", "error"],
+                    names=["group", "list", "entry", "rep", "copies", "vector", "codes", "error"],
                 )
 
-    dealt = written(classes.select("v", "rep", "copies").repartition("rep").mapInArrow(deal, "list int, entry boolean, rep long, copies long, vector binary, codes binary, error double"), "lists")
-    blocks = dealt.groupBy("list").agg(F.ceil(F.count_if("entry") / BLOCK).alias("entry_blocks"), F.ceil(F.count_if(~F.col("entry")) / BLOCK).alias("query_blocks"))
-    placed = dealt.join(F.broadcast(blocks.where("entry_blocks > 0 and query_blocks > 0")), "list")  # at most MOST_LISTS rows
+    dealt = written(classes.select("v", "rep", "copies").repartition("rep").mapInArrow(deal, "group int, list int, entry boolean, rep long, copies long, vector binary, codes binary, error double"), "lists")
+    blocks = dealt.groupBy("group").agg(F.ceil(F.count_if("entry") / BLOCK).alias("entry_blocks"), F.ceil(F.count_if(~F.col("entry")) / BLOCK).alias("query_blocks"))
+    placed = dealt.join(F.broadcast(blocks.where("entry_blocks > 0 and query_blocks > 0")), "group")  # at most MOST_LISTS rows
     own = F.when(F.col("entry"), F.pmod(F.xxhash64("rep"), "entry_blocks")).otherwise(F.pmod(F.xxhash64("rep"), "query_blocks"))
     others = F.sequence(F.lit(0).cast("long"), F.when(F.col("entry"), F.col("query_blocks")).otherwise(F.col("entry_blocks")) - 1)
     placed = placed.withColumn("own", own).withColumn("other", F.explode(others))
-    placed = placed.select("list", F.when(F.col("entry"), F.col("own")).otherwise(F.col("other")).alias("entries"), F.when(F.col("entry"), F.col("other")).otherwise(F.col("own")).alias("queries"), "entry", "rep", "copies", "vector", "codes", "error")
+    placed = placed.select("group", "list", F.when(F.col("entry"), F.col("own")).otherwise(F.col("other")).alias("entries"), F.when(F.col("entry"), F.col("other")).otherwise(F.col("own")).alias("queries"), "entry", "rep", "copies", "vector", "codes", "error")
 
     def search(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         entries, queries = frame[frame["entry"]], frame[~frame["entry"]]
         if not len(entries) or not len(queries):
             return pd.DataFrame({"rep": [], "links": [], "least": []})
+        index, entries = shared.value, entries.sort_values("list")
         x, q = (_units(np.frombuffer(b"".join(side["vector"]), kind).reshape(len(side), -1).astype(float)) for side in (entries, queries))
         codes = np.frombuffer(b"".join(entries["codes"]), np.uint8).reshape(len(entries), -1)
-        near = shared.value.distances(q, int(key[0]), codes) <= reach + entries["error"].to_numpy()[None] + 1e-4
-        i, j = np.nonzero(near)
-        exact = np.empty(len(i))
-        for at in range(0, len(i), 1 << 17):
-            exact[at : at + (1 << 17)] = np.einsum("ij,ij->i", q[i[at : at + (1 << 17)]], x[j[at : at + (1 << 17)]])
-        linked = exact >= cosine
-        i, j = i[linked], j[linked]
         weights = entries["copies"].to_numpy()
-        links = np.bincount(i, weights=weights[j], minlength=len(q)).astype(np.int64)
-        ids = np.concatenate([queries["rep"].to_numpy(), entries["rep"].to_numpy()])
-        least = _joined(i, j + len(q), ids)
-        used = np.unique(np.concatenate([i, j + len(q)]))
-        return pd.DataFrame({"rep": ids[used], "links": np.concatenate([links, np.zeros(len(x), np.int64)])[used], "least": least[used]})
-
-    found = written(placed.groupBy("list", "entries", "queries").applyInPandas(search, "rep long, links long, least long"), "found")
+        ids, node = np.unique(np.concatenate([queries["rep"].to_numpy(), entries["rep"].to_numpy()]), return_inverse=True)
+        places, links, edges = np.arange(len(ids)), np.zeros(len(ids), np.int64), []
+        numbers, begins = np.unique(entries["list"].to_numpy(), return_index=True)
+        spans = [(number, at, min(at + BLOCK, end)) for number, begin, end in zip(numbers, begins, [*begins[1:], len(x)], strict=True) for at in range(begin, end, BLOCK)]
+        coded = np.concatenate([index.decoded(number, codes[begin:end]) for number, begin, end in spans])
+        # |q - c|^2 <= (reach + error)^2 as a product, for |q| = 1; single precision needs the slack
+        least_product = ((1 + (coded**2).sum(1) - (reach + entries["error"].to_numpy() + 1e-4) ** 2 - 1e-5) / 2).astype(np.float32)
+        coded = coded.astype(np.float32)
+        for first in range(0, len(q), 1024):
+            asking = q[first : first + 1024]
+            probed, asking = index.probes(asking, reach), asking.astype(np.float32)
+            for number, begin, end in spans:
+                chosen = np.flatnonzero(probed[:, number])
+                step = max(1, PAIRS // (end - begin))
+                for some in (chosen[at : at + step] for at in range(0, len(chosen), step)):
+                    j, i = np.nonzero(coded[begin:end] @ asking[some].T >= least_product[begin:end, None])
+                    i, j = some[i] + first, j + begin
+                    exact = np.empty(len(i))
+                    for at in range(0, len(i), 1 << 17):
+                        exact[at : at + (1 << 17)] = np.einsum("ij,ij->i", q[i[at : at + (1 << 17)]], x[j[at : at + (1 << 17)]])
+                    linked = exact >= cosine
+                    i, j = i[linked], j[linked]
+                    np.add.at(links, node[i], weights[j])
+                    i, j = node[i], node[j + len(q)]
+                    if (i != j).any():
+                        least = _joined(i, j, places)
+                        moved = np.flatnonzero(least != places)
+                        edges.append(np.stack([moved, least[moved]]))
+        label = _joined(*np.concatenate(edges, 1), places) if edges else places
+        used = np.flatnonzero((links > 0) | (label != places))
+        return pd.DataFrame({"rep": ids[used], "links": links[used], "least": ids[label[used]]})
+
+    found = written(placed.groupBy("group", "entries", "queries").applyInPandas(search, "rep long, links long, least long"), "found")
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     labels = components(found.where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b")))
     # a vector finds itself, with all its copies
