@@ -34,31 +34,48 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: str) -> np.ndarray:
-    """Polynomial hash of each values[start:end], modulo 2**64, whatever the start."""
+def _sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: str) -> np.ndarray:
+    """Polynomial sum of each values[start:end], modulo 2**64, whatever the start."""
     up, down = _powers_of(kind)
     sums = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * up[: len(values)], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * down[starts])
+    return (sums[ends] - sums[starts]) * down[starts]
+
+
+def _spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: str) -> np.ndarray:
+    return mixed(_sums(values, starts, ends, kind))
 
 
 def words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes, starts, ends) of the words in ``data``, in blocks that end between words (but for giant words)."""
-    hashes, starts, ends = [], [], []
+    """(hashes, starts, ends) of the words in ``data``, taken in blocks; a word over several blocks is one word all the same."""
+    sums, starts, ends = [], [], []
+    open_sum, open_at = 0, None  # of a word that the last block ended in
     for at, part in _blocks(data):
         raw = np.frombuffer(part, np.uint8)
         edges = np.diff(np.concatenate([[True], _SEPARATES[raw], [True]]).astype(np.int8))
         start, end = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
-        hashes.append(_spans(_LETTERS[raw], start, end, "byte"))
-        starts.append(start + at)
-        ends.append(end + at)
-    if not hashes:
+        found = _sums(_LETTERS[raw], start, end, "byte")
+        start, end = start + at, end + at
+        if open_at is not None:
+            if len(start) and start[0] == at:
+                found[0] = (open_sum + pow(_BASE["byte"], at - open_at, 1 << 64) * int(found[0])) % (1 << 64)
+                start[0] = open_at
+            else:
+                found, start, end = (np.concatenate([np.array([x], y.dtype), y]) for x, y in ((open_sum, found), (open_at, start), (at, end)))
+            open_at = None
+        if len(end) and end[-1] == at + len(part) < len(data):
+            open_sum, open_at = int(found[-1]), int(start[-1])
+            found, start, end = found[:-1], start[:-1], end[:-1]
+        sums.append(found)
+        starts.append(start)
+        ends.append(end)
+    if not sums:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(hashes), np.concatenate(starts), np.concatenate(ends)
+    return mixed(np.concatenate(sums)), np.concatenate(starts), np.concatenate(ends)
 
 
 def _blocks(data: bytes) -> Iterator[tuple[int, bytes]]:
-    """Blocks cut at a separator; a word longer than a block is taken in equal pieces, each a word of its own."""
+    """Blocks cut at a separator where they have one; others end within a word."""
     at = 0
     while at < len(data):
         part = data[at : at + _BLOCK]

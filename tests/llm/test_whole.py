@@ -32,3 +32,25 @@ def test_links_between_dense_groups(spark, monkeypatch, block):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_vectors(df).collect()}
     assert [found[i] for i in range(len(x))] == list(zip((near.sum(1) - 1).tolist(), label.tolist(), strict=True))
+
+
+GIANT = "Ωx7é" * 600_000  # 3.6 MB; no block ends between its characters
+
+
+@pytest.mark.parametrize("text", [GIANT, f"x{GIANT} b", f" a {GIANT}\n{GIANT} c ", "a" * (1 << 20) + " b", "a" * (1 << 21), "b " + "a" * ((1 << 20) - 2) + " c"])
+def test_a_giant_word_is_one_word(text):
+    data = text.encode()
+    hashes, starts, ends = rolling.words(data)
+    spans = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", data)]
+    assert list(zip(starts.tolist(), ends.tolist(), strict=True)) == spans
+    said = [data[a:b] for a, b in spans]
+    assert [[x == y for y in hashes.tolist()] for x in hashes.tolist()] == [[x == y for y in said] for x in said]
+    last = rolling.words(data[:-1] + b"!")[0]
+    assert data.endswith(b" ") or last[-1] != hashes[-1]
+
+
+def test_a_passage_beside_a_giant_word_is_removed(spark):
+    passage = " ".join(f"p{i}" for i in range(50))
+    docs = spark.createDataFrame([(1, passage), (2, f"a{GIANT} {passage} b")], "doc_id long, text string")
+    found = {r["doc_id"]: r for r in substrings.dedup_substrings(docs).collect()}
+    assert found[2]["text"] == f"a{GIANT} b" and found[2]["n_words"] == 52
