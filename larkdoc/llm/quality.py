@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from larkdoc.llm.common import batched, id_and_text
 from larkdoc.llm.labels import fold_of, training_rows
 
-TERMS, DIMENSIONS, NEIGHBOURS, PER_CLASS = 1024, 48, 25, 2500
+TERMS, DIMENSIONS, NEIGHBOURS, PER_CLASS, STRETCH = 1024, 48, 25, 2500, 64
 _RUNS = re.compile(r"([A-Z])[A-Z]+|([a-z])[a-z]+|(0)0+|([^A-Za-z0])\4+")
 
 
@@ -24,7 +24,7 @@ class _Shapes(dict):
     """Term of a word's shape: letters and digits by kind, runs cut to two, so "AND!!" is "AA!!"; holds a bounded number."""
 
     def __missing__(self, word: str) -> int:
-        kinds = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word[:64])
+        kinds = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word)
         shape = _RUNS.sub(lambda m: m[0][:2], kinds)
         term = zlib.crc32(shape.encode("utf-8", "replace")) % (1 << 20)
         if len(self) < 300_000:
@@ -38,9 +38,10 @@ _shapes = _Shapes()
 def terms(text: str) -> np.ndarray:
     """Term counts: word shapes, pairs of them, and words that repeat the one or two before them, hashed to ``TERMS``.
 
+    A longer word than ``STRETCH`` is taken as overlapping stretches, so that unspaced text counts by its length.
     What tells poor text from prose here is form rather than vocabulary: symbols, capitals, tables, repeats.
     """
-    words = text.split()
+    words = [w[at : at + STRETCH] for w in text.split() for at in range(0, max(1, len(w) - STRETCH // 2), STRETCH // 2)]
     if not words:
         return np.zeros(TERMS, np.float32)
     shape = np.fromiter(map(_shapes.__getitem__, words), np.int64, len(words))

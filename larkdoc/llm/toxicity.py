@@ -18,22 +18,31 @@ from larkdoc.llm.labels import fold_of, training_rows
 
 BUCKETS, DIMENSIONS, PER_CLASS, SHORTEST, LONGEST = 1 << 17, 8, 1500, 3, 5
 RAREST, COMMON = 3, 0.02
+#: Longer runs are taken in stretches and aren't held.
+STRETCH, LONGEST_HELD = 4096, 64
 _WORDS = re.compile(r"\w+")
 
 
-def subwords(word: str) -> list[int]:
-    """Buckets of the marked word and of its character n-grams, so that misspellings share most of them."""
-    marked = f"<{word[:64]}>"
-    grams = [marked] + [marked[i : i + n] for n in range(SHORTEST, LONGEST + 1) for i in range(len(marked) - n + 1)]
-    return [zlib.crc32(g.encode("utf-8", "replace")) % BUCKETS for g in grams]
+def subwords(word: str) -> Iterator[list[int]]:
+    """Buckets of the marked word and of all its character n-grams, so that misspellings share most of them.
+
+    They come in lists of bounded length, one for each ``STRETCH`` characters that n-grams begin in.
+    """
+    marked = f"<{word}>"
+    for at in range(0, len(marked) - SHORTEST + 1, STRETCH):
+        part = marked[at : at + STRETCH + LONGEST - 1]
+        grams = [] if at else [marked]
+        grams += [part[i : i + n] for n in range(SHORTEST, LONGEST + 1) for i in range(min(STRETCH, len(part) - n + 1))]
+        yield [zlib.crc32(g.encode("utf-8", "replace")) % BUCKETS for g in grams]
 
 
 def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, counts) of a text's subwords."""
     counts: Counter[int] = Counter()
     for word, n in Counter(_WORDS.findall(text.lower())).items():
-        for g in subwords(word):
-            counts[g] += n
+        for buckets in subwords(word):
+            for g in buckets:
+                counts[g] += n
     return np.fromiter(counts.keys(), np.int32, len(counts)), np.fromiter(counts.values(), np.float32, len(counts))
 
 
@@ -85,15 +94,14 @@ class SubwordModel:
 
 
 class _Words(dict):
-    """Sums of a word's subword margins and weights, as one complex number; holds a bounded number of words."""
+    """Sums of a word's subword margins and weights, as one complex number; holds a bounded number of words of bounded length."""
 
     def __init__(self, margins: np.ndarray, weights: np.ndarray):
         self.margins, self.weights = margins, weights
 
     def __missing__(self, word: str) -> complex:
-        grams = subwords(word)
-        value = complex(float(self.margins[grams].sum()), float(self.weights[grams].sum()))
-        if len(self) < 500_000:
+        value = sum((complex(float(self.margins[grams].sum()), float(self.weights[grams].sum())) for grams in subwords(word)), 0j)
+        if len(self) < 500_000 and len(word) <= LONGEST_HELD:
             self[word] = value
         return value
 

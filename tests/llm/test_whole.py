@@ -54,3 +54,30 @@ def test_a_passage_beside_a_giant_word_is_removed(spark):
     docs = spark.createDataFrame([(1, passage), (2, f"a{GIANT} {passage} b")], "doc_id long, text string")
     found = {r["doc_id"]: r for r in substrings.dedup_substrings(docs).collect()}
     assert found[2]["text"] == f"a{GIANT} b" and found[2]["n_words"] == 52
+
+
+def test_subwords_reach_the_end_of_a_run():
+    for run in ("clean" * 30 + "poison", "字" * 5000 + "毒药汤" + "字" * 5000):
+        marked = f"<{run}>"
+        grams = [marked] + [marked[i : i + n] for n in (3, 4, 5) for i in range(len(marked) - n + 1)]
+        assert sorted(g for part in toxicity.subwords(run) for g in part) == sorted(toxicity.zlib.crc32(g.encode()) % toxicity.BUCKETS for g in grams)
+    buckets, counts = toxicity.bag("_" * 70 + "poison")
+    assert {toxicity.zlib.crc32(g.encode()) % toxicity.BUCKETS for g in ("pois", "son>")} <= set(buckets.tolist())
+    assert counts.sum() == 1 + 78 - 2 + 78 - 3 + 78 - 4
+
+
+def test_toxic_ends_of_long_runs_score(spark):
+    texts = [(i, "_".join(["kind", "words", "only", "here"] * 5 + (["poison"] if i % 2 else ["petal"]))) for i in range(80)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in texts], "doc_id long, toxic int")
+    scores = toxicity.toxicity_scores(docs, labels).where("held_out").select("doc_id", "score").collect()
+    assert len({r["doc_id"] % 2 for r in scores}) == 2
+    assert min(r["score"] for r in scores if r["doc_id"] % 2) > max(r["score"] for r in scores if not r["doc_id"] % 2)
+
+
+def test_a_long_word_has_terms_for_all_of_it():
+    short, long = quality.terms("ab" * 32), quality.terms("ab" * 32 + "#?" * 500)
+    assert long.sum() > 20 * short.sum()
+    assert (quality.terms("x" * 64 + "A1") != quality.terms("x" * 64 + "b2")).any()
+    words = quality._Shapes()
+    assert words["x" * 64 + "A1"] != words["x" * 64]
