@@ -6,6 +6,7 @@ from collections import deque
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -62,31 +63,43 @@ def rate_limit_stream(events: DataFrame, limit: int, window: float = 60.0) -> Da
     return timed.groupBy("key").applyInPandasWithState(step, "event_id long, allowed boolean, retry_after long", "log array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
+def job_after(job: tuple, kind: str | None, progress: int | None, chunks: int | None, detail: str | None, ts: int | None) -> tuple:
+    """A job's (status, progress, chunks, detail, retry_count, updated_at) after one more event."""
+    status, at, n, said, retries, _ = job
+    to, _, fresh = TRANSITIONS.get(kind, (status, None, None))
+    given = at if progress is None else max(at, min(100, max(0, progress)))
+    said = None if kind == "retry" else said if detail is None else detail
+    return to, given if fresh is None else fresh, n if chunks is None else max(n, chunks), said, retries + (kind == "retry"), ts
+
+
 def job_snapshot(events: DataFrame) -> DataFrame:
     """The state of each job after its events (job_id, event_no, kind, progress, chunks, detail, ts).
 
     Transitions set the fields of their kind; missing values leave a field as it was; progress is kept
-    between 0 and 100 and never falls within a run; chunk counts only rise; a retry counts up. All
-    in aggregates over an ordered array of a job's events.
+    between 0 and 100 and never falls within a run; chunk counts only rise; a retry counts up.
+    Rows are dealt by job and read in order, so a job of any size streams through its task.
     """
-    rows = F.array_sort(F.collect_list(F.struct("event_no", "kind", "progress", "chunks", "detail", "ts")))
-    start = F.struct(F.lit(None).cast("string").alias("status"), F.lit(0).alias("progress"), F.lit(0).cast("long").alias("chunks"), F.lit(None).cast("string").alias("detail"), F.lit(0).alias("retry_count"), F.lit(None).cast("timestamp").alias("updated_at"))
-
-    def step(s, e):
-        status = F.coalesce(*[F.when(e["kind"] == kind, F.lit(t[0])) for kind, t in TRANSITIONS.items()], s["status"])
-        fresh = F.coalesce(*[F.when(e["kind"] == kind, F.lit(t[2])) for kind, t in TRANSITIONS.items() if t[2] is not None])
-        given = F.greatest(s["progress"], F.least(F.lit(100), F.greatest(F.lit(0), F.coalesce(e["progress"].cast("int"), s["progress"]))))
-        return F.struct(
-            status.alias("status"),
-            F.coalesce(fresh, given).alias("progress"),
-            F.greatest(s["chunks"], F.coalesce(e["chunks"].cast("long"), s["chunks"])).alias("chunks"),
-            F.when(e["kind"] == "retry", F.lit(None)).otherwise(F.coalesce(e["detail"], s["detail"])).cast("string").alias("detail"),
-            (s["retry_count"] + F.when(e["kind"] == "retry", 1).otherwise(0)).alias("retry_count"),
-            e["ts"].cast("timestamp").alias("updated_at"),
-        )
-
-    folded = events.groupBy("job_id").agg(F.aggregate(rows, start, step).alias("s"))
-    return folded.select("job_id", "s.*")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, job = None, None
+        for batch in batches:
+            names, types = ["job_id", "status", "progress", "chunks", "detail", "retry_count", "updated_at"], [batch.schema.field(0).type, pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.int64()]
+            done = []
+            for job_id, _, *event in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if job is None or job_id != now:
+                    if job is not None:
+                        done.append((now, *job))
+                    now, job = job_id, (None, 0, 0, None, 0, None)
+                job = job_after(job, *event)
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), types, strict=True)], names=names)
+        if job is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((now, *job), types, strict=True)], names=names)
+
+    rows = events.select("job_id", "event_no", "kind", F.col("progress").cast("int").alias("progress"), F.col("chunks").cast("long").alias("chunks"), F.col("detail").cast("string").alias("detail"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    rows = rows.repartition("job_id").sortWithinPartitions("job_id", "event_no", "kind", "progress", "chunks", "detail", "at")
+    folded = rows.mapInArrow(task, f"job_id {events.schema['job_id'].dataType.simpleString()}, status string, progress int, chunks long, detail string, retry_count int, updated_at long")
+    return folded.withColumn("updated_at", F.timestamp_micros("updated_at"))
 
 
 def pending_replies(turns: Iterable[tuple[float, bool, bool]], ttl: float, waiting: float | None) -> Iterator[tuple[str, float | None]]:
