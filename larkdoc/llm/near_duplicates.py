@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkdoc.llm import rolling
@@ -15,8 +15,10 @@ from larkdoc.llm.common import components, id_and_text, written
 from larkdoc.llm.substrings import BROADCAST_IDS
 
 SHINGLE, SIMILARITY, BANDS, BAND_ROWS = 5, 0.8, 24, 5
-#: Buckets up to this size are compared pair by pair, so pairs grow in proportion to rows; larger ones by pivots.
+#: Buckets up to this size are compared pair by pair, so pairs grow in proportion to rows; larger ones by a hub and rare shingles.
 SMALL_BUCKET = 16
+#: Of a common rare shingle's rows, how many a task has on one side.
+MOST_TOGETHER = 4096
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _LEVELS = 40
 BAGS_AT_ONCE = 400_000
@@ -105,8 +107,15 @@ def sketches_of(signatures: np.ndarray) -> list[bytes]:
     return [row.tobytes() for row in bytes_]
 
 
+def dealt(pairs: DataFrame, pairs_a_group: int = 500) -> DataFrame:
+    """``pairs`` (a, b) with a ``part``: an ``a`` with many pairs is spread over parts of about ``pairs_a_group``, so that no task holds it alone."""
+    busy = written(pairs.groupBy("a").agg(F.ceil(F.count("*") / pairs_a_group).alias("parts")).where("parts > 1"), "busy")
+    few = busy.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return pairs.join(F.broadcast(busy) if few else busy, "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), "parts"), F.lit(0)).alias("part"))
+
+
 def likely(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
-    """The (a, b) of ``pairs`` whose slots agree as often as ``similarity`` makes likely, less five standard deviations.
+    """The (a, b, part) of ``pairs`` whose slots agree as often as ``similarity`` makes likely, less five standard deviations.
 
     So one in millions of links is lost here, fewer than the bands lose, and texts that only share a
     passage aren't fetched and compared.
@@ -116,24 +125,23 @@ def likely(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFram
         for batch in batches:
             if not batch.num_rows:
                 continue
-            first, second = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3))
+            first, second = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (3, 4))
             size = first.shape[1]
             good = (first == second).sum(1) >= size * (similarity - 5 * np.sqrt(similarity * (1 - similarity) / size))
-            yield batch.select([0, 1]).filter(pa.array(good))
+            yield batch.select([0, 1, 2]).filter(pa.array(good))
 
-    joined = pairs.join(sketches.select(F.col("doc_id").alias("a"), F.col("sketch").alias("_a")), "a").join(sketches.select(F.col("doc_id").alias("b"), F.col("sketch").alias("_b")), "b")
-    return joined.select("a", "b", "_a", "_b").mapInArrow(task, "a long, b long")
+    left = pairs.select("a", "part").distinct().join(sketches.select(F.col("doc_id").alias("a"), F.col("sketch").alias("_a")), "a")
+    joined = pairs.join(left, ["a", "part"]).join(sketches.select(F.col("doc_id").alias("b"), F.col("sketch").alias("_b")), "b")
+    return joined.select("a", "b", "part", "_a", "_b").mapInArrow(task, "a long, b long, part long")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, similarity: float, pairs_a_group: int = 500) -> DataFrame:
-    """The (a, b) of ``pairs`` whose texts' shingle multisets overlap by ``similarity`` or more.
+def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The (a, b) of ``pairs`` (a, b, part) whose texts' shingle multisets overlap by ``similarity`` or more.
 
-    Each text is shuffled once for each of its pairs' groups: an ``a`` with many pairs is dealt to
-    several groups, and a task reads a group in order, holding one multiset.
+    A task reads a part in order, the text of ``a`` first, and holds one multiset.
     """
-    sized = pairs.join(pairs.groupBy("a").agg(F.ceil(F.count("*") / pairs_a_group).alias("groups")), "a")
-    left = sized.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("part")).distinct().join(texts, F.col("a") == F.col("doc_id")).select("a", "part", F.lit(0).alias("side"), F.col("a").alias("b"), "text")
-    right = sized.withColumn("part", F.pmod(F.xxhash64("b"), "groups")).join(texts, F.col("b") == F.col("doc_id")).select("a", "part", F.lit(1).alias("side"), "b", "text")
+    left = pairs.select("a", "part").distinct().join(texts, F.col("a") == F.col("doc_id")).select("a", "part", F.lit(0).alias("side"), F.col("a").alias("b"), "text")
+    right = pairs.join(texts, F.col("b") == F.col("doc_id")).select("a", "part", F.lit(1).alias("side"), "b", "text")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -151,49 +159,94 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float, pairs_a_grou
     return rows.select("a", "side", "b", "text").mapInArrow(task, "a long, b long")
 
 
+def _compared(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The links among ``pairs`` (a, b), which may repeat."""
+    tried = written(dealt(written(pairs.distinct(), "pairs")), "dealt")
+    return written(verified(written(likely(tried, sketches, similarity), "likely"), texts, similarity), "links")
+
+
+def rare_shingles(texts: DataFrame, similarity: float) -> DataFrame:
+    """Rows (token, doc_id, at, size): the rarest shingles of each of ``texts`` (doc_id, text), as many as a link needs.
+
+    A shingle that a text has for the k-th time is a token of its own, so that texts are sets of
+    ``size`` tokens. All texts order their tokens alike, by the number of texts with it and then by
+    hash; ``at`` is a token's place in its text. Two sets of an overlap of ``similarity`` have one of
+    their first size - ceil(similarity * size) + 1 tokens in common, as the rest is too small to be
+    all of what they share. Tokens of one text only aren't given, but count as the first places.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                keys, counts = shingles(text.as_py())
+                n = int(counts.sum())
+                if n:
+                    turn = np.arange(n) - np.repeat(np.cumsum(counts) - counts, counts)
+                    tokens = rolling.mixed(np.repeat(keys, counts) + turn.astype(np.uint64) * _GOLDEN)
+                    yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(np.full(n, doc_id)), pa.array(np.full(n, n))], names=["token", "doc_id", "size"])
+
+    tokens = written(texts.select("doc_id", "text").mapInArrow(task, "token long, doc_id long, size long"), "tokens")
+    shared = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    whole = Window.partitionBy("doc_id")
+    placed = tokens.join(shared, "token").withColumn("at", F.col("size") - F.count("*").over(whole) + F.row_number().over(whole.orderBy("n", "token")) - 1)
+    return placed.where(F.col("at") <= F.col("size") - F.ceil(F.col("size") * similarity - 1e-9)).select("token", "doc_id", "at", "size")
+
+
+def _may_link(similarity: float, a: str, b: str) -> Column:
+    """Whether two rows of ``rare_shingles`` with one token, if it is the first that their texts share, leave enough tokens behind it."""
+    left = F.least(F.col(f"{a}.size") - F.col(f"{a}.at"), F.col(f"{b}.size") - F.col(f"{b}.at"))
+    return left * (1 + similarity) >= (F.col(f"{a}.size") + F.col(f"{b}.size")) * similarity - 1e-9
+
+
 def _classes(hits: DataFrame, sketches: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Components (node, component) of the links between documents that share a bucket; ``hits`` has (key, doc_id, n).
 
     Small buckets are compared pair by pair. In a larger one the member that shares the most
-    buckets with others is compared with all; then, as long as members are left out of its
-    component, 8, 64, 512 ... of these are, with all members of other components. Every pair of a bucket is
-    thus compared or already linked through others.
+    buckets with others is compared with all, which settles most groups of copies. The members of
+    buckets with any left out of its component go on to exact filters instead of pairs: they
+    meet by their rare shingles (``rare_shingles``), and only if sizes and places allow a link. Texts
+    that share no more than a common passage, however many, have that behind their first places and don't meet.
     """
     small = hits.where(F.col("n") <= SMALL_BUCKET)
     pairs = small.select("key", F.col("doc_id").alias("a")).join(small.select("key", F.col("doc_id").alias("b")), "key").where("a < b").select("a", "b")
     large = hits.where(F.col("n") > SMALL_BUCKET).select("key", "doc_id")
-    some = not large.isEmpty()
-    if some:
-        degree = hits.groupBy("doc_id").agg(F.sum("n").alias("degree"))
-        large = written(large.join(degree, "doc_id"), "large-buckets")
-        hubs = written(large.groupBy("key").agg(F.max_by("doc_id", F.struct("degree", -F.col("doc_id"))).alias("hub")), "hubs")
-        pairs = pairs.unionByName(large.join(hubs, "key").where("doc_id <> hub").select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")))
-    compared = written(pairs.distinct(), "pairs")
-    hub_first = compared
-    if some:  # the hub's text is the one that is held
-        hub_ids = hubs.select(F.col("hub").alias("doc_id")).distinct()
-        turned = compared.join(hub_ids.withColumnRenamed("doc_id", "b"), "b", "left_semi")
-        hub_first = compared.join(hub_ids.withColumnRenamed("doc_id", "b"), "b", "left_anti").unionByName(turned.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    links = written(verified(written(likely(hub_first, sketches, similarity), "likely"), texts, similarity), "links")
-    if not some:
-        return components(links)
-    used, most, labels = hubs.select("key", F.col("hub").alias("doc_id")), 8, written(components(links), "labels")
-    while True:
-        named = large.join(labels, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", "degree", F.coalesce("component", "doc_id").alias("label"))
-        home = named.join(hubs, (named["key"] == hubs["key"]) & (F.col("doc_id") == F.col("hub"))).select(named["key"], F.col("label").alias("home"))
-        left = named.join(home, "key").where("label <> home").drop("home").join(used, ["key", "doc_id"], "left_anti")
-        order = Window.partitionBy("key").orderBy(F.desc("degree"), "doc_id")
-        pivots = written(left.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).drop("rank"), "pivots")
-        if pivots.isEmpty():
-            return labels
-        fresh = named.join(pivots.select("key", F.col("doc_id").alias("pivot"), F.col("label").alias("own")), "key").where("label <> own").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))
-        fresh = fresh.distinct().join(compared, ["a", "b"], "left_anti").join(compared.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-        fresh = written(fresh, "pairs")
-        more = written(verified(written(likely(fresh, sketches, similarity), "likely"), texts, similarity), "links")
-        if not more.isEmpty():
-            labels = _joined(labels, more)
-        compared = compared.unionByName(fresh)
-        used, most = used.unionByName(pivots.select("key", "doc_id")), most * 8
+    if large.isEmpty():
+        return components(_compared(pairs, sketches, texts, similarity))
+    degree = hits.groupBy("doc_id").agg(F.sum("n").alias("degree"))
+    large = written(large.join(degree, "doc_id"), "large-buckets")
+    hubs = written(large.groupBy("key").agg(F.max_by("doc_id", F.struct("degree", -F.col("doc_id"))).alias("hub")), "hubs")
+    # a hub's text is the one that is held
+    links = _compared(pairs.unionByName(large.join(hubs, "key").where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b"))), sketches, texts, similarity)
+    labels = written(components(links), "labels")
+    home = hubs.join(labels, F.col("hub") == F.col("node"), "left").select("key", F.coalesce("component", "hub").alias("home"))
+    named = large.join(labels, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("label")).join(home, "key")
+    open_ = written(named.groupBy("key").agg(F.max(F.col("label") != F.col("home")).alias("open")).where("open").select("key"), "open-buckets")
+    if open_.isEmpty():
+        return labels
+    members = written(large.join(open_, "key", "left_semi").select("doc_id").distinct(), "open")
+    rare = written(rare_shingles(texts.join(members, "doc_id", "left_semi"), similarity), "rare")
+
+    def labelled(labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Rare shingles with the components of their texts, and the size of each that several components have."""
+        rows = written(rare.join(labels, F.col("doc_id") == F.col("node"), "left").select("token", "doc_id", "at", "size", F.coalesce("component", "doc_id").alias("label")), "labelled")
+        best = F.max_by(F.struct("doc_id", "at", "size", "label"), F.struct(F.col("size") - F.col("at"), -F.col("doc_id"))).alias("best")
+        return rows, written(rows.groupBy("token").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), best).where("low < high").select("token", "n", "best"), "met")
+
+    rows, met = labelled(labels)
+    first = met.where(F.col("n") > SMALL_BUCKET).select("token", "best.*").alias("a").join(rows.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.label") != F.col("b.label")) & _may_link(similarity, "a", "b"))
+    links = _compared(first.select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b")), sketches, texts, similarity)
+    if not links.isEmpty():
+        labels = _joined(labels, links)
+        rows, met = labelled(labels)
+    # all others, a common token's rows dealt over tasks
+    met = met.select("token", F.ceil(F.col("n") / MOST_TOGETHER).alias("parts"))
+    both = rows.join(met, "token")
+    one = both.withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts")).alias("a")
+    all_ = both.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).alias("b")
+    same = (F.col("a.token") == F.col("b.token")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.doc_id") < F.col("b.doc_id")) & (F.col("a.label") != F.col("b.label"))
+    rest = one.join(all_, same & _may_link(similarity, "a", "b")).select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"))
+    links = _compared(rest, sketches, texts, similarity)
+    return labels if links.isEmpty() else _joined(labels, links)
 
 
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
