@@ -19,12 +19,13 @@ class ByteBpe:
 
     Words don't interact in byte-level BPE, so ids are kept by word, for ``words`` words at most.
     When they are full the younger half goes, as frequent words are met early. Texts with characters outside Latin letters and
-    printable ASCII are encoded whole by the tokenizer, whose Unicode tables may differ from Python's.
+    printable ASCII are encoded whole by the tokenizer, whose Unicode tables may differ from Python's; so are texts that
+    hold an added token's string (as ``<|endoftext|>``), which has an id of its own.
     """
 
     def __init__(self, path: str, words: int = 1_000_000):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.words, self.known = words, {}
         # the format's letters for bytes: printable ones stand for themselves, the others follow from 256 on
@@ -41,7 +42,7 @@ class ByteBpe:
             self.known[word] = struct.pack(f"<{len(ids)}I", *ids)
 
     def packed(self, text: str) -> bytes:
-        if _OTHER.search(text):
+        if any(token in text for token in self.added) or _OTHER.search(text):
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
             return struct.pack(f"<{len(ids)}I", *ids)
         words = _WORDS.findall(text)
