@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 
 _BLOCK = 1 << 20
-_BASE = {"byte": 0x9E3779B97F4A7C15, "word": 0xD6E8FEB86659FD93}
+_BASE = {"byte": 0x9E3779B97F4A7C15, "word": 0xD6E8FEB86659FD93, "check": 0xA0761D6478BD642F}
 _LETTERS = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 #: The separators of words, space and 9 to 13.
 SEPARATORS = bytes([0x20, *range(0x09, 0x0E)])
@@ -86,8 +86,8 @@ def _blocks(data: bytes) -> Iterator[tuple[int, bytes]]:
         at += len(part)
 
 
-def windows(hashes: np.ndarray, size: int) -> np.ndarray:
-    """Hash of each ``size`` consecutive hashes; none if there are fewer."""
+def windows(hashes: np.ndarray, size: int, kind: str = "word") -> np.ndarray:
+    """Hash of each ``size`` consecutive hashes, none if there are fewer; ``kind`` "check" is a second one to another base."""
     n = len(hashes) - size + 1
     if n < 1:
         return np.zeros(0, np.uint64)
@@ -95,7 +95,7 @@ def windows(hashes: np.ndarray, size: int) -> np.ndarray:
     for at in range(0, n, step):
         part = hashes[at : at + step + size - 1]
         starts = np.arange(len(part) - size + 1)
-        out.append(_spans(part, starts, starts + size, "word"))
+        out.append(_spans(part, starts, starts + size, kind))
     return np.concatenate(out)
 
 

@@ -46,8 +46,8 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     document has rules out all its windows. A document's distinct anchors, a seventeenth of its
     windows, are counted first; then the hashes of all windows whose anchor is repeated are, and
     the smallest id of each is joined back. Texts of exact copies (of the same words) only count
-    once and are removed whole. Counts and joins are by hash, with partial aggregation. Hashes have
-    64 bits: among n windows with repeated anchors about n * n / 2**65 are taken for another one.
+    once and are removed whole. Counts and joins are by hash, with partial aggregation. Windows are
+    counted by two hashes to two bases, 128 bits together; anchors and windows of one document by 64.
 
     A null text has no words; a row with a null id is kept whole and removes nothing; rows that
     share an id don't remove from each other; no rows give no rows; texts of any length are hashed
@@ -79,15 +79,16 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
             for doc_id, text, wanted in zip(*batch.columns, strict=True):
                 hashes = rolling.words(text.as_py().encode("utf-8", "replace"))[0]
                 wanted = wanted.values.to_numpy(zero_copy_only=False)
-                found = rolling.windows(hashes, window)[np.isin(_signed(_anchors(hashes, window, anchor)), wanted)]
-                found = _signed(np.unique(found))
+                chosen = np.isin(_signed(_anchors(hashes, window, anchor)), wanted)
+                found, at = np.unique(rolling.windows(hashes, window)[chosen], return_index=True)
+                check = rolling.windows(hashes, window, "check")[chosen][at]
                 if len(found):
-                    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), doc_id.as_py(), np.int64))], names=["window", "doc_id"])
+                    yield pa.RecordBatch.from_arrays([pa.array(_signed(found)), pa.array(_signed(check)), pa.array(np.full(len(found), doc_id.as_py(), np.int64))], names=["window", "check", "doc_id"])
 
     hit = _picked(texts, candidates.select("doc_id"), "left_semi").join(candidates, "doc_id")
-    found = written(hit.select("doc_id", "text", "anchors").mapInArrow(hash_windows, "window long, doc_id long"), "windows")
-    first = found.groupBy("window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("window", "first")
-    later = found.join(first, "window").where("doc_id > first").groupBy("doc_id").agg(F.collect_set("window").alias("windows"))
+    found = written(hit.select("doc_id", "text", "anchors").mapInArrow(hash_windows, "window long, check long, doc_id long"), "windows")
+    first = found.groupBy("window", "check").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("window", "check", "first")
+    later = found.join(first, ["window", "check"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_set("window").alias("windows"))
     marks = written(later.join(copies, "doc_id", "full_outer"), "marks")
 
     def remove(marked: bool):
