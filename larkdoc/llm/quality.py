@@ -16,40 +16,47 @@ from pyspark.sql import functions as F
 from larkdoc.llm.common import batched, id_and_text
 from larkdoc.llm.labels import fold_of, training_rows
 
-TERMS, DIMENSIONS, NEIGHBOURS, PER_CLASS, STRETCH = 1024, 48, 25, 2500, 64
+FORMS, WORDS, DIMENSIONS, NEIGHBOURS, PER_CLASS, STRETCH = 1024, 1024, 64, 25, 2500, 64
+TERMS = FORMS + WORDS
 _RUNS = re.compile(r"([A-Z])[A-Z]+|([a-z])[a-z]+|(0)0+|([^A-Za-z0])\4+")
 
 
 class _Shapes(dict):
-    """Term of a word's shape: letters and digits by kind, runs cut to two, so "AND!!" is "AA!!"; holds a bounded number."""
+    """Hashes of a word's shape and of the word in lower case; holds a bounded number of words.
+
+    The shape has letters and digits by kind, runs cut to two, so "AND!!" is "AA!!".
+    """
 
     def __missing__(self, word: str) -> int:
         kinds = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word)
         shape = _RUNS.sub(lambda m: m[0][:2], kinds)
-        term = zlib.crc32(shape.encode("utf-8", "replace")) % (1 << 20)
+        found = zlib.crc32(shape.encode("utf-8", "replace")) % (1 << 20) << 32 | zlib.crc32(word.lower().encode("utf-8", "replace"))
         if len(self) < 300_000:
-            self[word] = term
-        return term
+            self[word] = found
+        return found
 
 
 _shapes = _Shapes()
 
 
 def terms(text: str) -> np.ndarray:
-    """Term counts: word shapes, pairs of them, and words that repeat the one or two before them, hashed to ``TERMS``.
+    """Term counts: forms hashed to the first ``FORMS``, words to the other ``WORDS``.
 
-    A longer word than ``STRETCH`` is taken as overlapping stretches, so that unspaced text counts by its length.
-    What tells poor text from prose here is form rather than vocabulary: symbols, capitals, tables, repeats.
+    Forms are word shapes, pairs of them, and words that repeat the one or two before them, as symbols,
+    capitals, tables and repeats tell poor text in any language. A longer word than ``STRETCH`` is
+    taken as overlapping stretches, so that unspaced text counts by its length.
     """
     words = [w[at : at + STRETCH] for w in text.split() for at in range(0, max(1, len(w) - STRETCH // 2), STRETCH // 2)]
     if not words:
         return np.zeros(TERMS, np.float32)
-    shape = np.fromiter(map(_shapes.__getitem__, words), np.int64, len(words))
+    both = np.fromiter(map(_shapes.__getitem__, words), np.int64, len(words))
+    shape, word = both >> 32, both & 0xFFFFFFFF
     repeats = np.zeros(len(words), np.int64)
     for lag in (1, 2):
         repeats[lag:] += np.fromiter(map(operator.eq, words, words[lag:]), np.int64, max(0, len(words) - lag)) if len(words) > lag else 0
     found = np.concatenate([shape, shape[:-1] * 31 + shape[1:] * 7 + 1, repeats + 99_991])
-    return np.bincount((found * 2654435761 >> 7) % TERMS, minlength=TERMS).astype(np.float32)
+    places = np.concatenate([(found * 2654435761 >> 7) % FORMS, FORMS + word % WORDS])
+    return np.bincount(places, minlength=TERMS).astype(np.float32)
 
 
 @dataclass
@@ -108,7 +115,7 @@ def fit_neighbours(sample: DataFrame) -> NeighbourModel:
 def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, threshold: float = 0.3, per_class: int = PER_CLASS, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, held_out, score, predicted), one for each row of ``docs``; learns only from the other folds.
 
-    The model (``per_class`` labelled rows of each class at most, 48 numbers each) is broadcast and
+    The model (``per_class`` labelled rows of each class at most, ``DIMENSIONS`` numbers each) is broadcast and
     every document is compared with all of it in blocks. A null or empty text scores the sample's
     share of label 1; a null id stays null; repeated rows score alike; without labels scores are 0.5;
     no rows give no rows; other columns are ignored.
