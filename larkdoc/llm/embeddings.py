@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
 
 import numpy as np
 import pandas as pd
@@ -114,21 +114,35 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id"
     list. A group is searched in blocks of about ``BLOCK`` entries and queries, ``PAIRS`` pairs at a time;
     a block gives counts and a smallest linked id for each vector, never pairs.
 
-    Null or zero vectors, vectors with null, infinite or undefined components, and those of another
-    length than the most frequent one link with nothing, as do rows with a null id. Rows that share
-    an id count each. No rows give no rows; other columns are ignored.
+    Vectors of each length are compared among themselves, with an index of their own, one length
+    after another. Null or zero vectors and those with null, infinite or undefined components link
+    with nothing, as do rows with a null id. Rows that share an id count each. No rows give no rows;
+    other columns are ignored.
     """
-    spark = vectors.sparkSession
     kind = np.float32 if "float" in dict(vectors.dtypes)[vector_col] else np.float64  # sent as they came
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     finite = F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)) & F.coalesce(F.exists("v", lambda x: x != 0), F.lit(False))
-    usual = rows.where(finite).groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    width = usual["n"] if usual else 0
-    good = finite & (F.size("v") == width) & F.col("vec_id").isNotNull()
+    good = finite & F.col("vec_id").isNotNull()
     classes = written(rows.where(good).groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "vectors")
-    n = classes.count()
-    if not n:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    lengths = classes.groupBy(F.size("v").alias("length")).agg(F.count("*").alias("n")).where("n > 1").collect()  # a row for each length
+    found = [_links(classes.where(F.size("v") == r["length"]), r["n"], cosine, kind) for r in sorted(lengths)]
+    if found:
+        found = reduce(DataFrame.unionByName, found)
+        counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
+        labels = components(found.where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b")))
+        classes = classes.join(counts, "rep", "left").join(labels, F.col("rep") == F.col("node"), "left")
+    else:
+        classes = classes.withColumns({"links": F.lit(None).cast("long"), "component": F.lit(None).cast("long")})
+    # a vector finds itself, with all its copies
+    named = classes.select("v", (F.coalesce("links", "copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    linked = rows.where(good).join(named, "v").select("vec_id", "n_links", "component_id")
+    alone = rows.where(~good).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return linked.unionByName(alone).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def _links(classes: DataFrame, n: int, cosine: float, kind: type) -> DataFrame:
+    """Rows (rep, links, least) of the ``n`` vectors of one length in ``classes`` (v, rep, copies): a block's counts and smallest linked ids."""
+    spark = classes.sparkSession
     sample = np.array([r["v"] for r in classes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("v").collect()], float)
     index = ProductIndex.fit(_units(sample), int(np.clip(np.sqrt(n), 1, MOST_LISTS)), n_groups=-(-n // BLOCK))
     shared = spark.sparkContext.broadcast(index)
@@ -210,14 +224,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id"
         used = np.flatnonzero((links > 0) | (label != places))
         return pd.DataFrame({"rep": ids[used], "links": links[used], "least": ids[label[used]]})
 
-    found = written(placed.groupBy("group", "entries", "queries").applyInPandas(search, "rep long, links long, least long"), "found")
-    counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    labels = components(found.where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b")))
-    # a vector finds itself, with all its copies
-    named = classes.join(counts, "rep", "left").join(labels, F.col("rep") == F.col("node"), "left").select("v", (F.coalesce("links", "copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    linked = rows.where(good).join(named, "v").select("vec_id", "n_links", "component_id")
-    alone = rows.where(~good).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.unionByName(alone).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return written(placed.groupBy("group", "entries", "queries").applyInPandas(search, "rep long, links long, least long"), "found")
 
 
 def _units(rows: np.ndarray) -> np.ndarray:
