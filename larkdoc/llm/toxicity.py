@@ -67,22 +67,20 @@ class SubwordModel:
         for buckets, counts in bags:
             shares = counts * self.weights[buckets]
             kept = shares > 0
-            rows.append((buckets[kept], shares[kept] / max(float(shares.sum()), 1e-9)))
+            rows.append((buckets[kept], (shares[kept] / max(float(shares.sum()), 1e-9)).astype(np.float32)))
         rounds = min(60, max(10, 40_000 // len(bags)))
         for turn in range(rounds):
             pace, order = 1 - turn / rounds, self.random.permutation(len(rows))
             for at in range(0, len(order), batch):
                 chosen = order[at : at + batch]
-                buckets, shares = (np.concatenate([rows[r][k] for r in chosen]) for k in (0, 1))
-                owner = np.repeat(np.arange(len(chosen)), [len(rows[r][0]) for r in chosen])
-                hidden = np.zeros((len(chosen), DIMENSIONS), np.float32)
-                np.add.at(hidden, owner, self.vectors[buckets] * shares[:, None])
+                hidden = np.stack([rows[r][1] @ self.vectors[rows[r][0]] for r in chosen])
                 logits = hidden @ self.layer + self.bias
                 wrong = np.exp(logits - logits.max(1, keepdims=True))
                 wrong /= wrong.sum(1, keepdims=True)
                 wrong[np.arange(len(chosen)), labels[chosen]] -= 1
-                slopes = (wrong @ self.layer.T)[owner] * shares[:, None]
-                np.add.at(self.vectors, buckets, -rate * pace * slopes)
+                slopes = rate * pace * wrong @ self.layer.T
+                for r, slope in zip(chosen, slopes, strict=True):  # a bag has each bucket once
+                    self.vectors[rows[r][0]] -= rows[r][1][:, None] * slope
                 self.layer -= 0.05 * pace * (hidden.T @ wrong)
                 self.bias -= 0.01 * pace * wrong.sum(0)
         return self
