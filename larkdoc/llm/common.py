@@ -19,23 +19,41 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or in a session on one machine a temporary one where that is unset.
+
+    A cluster without the setting is refused, as its machines' own folders would each hold a part.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
     return base or f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints')}"
 
 
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it back: lineage ends there and no executor holds it.
 
-    The folder goes when the driver's JVM ends.
+    The folder goes when the driver's JVM ends, or with ``dropped``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/larkdoc-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    target, files = _file_system(spark, path)
+    files.deleteOnExit(target)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.written_path = path
+    return found
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes the folders of ``written`` tables that nothing reads any more."""
+    for table in tables:
+        target, files = _file_system(table.sparkSession, table.written_path)
+        files.delete(target, True)
 
 
 def batched(rows: Iterator[tuple], schema: pa.Schema, size: int = 2048) -> Iterator[pa.RecordBatch]:
@@ -79,7 +97,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     pairs = written(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     signature = None
     for _ in range(max_rounds):
-        pairs = written(star(star(pairs, True), False), "edges")
+        last, pairs = pairs, written(star(star(pairs, True), False), "edges")
+        dropped(last)
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == signature:
             break

@@ -63,6 +63,53 @@ def test_defined_results(spark, odd, labels):
     assert all(r["near_next"] == 1.0 for r in fingerprints.edited_fingerprints(rows(spark, (7, "alone in here"))).collect())
 
 
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_pipeline_stages(spark, tmp_path):
+    """Each stage on nulls, an empty and a giant text, repeated ids, more columns, and no rows."""
+    import corpus_pipeline
+
+    long = "lorem ipsum dolor " * 5000 + "x" * 1_500_000
+    data = [(None, "no id here", None, None, None), (1, None, "en", "s", 0), (2, "", "en", "s", 0), (3, long, "en", "s", len(long)), (4, "twice the same", "en", "s", 14), (4, "twice the same", "en", "s", 14), (5, "token = 0123456789abcdef0123", "en", None, 28)]
+    docs = spark.createDataFrame(data, COLUMNS).withColumns({c: F.lit(1) for c in ("score", "same", "kept", "removed", "spans")}).cache()
+    spark.createDataFrame([(5, 1, 0), (3, 0, 1), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    ids = sorted((i or 0) for i, *_ in data)
+    for name, stage in corpus_pipeline.STAGES:
+        found = stage(spark, docs, str(tmp_path))
+        if name != "packing":
+            assert found.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        rows = found.collect()
+        got = sorted({r["doc_id"] or 0 for r in rows})
+        assert got == sorted(set(ids)) if name in ("substring_dedup", "secrets", "packing") else set(got) <= set(ids), name
+        if name == "near_dedup":  # the null and the empty text are one class; a row without an id stays
+            assert sorted(r["doc_id"] or 0 for r in rows) == [0, 1, 3, 4, 4, 5]
+        if name == "secrets":
+            assert not any("0123456789abcdef" in (r["text"] or "") for r in rows)
+        assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0
+
+
+def test_redacting_odd_rows(spark, odd):
+    found = secrets.redact_secrets(odd)
+    assert sorted((r["doc_id"] or 0) for r in found.collect()) == [0, 1, 2, 3, 4, 4, 5, 5]
+    assert secrets.redact_secrets(odd.where("false")).count() == 0
+
+
+def test_a_giant_word(spark):
+    giant = "y" * 3_000_000
+    docs = rows(spark, (1, f"a {giant} b"), (2, f"a {giant} b"), (3, giant))
+    assert {(r["doc_id"], r["class_id"]) for r in near_duplicates.near_duplicates(docs).collect()} == {(1, 1), (2, 1), (3, 3)}
+    bpe, sp = P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")
+    short = rows(spark, (1, "ab" * 150_000))
+    assert packing.pack(short, bpe).agg(F.sum("length")).first()[0] == packing.pack(short, bpe).first()["doc_tokens"]
+    assert pieces.decode_pieces(pieces.encode_pieces(short, sp), sp).first()["text"] == "ab" * 150_000
+
+
+def test_one_id_for_all_rows(spark):
+    docs = spark.range(3000).selectExpr("7L as doc_id", "cast(id as string) as text")
+    assert fingerprints.edited_fingerprints(docs).count() == 3000
+
+
 def test_chats(spark):
     schema = "conv_id long, turn long, role string, text string, n_turns int"
     turns = spark.createDataFrame([(None, 0, "user", "a", 9), (1, None, None, None, 9), (1, 1, "user", "x", 9), (1, 1, "user", "x", 9), (2, 0, "tool", LONG, 9)], schema)
@@ -74,7 +121,7 @@ def test_chats(spark):
 
 def test_vectors(spark):
     nan, inf = float("nan"), float("inf")
-    data = [(1, [1.0, 0.0], "x"), (2, [2.0, 0.0], "x"), (3, [1.0, 0.0], "x"), (4, None, "x"), (5, [0.0, 0.0], "x"), (6, [nan, 1.0], "x"), (7, [inf, 1.0], "x"), (8, [1.0, None], "x"), (9, [1.0], "x"), (None, [1.0, 0.0], "x"), (10, [0.0, 1.0], "x"), (11, [1e-200, 0.0], "x"), (12, [], "x")]
+    data = [(1, [1.0, 0.0], "x"), (2, [2.0, 0.0], "x"), (3, [1.0, 0.0], "x"), (4, None, "x"), (5, [0.0, 0.0], "x"), (6, [nan, 1.0], "x"), (7, [inf, 1.0], "x"), (8, [1.0, None], "x"), (9, [1.0], "x"), (13, [1.0, 0.0, 0.0], "x"), (14, [2.0, 0.0, 0.0], "x"), (15, [1.0] * 4, "x"), (16, [1.0] * 4, "x"), (None, [1.0, 0.0], "x"), (10, [0.0, 1.0], "x"), (11, [1e-200, 0.0], "x"), (12, [], "x")]
     for kind in ("double", "float"):
         df = spark.createDataFrame(data if kind == "double" else [r for r in data if r[0] != 11], f"vec_id long, embedding array<{kind}>, rep string")
         found = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embeddings.near_vectors(df).collect()}
@@ -83,4 +130,5 @@ def test_vectors(spark):
             assert found[i] == (len(linked) - 1, 1, i == 1)
         assert all(found[i] == (0, i, True) for i in (4, 5, 6, 7, 8, 9, 10, 12))
         assert found[None] == (0, None, True)
+        assert [found[i] for i in (13, 14, 15, 16)] == [(1, 13, True), (1, 13, False), (1, 15, True), (1, 15, False)]
         assert embeddings.near_vectors(df.where("false")).count() == 0

@@ -12,7 +12,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from larkdoc.llm import chat, embeddings, fingerprints, near_duplicates, packing, pieces, queries, secrets, substrings
+from larkdoc.llm import chat, embeddings, fingerprints, near_duplicates, packing, pieces, quality, queries, secrets, substrings, toxicity
 from larkdoc.llm.common import components
 
 P = pytest.importorskip("public_tokenizers")
@@ -39,10 +39,32 @@ def test_edited_fingerprints(spark, sf_dir):
     ids = sorted(docs)
     found = {r["doc_id"]: r for r in queries.op1_fingerprints(spark, sf_dir).collect()}
     better = 0
+
+    def windows(text):
+        """Signed counts by plain loops over the bytes of each paragraph."""
+        lanes, mask = [0] * fingerprints.NEAR_LANES, (1 << 64) - 1
+        for part in text.encode().split(b"\n"):
+            for at in range(len(part)):
+                x = int.from_bytes(part[at : at + fingerprints.WINDOW], "little") * 0x9E3779B97F4A7C15 & mask
+                key = ((x ^ x >> 29) * 0xC2B2AE3D27D4EB4F & mask) >> 32
+                lanes[key % (2 * len(lanes)) // 2] += 1 - 2 * (key % 2)
+        return np.array(lanes, float)
+
+    def alike(a, b):
+        if sorted(p for p in a.split("\n") if p) == sorted(p for p in b.split("\n") if p):
+            return 1.0
+        x, y = windows(a), windows(b)
+        size = np.sqrt((x @ x) * (y @ y))
+        return min(1.0, max(0.0, x @ y / size)) if size else 0.0
+
     for k, i in enumerate(ids):
         text, following = docs[i], docs[ids[(k + 1) % len(ids)]]
         cut = len(text) // 4
-        assert found[i]["edited_sha256"] == hashlib.sha256((text[: len(text) - cut] + following[:cut]).encode()).hexdigest()
+        edited = text[: len(text) - cut] + following[:cut]
+        assert found[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        assert found[i]["n_chars"] == len(text)
+        if len(text) < 3000:
+            assert found[i]["near_edited"] == pytest.approx(alike(text, edited)) and found[i]["near_next"] == pytest.approx(alike(text, following))
         better += found[i]["near_edited"] > found[i]["near_next"]
     assert better > 0.97 * len(ids)
 
@@ -132,7 +154,6 @@ def test_packing(spark, sf_dir):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     ids = {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 0] for i, t in documents(spark, sf_dir).items()}
     pieces_of, sequences = collections.defaultdict(list), collections.defaultdict(list)
     for r in queries.op4_packing(spark, sf_dir).collect():
@@ -150,9 +171,35 @@ def test_packing(spark, sf_dir):
             assert at == wanted[k] if wanted else at <= 1024 and at & (at - 1) == 0
 
 
+def test_added_tokens_keep_their_ids(spark):
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    texts = ["hi <|endoftext|> there", "<|endoftext|>", "a<|endoftext|><|endoftext|>", "<|endoftext", "no such token", "字 <|endoftext|>"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = packing.pack(docs.coalesce(1), path, end_id=7).orderBy("doc_id", "start").collect()
+    for i, text in enumerate(texts):
+        ids = np.frombuffer(b"".join(r["ids"] for r in found if r["doc_id"] == i), "<u4").tolist()
+        assert ids == [*tokenizer.encode(text, add_special_tokens=False).ids, 7]
+
+
 # --- 5 ---
 
 
+def test_windows_are_told_apart_by_both_hashes(spark, monkeypatch):
+    """With a first hash that knows few values, windows that only it confuses aren't removed."""
+    random_ = random.Random(8)
+    shared = [f"s{i}" for i in range(60)]
+    data = [(i, " ".join([f"a{random_.random()}" for _ in range(30)] + shared[:49] + [f"b{random_.random()}" for _ in range(30)])) for i in range(6)]
+    data.append((9, " ".join(shared)))
+    plain = substrings.dedup_substrings(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert all(not r["removed"] for r in plain)
+    first = substrings.rolling.windows(np.arange(200, dtype=np.uint64) * np.uint64(977), 50)
+    second = substrings.rolling.windows(np.arange(200, dtype=np.uint64) * np.uint64(977), 50, "check")
+    assert not set(first.tolist()) & set(second.tolist()) and len(set(second.tolist())) == 151
+
+
 def test_substrings(spark):
     passage = " ".join(f"p{i}" for i in range(50))
     data = [(1, f"a b {passage} c"), (2, f"{passage}\n\tz"), (3, passage), (4, f"x {passage[:-4]} y"), (5, f"{passage} {passage}"), (None, passage), (3, passage)]
@@ -175,7 +222,7 @@ def test_chats_read_back(turns):
 # --- 7, 9 ---
 
 
-@pytest.mark.parametrize(("name", "label", "least"), [("op7_quality", "quality", 0.95), ("op9_toxicity", "toxic", 0.75)])
+@pytest.mark.parametrize(("name", "label", "least"), [("op7_quality", "quality", 0.98), ("op9_toxicity", "toxic", 0.85)])
 def test_held_out_labels(spark, name, label, least):
     import os
 
@@ -189,6 +236,64 @@ def test_held_out_labels(spark, name, label, least):
     assert area >= least
 
 
+TEXTS = ["kind words about the sea", "CLICK !!! BUY now", "the the the the", "x1 | y2 | z3", "", "eine ruhige Nacht am Meer", "AAA 111 !!! $$$", "soft rain, and then sun"]
+
+
+def test_quality_is_a_plain_vote(spark):
+    """The same scores from dense matrices: weighted terms, singular axes, all cosines, the nearest by a full sort."""
+    docs = [(i, TEXTS[i % 8] + (f" w{i % 5}" if i % 8 != 4 else "")) for i in range(160)]
+    labels = {i: int(i % 8 not in (1, 6)) for i, _ in docs}
+    learnt = [i for i, _ in docs if zlib.crc32(str(i).encode()) % 5]
+    counts = {i: quality.terms(t) for i, t in docs}
+    raw = np.stack([counts[i] for i in learnt]).astype(float)
+    idf = np.log((1 + len(learnt)) / (1 + (raw > 0).sum(0))) + 0.1
+
+    def unit(x):
+        size = np.linalg.norm(x, axis=1, keepdims=True)
+        return np.where(size > 1e-6, x / np.maximum(size, 1e-6), 0)
+
+    _, _, axes = np.linalg.svd(unit(np.log1p(raw) * idf), full_matrices=False)
+    axes = axes[: quality.DIMENSIONS]
+    space = unit(unit(np.log1p(raw) * idf) @ axes.T)
+    frame = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(labels.items()), "doc_id long, quality int")
+    for r in quality.quality_scores(*frame).collect():
+        own = unit(unit(np.log1p(counts[r["doc_id"]].astype(float))[None] * idf) @ axes.T)[0]
+        cosines = space @ own
+        near = np.argsort(-cosines)[: quality.NEIGHBOURS]
+        if cosines[near[-1]] - np.sort(-cosines)[quality.NEIGHBOURS] * -1 < 1e-4 and len({labels[learnt[k]] for k in np.flatnonzero(np.abs(cosines - cosines[near[-1]]) < 1e-4)}) > 1:
+            continue  # neighbours at one distance with both labels: any of them may vote
+        weight = np.maximum(cosines[near], 0) ** 4
+        want = (weight * [labels[learnt[k]] for k in near]).sum() / weight.sum() if weight.sum() > 0 else np.mean([labels[k] for k in learnt])
+        assert r["score"] == pytest.approx(want, abs=2e-3), r["doc_id"]
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and r["predicted"] == int(r["score"] >= 0.3)
+
+
+def test_words_count_in_quality():
+    assert (quality.terms("soft rain") != quality.terms("hard luck")).any()
+    assert (quality.terms("Soft Rain")[quality.FORMS :] == quality.terms("soft rain")[quality.FORMS :]).all()
+
+
+def test_toxicity_is_a_softmax_of_averages():
+    """The additive margins give the softmax of the averaged vectors, by plain loops; training fits what it is shown."""
+    texts = ["you are an idiot", "what a lovely day", "idiots all of you", "lovely flowers here", "such an idiot", "a day of flowers", "idiotic stuff", "lovely stuff", "idiot idiot", "day of days"]
+    labels = np.array([1, 0] * 5)
+    model = toxicity.SubwordModel().fit([toxicity.bag(t) for t in texts], labels)
+    margins, weights, bias = model.margins()
+    words = toxicity._Words(margins, weights)
+    for text, label in zip([*texts, "an idi0t", "", "zzz qqq"], [*labels, None, None, None], strict=True):
+        total = sum(map(words.__getitem__, toxicity._WORDS.findall(text.lower())), 0j)
+        logit = (total.real / total.imag if total.imag > 0 else 0.0) + bias
+        hidden, size = np.zeros(toxicity.DIMENSIONS), 0.0
+        for word in re.findall(r"\w+", text.lower()):
+            marked = f"<{word}>"
+            for gram in [marked] + [marked[i : i + n] for n in (3, 4, 5) for i in range(len(marked) - n + 1)]:
+                bucket = zlib.crc32(gram.encode()) % toxicity.BUCKETS
+                hidden, size = hidden + model.vectors[bucket] * model.weights[bucket], size + model.weights[bucket]
+        logits = (hidden / size if size else hidden) @ model.layer + model.bias
+        assert 1 / (1 + np.exp(-logit)) == pytest.approx(np.exp(logits[1]) / np.exp(logits).sum(), abs=1e-4)
+        assert label is None or (logit > 0) == bool(label)
+
+
 # --- 8 ---
 
 
@@ -238,8 +343,13 @@ def test_unigram_pieces_have_the_best_score(text):
 
 
 def test_pieces_on_documents(spark, sf_dir):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
     docs = documents(spark, sf_dir)
     for r in queries.op10_sentencepiece(spark, sf_dir).collect():
+        ids = model.encode(docs[r["doc_id"]])
+        assert (r["n_ids"], r["ids_crc32"]) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         assert r["decoded_sha256"] == hashlib.sha256(docs[r["doc_id"]].encode()).hexdigest()
 
 
