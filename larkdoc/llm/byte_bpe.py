@@ -23,7 +23,7 @@ class ByteBpe:
     hold an added token's string (as ``<|endoftext|>``), which has an id of its own.
     """
 
-    def __init__(self, path: str, words: int = 1_000_000):
+    def __init__(self, path: str, words: int = 500_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model

@@ -31,25 +31,24 @@ class _Shapes(dict):
         kinds = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word)
         shape = _RUNS.sub(lambda m: m[0][:2], kinds)
         found = zlib.crc32(shape.encode("utf-8", "replace")) % (1 << 20) << 32 | zlib.crc32(word.lower().encode("utf-8", "replace"))
-        if len(self) < 300_000:
+        if len(self) < 200_000:
             self[word] = found
         return found
 
 
-_shapes = _Shapes()
-
-
-def terms(text: str) -> np.ndarray:
+def terms(text: str, shapes: dict[str, int] | None = None) -> np.ndarray:
     """Term counts: forms hashed to the first ``FORMS``, words to the other ``WORDS``.
 
     Forms are word shapes, pairs of them, and words that repeat the one or two before them, as symbols,
     capitals, tables and repeats tell poor text in any language. A longer word than ``STRETCH`` is
-    taken as overlapping stretches, so that unspaced text counts by its length.
+    taken as overlapping stretches, so that unspaced text counts by its length. ``shapes`` keeps
+    words from one text to the next.
     """
+    shapes = _Shapes() if shapes is None else shapes
     words = [w[at : at + STRETCH] for w in text.split() for at in range(0, max(1, len(w) - STRETCH // 2), STRETCH // 2)]
     if not words:
         return np.zeros(TERMS, np.float32)
-    both = np.fromiter(map(_shapes.__getitem__, words), np.int64, len(words))
+    both = np.fromiter(map(shapes.__getitem__, words), np.int64, len(words))
     shape, word = both >> 32, both & 0xFFFFFFFF
     repeats = np.zeros(len(words), np.int64)
     for lag in (1, 2):
@@ -95,7 +94,8 @@ def fit_neighbours(sample: DataFrame) -> NeighbourModel:
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((doc_id, label, terms(text.as_py()).tobytes()) for batch in batches for doc_id, label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True))
+        shapes = _Shapes()
+        rows = ((doc_id, label, terms(text.as_py(), shapes).tobytes()) for batch in batches for doc_id, label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True))
         return batched(rows, pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("counts", pa.binary())]))
 
     found = sorted(sample.select("doc_id", "label", "text").mapInArrow(task, "doc_id long, label int, counts binary").collect())
@@ -125,11 +125,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out:
     model = docs.sparkSession.sparkContext.broadcast(fit_neighbours(training_rows(chosen, labels, label, fold != held_out, per_class)))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
+        schema, shapes = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())]), _Shapes()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                counts = np.stack([terms(text.as_py()) for text in part.column(1)])
+                counts = np.stack([terms(text.as_py(), shapes) for text in part.column(1)])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.value.scores(counts))], schema=schema)
 
     scored = chosen.mapInArrow(task, "doc_id long, score double")

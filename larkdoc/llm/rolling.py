@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18
 _BASE = {"byte": 0x9E3779B97F4A7C15, "word": 0xD6E8FEB86659FD93, "check": 0xA0761D6478BD642F}
 _LETTERS = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 #: The separators of words, space and 9 to 13.
