@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkdoc.functions import rules, text
-from larkdoc.operators.common import small, top_rows
+from larkdoc.operators.common import small, top_rows, written
 
 
 def in_order(order: list[str], value: Column | str, separator: str) -> Column:
@@ -31,6 +31,7 @@ def rank_sentences(context: DataFrame, questions: DataFrame, least: float = rule
 
 def extractive_answers(context: DataFrame, questions: DataFrame, most_chars: int = rules.MAX_ANSWER_CHARS) -> DataFrame:
     """(qid, answer, context_found): the best sentences; the whole texts for summaries or without such; the fallback without context."""
+    context = written(context, "context")  # read for sentences and for whole texts
     best = rank_sentences(context, questions).groupBy("qid").agg(in_order(["rank"], "sentence", " ").alias("_best"))
     whole = context.where(~text.is_blank(F.col("text"))).groupBy("qid").agg(in_order(["place"], text.strip(F.col("text")), "\n\n").alias("_whole"))
     joined = questions.join(whole, "qid", "left").join(best, "qid", "left")
@@ -45,6 +46,14 @@ def answer_sources(context: DataFrame) -> DataFrame:
     return context.groupBy("qid").agg(F.array_distinct(F.transform(rows, lambda x: x["ref"])).alias("sources"))
 
 
+def answer_extractive(ranked: DataFrame, questions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(qid, answer, context_found, sources) over retrieved rows (qid, chunk_id, place); ``chunks`` has chunk_id, text, source, page, chunk_index."""
+    ids = small(ranked.select("chunk_id").distinct())
+    context = written(ranked.select("qid", "chunk_id", "place").join(chunks.join(ids, "chunk_id", "left_semi"), "chunk_id"), "context")
+    said = extractive_answers(context, questions).join(answer_sources(context), "qid", "left")
+    return said.withColumn("sources", F.coalesce("sources", F.array().cast("array<string>")))
+
+
 def answer_with(answer: Callable[[Column, Column], Column], context: DataFrame, questions: DataFrame) -> DataFrame:
     """(qid, answer) by a user's column function of (question, context text); the extractive answer where it falls back.
 

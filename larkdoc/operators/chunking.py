@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkdoc.functions import rules, text
+from larkdoc.operators.common import written
 
 SEPARATORS = ("\n\n", "\n", " ", "")
 
@@ -75,9 +76,8 @@ def chunk_documents(docs: DataFrame, size: int = rules.CHUNK_SIZE, overlap: int
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
-            for doc_id, body in zip(frame["doc_id"], frame["text"], strict=True):
-                found = list(with_starts(body, size, overlap))
-                yield pd.DataFrame({"doc_id": [doc_id] * len(found), "chunk_no": range(len(found)), "start_index": [s for s, _ in found], "text": [c for _, c in found]})
+            found = [(doc_id, k, start, chunk) for doc_id, body in zip(frame["doc_id"], frame["text"], strict=True) for k, (start, chunk) in enumerate(with_starts(body, size, overlap))]
+            yield pd.DataFrame(found, columns=["doc_id", "chunk_no", "start_index", "text"])
 
     return whole.unionByName(rows.where(~fits).mapInPandas(cut, "doc_id long, chunk_no int, start_index int, text string"))
 
@@ -86,8 +86,9 @@ def number_chunks(chunks: DataFrame) -> DataFrame:
     """``chunks`` with chunk_index, running over the batch by (doc_id, chunk_no), and chunk_chars.
 
     Documents' chunk counts are summed in two steps, by blocks of ids and over the blocks, so no
-    window sees all rows.
+    window sees all rows. Chunks are written once, so that texts are cut once.
     """
+    chunks = written(chunks, "chunks")
     counts = chunks.groupBy("doc_id").agg(F.count("*").alias("n")).withColumn("block", F.expr("doc_id div 4096"))
     blocks = counts.groupBy("block").agg(F.sum("n").alias("n")).withColumn("group", F.expr("block div 4096"))
     groups = blocks.groupBy("group").agg(F.sum("n").alias("n"))

@@ -1,8 +1,12 @@
-"""Helpers for operators: checked broadcasts and latest rows."""
+"""Helpers for operators: checked broadcasts, latest rows, written tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import os
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 100_000
@@ -25,3 +29,24 @@ def latest(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFra
 def top_rows(df: DataFrame, keys: list[str], order: list[Column | str], n: Column | int, name: str = "rank") -> DataFrame:
     """The first ``n`` rows of each key; a fixed ``n`` is applied within tasks before the shuffle."""
     return numbered(df, keys, order, name).where(F.col(name) <= n)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir, or in a session on one machine a temporary one where that is unset.
+
+    A cluster without the setting is refused, as its machines' own folders would each hold a part.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
+    return base or f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints')}"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, for what is read more than once; it goes when the driver's JVM ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/larkdoc-{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return spark.read.schema(df.schema).parquet(path)

@@ -7,14 +7,12 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from larkdoc.functions import rules
-from larkdoc.operators.common import top_rows
-
-#: Queries are broadcast in blocks of so many, so that what is broadcast and held has a bound.
-QUERY_BLOCK = 4096
+from larkdoc.operators.nearest import best_rows
 
 
 def hash_embedding(text: Column, dimensions: int = rules.HASH_DIMENSIONS) -> Column:
@@ -37,58 +35,46 @@ def embed_with(make: Callable[[], Callable[[list[str]], list[list[float]]]]) ->
     return embed
 
 
-def metadata_filter(df: DataFrame, wanted: dict[str, object]) -> DataFrame:
-    """Rows whose metadata are as ``wanted``: a list means any of it; values compare as text, a missing one as "None"."""
+def metadata_filter(df: DataFrame, wanted: dict[str, object], keep: bool = True) -> DataFrame:
+    """Rows whose metadata are as ``wanted`` (or, not ``keep``, the others): a list means any of it; values compare as text, a missing one as "None"."""
 
     def one(key: str, value: object) -> Column:
         held = F.coalesce(F.col(key).cast("string"), F.lit("None")) if key in df.columns else F.lit("None")
         return held.isin([str(v) for v in value]) if isinstance(value, (list, tuple, set)) else held == str(value)
 
-    return df.where(reduce(lambda a, b: a & b, (one(k, v) for k, v in wanted.items()), F.lit(True)))
+    found = reduce(lambda a, b: a & b, (one(k, v) for k, v in wanted.items()), F.lit(True))
+    return df.where(found if keep else ~found)
+
+
+def _by_length(queries: list[Row]) -> tuple[int, dict[int, tuple[np.ndarray, np.ndarray]]]:
+    places: dict[int, list[int]] = {}
+    for i, row in enumerate(queries):
+        places.setdefault(len(row["embedding"]), []).append(i)
+    return len(queries), {n: (np.array(at), np.array([queries[i]["embedding"] for i in at], float)) for n, at in places.items()}
+
+
+def _distances(asked: tuple[int, dict], vectors: pa.RecordBatch) -> np.ndarray:
+    """Squared distances of queries and vectors (id, embedding), infinite where their lengths differ."""
+    out = np.full((asked[0], vectors.num_rows), np.inf)
+    lists = vectors.column(1).to_pylist()
+    sizes = np.array([len(v) for v in lists])
+    for n, (places, q) in asked[1].items():
+        mine = np.flatnonzero(sizes == n)
+        if len(mine):
+            x = np.array([lists[i] for i in mine], float)
+            for at in range(0, len(q), 64):
+                out[np.ix_(places[at : at + 64], mine)] = ((q[at : at + 64, None] - x[None]) ** 2).sum(2)
+    return out
 
 
-def knn_l2(queries: DataFrame, vectors: DataFrame, k: int, wanted: dict[str, object] | None = None) -> DataFrame:
+def knn_l2(queries: DataFrame, vectors: DataFrame, k: int, wanted: dict[str, object] | None = None, keys: tuple[str, ...] = ("qid",)) -> DataFrame:
     """(qid, vec_id, d2, rank): the ``k`` nearest vectors of each query by squared distance in double precision, ties by vec_id.
 
-    Queries go out in blocks; each task keeps its own ``k`` best of each query and batch, and only
-    these are shuffled. Vectors of another length than a query's are no neighbours of it. ``wanted``
-    filters before any distance is computed.
+    A vector is compared with all queries in its own task (``best_rows``). Vectors of another length
+    than a query's are no neighbours of it. ``wanted`` filters before any distance is computed.
     """
     vectors = metadata_filter(vectors, wanted) if wanted else vectors
-    vectors = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).where("embedding is not null")
-    context = queries.sparkSession.sparkContext
-    parts, held = [], queries.select("qid", F.col("embedding").cast("array<double>").alias("embedding")).where("embedding is not null").orderBy("qid").toLocalIterator()
-
-    def block(rows: list) -> DataFrame:
-        by_size: dict[int, tuple[list, list]] = {}
-        for r in rows:
-            ids, found = by_size.setdefault(len(r["embedding"]), ([], []))
-            ids.append(r["qid"])
-            found.append(r["embedding"])
-        shared = context.broadcast({n: (np.array(ids), np.array(found, float)) for n, (ids, found) in by_size.items()})
-
-        def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in batches:
-                sizes = frame["embedding"].map(len)
-                for n, (ids, q) in shared.value.items():
-                    mine = frame[sizes == n]
-                    if not len(mine):
-                        continue
-                    x, names = np.array(mine["embedding"].tolist(), float), mine["vec_id"].to_numpy()
-                    order = np.argsort(names, kind="stable")
-                    x, names = x[order], names[order]
-                    for at in range(0, len(ids), 64):
-                        d2 = ((q[at : at + 64, None] - x[None]) ** 2).sum(2)
-                        best = np.argsort(d2, axis=1, kind="stable")[:, :k]
-                        yield pd.DataFrame({"qid": np.repeat(ids[at : at + 64], best.shape[1]), "vec_id": names[best].ravel(), "d2": np.take_along_axis(d2, best, 1).ravel()})
-
-        return vectors.mapInPandas(nearest, "qid long, vec_id long, d2 double")
-
-    rows: list = []
-    for row in held:
-        rows.append(row)
-        if len(rows) == QUERY_BLOCK:
-            parts.append(block(rows))
-            rows = []
-    parts.append(block(rows))
-    return top_rows(reduce(DataFrame.unionByName, parts), ["qid"], ["d2", "vec_id"], k)
+    plain = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x))
+    held = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).where("embedding is not null").where(plain)
+    asked = queries.select(*keys, F.col("embedding").cast("array<double>").alias("embedding")).where("embedding is not null").where(plain)
+    return best_rows(asked, list(keys), held, k, _by_length, _distances).select(*keys, "vec_id", F.col("cost").alias("d2"), "rank")

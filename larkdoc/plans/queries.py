@@ -139,17 +139,33 @@ def diagram_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- fusion, relevance, answers ---
 
-HITS = f"""vt AS (SELECT qid, variant_no, list_distinct({_tokens('query')}) AS toks FROM v),
+LEXICAL_HITS = f"""vt AS (SELECT qid, variant_no, list_distinct({_tokens('query')}) AS toks FROM v),
 vx AS (SELECT qid, variant_no, len(toks) AS n, unnest(toks) AS token FROM vt),
 c0 AS (SELECT doc_id AS chunk_id, coalesce(text, '') AS text, list_distinct({_tokens("coalesce(text, '')")}) AS ctoks FROM documents),
 ct AS (SELECT chunk_id, unnest(ctoks) AS token FROM c0),
 o AS (SELECT qid, variant_no, chunk_id, count(*) / greatest(1, any_value(n)) AS overlap FROM ct JOIN vx USING (token) GROUP BY ALL),
-h AS (SELECT *, row_number() OVER (PARTITION BY qid, variant_no ORDER BY overlap DESC, chunk_id) - 1 AS rank FROM o QUALIFY rank < 6),
-f AS (SELECT qid, chunk_id, min(rank) AS best_rank, count(*) AS hits, min({{'a': variant_no, 'b': rank}}) AS seen FROM h GROUP BY ALL),
-s AS (SELECT f.*, 0.6::DOUBLE * (len(list_intersect(list_distinct({_tokens('raw')}), ctoks)) / greatest(1, len(list_distinct({_tokens('raw')})))) + 0.3::DOUBLE * (1 - best_rank / 6) + 0.1::DOUBLE * least(hits, 3) / 3 AS score, rewritten, ctoks FROM f JOIN c0 USING (chunk_id) JOIN v0 USING (qid)),
-p AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, seen, chunk_id)::INT AS place FROM s QUALIFY place <= 12),
+k AS (SELECT qid, 6 AS top_k FROM v0),
+h AS (SELECT *, row_number() OVER (PARTITION BY qid, variant_no ORDER BY overlap DESC, chunk_id) - 1 AS rank FROM o QUALIFY rank < 6)"""
+
+
+def _embedded(column: str) -> str:
+    """The hash embedding times 255."""
+    return f"list_transform(range(256), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::INT) AS e FROM (SELECT *, array_to_string(list_transform(range(8), lambda c: sha256({column} || c)), '') AS h"
+
+
+VECTOR_HITS = f"""c0 AS (SELECT doc_id AS chunk_id, text, source, lang, list_distinct({_tokens('text')}) AS ctoks FROM documents WHERE regexp_matches(text, '\\S')),
+ce AS (SELECT chunk_id, {_embedded('text')} FROM c0 WHERE lang IN ('en', 'de'))),
+ve AS (SELECT qid, variant_no, {_embedded('query')} FROM v)),
+k AS (SELECT qid, greatest(1, least(20, 6 + CASE WHEN n >= 30 THEN 4 WHEN n >= 18 THEN 2 ELSE 0 END + CASE WHEN regexp_matches(raw, {_quoted('(?i)(?:' + rules.COMPLEX + ')')}) THEN 2 ELSE 0 END))::INT AS top_k FROM (SELECT *, len(list_distinct(toks)) AS n FROM q1)),
+o AS (SELECT qid, variant_no, chunk_id, list_sum(list_transform(list_zip(ve.e, ce.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d2 FROM ve, ce),
+h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, variant_no ORDER BY d2, chunk_id) - 1 AS rank FROM o) JOIN k USING (qid) WHERE rank < top_k)"""
+
+FUSION = f"""f AS (SELECT qid, chunk_id, min(rank) AS best_rank, count(*) AS hits, min({{'a': variant_no, 'b': rank}}) AS seen FROM h GROUP BY ALL),
+s AS (SELECT f.*, top_k, 0.6::DOUBLE * (len(list_intersect(list_distinct({_tokens('raw')}), ctoks)) / greatest(1, len(list_distinct({_tokens('raw')})))) + 0.3::DOUBLE * (1 - best_rank / top_k) + 0.1::DOUBLE * least(hits, 3) / 3 AS score, rewritten, ctoks FROM f JOIN c0 USING (chunk_id) JOIN v0 USING (qid) JOIN k USING (qid)),
+p AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, seen, chunk_id)::INT AS place FROM s QUALIFY place <= greatest(top_k, least(2 * top_k, 24))),
 rel AS (SELECT *, len(list_intersect(list_distinct({_tokens('rewritten')}), ctoks)) / greatest(1, len(list_distinct({_tokens('rewritten')}))) AS relevance, len({_tokens('rewritten')}) AS nq FROM p),
 kept AS (SELECT *, count(*) FILTER (relevance >= 0.15) OVER (PARTITION BY qid) AS n FROM rel QUALIFY nq = 0 OR CASE WHEN n < 1 THEN true ELSE relevance >= 0.15 END)"""
+HITS = f"{LEXICAL_HITS}, {FUSION}"
 
 
 @query(f"WITH {QUESTION}, {HITS} SELECT qid, chunk_id, round(score, 9) AS score, place FROM p")
@@ -164,6 +180,21 @@ def relevance_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.retrieve(_questions(spark, sf_dir), _chunks(spark, sf_dir)).select("qid", "chunk_id", "place", F.round("relevance", 9).alias("relevance"))
 
 
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as indexed chunks with hash embeddings."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(F.col("doc_id").alias("chunk_id"), "text", "source", "lang", vectors.hash_embedding(F.col("text")).alias("embedding"))
+
+
+def _retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.retrieve_vectors(_questions(spark, sf_dir), _vectors(spark, sf_dir), vectors.hash_embedding, {"lang": ["en", "de"]})
+
+
+@query(f"WITH {QUESTION}, {VECTOR_HITS}, {FUSION} SELECT qid, chunk_id, place, round(score, 9) AS score, round(relevance, 9) AS relevance FROM kept")
+def retrieve_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _retrieved(spark, sf_dir).select("qid", "chunk_id", "place", F.round("score", 9).alias("score"), F.round("relevance", 9).alias("relevance"))
+
+
 def _context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lexical best chunks of each question as an answer's context."""
     asked = _questions(spark, sf_dir).select("qid", text.token_set(F.col("question")).alias("tokens"))
@@ -171,11 +202,16 @@ def _context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.lexical_topk(asked, chunks).select("qid", "chunk_id", F.col("rank").alias("place")).join(chunks, "chunk_id")
 
 
-SENTENCES = TOPK.replace("SELECT qid, chunk_id, overlap, rank FROM r WHERE rank <= 6", "") + f""", ctx AS (SELECT qid, chunk_id, rank AS place, coalesce(text, '') AS text FROM r JOIN documents d ON d.doc_id = r.chunk_id WHERE rank <= 6),
-sl AS (SELECT qid, place, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), '[' || chr(1) || '\\n]+'), lambda x: {_strip('x')}), lambda x: x <> '') AS l FROM ctx),
+BEST = f"""sl AS (SELECT qid, place, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), '[' || chr(1) || '\\n]+'), lambda x: {_strip('x')}), lambda x: x <> '') AS l FROM ctx),
 se AS (SELECT qid, place, unnest(range(len(l)))::INT AS sentence_no, unnest(l) AS sentence FROM sl),
 sc AS (SELECT se.*, len(list_intersect(q.tokens, list_distinct({_tokens('sentence')}))) / greatest(1, len(q.tokens)) AS score FROM se JOIN q USING (qid)),
 best AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, place, sentence_no)::INT AS rank FROM sc WHERE score > 0 AND score >= 0.15 QUALIFY rank <= 5)"""
+SENTENCES = TOPK.replace("SELECT qid, chunk_id, overlap, rank FROM r WHERE rank <= 6", "") + f""", ctx AS (SELECT qid, chunk_id, rank AS place, coalesce(text, '') AS text FROM r JOIN documents d ON d.doc_id = r.chunk_id WHERE rank <= 6),
+{BEST}"""
+ANSWER = f"""w AS (SELECT qid, string_agg({_strip('text')}, chr(10) || chr(10) ORDER BY place) AS whole FROM ctx WHERE regexp_matches(text, '\\S') GROUP BY qid),
+b AS (SELECT qid, string_agg(sentence, ' ' ORDER BY rank) AS best FROM best GROUP BY qid),
+answer AS (SELECT item_id AS qid, left(coalesce(CASE WHEN regexp_matches(text, {_quoted('(?i)(?:' + rules.SUMMARY + ')')}) OR best IS NULL THEN whole ELSE best END, {_quoted(rules.FALLBACK_ANSWER)}), 2500) AS answer, whole IS NOT NULL AS context_found
+FROM benchmark LEFT JOIN w ON w.qid = item_id LEFT JOIN b ON b.qid = item_id)"""
 
 
 @query(SENTENCES + " SELECT qid, place, sentence_no, sentence, round(score, 9) AS score, rank FROM best")
@@ -183,14 +219,20 @@ def rank_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.rank_sentences(_context(spark, sf_dir), _questions(spark, sf_dir)).select("qid", "place", "sentence_no", "sentence", F.round("score", 9).alias("score"), "rank")
 
 
-@query(SENTENCES + f""", w AS (SELECT qid, string_agg({_strip('text')}, chr(10) || chr(10) ORDER BY place) AS whole FROM ctx WHERE regexp_matches(text, '\\S') GROUP BY qid),
-b AS (SELECT qid, string_agg(sentence, ' ' ORDER BY rank) AS best FROM best GROUP BY qid)
-SELECT item_id AS qid, left(coalesce(CASE WHEN regexp_matches(text, {_quoted('(?i)(?:' + rules.SUMMARY + ')')}) OR best IS NULL THEN whole ELSE best END, {_quoted(rules.FALLBACK_ANSWER)}), 2500) AS answer, whole IS NOT NULL AS context_found
-FROM benchmark LEFT JOIN w ON w.qid = item_id LEFT JOIN b ON b.qid = item_id""")
+@query(f"{SENTENCES}, {ANSWER} SELECT * FROM answer")
 def extractive_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.extractive_answers(_context(spark, sf_dir), _questions(spark, sf_dir))
 
 
+@query(f"""WITH {QUESTION}, {VECTOR_HITS}, {FUSION}, ctx AS (SELECT qid, chunk_id, place, text, source FROM kept JOIN c0 USING (chunk_id)), q AS (SELECT item_id AS qid, list_distinct({_tokens("coalesce(text, '')")}) AS tokens FROM benchmark),
+{BEST}, {ANSWER}, refs AS (SELECT qid, source || ' [đoạn ' || (chunk_id % 7) || ']' AS ref, min(place) AS first_at FROM ctx GROUP BY ALL),
+src AS (SELECT qid, list(ref ORDER BY first_at) AS sources FROM refs GROUP BY qid)
+SELECT answer.*, coalesce(sources, []) AS sources FROM answer LEFT JOIN src USING (qid)""")
+def answer_extractive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "source", F.lit(None).cast("int").alias("page"), (F.col("doc_id") % 7).alias("chunk_index"))
+    return answers.answer_extractive(_retrieved(spark, sf_dir), _questions(spark, sf_dir), held)
+
+
 @query("""SELECT source, array_to_string(list(ref ORDER BY doc_id), '; ') AS refs FROM (SELECT source, doc_id, ref FROM (SELECT doc_id, source, 'note' || (doc_id % 5) || '.txt' || CASE WHEN doc_id % 2 = 0 THEN ' (trang ' || (doc_id % 3) || ')' ELSE '' END || ' [đoạn ' || (doc_id % 4) || ']' AS ref FROM documents) QUALIFY row_number() OVER (PARTITION BY source, ref ORDER BY doc_id) = 1) GROUP BY source""")
 def source_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -510,7 +552,7 @@ def annotated_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy("source").agg(names.alias("names")).select("source", text.annotate_question(F.lit("Compare."), F.col("names")).alias("question"))
 
 
-@query("""WITH j AS (SELECT event_id AS job_id, CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'completed' ELSE 'queued' END AS status, try_cast(regexp_extract(props, '(\d+)', 1) AS INT) AS p, (event_id % 5)::INT AS retry_count FROM events)
+@query(r"""WITH j AS (SELECT event_id AS job_id, CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'completed' ELSE 'queued' END AS status, try_cast(regexp_extract(props, '(\d+)', 1) AS INT) AS p, (event_id % 5)::INT AS retry_count FROM events)
 SELECT job_id, status, least(100, greatest(0, coalesce(p, 0))) AS progress, 0 AS files_total, retry_count, 3 AS max_retries, status = 'failed' AND retry_count < 3 AS can_retry FROM j""")
 def normalized_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(F.col("event_type") == "error", " FAILED").when(F.col("event_type") == "purchase", "completed").otherwise(F.col("event_type"))

@@ -53,13 +53,15 @@ class ChunkIndex:
         held = self.read()
         if held is None:
             return 0
-        marked = held.withColumn("_row", F.monotonically_increasing_id())
-        gone = metadata_filter(marked, wanted).select("_row")
-        n = gone.count()
+        n = metadata_filter(held, wanted).count()
         if n:
-            self.write(marked.join(gone, "_row", "left_anti").drop("_row"))
+            self.write(metadata_filter(held, wanted, keep=False))
         return n
 
+    def status(self, backups: str) -> DataFrame:
+        """One row (document_count, backup_root_dir)."""
+        return self.spark.createDataFrame([(self.count(), backups)], "document_count long, backup_root_dir string")
+
     def clear(self) -> None:
         if (held := self.read()) is not None:
             self.write(held.limit(0))
