@@ -15,6 +15,11 @@ STOP_WORDS = (
     "giup giúp gi gì co có khong không tai tại sao khi this that what when where who why how is are a an of for to and or in on from with about please help"
 ).split()
 
+#: Titles and stand-ins of rendered outlines.
+OVERVIEW, DEFAULT_ROOT, NO_DETAIL, NO_STAGE = "Tổng quan", "Tổng quan tài liệu", "Nội dung chính trong tài liệu", "Noi dung chinh"
+TABLE_HEAD = "| Chủ đề | Điểm chính |\n|---|---|"
+SUMMARY_HEAD, OVERVIEW_HEAD, DIAGRAM_HEAD = "### Tóm tắt nhanh", "### Bảng tổng hợp", "### Sơ đồ tổng quan"
+
 COMPLEX = r"so\s*sánh|phân\s*tích|đánh\s*giá|chi\s*tiết|nguyên\s*nhân|hệ\s*quả|lộ\s*trình|kế\s*hoạch|why|how|compare|analysis|evaluate|risk|rủi\s*ro"
 MINDMAP = r"tao\s*mindmap|tạo\s*mindmap|mind\s*map|so\s*do\s*tu\s*duy|sơ\s*đồ\s*tư\s*duy"
 VISUAL = (

@@ -519,6 +519,52 @@ def outline_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outline.outline_rows(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
+def _branch_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outline rows: nations of regions as branches, their first suppliers as children."""
+    held = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "supplier"), F.col("n_nationkey") == F.col("s_nationkey"), "left")
+    first = held.groupBy("n_regionkey", "n_nationkey", "n_name").agg(F.slice(F.array_sort(F.collect_list(F.when(F.col("s_suppkey").isNotNull(), F.struct("s_suppkey", "s_name")))), 1, 4).alias("s"))
+    return first.select(F.col("n_regionkey").alias("id"), F.col("n_nationkey").cast("int").alias("branch_no"), F.col("n_name").alias("branch"), F.transform("s", lambda x: x["s_name"]).alias("children"))
+
+
+@query("""WITH c AS (SELECT n_regionkey AS id, n_nationkey AS no, n_name AS b, coalesce(list(s_name ORDER BY s_suppkey) FILTER (s_name IS NOT NULL), [])[1:4] AS l FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY no) AS i FROM c),
+t AS (SELECT r.*, 'Tổng quan ' || r_name AS root FROM r JOIN region ON r_regionkey = id)
+SELECT id, string_agg('- **' || b || '**' || CASE WHEN len(l) > 0 THEN ': ' || array_to_string(l[1:2], ', ') ELSE '' END, chr(10) ORDER BY i) FILTER (i <= 6) AS bullets,
+CASE WHEN count(*) >= 2 THEN '| Chủ đề | Điểm chính |' || chr(10) || '|---|---|' || chr(10) || string_agg('| ' || b || ' | ' || CASE WHEN len(l) > 0 THEN array_to_string(l[1:3], ', ') ELSE 'Nội dung chính trong tài liệu' END || ' |', chr(10) ORDER BY i) FILTER (i <= 8) END AS "table",
+'```mermaid' || chr(10) || 'flowchart TD' || chr(10) || '  R["' || any_value(root) || '"]' || chr(10) || string_agg('  R --> B' || i || '["' || b || '"]' || array_to_string(list_transform(l[1:2], lambda x, j: chr(10) || '  B' || i || ' --> B' || i || '_' || j || '["' || x || '"]'), ''), chr(10) ORDER BY i) FILTER (i <= 6) || chr(10) || '```' AS flowchart,
+'```mermaid' || chr(10) || 'mindmap' || chr(10) || '  root((' || any_value(root) || '))' || chr(10) || string_agg('    ' || b || array_to_string(list_transform(l[1:2], lambda x: chr(10) || '      ' || x), ''), chr(10) ORDER BY i) FILTER (i <= 6) || chr(10) || '```' AS mindmap,
+'```mermaid' || chr(10) || 'timeline' || chr(10) || '  title ' || any_value(root) || chr(10) || string_agg('  ' || b || ' : ' || CASE WHEN len(l) > 0 THEN array_to_string(l[1:2], ' | ') ELSE 'Noi dung chinh' END, chr(10) ORDER BY i) FILTER (i <= 6) || chr(10) || '```' AS timeline,
+'```mermaid' || chr(10) || 'pie showData' || chr(10) || '  title ' || any_value(root) || chr(10) || string_agg('  "' || b || '" : ' || greatest(1, least(2, len(l))), chr(10) ORDER BY i) FILTER (i <= 6) || chr(10) || '```' AS pie,
+'```mermaid' || chr(10) || 'mindmap' || chr(10) || '  root((' || any_value(root) || '))' || chr(10) || string_agg('    ' || b || array_to_string(list_transform(l, lambda x: chr(10) || '      ' || x), ''), chr(10) ORDER BY i) FILTER (i <= 8) || chr(10) || '```' AS wide_mindmap
+FROM t GROUP BY id""")
+def render_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    roots = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("id"), F.concat(F.lit("Tổng quan "), "r_name").alias("root"))
+    return outline.render_outline(_branch_names(spark, sf_dir), roots)
+
+
+@query("""SELECT l_orderkey AS id, '```mermaid' || chr(10) || 'flowchart LR' || chr(10) || 'A[x] -->|' || l_linestatus || '| B[y]' || chr(10) || 'B ==>|' || l_returnflag || '| C(z)' || chr(10) || '```' || chr(10) || '| a | b |' || chr(10) || '| --- | --- |' || chr(10) || '| 1 | ' || l_linenumber || ' |' AS answer FROM lineitem WHERE l_linenumber = 1""")
+def repaired_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").where("l_linenumber = 1")
+    drawn = F.concat(F.lit("```mermaid\ngraph LR\nA[x] --> "), "l_linestatus", F.lit(" > B[y]  B ==> | "), "l_returnflag", F.lit(" |> C(z)\n```\n| a | b |\n| 1 | "), F.col("l_linenumber").cast("string"), F.lit(" |"))
+    return rows.select(F.col("l_orderkey").alias("id"), outline.repair_answer(drawn).alias("answer"))
+
+
+@query("""SELECT o_orderkey AS id, 'Order ' || o_orderkey || ' is ' || o_orderstatus || chr(10) || chr(10) || '- of ' || o_custkey AS answer FROM orders""")
+def stripped_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.concat(F.lit("```mermaid\nmindmap\n  root\n```\nOrder "), F.col("o_orderkey").cast("string"), F.lit(" is "), "o_orderstatus", F.lit("\nB1[box]\nsubgraph s\nend\nx <-- y\n%%c\n```text\nA --> B\nB --> C\n```\n\ngraph TD\n\nA --> B\n- of "), F.col("o_custkey").cast("string"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), outline.strip_diagrams(said).alias("answer"))
+
+
+@query()
+def post_process_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of documents as answers to asked and mapped questions, with a benchmark item as context."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").agg(F.min_by("text", "item_id").alias("text"))
+    asked = F.when(F.col("doc_id") % 2 == 0, "mindmap").otherwise("compare the risks")
+    said = docs.select(F.col("doc_id").alias("qid"), asked.alias("question"), F.col("text").alias("answer"))
+    context = docs.select(F.col("doc_id").alias("qid"), F.lit(1).alias("place"), "source").crossJoin(F.broadcast(items))  # one row
+    return outline.post_process_answers(said, context)
+
+
 @query(r"""SELECT doc_id, coalesce(regexp_matches(text, '(?m)^[ \t]*\|.+\|[ \t]*\n[ \t]*\|?[ \t]*:?-{3,}:?[ \t]*(\|[ \t]*:?-{3,}:?[ \t]*)+\|?[ \t]*$'), false) AS has_table, coalesce(regexp_matches(text, '(?m)^[ \t]*([-*•]|\d+[.)])[ \t]+\S'), false) AS has_bullets FROM documents""")
 def markdown_table_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.has_table(F.col("text")).alias("has_table"), text.has_bullets(F.col("text")).alias("has_bullets"))

@@ -253,14 +253,15 @@ def test_answer_repairs(spark):
     answer = "x\n```mermaid\ngraph TD\nA -->|yes|> B\n```\n| a | b |\n| 1 | 2 |\nend"
     row = spark.createDataFrame([(answer,)], "a string").select(outline.repair_answer("a").alias("r"), outline.strip_diagrams("a").alias("s")).first()
     assert row["r"] == "x\n```mermaid\nflowchart TD\nA -->|yes| B\n```\n| a | b |\n| --- | --- |\n| 1 | 2 |\nend"
-    assert row["s"] == "x\n\n| a | b |\n| 1 | 2 |\nend"
+    # lines that look like a diagram's go too: an ``end``, a word of up to four letters
+    assert row["s"] == "| a | b |\n| --- | --- |\n| 1 | 2 |"
 
 
 def test_outline(spark):
     df = spark.createDataFrame([(1, "- Alpha: one\n- Alpha: two\n| Beta | x | y | z |\n|---|---|---|---|\nno")], "id long, text string")
     rows = outline.outline_rows(df)
     assert [(r["branch"], r["children"]) for r in rows.orderBy("branch_no").collect()] == [("Alpha", ["one", "two"]), ("Beta", ["x", "y"])]
-    assert outline.render_outline(rows).first()["bullets"] == "- **Alpha**: one; two\n- **Beta**: x; y"
+    assert outline.render_outline(rows).first()["bullets"] == "- **Alpha**: one, two\n- **Beta**: x, y"
 
 
 def test_document_selection(spark):
@@ -275,3 +276,52 @@ def test_admin_rules(spark):
     changes = spark.createDataFrame([(1, "ann", "ANN ", "role", "user"), (2, "ann", "ann", "status", "false"), (3, "ann", "ann", "delete", None), (4, "ann", "bob", "delete", None), (5, "ann", "bob", "role", "king"), (6, "ann", "eve", "role", "user")], "change_no int, actor string, username string, op string, value string")
     found = {r["change_no"]: r["violation"] for r in workspace.admin_violations(users, changes).collect()}
     assert found == {1: "last admin", 2: "last active admin", 3: "own account", 4: None, 5: "no such role", 6: "no such user"}
+
+
+def test_diagram_repairs(spark):
+    cases = {
+        "```mermaid\ngraph TD\nA --> two  words > B[b]  C --> D\n```": "```mermaid\nflowchart TD\nA -->|two words| B[b]\nC --> D\n```",
+        "```MERMAID\n\nA ==>  | x  y |>  B\n```": "```mermaid\nA ==>|x y| B\n```",
+        "graph is no diagram": "graph is no diagram",
+        "```\ngraph TD\n```": "```\ngraph TD\n```",
+    }
+    rows = spark.createDataFrame(list(cases.items()), "a string, b string").select(outline.repair_diagrams("a").alias("r"), "b").collect()
+    assert [r["r"] for r in rows] == [r["b"] for r in rows]
+
+
+def test_stripped_diagrams(spark):
+    cases = {
+        "keep it\n```mermaid\nA --> B\n```\nkeep this too": "keep it\n\nkeep this too",
+        "keep it\n```python\nprint(1)\nx = f(2)\n```": "keep it\n```python\nprint(1)\nx = f(2)\n```",
+        "keep it\n```\ngraph TD\nA\n```\nand this": "keep it\nand this",
+        "one line\ngraph TD\n\nA --> B\nplain words again\nB[box of words]\nend": "one line\nplain words again",
+        "mindmap\n  root\n- a list line": "- a list line",
+        "open fence\n```text\nnever closed here": "open fence\n```text\nnever closed here",
+        "| a | b |\n|---|---|\n| 1 | 2 |": "| a | b |\n| --- | --- |\n| 1 | 2 |",
+    }
+    rows = spark.createDataFrame(list(cases.items()), "a string, b string").select(outline.strip_diagrams("a").alias("r"), "b").collect()
+    assert [r["r"] for r in rows] == [r["b"] for r in rows]
+
+
+def test_merged_outlines(spark):
+    schema = "id long, branch_no int, branch string, children array<string>"
+    first = spark.createDataFrame([(1, 0, "a", ["x"]), (1, 1, "b", [])], schema)
+    second = spark.createDataFrame([(1, 0, "c", ["z"]), (1, 1, "a", ["y", "x"]), (2, 0, "d", [])], schema)
+    both = [tuple(r) for r in outline.merge_outlines(first, second).orderBy("id", "branch_no").collect()]
+    assert both == [(1, 0, "a", ["x", "y"]), (1, 1, "b", []), (1, 2, "c", ["z"]), (2, 0, "d", [])]
+    assert outline.merge_outlines(first, second, extend=False).where("branch = 'a'").first()["children"] == ["x"]
+
+
+def test_post_processing(spark):
+    own = "some text\n```mermaid\nmindmap\n  root\n    A\n    B\n    C\n```\nA --> B"
+    few = "Words.\n- One: first\n- Two: second\n- Three\n- Four"
+    long = " ".join(f"w{i}" for i in range(60))
+    asked = [(1, "tạo mindmap", own), (2, "tạo mindmap", few), (3, "compare", long), (4, "what", rules.FALLBACK_ANSWER + "."), (5, "who", "short\ngraph TD\nA --> B"), (6, "mind map", "nothing else")]
+    answers = spark.createDataFrame(asked, "qid long, question string, answer string")
+    context = spark.createDataFrame([(3, 1, "/x/" + "a" * 32 + "_plan.txt", "Alpha: one\nBeta: two")], "qid long, place int, source string, text string")
+    found = {r["qid"]: r["answer"] for r in outline.post_process_answers(answers, context).collect()}
+    assert found[1] == "```mermaid\nmindmap\n  root\n    A\n    B\n    C\n```\n\nsome text"
+    assert found[2] == "```mermaid\nmindmap\n  root((Mindmap: tạo mindmap))\n    One\n      first\n    Two\n      second\n    Three\n    Four\n```\n\n" + few
+    assert found[3].startswith(f"{long}\n\n### Tóm tắt nhanh\n- **Alpha**: one\n- **Beta**: two\n\n### Bảng tổng hợp\n| Chủ đề | Điểm chính |\n|---|---|\n| Alpha | one |\n| Beta | two |\n\n### Sơ đồ tổng quan\n```mermaid\n")
+    assert "Tổng quan plan.txt" in found[3]
+    assert (found[4], found[5], found[6]) == (rules.FALLBACK_ANSWER + ".", "short", "nothing else")
