@@ -292,7 +292,7 @@ def test_diagram_repairs(spark):
 def test_stripped_diagrams(spark):
     cases = {
         "keep it\n```mermaid\nA --> B\n```\nkeep this too": "keep it\n\nkeep this too",
-        "keep it\n```python\nprint(1)\nx = f(2)\n```": "keep it\n```python\nprint(1)\nx = f(2)\n```",
+        "keep it\n```python\ny = 1\nx = f(2)\n```": "keep it\n```python\ny = 1\nx = f(2)\n```",
         "keep it\n```\ngraph TD\nA\n```\nand this": "keep it\nand this",
         "one line\ngraph TD\n\nA --> B\nplain words again\nB[box of words]\nend": "one line\nplain words again",
         "mindmap\n  root\n- a list line": "- a list line",
