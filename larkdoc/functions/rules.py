@@ -8,6 +8,8 @@ TOP_K, MAX_TOP_K, MIN_OVERLAP, MIN_RELEVANT, MAX_ANSWER_CHARS, SENTENCE_SCORE, M
 CHUNK_SIZE, CHUNK_OVERLAP, HASH_DIMENSIONS = 1500, 200, 256
 RATE_LIMITS = {"login": 20, "register": 10, "ask": 60, "upload": 30}
 STALE_SECONDS, RETENTION_SECONDS, MAX_RETRIES, PENDING_SECONDS, MEMO_SECONDS = 120, 3600, 3, 900, 300
+#: Least and greatest lengths of requests' fields.
+FIELD_LENGTHS = {"title": (1, 200), "name": (1, 255), "username": (3, 64), "password": (8, 128)}
 EXTENSIONS = (".txt", ".md", ".csv", ".json", ".xml", ".html", ".docx", ".xlsx", ".pptx", ".doc")
 
 STOP_WORDS = (

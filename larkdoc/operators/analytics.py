@@ -30,6 +30,12 @@ def per_day(rows: DataFrame, ts: str, as_of: Column, days: int) -> DataFrame:
     return rows.where(F.col(ts) >= as_of - F.make_dt_interval(F.lit(days))).groupBy(F.to_date(ts).alias("day")).agg(F.count("*").alias("n"))
 
 
+def usage_report(messages: DataFrame, ts: str, as_of: Column, days: int, n: int = 10) -> DataFrame:
+    """(part, name, n) of a period's ``n`` busiest users and messages a day; part is top_users or per_day."""
+    users = top_users(messages, n).select(F.lit("top_users").alias("part"), F.col("username").alias("name"), F.col("messages").alias("n"))
+    return users.unionByName(per_day(messages, ts, as_of, days).select(F.lit("per_day").alias("part"), F.col("day").cast("string").alias("name"), "n"))
+
+
 def request_metrics(requests: DataFrame) -> DataFrame:
     """(metric, name, n): totals, counts by status and by endpoint, from (status, endpoint, fallback)."""
     name = F.explode(F.array(F.struct(F.lit("total").alias("metric"), F.lit("requests").alias("name")), F.struct(F.lit("status").alias("metric"), F.col("status").cast("string").alias("name")), F.struct(F.lit("endpoint").alias("metric"), F.col("endpoint").alias("name")), F.when(F.col("fallback"), F.struct(F.lit("total").alias("metric"), F.lit("fallbacks").alias("name"))), F.when(F.col("status") == 429, F.struct(F.lit("total").alias("metric"), F.lit("throttled").alias("name")))))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkdoc.functions import rules, text
@@ -11,6 +11,51 @@ from larkdoc.operators.common import latest, numbered, small, top_rows
 WORKSPACE = ["username", "chat_id"]
 DUPLICATE_ACTIONS = ("cancel", "replace", "keep_both")
 
+#: Columns of the workspace's tables.
+TABLES = {
+    "chats": "chat_id string, username string, title string, created_at timestamp",
+    "documents": "document_id string, chat_id string, username string, original_name string, stored_path string, created_at timestamp, file_hash string, file_size long, version int, updated_at timestamp",
+    "messages": "message_id string, chat_id string, username string, role string, content string, created_at timestamp",
+    "users": "username string, password_hash string, role string, is_active boolean, created_at timestamp",
+    "upload_jobs": "job_id string, username string, chat_id string, status string, stage string, progress int, files_total int, files_processed int, chunks_total long, chunks_indexed long, original_names array<string>, file_paths array<string>, message string, error string, retry_count int, max_retries int, created_at timestamp, updated_at timestamp",
+    "admin_audit_log": "log_id string, admin_username string, action string, target string, detail string, created_at timestamp",
+}
+
+
+def read_users(spark: SparkSession, path: str) -> DataFrame:
+    """Users from files of one JSON array each; a missing role is user, a missing is_active true."""
+    rows = spark.read.schema(TABLES["users"]).option("multiLine", True).json(path)
+    return rows.withColumns({"role": F.coalesce("role", F.lit("user")), "is_active": F.coalesce("is_active", F.lit(True))})
+
+
+def find(rows: DataFrame, **keys: object) -> DataFrame:
+    """Rows with these values, as a point look-up; user names in any case and without spaces around."""
+    for name, value in keys.items():
+        rows = rows.where(F.lower(F.col(name)) == str(value).strip().lower()) if name == "username" else rows.where(F.col(name) == value)
+    return rows
+
+
+def scope_filter(owner: str, chat_id: str, sources: list[str] | None = None) -> dict[str, object]:
+    """What ``vectors.metadata_filter`` takes for a workspace and the sources selected in it, if any."""
+    distinct = list(dict.fromkeys(s for s in sources or [] if s))
+    return {"owner": owner, "chat_id": chat_id} | ({"source": distinct if len(distinct) > 1 else distinct[0]} if distinct else {})
+
+
+def list_chats(messages: DataFrame) -> DataFrame:
+    """(chat_id, username, messages, last_at), the chat last written to first."""
+    return messages.groupBy("chat_id").agg(F.first("username").alias("username"), F.count("*").alias("messages"), F.max("created_at").alias("last_at")).orderBy(F.desc("last_at"), "chat_id")
+
+
+def list_jobs(jobs: DataFrame, limit: int = 20, active_only: bool = False) -> DataFrame:
+    """The newest ``limit`` jobs (1 to 200) of each workspace, newest first."""
+    rows = jobs.where(F.col("status").isin("queued", "processing")) if active_only else jobs
+    return top_rows(rows, WORKSPACE, [F.desc("created_at"), F.desc("job_id")], max(1, min(200, limit)), "place")
+
+
+def next_queued(jobs: DataFrame, n: int = 1) -> DataFrame:
+    """The ``n`` oldest queued jobs."""
+    return jobs.where("status = 'queued'").orderBy("created_at", "job_id").limit(n)
+
 
 def document_numbers(documents: DataFrame) -> DataFrame:
     """``documents`` with upload_index, 1-based by (created_at, document_id) in each workspace."""
@@ -67,6 +112,25 @@ def duplicate_decisions(uploads: DataFrame, duplicates: DataFrame, action: Colum
     return joined.withColumn("decision", decision).drop("_pending")
 
 
+def apply_decisions(decided: DataFrame, documents: DataFrame, chunks: DataFrame, keep_both: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, chunks, refused) after uploads ``decided`` by ``duplicate_decisions``.
+
+    A replaced document's row and chunks go, once however many uploads replace it; then accepted
+    uploads (insert, replace, keep_both) become rows with the next versions of what is left. Without
+    ``keep_both`` that decision is refused too. ``decided`` has the columns of ``documents`` that new
+    rows need, and upload_no, which is their id; ``chunks`` has the workspace and document_id.
+    """
+    accepted = F.col("decision").isin("insert", "replace", *(["keep_both"] if keep_both else []))
+    gone = decided.where("decision = 'replace'").select(*WORKSPACE, F.col("old_id").alias("document_id")).distinct()
+
+    def without(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("document_id", F.col("document_id").cast("string")).join(small(gone), [*WORKSPACE, "document_id"], "left_anti")
+
+    left = without(documents)
+    fresh = assign_versions(decided.where(accepted), left).withColumn("document_id", F.concat(F.lit("upload-"), F.col("upload_no").cast("string")))
+    return left.unionByName(fresh.select(*[c for c in left.columns if c in fresh.columns]), allowMissingColumns=True), without(chunks), decided.where(~accepted)
+
+
 def resolve_selected(documents: DataFrame, selected: DataFrame) -> DataFrame:
     """Numbered documents among the selected ids (trimmed, not blank), in document order."""
     wanted = selected.select(*WORKSPACE, F.trim("document_id").alias("document_id")).where("document_id <> ''").distinct()
@@ -103,6 +167,50 @@ def question_scopes(questions: DataFrame, documents: DataFrame) -> DataFrame:
     return joined.select("qid", mode.alias("mode"), F.coalesce("indexes", F.array().cast("array<int>")).alias("indexes"))
 
 
+def route_questions(questions: DataFrame, documents: DataFrame, pending: DataFrame | None = None) -> DataFrame:
+    """(qid, question, mode, indexes, clears_pending): what each question asks, of which documents, together or one by one.
+
+    ``questions`` has qid, the workspace, question and selected_ids; ``documents`` the workspace,
+    document_id, upload_index and name; ``pending`` the workspace and the question that waits there for
+    a choice of documents. Selected ids that exist hold before all else. Then a reply that names
+    documents, bare numbers included, answers the waiting question; any other reply ends the wait.
+    Then the question itself may name documents, or be unclear ("ask_user"). Mode is "combined" for
+    one document, for all of a workspace, and for questions that compare; else "per_document".
+    """
+    asked = questions.select("qid", *WORKSPACE, "question", "selected_ids")
+    chosen = asked.select("qid", *WORKSPACE, F.explode("selected_ids").alias("document_id")).withColumn("document_id", F.trim("document_id"))
+    named = documents.withColumn("document_id", F.col("document_id").cast("string"))
+    by_id = chosen.join(named.select(*WORKSPACE, "document_id", "upload_index"), [*WORKSPACE, "document_id"]).groupBy("qid").agg(F.array_sort(F.collect_set("upload_index")).alias("_ids"))
+    waits = (pending if pending is not None else asked.limit(0)).select(*WORKSPACE, F.col("question").alias("_waiting"))
+    replies = asked.join(waits, WORKSPACE)
+    by_reply = select_documents(replies.select("qid", *WORKSPACE, "question"), documents, bare_numbers=True).groupBy("qid").agg(F.array_sort(F.collect_set("upload_index")).alias("_reply"))
+    own = question_scopes(asked, documents).select("qid", F.col("mode").alias("_mode"), F.col("indexes").alias("_own"))
+    joined = asked.join(waits, WORKSPACE, "left").join(by_id, "qid", "left").join(by_reply, "qid", "left").join(own, "qid")
+    explicit, reply = F.col("_ids").isNotNull(), F.col("_reply").isNotNull()
+    asks = F.when(~explicit & reply, F.col("_waiting")).otherwise(F.col("question"))
+    indexes = F.when(explicit, F.col("_ids")).when(reply, F.col("_reply")).otherwise(F.col("_own"))
+    found = joined.withColumns({"_asks": asks, "indexes": indexes}).withColumn("_folded", text.fold_text("_asks"))
+    several = (F.size("indexes") > 1) & ~text.matches(F.col("_folded"), rules.COMPARES_DOCUMENTS)
+    mode = F.when(~explicit & ~reply & (F.col("_mode") == "ask_user"), "ask_user").when(several, "per_document").otherwise("combined")
+    return found.select("qid", F.col("_asks").alias("question"), mode.alias("mode"), "indexes", (F.col("_waiting").isNotNull()).alias("clears_pending"))
+
+
+def conversation_log(asked: DataFrame, answers: DataFrame) -> DataFrame:
+    """Messages (message_id, chat_id, username, role, content, created_at) of questions and their answers.
+
+    ``asked`` has qid, the workspace, question and created_at; ``answers`` qid, answer and sources,
+    which go behind the answer in a marker (``text.attach_sources``). A question without an answer gets
+    the fallback. An answer is a microsecond later than its question.
+    """
+    said = asked.join(answers, "qid", "left")
+    reply = text.attach_sources(F.coalesce("answer", F.lit(rules.FALLBACK_ANSWER)), F.col("sources"))
+    turns = F.array(
+        F.struct(F.lit("user").alias("role"), F.col("question").alias("content"), F.col("created_at")),
+        F.struct(F.lit("assistant").alias("role"), reply.alias("content"), F.timestamp_micros(F.unix_micros(F.col("created_at").cast("timestamp")) + 1).alias("created_at")),
+    )
+    return said.select("qid", *WORKSPACE, F.explode(turns).alias("x")).select(F.concat(F.col("qid").cast("string"), F.lit("-"), "x.role").alias("message_id"), "chat_id", "username", "x.role", "x.content", "x.created_at")
+
+
 def first_messages(messages: DataFrame, n: int = 200, newest: bool = False) -> DataFrame:
     """The oldest ``n`` messages of each chat, or the newest."""
     return top_rows(messages, ["chat_id"], [F.desc("created_at"), F.desc("message_id")] if newest else ["created_at", "message_id"], n)
@@ -117,6 +225,34 @@ def current_state(changes: DataFrame, key: list[str]) -> DataFrame:
     return latest(changes, key, [F.desc("change_ts"), F.desc("change_no")]).where("op <> 'delete'")
 
 
+def change_rows(rows: DataFrame, op: str, ts: Column, number: Column, changed: dict[str, Column] | None = None) -> DataFrame:
+    """``rows`` as changes for ``current_state``: ``op`` is insert, update or delete, ``changed`` the columns that it sets."""
+    return rows.withColumns(changed or {}).withColumns({"op": F.lit(op), "change_ts": ts, "change_no": number})
+
+
+def renamed(rows: DataFrame, names: DataFrame, key: str, column: str, ts: Column, number: Column) -> tuple[DataFrame, DataFrame]:
+    """(changes, refused): ``column`` of the ``rows`` named in ``names`` (key, name); blank names are refused."""
+    blank = text.is_blank(F.col("name"))
+    joined = rows.join(names.where(~blank), key)
+    return change_rows(joined, "update", ts, number, {column: text.strip(F.col("name"))}).drop("name"), names.where(blank).withColumn("error", F.lit("name is empty"))
+
+
+def delete_documents(documents: DataFrame, chunks: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, chunks, counts) without the documents in ``gone`` (workspace, document_id) and their chunks; counts of both."""
+    keys = small(gone.select(*WORKSPACE, "document_id").distinct())
+    on = [*WORKSPACE, "document_id"]
+    counts = [rows.join(keys, on, "left_semi").agg(F.count("*").alias(name)) for name, rows in (("documents", documents), ("chunks", chunks))]
+    return documents.join(keys, on, "left_anti"), chunks.join(keys, on, "left_anti"), counts[0].crossJoin(counts[1])  # rows of one
+
+
+def recover_and_expire(jobs: DataFrame, as_of: Column, number: Column) -> DataFrame:
+    """Change rows for ``current_state`` at ``as_of``: stale processing jobs are queued anew, expired ones deleted."""
+    flagged = job_flags(jobs, as_of)
+    keep = jobs.columns
+    stale = change_rows(flagged.where("stale").select(*keep), "update", as_of, number, {"status": F.lit("queued"), "updated_at": as_of})
+    return stale.unionByName(change_rows(flagged.where("expired").select(*keep), "delete", as_of, number))
+
+
 def delete_cascade(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
     """Each table without the rows of the workspaces in ``gone``; doing it again changes nothing."""
     keys = gone.select(*WORKSPACE).distinct()
@@ -170,6 +306,18 @@ def admin_violations(users: DataFrame, changes: DataFrame) -> DataFrame:
     return joined.select("change_no", violation.alias("violation"))
 
 
+def first_admin(users: DataFrame, username: str, ts: Column) -> tuple[DataFrame, DataFrame]:
+    """(changes, audit) that make ``username`` an admin, promoted or created, if no user is one; else no rows."""
+    name = username.strip().lower()
+    none = users.agg(F.count_if(F.col("role") == "admin").alias("_admins")).where("_admins = 0")  # one row or none
+    held = users.where(F.lower("username") == name)
+    promoted = held.crossJoin(F.broadcast(none)).drop("_admins").withColumn("role", F.lit("admin"))
+    made = none.join(held.select(F.lit(True).alias("_held")).limit(1), F.lit(True), "left_anti").select(F.lit(name).alias("username"), F.lit("admin").alias("role"), F.lit(True).alias("is_active"))
+    rows = promoted.withColumn("_detail", F.lit("promoted_existing_user")).unionByName(made.withColumn("_detail", F.lit("created_new_admin")), allowMissingColumns=True)
+    changes = change_rows(rows.drop("_detail"), "update", ts, F.lit(0))
+    return changes, rows.select(F.lit(name).alias("actor"), F.lit("setup_first_admin").alias("action"), F.lit(name).alias("target"), F.col("_detail").alias("detail"), ts.alias("created_at"))
+
+
 def audit_rows(changes: DataFrame) -> DataFrame:
     """(actor, action, target, detail, created_at) for applied changes of users."""
     action = F.when(F.col("op") == "role", "update_role").when(F.col("op") == "status", "update_status").when(F.col("op") == "delete", "delete_user").otherwise(F.col("op"))
@@ -186,6 +334,16 @@ def request_errors(requests: DataFrame) -> DataFrame:
     return requests.withColumn("error", F.when(n < 1, "question is empty").when(n > 2000, "question is too long").when(~F.col("top_k").between(1, rules.MAX_TOP_K), "top_k is out of range"))
 
 
+def field_errors(rows: DataFrame) -> DataFrame:
+    """``rows`` with why they are refused, null if they aren't: lengths of those of title, name, username, password that they have."""
+    error = F.lit(None).cast("string")
+    for field, (least, most) in reversed(rules.FIELD_LENGTHS.items()):
+        if field in rows.columns:
+            n = F.length(F.coalesce(field, F.lit("")))
+            error = F.when(n < least, f"{field} is too short").when(n > most, f"{field} is too long").otherwise(error)
+    return rows.withColumn("error", error)
+
+
 def search_messages(messages: DataFrame, needle: str) -> DataFrame:
     """Messages of users and assistants that hold ``needle`` in any case, and how often, overlaps included."""
     found = messages.where(F.col("role").isin("user", "assistant") & (F.instr(F.lower("text"), needle.lower()) > 0))

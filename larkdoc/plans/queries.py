@@ -360,9 +360,27 @@ def duplicate_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workspace.duplicate_decisions(uploads, found, action).select("upload_no", "decision", "old_id")
 
 
+@query(UPLOADS + """, gone AS (SELECT DISTINCT file_hash FROM uploads WHERE upload_no % 3 = 0),
+old AS (SELECT document_id FROM (SELECT document_id, file_hash FROM stored QUALIFY row_number() OVER (PARTITION BY file_hash ORDER BY version DESC, created_at DESC, document_id) = 1) WHERE file_hash IN (FROM gone)),
+kept AS (SELECT * FROM stored WHERE document_id NOT IN (FROM old)),
+new AS (SELECT upload_no, file_hash FROM uploads WHERE upload_no % 3 < 2 OR file_hash NOT IN (SELECT file_hash FROM stored)),
+held AS (SELECT file_hash, max(version) AS m FROM kept GROUP BY file_hash)
+SELECT 'document' AS kind, document_id::VARCHAR AS id, version FROM kept UNION ALL
+SELECT 'document', 'upload-' || upload_no, (coalesce(m, 0) + row_number() OVER (PARTITION BY file_hash ORDER BY upload_no))::INT FROM new LEFT JOIN held USING (file_hash) UNION ALL
+SELECT 'chunk', document_id::VARCHAR, 0 FROM kept UNION ALL SELECT 'refused', upload_no::VARCHAR, 0 FROM uploads WHERE upload_no NOT IN (SELECT upload_no FROM new)""")
+def applied_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    uploads, stored = _uploads(spark, sf_dir)
+    action = workspace.normalize_action(F.when(F.col("upload_no") % 3 == 0, " Replace").when(F.col("upload_no") % 3 == 1, "keep_both"))
+    decided = workspace.duplicate_decisions(uploads, workspace.stored_duplicates(uploads, stored), action)
+    documents, chunks, refused = workspace.apply_decisions(decided, stored, stored.select("username", "chat_id", "document_id"))
+    left = documents.select(F.lit("document").alias("kind"), F.col("document_id").alias("id"), "version")
+    none = F.lit(0).alias("version")
+    return left.unionByName(chunks.select(F.lit("chunk").alias("kind"), F.col("document_id").alias("id"), none)).unionByName(refused.select(F.lit("refused").alias("kind"), F.col("upload_no").cast("string").alias("id"), none))
+
+
 @query(f"WITH {MESSAGES} SELECT chat_id, any_value(username) AS username, count(*) AS messages, max(created_at) AS last_at FROM messages GROUP BY chat_id")
 def chat_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _messages(spark, sf_dir).groupBy("chat_id").agg(F.first("username").alias("username"), F.count("*").alias("messages"), F.max("created_at").alias("last_at")).orderBy(F.desc("last_at"), "chat_id")
+    return workspace.list_chats(_messages(spark, sf_dir))
 
 
 @query(f"WITH {MESSAGES} SELECT chat_id, message_id, row_number() OVER (PARTITION BY chat_id ORDER BY created_at, message_id)::INT AS rank FROM messages QUALIFY rank <= 200")
@@ -414,6 +432,56 @@ def job_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workspace.job_flags(_jobs(spark, sf_dir), F.lit(AS_OF).cast("timestamp")).select("job_id", "active", "can_retry", "stale", "expired")
 
 
+@query(f"""WITH {JOBS}, a AS (SELECT *, floor(epoch(TIMESTAMP '{AS_OF}')) - floor(epoch(updated_at)) AS age FROM jobs)
+SELECT job_id, CASE WHEN status = 'processing' AND age > 120 THEN 'queued' ELSE status END AS status, CASE WHEN status = 'processing' AND age > 120 THEN TIMESTAMP '{AS_OF}' ELSE updated_at END AS updated_at FROM a WHERE NOT (status IN ('completed', 'failed') AND age > 3600)""")
+def recovered_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    jobs, now = _jobs(spark, sf_dir), F.lit(AS_OF).cast("timestamp")
+    log = workspace.change_rows(jobs, "insert", F.col("updated_at"), F.lit(0)).unionByName(workspace.recover_and_expire(jobs, now, F.lit(1)).withColumn("change_ts", F.lit("9999-01-01").cast("timestamp")))
+    return workspace.current_state(log, ["job_id"]).select("job_id", "status", "updated_at")
+
+
+@query("SELECT username, chat_id, job_id, place FROM (SELECT *, row_number() OVER (PARTITION BY username, chat_id ORDER BY created_at DESC, job_id DESC)::INT AS place FROM (SELECT source AS username, lang AS chat_id, doc_id AS job_id, doc_id % 1000 AS created_at FROM documents WHERE doc_id % 3 < 2)) WHERE place <= 5")
+def listed_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.when(F.col("document_id") % 3 == 0, "queued").when(F.col("document_id") % 3 == 1, "processing").otherwise("failed")
+    jobs = _files(spark, sf_dir).select("username", "chat_id", F.col("document_id").alias("job_id"), status.alias("status"), "created_at")
+    return workspace.list_jobs(jobs, 5, True).select("username", "chat_id", "job_id", "place")
+
+
+@query("SELECT doc_id AS job_id FROM documents WHERE doc_id % 3 = 0 ORDER BY doc_id % 1000, doc_id LIMIT 20")
+def oldest_queued(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.when(F.col("document_id") % 3 == 0, "queued").otherwise("failed")
+    return workspace.next_queued(_files(spark, sf_dir).select(F.col("document_id").alias("job_id"), status.alias("status"), "created_at"), 20).select("job_id")
+
+
+@query(f"""WITH {MESSAGES}, m AS (SELECT message_id AS qid, chat_id, username, text, created_at, message_id % 3 AS k FROM messages WHERE role = 'user')
+SELECT qid || '-user' AS message_id, chat_id, username, 'user' AS role, text AS content, created_at FROM m UNION ALL
+SELECT qid || '-assistant', chat_id, username, 'assistant', CASE k WHEN 0 THEN {_quoted(rules.FALLBACK_ANSWER)} WHEN 1 THEN 'Answer to ' || text ELSE 'Answer to ' || text || chr(10) || chr(10) || '<!--larkdoc:sources:' || to_base64(('["' || username || '"]')::BLOB) || '-->' END, created_at + INTERVAL 1 MICROSECOND FROM m""")
+def conversation_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = _messages(spark, sf_dir).where("role = 'user'").select(F.col("message_id").alias("qid"), "username", "chat_id", F.col("text").alias("question"), "created_at")
+    sources = F.when(F.col("qid") % 3 == 2, F.array("username", F.concat(F.lit(" "), "username")))
+    replies = said.where("qid % 3 <> 0").select("qid", F.concat(F.lit("Answer to "), "question").alias("answer"), sources.alias("sources"))
+    return workspace.conversation_log(said, replies)
+
+
+@query("""WITH f AS (SELECT source AS username, lang AS chat_id, doc_id AS document_id, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id % 1000, doc_id)::INT AS i FROM documents), n AS (SELECT username, chat_id, count(*) AS n FROM f GROUP BY ALL)
+SELECT document_id AS qid, CASE document_id % 5 WHEN 1 THEN 'summary' ELSE CASE document_id % 5 WHEN 0 THEN 'ids' WHEN 2 THEN 'document 1 and document 2' WHEN 3 THEN 'compare document 1 and document 2' ELSE 'hello there' END END AS question,
+CASE WHEN document_id % 5 = 1 AND n > 1 THEN 'ask_user' WHEN document_id % 5 = 2 AND n > 1 THEN 'per_document' ELSE 'combined' END AS mode,
+CASE document_id % 5 WHEN 0 THEN [i] WHEN 2 THEN list_slice([1, 2], 1, least(n, 2)) WHEN 3 THEN list_slice([1, 2], 1, least(n, 2)) ELSE [] END AS indexes FROM f JOIN n USING (username, chat_id)""")
+def routed_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind, name = F.col("document_id") % 5, F.concat(F.lit("zz"), F.md5(F.col("document_id").cast("string")), F.lit(".txt"))
+    held = workspace.document_numbers(_files(spark, sf_dir)).withColumn("name", name)
+    said = F.when(kind == 0, "ids").when(kind == 1, "summary").when(kind == 2, "document 1 and document 2").when(kind == 3, "compare document 1 and document 2").otherwise("hello there")
+    ids = F.when(kind == 0, F.array(F.concat(F.lit(" "), F.col("document_id").cast("string"))))
+    asked = held.select(F.col("document_id").alias("qid"), "username", "chat_id", said.alias("question"), ids.alias("selected_ids"))
+    return workspace.route_questions(asked, held.select("username", "chat_id", "document_id", "upload_index", "name")).drop("clears_pending")
+
+
+@query(f"""WITH {MESSAGES}, u AS (SELECT username, count(*) AS n FROM messages WHERE role = 'user' GROUP BY username ORDER BY n DESC, username LIMIT 10)
+SELECT 'top_users' AS part, username AS name, n FROM u UNION ALL SELECT 'per_day', strftime(created_at, '%Y-%m-%d'), count(*) FROM messages WHERE created_at >= TIMESTAMP '{AS_OF}' - INTERVAL 14 DAY GROUP BY ALL""")
+def usage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.usage_report(_messages(spark, sf_dir), "created_at", F.lit(AS_OF).cast("timestamp"), 14)
+
+
 @query(f"""WITH {JOBS}, w AS (SELECT DISTINCT event_id * 2 AS job_id FROM events)
 SELECT job_id, CASE WHEN status IS NULL THEN 'not found' WHEN status <> 'failed' THEN 'not failed' WHEN retry_count >= max_retries THEN 'limit exceeded' END AS error FROM w LEFT JOIN jobs USING (job_id)""")
 def retry_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -479,7 +547,10 @@ def latency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- sequential state ---
 
 
-@query()
+@query("""WITH RECURSIVE a AS (SELECT event_id, user_id AS k, epoch_us(ts) / 1e6 AS sec, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+s AS (SELECT event_id, k, i, [sec] AS log, true AS allowed, 0::BIGINT AS retry_after FROM a WHERE i = 1 UNION ALL
+SELECT a.event_id, a.k, a.i, CASE WHEN len(f) < 3 THEN list_append(f, a.sec) ELSE f END, len(f) < 3, CASE WHEN len(f) < 3 THEN 0 ELSE greatest(1, trunc(f[1] + 3600 - a.sec))::BIGINT END FROM (SELECT s.k, s.i, s.log FROM s) s JOIN a ON a.k = s.k AND a.i = s.i + 1, LATERAL (SELECT list_filter(s.log, lambda x: x > a.sec - 3600) AS f))
+SELECT event_id, allowed, retry_after FROM s""")
 def rate_limit_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"))
     return state.rate_limit(events, 3, 3600.0)
@@ -496,7 +567,10 @@ def job_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.job_snapshot(_job_events(spark, sf_dir)).select("job_id", "status", "retry_count", "chunks")
 
 
-@query()
+@query(f"""WITH RECURSIVE {MESSAGES}, a AS (SELECT message_id, chat_id, epoch(created_at) AS sec, message_id % 3 = 0 AS unclear, regexp_matches(trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', ' ', 'g')), {_quoted(rules.DOCUMENT_NUMBER)}) OR message_id % 4 = 0 AS selects, row_number() OVER (PARTITION BY chat_id ORDER BY created_at, message_id) AS i FROM messages WHERE role = 'user'),
+s AS (SELECT message_id, chat_id, i, CASE WHEN unclear AND NOT selects THEN sec END AS waits, CASE WHEN unclear AND NOT selects THEN 'waiting' ELSE 'plain' END AS outcome FROM a WHERE i = 1 UNION ALL
+SELECT a.message_id, a.chat_id, a.i, CASE WHEN (s.waits IS NULL OR a.sec - s.waits > 900) AND unclear AND NOT selects THEN a.sec END, CASE WHEN s.waits IS NOT NULL AND a.sec - s.waits <= 900 THEN CASE WHEN selects THEN 'resolved' ELSE 'cleared' END WHEN unclear AND NOT selects THEN 'waiting' ELSE 'plain' END FROM s JOIN a ON a.chat_id = s.chat_id AND a.i = s.i + 1)
+SELECT message_id, outcome FROM s""")
 def pending_scope_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = _messages(spark, sf_dir).where("role = 'user'")
     folded = text.fold_text("text")

@@ -325,3 +325,45 @@ def test_post_processing(spark):
     assert found[3].startswith(f"{long}\n\n### Tóm tắt nhanh\n- **Alpha**: one\n- **Beta**: two\n\n### Bảng tổng hợp\n| Chủ đề | Điểm chính |\n|---|---|\n| Alpha | one |\n| Beta | two |\n\n### Sơ đồ tổng quan\n```mermaid\n")
     assert "Tổng quan plan.txt" in found[3]
     assert (found[4], found[5], found[6]) == (rules.FALLBACK_ANSWER + ".", "short", "nothing else")
+
+
+def test_routing_with_ids_and_replies(spark):
+    docs = spark.createDataFrame([("u", "c", "a", 1, "One plan.txt"), ("u", "c", "b", 2, "Two notes.txt"), ("v", "d", "e", 1, "Only file.txt")], "username string, chat_id string, document_id string, upload_index int, name string")
+    pending = spark.createDataFrame([("u", "c", "tóm tắt")], "username string, chat_id string, question string")
+    rows = [(1, "u", "c", "hi", [" a", "x"]), (2, "u", "c", "1 and 2", None), (3, "u", "c", "never mind", []), (4, "u", "c", "so sánh", ["a", "b"]), (5, "v", "d", "tóm tắt", None), (6, "w", "z", "tóm tắt", None)]
+    asked = spark.createDataFrame(rows, "qid long, username string, chat_id string, question string, selected_ids array<string>")
+    found = {r["qid"]: (r["question"], r["mode"], r["indexes"], r["clears_pending"]) for r in workspace.route_questions(asked, docs, pending).collect()}
+    assert found[1] == ("hi", "combined", [1], True)
+    assert found[2] == ("tóm tắt", "per_document", [1, 2], True)
+    assert found[3] == ("never mind", "combined", [], True)
+    assert found[4] == ("so sánh", "combined", [1, 2], True)
+    assert found[5] == ("tóm tắt", "combined", [], False)
+    assert found[6] == ("tóm tắt", "combined", [], False)
+
+
+def test_first_admin(spark):
+    users = spark.createDataFrame([("Ann", "user", True)], "username string, role string, is_active boolean")
+    now = F.lit("2024-01-01").cast("timestamp")
+    for name, detail in ((" ann", "promoted_existing_user"), ("Bob", "created_new_admin")):
+        changes, audit = workspace.first_admin(users, name, now)
+        assert [(r["username"].lower(), r["role"], r["is_active"]) for r in changes.collect()] == [(name.strip().lower(), "admin", True)]
+        assert audit.first()["detail"] == detail
+    changes, audit = workspace.first_admin(users.withColumn("role", F.lit("admin")), "bob", now)
+    assert changes.count() == audit.count() == 0
+
+
+def test_lookups_and_bounds(spark, tmp_path):
+    (tmp_path / "users.json").write_text('[{"username": "Ann", "password_hash": "h"}, {"username": "bob", "password_hash": "h", "role": "admin", "is_active": false}]')
+    users = workspace.read_users(spark, str(tmp_path / "users.json"))
+    assert [(r["role"], r["is_active"]) for r in workspace.find(users, username=" ANN ").collect()] == [("user", True)]
+    asked = spark.createDataFrame([("ab", "x" * 9), ("abc", "short"), ("abc", "x" * 9)], "username string, password string")
+    assert [r["error"] for r in workspace.field_errors(asked).collect()] == ["username is too short", "password is too short", None]
+    assert workspace.scope_filter("u", "c", ["p", "p"]) == {"owner": "u", "chat_id": "c", "source": "p"}
+    chats = spark.createDataFrame([(1, "old"), (2, "older")], "chat_id long, title string")
+    names = spark.createDataFrame([(1, " new "), (2, " ")], "chat_id long, name string")
+    changes, refused = workspace.renamed(chats, names, "chat_id", "title", F.current_timestamp(), F.lit(1))
+    assert [(r["chat_id"], r["title"], r["op"]) for r in changes.collect()] == [(1, "new", "update")] and refused.count() == 1
+    docs = spark.createDataFrame([("u", "c", "1"), ("u", "c", "2")], "username string, chat_id string, document_id string")
+    left, chunks, counts = workspace.delete_documents(docs, docs.unionByName(docs), docs.where("document_id = '2'"))
+    assert (left.count(), chunks.count(), tuple(counts.first())) == (1, 2, (1, 2))
+    assert all(spark.createDataFrame([], ddl).columns for ddl in workspace.TABLES.values())
