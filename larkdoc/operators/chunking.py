@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,22 +64,24 @@ def with_starts(body: str, size: int = rules.CHUNK_SIZE, overlap: int = rules.CH
         yield at, chunk
 
 
-def chunk_documents(docs: DataFrame, size: int = rules.CHUNK_SIZE, overlap: int = rules.CHUNK_OVERLAP) -> DataFrame:
-    """(doc_id, chunk_no, start_index, text) from (doc_id, text); blank documents are dropped.
+def chunk_documents(docs: DataFrame, size: int = rules.CHUNK_SIZE, overlap: int = rules.CHUNK_OVERLAP, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(keys, chunk_no, start_index, text) from (keys, text); blank documents are dropped, other columns are ignored.
 
     Documents that fit into one chunk stay inside the JVM; only longer ones go through Python.
     """
-    rows = docs.select("doc_id", "text").where(~text.is_blank(F.col("text")))
+    rows = docs.select(*keys, "text").where(~text.is_blank(F.col("text")))
     clean = text.strip(F.col("text"))
     fits = F.length("text") < size
-    whole = rows.where(fits).select("doc_id", F.lit(0).alias("chunk_no"), (F.instr("text", clean) - 1).alias("start_index"), clean.alias("text"))
+    whole = rows.where(fits).select(*keys, F.lit(0).alias("chunk_no"), (F.instr("text", clean) - 1).alias("start_index"), clean.alias("text"))
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            found = [(doc_id, k, start, chunk) for doc_id, body in zip(frame["doc_id"], frame["text"], strict=True) for k, (start, chunk) in enumerate(with_starts(body, size, overlap))]
-            yield pd.DataFrame(found, columns=["doc_id", "chunk_no", "start_index", "text"])
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(at, k, start, chunk) for at, body in enumerate(batch.column(len(keys)).to_pylist()) for k, (start, chunk) in enumerate(with_starts(body, size, overlap))]
+            whose = pa.array([x[0] for x in found], pa.int64())
+            made = [pa.array([x[i] for x in found], kind) for i, kind in ((1, pa.int32()), (2, pa.int32()), (3, pa.string()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(whose) for i in range(len(keys))), *made], names=[*keys, "chunk_no", "start_index", "text"])
 
-    return whole.unionByName(rows.where(~fits).mapInPandas(cut, "doc_id long, chunk_no int, start_index int, text string"))
+    return whole.unionByName(rows.where(~fits).mapInArrow(cut, whole.schema))
 
 
 def number_chunks(chunks: DataFrame) -> DataFrame:

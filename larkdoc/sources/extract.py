@@ -12,11 +12,13 @@ from html.parser import HTMLParser
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkdoc.functions import rules, text
+from larkdoc.operators.chunking import chunk_documents
+from larkdoc.operators.common import written
 
 ROWS = "path string, extension string, page int, slide int, sheet string, text string, error string"
 
@@ -201,7 +203,8 @@ EXTRACTORS: dict[str, Callable[[bytes], Iterator[dict]]] = {
 def extract_rows(files: DataFrame, extractors: dict[str, Callable[[bytes], Iterator[dict]]] | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows, rejects) of (path, extension, content): rows with text, and (path, reason) for files that can't be read.
 
-    Plain text and legacy documents stay inside the JVM. Blank rows are dropped.
+    Plain text and legacy documents stay inside the JVM. Blank rows are dropped. What is extracted is
+    written once, as rows, rejects and all that follows read it.
     """
     extractors = EXTRACTORS if extractors is None else extractors
 
@@ -220,7 +223,7 @@ def extract_rows(files: DataFrame, extractors: dict[str, Callable[[bytes], Itera
     read = files.where(F.col("extension").isin(*extractors)).select("path", "extension", "content").mapInPandas(task, ROWS)
     empty = [F.lit(None).cast(kind).alias(name) for name, kind in (("page", "int"), ("slide", "int"), ("sheet", "string"))]
     plain = files.where(F.col("extension").isin(".txt", ".md", ".doc")).select("path", "extension", *empty, F.when(F.col("extension") == ".doc", scraped(F.col("content"))).otherwise(decoded(F.col("content"))).alias("text"), F.lit(None).cast("string").alias("error"))
-    rows = plain.unionByName(read)
+    rows = written(plain.unionByName(read), "extracted")
     return rows.where("error is null").where(~text.is_blank(F.col("text"))).drop("error"), rows.where("error is not null").select("path", F.col("error").alias("reason"))
 
 
@@ -239,3 +242,27 @@ def flatten_object(value: Column) -> Column:
     held = F.from_json(value, "map<string,string>")
     lines = F.transform(F.array_sort(F.map_entries(held)), lambda e: F.concat(e["key"], F.lit(": "), F.coalesce(e["value"], F.lit("None"))))
     return F.array_join(lines, "\n")
+
+
+DOCUMENT_KEY = ("path", "page", "slide", "sheet")
+
+
+def ingest(files: DataFrame, stamp: dict[str, str], embed: Callable[[Column], Column], extractors: dict[str, Callable[[bytes], Iterator[dict]]] | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(documents, chunks, jobs, result) of ``files`` (path, extension, content): extract, stamp, cut, number, embed.
+
+    ``documents`` has a row for each file that gave text: path, name, file_hash, file_size and the stamp.
+    Chunks are keyed by path, page, slide and sheet, carry the stamp and an embedding, and are numbered
+    (chunk_index) over their file. ``jobs`` says completed or failed, with the reason, for each file;
+    ``result`` is one row (files_processed, chunks_indexed). Texts are extracted, cut and embedded once.
+    """
+    rows, rejects = extract_rows(files, extractors)
+    stamps = {name: F.lit(value) for name, value in stamp.items()}
+    cut = chunk_documents(rows, keys=DOCUMENT_KEY)
+    place = Window.partitionBy("path").orderBy(F.col("page").asc_nulls_first(), F.col("slide").asc_nulls_first(), F.col("sheet").asc_nulls_first(), "chunk_no")
+    numbered = cut.withColumns({"chunk_index": F.row_number().over(place) - 1, "chunk_chars": F.length("text"), "extension": F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))})
+    chunks = written(numbered.withColumn("embedding", embed(F.col("text"))).withColumns(stamps), "chunks")
+    named = files.select("path", text.display_name(F.col("path")).alias("name"), F.sha2("content", 256).alias("file_hash"), F.length("content").cast("long").alias("file_size"))
+    documents = named.join(rows.select("path").distinct(), "path", "left_semi").withColumns(stamps)
+    jobs = files.select("path").join(rejects.groupBy("path").agg(F.min("reason").alias("reason")), "path", "left").select("path", F.when(F.col("reason").isNull(), "completed").otherwise("failed").alias("status"), "reason")
+    result = files.agg(F.count("*").alias("files_processed")).crossJoin(chunks.agg(F.count("*").alias("chunks_indexed")))  # rows of one
+    return documents, chunks, jobs, result

@@ -50,7 +50,10 @@ def rate_limit(events: DataFrame, limit: int, window: float = 60.0) -> DataFrame
 
 
 def rate_limit_stream(events: DataFrame, limit: int, window: float = 60.0) -> DataFrame:
-    """``rate_limit`` over a stream: each micro-batch is ordered by (ts, event_id), the accepted times are the key's state."""
+    """``rate_limit`` over a stream: each micro-batch is ordered by (ts, event_id), the accepted times are the key's state.
+
+    State is kept for every key: a timeout by the clock would never let an ``availableNow`` run end.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         log = deque(state.get[0]) if state.exists else deque()
@@ -72,9 +75,11 @@ def job_after(job: tuple, kind: str | None, progress: int | None, chunks: int |
     return to, given if fresh is None else fresh, n if chunks is None else max(n, chunks), said, retries + (kind == "retry"), ts
 
 
-def job_snapshot(events: DataFrame) -> DataFrame:
+def job_snapshot(events: DataFrame, held: DataFrame | None = None) -> DataFrame:
     """The state of each job after its events (job_id, event_no, kind, progress, chunks, detail, ts).
 
+    ``held`` is an earlier result to go on from; jobs of it without events stay as they were.
+
     Transitions set the fields of their kind; missing values leave a field as it was; progress is kept
     between 0 and 100 and never falls within a run; chunk counts only rise; a retry counts up.
     Rows are dealt by job and read in order, so a job of any size streams through its task.
@@ -85,19 +90,23 @@ def job_snapshot(events: DataFrame) -> DataFrame:
         for batch in batches:
             names, types = ["job_id", "status", "progress", "chunks", "detail", "retry_count", "updated_at"], [batch.schema.field(0).type, pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.int64()]
             done = []
-            for job_id, _, *event in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for job_id, status, retries, _, *event in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if job is None or job_id != now:
                     if job is not None:
                         done.append((now, *job))
                     now, job = job_id, (None, 0, 0, None, 0, None)
-                job = job_after(job, *event)
+                job = job_after(job, *event) if retries is None else (status, *event[1:4], retries, event[4])
             if done:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), types, strict=True)], names=names)
         if job is not None:
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((now, *job), types, strict=True)], names=names)
 
     rows = events.select("job_id", "event_no", "kind", F.col("progress").cast("int").alias("progress"), F.col("chunks").cast("long").alias("chunks"), F.col("detail").cast("string").alias("detail"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
-    rows = rows.repartition("job_id").sortWithinPartitions("job_id", "event_no", "kind", "progress", "chunks", "detail", "at")
+    rows = rows.select("job_id", F.lit(None).cast("string").alias("status"), F.lit(None).cast("int").alias("retries"), "event_no", "kind", "progress", "chunks", "detail", "at")
+    if held is not None:
+        none = F.lit(None)
+        rows = rows.unionByName(held.select("job_id", "status", F.col("retry_count").alias("retries"), none.cast(rows.schema["event_no"].dataType).alias("event_no"), none.cast("string").alias("kind"), "progress", "chunks", "detail", F.unix_micros("updated_at").alias("at")))
+    rows = rows.repartition("job_id").sortWithinPartitions("job_id", F.col("retries").asc_nulls_last(), "event_no", "kind", "progress", "chunks", "detail", "at")
     folded = rows.mapInArrow(task, f"job_id {events.schema['job_id'].dataType.simpleString()}, status string, progress int, chunks long, detail string, retry_count int, updated_at long")
     return folded.withColumn("updated_at", F.timestamp_micros("updated_at"))
 
@@ -158,7 +167,7 @@ def answer_memo(asked: DataFrame, ttl: float = rules.MEMO_SECONDS) -> DataFrame:
 
 
 def pending_scopes_stream(messages: DataFrame, ttl: float = rules.PENDING_SECONDS) -> DataFrame:
-    """``pending_scopes`` over a stream; the time of the waiting question is the chat's state."""
+    """``pending_scopes`` over a stream; the time of the waiting question is the chat's state, kept while it waits."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
         waiting = group.get[0] if group.exists else None
@@ -166,7 +175,10 @@ def pending_scopes_stream(messages: DataFrame, ttl: float = rules.PENDING_SECOND
         for turn in rows[["at", "ambiguous", "selects"]].itertuples(index=False):
             outcome, waiting = next(pending_replies([tuple(turn)], ttl, waiting))
             out.append(outcome)
-        group.update((waiting,))
+        if waiting is None:
+            group.remove()
+        else:
+            group.update((waiting,))
         yield pd.DataFrame({"message_id": rows["message_id"], "outcome": out})
 
     chosen = messages.select("message_id", "chat_id", F.col("at").cast("double").alias("at"), "ambiguous", "selects")

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from larkdoc.operators.chunking import chunk_documents
 from larkdoc.operators.vectors import hash_embedding
-from larkdoc.sources.extract import extract_rows, read_files  # noqa: F401
+from larkdoc.sources.extract import ingest
+from larkdoc.streaming.state import job_snapshot
 
 
 def live_metrics(requests: DataFrame) -> DataFrame:
@@ -33,14 +31,17 @@ def progress_feed(events: DataFrame) -> DataFrame:
 
 
 def refuse_duplicates(uploads: DataFrame, stored: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Uploads (ts, username, chat_id, file_hash) whose hash is neither stored nor seen before in the stream."""
+    """Uploads (ts, username, chat_id, file_hash) whose hash is neither stored nor seen in the stream within ``late`` before.
+
+    Hashes that are older are forgotten, so ``stored`` must hold uploads by then.
+    """
     key = ["username", "chat_id", "file_hash"]
     fresh = uploads.join(stored.select(*key, F.lit(True).alias("_held")).distinct(), key, "left").where("_held is null").drop("_held")
     return fresh.withWatermark("ts", late).dropDuplicatesWithinWatermark(key)
 
 
-def ingest_files(spark: SparkSession, path: str, chunks_path: str, jobs_path: str, checkpoint: str, stamp: dict[str, str]) -> StreamingQuery:
-    """Files that appear under ``path`` become chunks with embeddings; each file's job row says completed or failed.
+def ingest_files(spark: SparkSession, path: str, chunks_path: str, jobs_path: str, checkpoint: str, stamp: dict[str, str], documents_path: str | None = None) -> StreamingQuery:
+    """Files that appear under ``path`` are ingested (``extract.ingest``): chunks, a job row for each file, and document rows.
 
     Each micro-batch overwrites its own folders, so one that is run again after a failure leaves no second copy.
     """
@@ -48,23 +49,26 @@ def ingest_files(spark: SparkSession, path: str, chunks_path: str, jobs_path: st
     files = files.withColumn("extension", F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)))
 
     def run(batch: DataFrame, number: int) -> None:
-        rows, rejects = extract_rows(batch)
-        docs = rows.withColumn("doc_id", F.xxhash64("path", "page", "slide", "sheet"))
-        chunks = chunk_documents(docs).join(docs.select("doc_id", "path", "extension", "page", "slide", "sheet"), "doc_id")
-        chunks = chunks.withColumn("embedding", hash_embedding(F.col("text"))).withColumns({k: F.lit(v) for k, v in stamp.items()})
+        documents, chunks, jobs, _ = ingest(batch, stamp, hash_embedding)
         chunks.write.mode("overwrite").parquet(f"{chunks_path}/batch={number}")
-        done = batch.select("path").join(rejects, "path", "left").select("path", F.when(F.col("reason").isNull(), "completed").otherwise("failed").alias("status"), "reason")
-        done.write.mode("overwrite").parquet(f"{jobs_path}/batch={number}")
+        if documents_path:
+            documents.write.mode("overwrite").parquet(f"{documents_path}/batch={number}")
+        jobs.write.mode("overwrite").parquet(f"{jobs_path}/batch={number}")
 
     return files.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def fold_stream(events: DataFrame, fold: Callable[[DataFrame], DataFrame], log_path: str, state_path: str, checkpoint: str) -> StreamingQuery:
-    """A batch fold kept up to date by a stream: each micro-batch is added to a log and the fold runs over it."""
+def fold_jobs(events: DataFrame, state_path: str, checkpoint: str) -> StreamingQuery:
+    """``job_snapshot`` kept up to date by a stream: each micro-batch goes on from the last version of the snapshot.
+
+    So a batch costs as much as its events and the jobs held, however many events came before. The
+    version after batch n is ``version=<n>`` under ``state_path``; a batch that is run again starts from
+    the version before it. Events of a job must come in order of micro-batches.
+    """
 
     def run(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{log_path}/batch={number}")
-        whole = batch.sparkSession.read.parquet(log_path)
-        fold(whole.drop("batch")).write.mode("overwrite").parquet(f"{state_path}/version={number:010d}")
+        spark = batch.sparkSession
+        held = spark.read.parquet(f"{state_path}/version={number - 1}") if number else None
+        job_snapshot(batch, held).write.mode("overwrite").parquet(f"{state_path}/version={number}")
 
     return events.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

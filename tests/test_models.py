@@ -1,6 +1,8 @@
 """Sequential and text operators against plain Python models of them."""
 
 import io
+import os
+import pathlib
 import re
 import unicodedata
 import zipfile
@@ -367,3 +369,45 @@ def test_lookups_and_bounds(spark, tmp_path):
     left, chunks, counts = workspace.delete_documents(docs, docs.unionByName(docs), docs.where("document_id = '2'"))
     assert (left.count(), chunks.count(), tuple(counts.first())) == (1, 2, (1, 2))
     assert all(spark.createDataFrame([], ddl).columns for ddl in workspace.TABLES.values())
+
+
+def test_folding_goes_on(spark, tmp_path):
+    schema = "job_id long, event_no long, kind string, progress int, chunks long, detail string, ts timestamp"
+    now = datetime(2024, 1, 1)
+    data = [(j, n, kind, p, n, f"d{n}", now + timedelta(minutes=n)) for j in range(5) for n, (kind, p) in enumerate([("queue", None), ("claim", None), ("progress", 40 + j), ("fail", None), ("retry", None), ("progress", 10)][: 6 - j])]
+    for part in range(3):  # a file for each two events, read one a micro-batch
+        spark.createDataFrame([r for r in data if r[1] // 2 == part], schema).coalesce(1).write.parquet(f"{tmp_path}/e/part{part}")
+        os.utime(next(pathlib.Path(f"{tmp_path}/e/part{part}").glob("*.parquet")), (1_700_000_000 + part,) * 2)
+    source = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/e")
+    query = streams.fold_jobs(source, f"{tmp_path}/s", f"{tmp_path}/c")
+    query.awaitTermination(120)
+    last = sorted(p.name for p in pathlib.Path(f"{tmp_path}/s").glob("version=*"))[-1]
+    assert last == "version=2"
+    whole = state.job_snapshot(spark.createDataFrame(data, schema))
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/s/{last}").select(whole.columns).collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_ingest_keeps_documents_and_counts(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.txt").write_text("words " * 600)
+    (folder / ("b" * 32 + "_named.json")).write_text('{"k": 1}')
+    (folder / "bad.json").write_text("{")
+    accepted, _ = extract.read_files(spark, str(folder))
+    documents, chunks, jobs, result = extract.ingest(accepted, {"owner": "o", "chat_id": "c"}, vectors.hash_embedding)
+    assert sorted(r["name"] for r in documents.collect()) == ["a.txt", "named.json"]
+    rows = chunks.where("path like '%a.txt'").orderBy("chunk_index").collect()
+    assert [r["chunk_index"] for r in rows] == list(range(len(rows))) and len(rows) > 2 and all(r["chunk_chars"] == len(r["text"]) and r["owner"] == "o" and len(r["embedding"]) == 256 for r in rows)
+    assert {r["path"][-8:]: r["status"] for r in jobs.collect()}["bad.json"] == "failed"
+    assert tuple(result.first()) == (3, len(rows) + 1)
+
+
+def test_names_are_found_inside_words(spark):
+    names = ["ab.x", "plan.txt", "Quarterly budget review.pdf", "x.txt", "longer name than twelve.md"]
+    docs = spark.createDataFrame([("u", "c", i + 1, n) for i, n in enumerate(names)], "username string, chat_id string, upload_index int, name string")
+    texts = ["the planning", "about quarterly budget review pdf", "see ab x now", "a longer name than twelve md and document 9", "nothing", ""]
+    asked = spark.createDataFrame([(i, "u", "c", q) for i, q in enumerate(texts)], "qid long, username string, chat_id string, question string")
+    found = {(r["qid"], r["upload_index"]) for r in workspace.select_documents(asked, docs).collect()}
+    aliases = {r["upload_index"]: r["a"] for r in docs.select("upload_index", text.document_aliases(F.col("name")).alias("a")).collect()}
+    assert found == {(i, k) for i, q in enumerate(texts) for k, held in aliases.items() if any(a in q for a in held)}
+    assert {(0, 2), (1, 3), (2, 1), (3, 5)} <= found
