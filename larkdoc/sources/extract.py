@@ -38,10 +38,20 @@ def decoded(content: Column) -> Column:
     return F.regexp_replace(whole, "\r\n?", "\n")
 
 
+#: The bytes that Windows-1252 reads otherwise than Latin-1, and their characters; ``decode`` has only the latter.
+_WINDOWS = {chr(b): bytes([b]).decode("cp1252", "replace") for b in range(0x80, 0xA0)}
+
+
 def scraped(content: Column) -> Column:
-    """Readable segments of a legacy binary document: four characters or more, most of them letters, digits or common marks."""
-    plain = F.regexp_replace(F.regexp_replace(F.decode(content, "windows-1252"), "\r", "\n"), r"[\x00-\x09\x0b-\x1f\x7f-\x9f]", " ")
-    kept = F.filter(F.transform(F.split(plain, "\n"), text.normalize_ws), lambda s: (F.length(s) >= 4) & (F.length(F.regexp_replace(s, r"[^\p{L}\p{N}\s.,;:!?()\-]", "")) > 0.6 * F.length(s)))
+    """Readable segments of a legacy binary document in Windows-1252, cut at carriage returns.
+
+    A segment has four characters or more, over six tenths of them letters, digits, white space or common
+    marks. Runs of control characters are one space; bytes without a character count as unreadable.
+    """
+    whole = F.translate(F.decode(content, "ISO-8859-1"), "".join(_WINDOWS), "".join(_WINDOWS.values()))
+    plain = F.regexp_replace(F.regexp_replace(whole, r"\x00+", " "), r"[\x01-\x08\x0b\x0c\x0e-\x1f\x7f]+", " ")
+    readable = lambda s: F.length(F.regexp_replace(s, r"(?U)[^\p{L}\p{N}\s.,;:!?()\-]", ""))
+    kept = F.filter(F.transform(F.split(plain, "\r"), text.strip), lambda s: (F.length(s) >= 4) & (readable(s) > 0.6 * F.length(s)))
     return F.array_join(kept, "\n")
 
 

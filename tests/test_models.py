@@ -411,3 +411,9 @@ def test_names_are_found_inside_words(spark):
     aliases = {r["upload_index"]: r["a"] for r in docs.select("upload_index", text.document_aliases(F.col("name")).alias("a")).collect()}
     assert found == {(i, k) for i, q in enumerate(texts) for k, held in aliases.items() if any(a in q for a in held)}
     assert {(0, 2), (1, 3), (2, 1), (3, 5)} <= found
+
+
+def test_legacy_documents_are_windows_1252(spark):
+    body = "\x00\x01\r\u201cCaf\xe9\u201d costs \u2014 much\r\r~~~~~~~~~~\rabc\x07\rSecond  part\ttwo\n\nthree".encode("cp1252") + b"\r\x81\x8d\x8f\x90ab"
+    got = spark.createDataFrame([(body,)], "content binary").select(extract.scraped(F.col("content"))).first()[0]
+    assert got == "\u201cCaf\xe9\u201d costs \u2014 much\nSecond  part\ttwo\n\nthree"
