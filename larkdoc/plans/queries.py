@@ -2,87 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkdoc.functions import rules, text
 from larkdoc.operators import analytics, answers, chunking, outline, retrieval, vectors, workspace
+from larkdoc.plans import changes, feeds, texts, uploads  # noqa: F401  (they register theirs)
+from larkdoc.plans.tables import AS_OF, FILES, JOBS, MESSAGES, ORACLES, QUERIES, Query, asked_questions, query, quoted, stored_chunks, stored_files, stored_jobs, stored_messages, strip_sql, table, tokens_sql, ws_sql
 from larkdoc.sources import extract
 from larkdoc.streaming import state
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-#: Fixed "now" of time-based queries, so that results don't depend on the day they are run.
-AS_OF = "2024-01-31 00:00:00"
-WORD = r"[\p{L}\p{N}_]+"
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Registers a function by its name, with its SQL if there is one."""
-
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.coalesce("text", F.lit("")).alias("text"))
-
-
-def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.coalesce("text", F.lit("")).alias("question"))
-
-
-def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as stored files of workspaces: owner by source, chat by language, versions by order within a hash."""
-    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("username"), F.col("lang").alias("chat_id"), F.col("doc_id").alias("document_id"), F.sha2(F.col("text"), 256).alias("file_hash"), F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") % 1000).alias("created_at"))
-    return docs.withColumn("version", (F.col("document_id") % 3 + 1).cast("int"))
-
-
-FILES = "files AS (SELECT source AS username, lang AS chat_id, doc_id AS document_id, sha256(text) AS file_hash, TIMESTAMP '2024-01-01 00:00:00' + to_seconds(doc_id % 1000) AS created_at, (doc_id % 3 + 1)::INT AS version FROM documents)"
-
-
-def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns as messages, a minute apart; user names by chat."""
-    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("chat_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("message_id"), F.concat(F.lit("user"), (F.col("conv_id") % 20).cast("string")).alias("username"), "role", F.coalesce("text", F.lit("")).alias("text"), F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 600 + F.col("turn") * 60).alias("created_at"))
-
-
-MESSAGES = "messages AS (SELECT conv_id AS chat_id, conv_id * 1000 + turn AS message_id, 'user' || (conv_id % 20) AS username, role, coalesce(text, '') AS text, TIMESTAMP '2024-01-01 00:00:00' + to_seconds(conv_id * 600 + turn * 60) AS created_at FROM conversations)"
-
-
-def _tokens(column: str) -> str:
-    return f"regexp_extract_all(lower({column}), '{WORD}')"
-
-
-def _ws(column: str) -> str:
-    return f"trim(regexp_replace({column}, '\\s+', ' ', 'g'))"
-
-
-def _strip(column: str) -> str:
-    return f"regexp_replace({column}, '^\\s+|\\s+$', '', 'g')"
-
-
-def _quoted(value: str) -> str:
-    return "'" + value.replace("'", "''") + "'"
-
-
 # --- tokens and lexical retrieval ---
 
-TOPK = f"""WITH q AS (SELECT item_id AS qid, list_distinct({_tokens("coalesce(text, '')")}) AS tokens FROM benchmark),
+TOPK = f"""WITH q AS (SELECT item_id AS qid, list_distinct({tokens_sql("coalesce(text, '')")}) AS tokens FROM benchmark),
 qt AS (SELECT qid, len(tokens) AS n, unnest(tokens) AS token FROM q),
-ct AS (SELECT doc_id AS chunk_id, unnest(list_distinct({_tokens("coalesce(text, '')")})) AS token FROM documents),
+ct AS (SELECT doc_id AS chunk_id, unnest(list_distinct({tokens_sql("coalesce(text, '')")})) AS token FROM documents),
 o AS (SELECT qid, chunk_id, count(*) / greatest(1, any_value(n)) AS overlap FROM ct JOIN qt USING (token) GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY overlap DESC, chunk_id)::INT AS rank FROM o)
 SELECT qid, chunk_id, overlap, rank FROM r WHERE rank <= 6"""
@@ -90,23 +24,23 @@ SELECT qid, chunk_id, overlap, rank FROM r WHERE rank <= 6"""
 
 @query(TOPK)
 def retrieve_lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = _questions(spark, sf_dir).select("qid", text.token_set(F.col("question")).alias("tokens"))
-    return retrieval.lexical_topk(asked, _chunks(spark, sf_dir)).select("qid", "chunk_id", "overlap", "rank")
+    asked = asked_questions(spark, sf_dir).select("qid", text.token_set(F.col("question")).alias("tokens"))
+    return retrieval.lexical_topk(asked, stored_chunks(spark, sf_dir)).select("qid", "chunk_id", "overlap", "rank")
 
 
-@query(f"SELECT doc_id, len({_tokens('text')})::BIGINT AS n_tokens, len(list_distinct({_tokens('text')}))::BIGINT AS n_distinct FROM documents")
+@query(f"SELECT doc_id, len({tokens_sql('text')})::BIGINT AS n_tokens, len(list_distinct({tokens_sql('text')}))::BIGINT AS n_distinct FROM documents")
 def token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.size(text.tokens(F.col("text"))).cast("long").alias("n_tokens"), F.size(text.token_set(F.col("text"))).cast("long").alias("n_distinct"))
 
 
 # --- questions ---
 
-STOPS = "[" + ", ".join(_quoted(w) for w in rules.STOP_WORDS) + "]"
+STOPS = "[" + ", ".join(quoted(w) for w in rules.STOP_WORDS) + "]"
 FOCUS = f"list_filter(toks, lambda t, i: list_position(toks, t) = i AND length(t) > 2 AND NOT list_contains({STOPS}, t) AND NOT regexp_full_match(t, '\\p{{Nd}}+'))"
-REWRITE = "CASE " + " ".join(f"WHEN regexp_matches(raw, {_quoted('(?i)^(?:' + p + ')')}) THEN {_quoted(r)}" for p, r in rules.REWRITES) + " ELSE raw END"
-SPLIT = f"CASE WHEN length(raw) >= 40 THEN list_slice(list_filter(list_transform(regexp_split_to_array(raw, '[;\\n?]+'), lambda p: regexp_replace({_ws('p')}, '^[.,: -]+|[.,: -]+$', '', 'g')), lambda p: length(p) >= 16 AND len(list_distinct({_tokens('p')})) >= 3), 1, 4) ELSE [] END"
-QUESTION = f"""q0 AS (SELECT item_id AS qid, {_ws("coalesce(text, '')")} AS raw FROM benchmark),
-q1 AS (SELECT *, {REWRITE} AS rewritten, {_tokens('raw')} AS toks FROM q0),
+REWRITE = "CASE " + " ".join(f"WHEN regexp_matches(raw, {quoted('(?i)^(?:' + p + ')')}) THEN {quoted(r)}" for p, r in rules.REWRITES) + " ELSE raw END"
+SPLIT = f"CASE WHEN length(raw) >= 40 THEN list_slice(list_filter(list_transform(regexp_split_to_array(raw, '[;\\n?]+'), lambda p: regexp_replace({ws_sql('p')}, '^[.,: -]+|[.,: -]+$', '', 'g')), lambda p: length(p) >= 16 AND len(list_distinct({tokens_sql('p')})) >= 3), 1, 4) ELSE [] END"
+QUESTION = f"""q0 AS (SELECT item_id AS qid, {ws_sql("coalesce(text, '')")} AS raw FROM benchmark),
+q1 AS (SELECT *, {REWRITE} AS rewritten, {tokens_sql('raw')} AS toks FROM q0),
 q2 AS (SELECT *, {FOCUS} AS focus, {SPLIT} AS parts FROM q1),
 q3 AS (SELECT *, list_filter(list_concat([raw, rewritten], parts, [CASE WHEN len(focus) >= 3 THEN array_to_string(list_slice(focus, 1, 8), ' ') END, CASE WHEN rewritten <> raw AND len(focus) >= 2 THEN rewritten || '. ' || array_to_string(list_slice(focus, 1, 6), ' ') END]), lambda x: x IS NOT NULL AND trim(x) <> '') AS found FROM q2),
 v0 AS (SELECT qid, raw, rewritten, list_filter(found, lambda x, i: list_position(list_transform(found, lambda y: lower(y)), lower(x)) = i) AS variants FROM q3),
@@ -115,33 +49,33 @@ v AS (SELECT qid, raw, rewritten, unnest(range(len(variants)))::INT AS variant_n
 
 @query(f"WITH {QUESTION} SELECT qid, variant_no, query FROM v")
 def query_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.query_variants(_questions(spark, sf_dir))
+    return retrieval.query_variants(asked_questions(spark, sf_dir))
 
 
-@query(f"""WITH {QUESTION} SELECT qid, rewritten, greatest(1, least(20, 6 + CASE WHEN n >= 30 THEN 4 WHEN n >= 18 THEN 2 ELSE 0 END + CASE WHEN regexp_matches(raw, {_quoted('(?i)(?:' + rules.COMPLEX + ')')}) THEN 2 ELSE 0 END))::INT AS top_k
+@query(f"""WITH {QUESTION} SELECT qid, rewritten, greatest(1, least(20, 6 + CASE WHEN n >= 30 THEN 4 WHEN n >= 18 THEN 2 ELSE 0 END + CASE WHEN regexp_matches(raw, {quoted('(?i)(?:' + rules.COMPLEX + ')')}) THEN 2 ELSE 0 END))::INT AS top_k
 FROM (SELECT *, len(list_distinct(toks)) AS n FROM q1)""")
 def question_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _questions(spark, sf_dir).select("qid", text.rewrite_question(F.col("question")).alias("rewritten"), text.effective_top_k(F.col("question")).alias("top_k"))
+    return asked_questions(spark, sf_dir).select("qid", text.rewrite_question(F.col("question")).alias("rewritten"), text.effective_top_k(F.col("question")).alias("top_k"))
 
 
 FLAGS = {"mindmap": rules.MINDMAP, "visual": rules.VISUAL, "complex": rules.COMPLEX, "simple_fact": rules.SIMPLE_FACT, "timeline": rules.TIMELINE, "pie": rules.PIE, "flow": rules.FLOW, "summary": rules.SUMMARY}
 
 
-@query("SELECT doc_id, " + ", ".join(f"coalesce(regexp_matches(text, {_quoted('(?i)(?:' + p + ')')}), false) AS {n}" for n, p in FLAGS.items()) + " FROM documents")
+@query("SELECT doc_id, " + ", ".join(f"coalesce(regexp_matches(text, {quoted('(?i)(?:' + p + ')')}), false) AS {n}" for n, p in FLAGS.items()) + " FROM documents")
 def question_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", *[c.alias(n) for n, c in text.question_flags(F.col("text")).items()])
 
 
-@query("SELECT item_id, CASE " + " ".join(f"WHEN regexp_matches(text, {_quoted('(?i)(?:' + p + ')')}) THEN '{k}'" for k, p in (("timeline", rules.TIMELINE), ("pie", rules.PIE), ("mindmap", rules.MINDMAP), ("flowchart", rules.FLOW))) + " ELSE ['flowchart', 'mindmap', 'timeline', 'pie'][(instr('0123456789abcdef', right(sha1(text), 1)) - 1) % 4 + 1] END AS kind FROM benchmark")
+@query("SELECT item_id, CASE " + " ".join(f"WHEN regexp_matches(text, {quoted('(?i)(?:' + p + ')')}) THEN '{k}'" for k, p in (("timeline", rules.TIMELINE), ("pie", rules.PIE), ("mindmap", rules.MINDMAP), ("flowchart", rules.FLOW))) + " ELSE ['flowchart', 'mindmap', 'timeline', 'pie'][(instr('0123456789abcdef', right(sha1(text), 1)) - 1) % 4 + 1] END AS kind FROM benchmark")
 def diagram_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", text.diagram_kind(F.col("text")).alias("kind"))
 
 
 # --- fusion, relevance, answers ---
 
-LEXICAL_HITS = f"""vt AS (SELECT qid, variant_no, list_distinct({_tokens('query')}) AS toks FROM v),
+LEXICAL_HITS = f"""vt AS (SELECT qid, variant_no, list_distinct({tokens_sql('query')}) AS toks FROM v),
 vx AS (SELECT qid, variant_no, len(toks) AS n, unnest(toks) AS token FROM vt),
-c0 AS (SELECT doc_id AS chunk_id, coalesce(text, '') AS text, list_distinct({_tokens("coalesce(text, '')")}) AS ctoks FROM documents),
+c0 AS (SELECT doc_id AS chunk_id, coalesce(text, '') AS text, list_distinct({tokens_sql("coalesce(text, '')")}) AS ctoks FROM documents),
 ct AS (SELECT chunk_id, unnest(ctoks) AS token FROM c0),
 o AS (SELECT qid, variant_no, chunk_id, count(*) / greatest(1, any_value(n)) AS overlap FROM ct JOIN vx USING (token) GROUP BY ALL),
 k AS (SELECT qid, 6 AS top_k FROM v0),
@@ -153,31 +87,31 @@ def _embedded(column: str) -> str:
     return f"list_transform(range(256), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::INT) AS e FROM (SELECT *, array_to_string(list_transform(range(8), lambda c: sha256({column} || c)), '') AS h"
 
 
-VECTOR_HITS = f"""c0 AS (SELECT doc_id AS chunk_id, text, source, lang, list_distinct({_tokens('text')}) AS ctoks FROM documents WHERE regexp_matches(text, '\\S')),
+VECTOR_HITS = f"""c0 AS (SELECT doc_id AS chunk_id, text, source, lang, list_distinct({tokens_sql('text')}) AS ctoks FROM documents WHERE regexp_matches(text, '\\S')),
 ce AS (SELECT chunk_id, {_embedded('text')} FROM c0 WHERE lang IN ('en', 'de'))),
 ve AS (SELECT qid, variant_no, {_embedded('query')} FROM v)),
-k AS (SELECT qid, greatest(1, least(20, 6 + CASE WHEN n >= 30 THEN 4 WHEN n >= 18 THEN 2 ELSE 0 END + CASE WHEN regexp_matches(raw, {_quoted('(?i)(?:' + rules.COMPLEX + ')')}) THEN 2 ELSE 0 END))::INT AS top_k FROM (SELECT *, len(list_distinct(toks)) AS n FROM q1)),
+k AS (SELECT qid, greatest(1, least(20, 6 + CASE WHEN n >= 30 THEN 4 WHEN n >= 18 THEN 2 ELSE 0 END + CASE WHEN regexp_matches(raw, {quoted('(?i)(?:' + rules.COMPLEX + ')')}) THEN 2 ELSE 0 END))::INT AS top_k FROM (SELECT *, len(list_distinct(toks)) AS n FROM q1)),
 o AS (SELECT qid, variant_no, chunk_id, list_sum(list_transform(list_zip(ve.e, ce.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d2 FROM ve, ce),
 h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, variant_no ORDER BY d2, chunk_id) - 1 AS rank FROM o) JOIN k USING (qid) WHERE rank < top_k)"""
 
 FUSION = f"""f AS (SELECT qid, chunk_id, min(rank) AS best_rank, count(*) AS hits, min({{'a': variant_no, 'b': rank}}) AS seen FROM h GROUP BY ALL),
-s AS (SELECT f.*, top_k, 0.6::DOUBLE * (len(list_intersect(list_distinct({_tokens('raw')}), ctoks)) / greatest(1, len(list_distinct({_tokens('raw')})))) + 0.3::DOUBLE * (1 - best_rank / top_k) + 0.1::DOUBLE * least(hits, 3) / 3 AS score, rewritten, ctoks FROM f JOIN c0 USING (chunk_id) JOIN v0 USING (qid) JOIN k USING (qid)),
+s AS (SELECT f.*, top_k, 0.6::DOUBLE * (len(list_intersect(list_distinct({tokens_sql('raw')}), ctoks)) / greatest(1, len(list_distinct({tokens_sql('raw')})))) + 0.3::DOUBLE * (1 - best_rank / top_k) + 0.1::DOUBLE * least(hits, 3) / 3 AS score, rewritten, ctoks FROM f JOIN c0 USING (chunk_id) JOIN v0 USING (qid) JOIN k USING (qid)),
 p AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, seen, chunk_id)::INT AS place FROM s QUALIFY place <= greatest(top_k, least(2 * top_k, 24))),
-rel AS (SELECT *, len(list_intersect(list_distinct({_tokens('rewritten')}), ctoks)) / greatest(1, len(list_distinct({_tokens('rewritten')}))) AS relevance, len({_tokens('rewritten')}) AS nq FROM p),
+rel AS (SELECT *, len(list_intersect(list_distinct({tokens_sql('rewritten')}), ctoks)) / greatest(1, len(list_distinct({tokens_sql('rewritten')}))) AS relevance, len({tokens_sql('rewritten')}) AS nq FROM p),
 kept AS (SELECT *, count(*) FILTER (relevance >= 0.15) OVER (PARTITION BY qid) AS n FROM rel QUALIFY nq = 0 OR CASE WHEN n < 1 THEN true ELSE relevance >= 0.15 END)"""
 HITS = f"{LEXICAL_HITS}, {FUSION}"
 
 
 @query(f"WITH {QUESTION}, {HITS} SELECT qid, chunk_id, round(score, 9) AS score, place FROM p")
 def rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked, chunks = _questions(spark, sf_dir), _chunks(spark, sf_dir)
+    asked, chunks = asked_questions(spark, sf_dir), stored_chunks(spark, sf_dir)
     fused = retrieval.fuse_hits(retrieval.variant_hits(retrieval.query_variants(asked), chunks))
     return retrieval.rank_fusion(fused, asked, chunks).withColumn("score", F.round("score", 9))
 
 
 @query(f"WITH {QUESTION}, {HITS} SELECT qid, chunk_id, place, round(relevance, 9) AS relevance FROM kept")
 def relevance_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.retrieve(_questions(spark, sf_dir), _chunks(spark, sf_dir)).select("qid", "chunk_id", "place", F.round("relevance", 9).alias("relevance"))
+    return retrieval.retrieve(asked_questions(spark, sf_dir), stored_chunks(spark, sf_dir)).select("qid", "chunk_id", "place", F.round("relevance", 9).alias("relevance"))
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,7 +121,7 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.retrieve_vectors(_questions(spark, sf_dir), _vectors(spark, sf_dir), vectors.hash_embedding, {"lang": ["en", "de"]})
+    return retrieval.retrieve_vectors(asked_questions(spark, sf_dir), _vectors(spark, sf_dir), vectors.hash_embedding, {"lang": ["en", "de"]})
 
 
 @query(f"WITH {QUESTION}, {VECTOR_HITS}, {FUSION} SELECT qid, chunk_id, place, round(score, 9) AS score, round(relevance, 9) AS relevance FROM kept")
@@ -197,40 +131,40 @@ def retrieve_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lexical best chunks of each question as an answer's context."""
-    asked = _questions(spark, sf_dir).select("qid", text.token_set(F.col("question")).alias("tokens"))
-    chunks = _chunks(spark, sf_dir)
+    asked = asked_questions(spark, sf_dir).select("qid", text.token_set(F.col("question")).alias("tokens"))
+    chunks = stored_chunks(spark, sf_dir)
     return retrieval.lexical_topk(asked, chunks).select("qid", "chunk_id", F.col("rank").alias("place")).join(chunks, "chunk_id")
 
 
-BEST = f"""sl AS (SELECT qid, place, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), '[' || chr(1) || '\\n]+'), lambda x: {_strip('x')}), lambda x: x <> '') AS l FROM ctx),
+BEST = f"""sl AS (SELECT qid, place, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), '[' || chr(1) || '\\n]+'), lambda x: {strip_sql('x')}), lambda x: x <> '') AS l FROM ctx),
 se AS (SELECT qid, place, unnest(range(len(l)))::INT AS sentence_no, unnest(l) AS sentence FROM sl),
-sc AS (SELECT se.*, len(list_intersect(q.tokens, list_distinct({_tokens('sentence')}))) / greatest(1, len(q.tokens)) AS score FROM se JOIN q USING (qid)),
+sc AS (SELECT se.*, len(list_intersect(q.tokens, list_distinct({tokens_sql('sentence')}))) / greatest(1, len(q.tokens)) AS score FROM se JOIN q USING (qid)),
 best AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, place, sentence_no)::INT AS rank FROM sc WHERE score > 0 AND score >= 0.15 QUALIFY rank <= 5)"""
 SENTENCES = TOPK.replace("SELECT qid, chunk_id, overlap, rank FROM r WHERE rank <= 6", "") + f""", ctx AS (SELECT qid, chunk_id, rank AS place, coalesce(text, '') AS text FROM r JOIN documents d ON d.doc_id = r.chunk_id WHERE rank <= 6),
 {BEST}"""
-ANSWER = f"""w AS (SELECT qid, string_agg({_strip('text')}, chr(10) || chr(10) ORDER BY place) AS whole FROM ctx WHERE regexp_matches(text, '\\S') GROUP BY qid),
+ANSWER = f"""w AS (SELECT qid, string_agg({strip_sql('text')}, chr(10) || chr(10) ORDER BY place) AS whole FROM ctx WHERE regexp_matches(text, '\\S') GROUP BY qid),
 b AS (SELECT qid, string_agg(sentence, ' ' ORDER BY rank) AS best FROM best GROUP BY qid),
-answer AS (SELECT item_id AS qid, left(coalesce(CASE WHEN regexp_matches(text, {_quoted('(?i)(?:' + rules.SUMMARY + ')')}) OR best IS NULL THEN whole ELSE best END, {_quoted(rules.FALLBACK_ANSWER)}), 2500) AS answer, whole IS NOT NULL AS context_found
+answer AS (SELECT item_id AS qid, left(coalesce(CASE WHEN regexp_matches(text, {quoted('(?i)(?:' + rules.SUMMARY + ')')}) OR best IS NULL THEN whole ELSE best END, {quoted(rules.FALLBACK_ANSWER)}), 2500) AS answer, whole IS NOT NULL AS context_found
 FROM benchmark LEFT JOIN w ON w.qid = item_id LEFT JOIN b ON b.qid = item_id)"""
 
 
 @query(SENTENCES + " SELECT qid, place, sentence_no, sentence, round(score, 9) AS score, rank FROM best")
 def rank_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return answers.rank_sentences(_context(spark, sf_dir), _questions(spark, sf_dir)).select("qid", "place", "sentence_no", "sentence", F.round("score", 9).alias("score"), "rank")
+    return answers.rank_sentences(_context(spark, sf_dir), asked_questions(spark, sf_dir)).select("qid", "place", "sentence_no", "sentence", F.round("score", 9).alias("score"), "rank")
 
 
 @query(f"{SENTENCES}, {ANSWER} SELECT * FROM answer")
 def extractive_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return answers.extractive_answers(_context(spark, sf_dir), _questions(spark, sf_dir))
+    return answers.extractive_answers(_context(spark, sf_dir), asked_questions(spark, sf_dir))
 
 
-@query(f"""WITH {QUESTION}, {VECTOR_HITS}, {FUSION}, ctx AS (SELECT qid, chunk_id, place, text, source FROM kept JOIN c0 USING (chunk_id)), q AS (SELECT item_id AS qid, list_distinct({_tokens("coalesce(text, '')")}) AS tokens FROM benchmark),
+@query(f"""WITH {QUESTION}, {VECTOR_HITS}, {FUSION}, ctx AS (SELECT qid, chunk_id, place, text, source FROM kept JOIN c0 USING (chunk_id)), q AS (SELECT item_id AS qid, list_distinct({tokens_sql("coalesce(text, '')")}) AS tokens FROM benchmark),
 {BEST}, {ANSWER}, refs AS (SELECT qid, source || ' [đoạn ' || (chunk_id % 7) || ']' AS ref, min(place) AS first_at FROM ctx GROUP BY ALL),
 src AS (SELECT qid, list(ref ORDER BY first_at) AS sources FROM refs GROUP BY qid)
 SELECT answer.*, coalesce(sources, []) AS sources FROM answer LEFT JOIN src USING (qid)""")
 def answer_extractive(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "source", F.lit(None).cast("int").alias("page"), (F.col("doc_id") % 7).alias("chunk_index"))
-    return answers.answer_extractive(_retrieved(spark, sf_dir), _questions(spark, sf_dir), held)
+    return answers.answer_extractive(_retrieved(spark, sf_dir), asked_questions(spark, sf_dir), held)
 
 
 @query("""SELECT source, array_to_string(list(ref ORDER BY doc_id), '; ') AS refs FROM (SELECT source, doc_id, ref FROM (SELECT doc_id, source, 'note' || (doc_id % 5) || '.txt' || CASE WHEN doc_id % 2 = 0 THEN ' (trang ' || (doc_id % 3) || ')' ELSE '' END || ' [đoạn ' || (doc_id % 4) || ']' AS ref FROM documents) QUALIFY row_number() OVER (PARTITION BY source, ref ORDER BY doc_id) = 1) GROUP BY source""")
@@ -242,7 +176,7 @@ def source_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return firsts.groupBy("source").agg(answers.in_order(["doc_id"], "ref", "; ").alias("refs"))
 
 
-@query(f"SELECT doc_id, {_strip('text')} AS text, [source, lang] AS sources FROM documents")
+@query(f"SELECT doc_id, {strip_sql('text')} AS text, [source, lang] AS sources FROM documents")
 def source_marker_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     sent = text.attach_sources(F.regexp_replace(text.strip(F.col("text")), r"\n{3,}", "\n\n"), F.array(F.concat(F.lit(" "), "source"), "lang", "source"))
     return table(spark, sf_dir, "documents").select("doc_id", text.extract_sources(sent).alias("x")).select("doc_id", "x.text", "x.sources")
@@ -256,7 +190,7 @@ def file_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("file_hash"), F.octet_length("text").cast("long").alias("size"))
 
 
-@query(f"""SELECT doc_id, 0 AS chunk_no, (strpos(text, {_strip('text')}) - 1)::INT AS start_index, {_strip('text')} AS text FROM documents WHERE regexp_matches(text, '\\S') AND length(text) < 1500""")
+@query(f"""SELECT doc_id, 0 AS chunk_no, (strpos(text, {strip_sql('text')}) - 1)::INT AS start_index, {strip_sql('text')} AS text FROM documents WHERE regexp_matches(text, '\\S') AND length(text) < 1500""")
 def chunk_short_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk_documents(table(spark, sf_dir, "documents").where(F.length("text") < rules.CHUNK_SIZE))
 
@@ -314,20 +248,22 @@ def flatten_props(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- workspace tables ---
 
+FOLDED = "trim(regexp_replace(lower(strip_accents({})), '[^a-z0-9]+', ' ', 'g'))"
+
 
 @query(f"WITH {FILES} SELECT username, chat_id, document_id, row_number() OVER (PARTITION BY username, chat_id ORDER BY created_at, document_id)::INT AS upload_index FROM files")
 def document_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return workspace.document_numbers(_files(spark, sf_dir)).select("username", "chat_id", "document_id", "upload_index")
+    return workspace.document_numbers(stored_files(spark, sf_dir)).select("username", "chat_id", "document_id", "upload_index")
 
 
 @query(f"WITH {FILES} SELECT file_hash, count(*) AS n, min(document_id) AS first_id FROM files GROUP BY file_hash HAVING count(*) > 1")
 def duplicate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _files(spark, sf_dir).groupBy("file_hash").agg(F.count("*").alias("n"), F.min("document_id").alias("first_id")).where("n > 1")
+    return stored_files(spark, sf_dir).groupBy("file_hash").agg(F.count("*").alias("n"), F.min("document_id").alias("first_id")).where("n > 1")
 
 
 @query(f"WITH {FILES} SELECT username, chat_id, file_hash, document_id, version FROM files QUALIFY row_number() OVER (PARTITION BY username, chat_id, file_hash ORDER BY version DESC, created_at DESC, document_id) = 1")
 def latest_version(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return workspace.latest_versions(_files(spark, sf_dir)).select("username", "chat_id", "file_hash", "document_id", "version")
+    return workspace.latest_versions(stored_files(spark, sf_dir)).select("username", "chat_id", "file_hash", "document_id", "version")
 
 
 UPLOADS = f"WITH {FILES}, stored AS (SELECT * EXCLUDE (username, chat_id), 'u' AS username, 'c' AS chat_id FROM files WHERE document_id % 2 = 0), uploads AS (SELECT 'u' AS username, 'c' AS chat_id, document_id AS upload_no, file_hash, document_id // 10 AS batch_id FROM files WHERE document_id % 2 = 1)"
@@ -335,7 +271,7 @@ UPLOADS = f"WITH {FILES}, stored AS (SELECT * EXCLUDE (username, chat_id), 'u' A
 
 def _uploads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(uploads, stored): odd documents meet even ones in one workspace."""
-    files = _files(spark, sf_dir).withColumns({"username": F.lit("u"), "chat_id": F.lit("c")})
+    files = stored_files(spark, sf_dir).withColumns({"username": F.lit("u"), "chat_id": F.lit("c")})
     return files.where("document_id % 2 = 1").select("username", "chat_id", F.col("document_id").alias("upload_no"), "file_hash", F.expr("document_id div 10").alias("batch_id")), files.where("document_id % 2 = 0")
 
 
@@ -380,12 +316,12 @@ def applied_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {MESSAGES} SELECT chat_id, any_value(username) AS username, count(*) AS messages, max(created_at) AS last_at FROM messages GROUP BY chat_id")
 def chat_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return workspace.list_chats(_messages(spark, sf_dir))
+    return workspace.list_chats(stored_messages(spark, sf_dir))
 
 
 @query(f"WITH {MESSAGES} SELECT chat_id, message_id, row_number() OVER (PARTITION BY chat_id ORDER BY created_at, message_id)::INT AS rank FROM messages QUALIFY rank <= 200")
 def message_first_200(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return workspace.first_messages(_messages(spark, sf_dir)).select("chat_id", "message_id", "rank")
+    return workspace.first_messages(stored_messages(spark, sf_dir)).select("chat_id", "message_id", "rank")
 
 
 @query("SELECT c_custkey, c_name FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 50 OFFSET 20")
@@ -395,7 +331,7 @@ def paged_users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {MESSAGES} SELECT message_id, (len(list_filter(range(1, length(text)::BIGINT + 1), lambda i: lower(substr(text, i, 2)) = 'en')))::INT AS occurrences FROM messages WHERE role IN ('user', 'assistant') AND contains(lower(text), 'en')")
 def search_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return workspace.search_messages(_messages(spark, sf_dir), "En").select("message_id", "occurrences")
+    return workspace.search_messages(stored_messages(spark, sf_dir), "En").select("message_id", "occurrences")
 
 
 @query("SELECT user_id, event_type, event_id AS last_id FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) WHERE event_type <> 'error'")
@@ -406,7 +342,7 @@ def current_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {FILES}, gone AS (SELECT DISTINCT username, chat_id FROM files WHERE document_id % 97 = 0) SELECT username, chat_id, count(*) AS n FROM files ANTI JOIN gone USING (username, chat_id) GROUP BY ALL")
 def delete_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = _files(spark, sf_dir)
+    files = stored_files(spark, sf_dir)
     left = workspace.delete_cascade({"documents": files}, files.where("document_id % 97 = 0"))["documents"]
     return left.groupBy("username", "chat_id").agg(F.count("*").alias("n"))
 
@@ -417,25 +353,16 @@ def merge_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workspace.merge_latest(events.where("event_id % 3 = 0"), events.where("event_id % 2 = 0").withColumn("event_type", F.lit("new")), "event_id")
 
 
-JOBS = "jobs AS (SELECT event_id AS job_id, CASE event_type WHEN 'view' THEN 'queued' WHEN 'click' THEN 'processing' WHEN 'error' THEN 'failed' ELSE 'completed' END AS status, ts AS updated_at, (event_id % 5)::INT AS retry_count, 3 AS max_retries FROM events)"
-
-
-def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.col("event_type")
-    status = F.when(kind == "view", "queued").when(kind == "click", "processing").when(kind == "error", "failed").otherwise("completed")
-    return table(spark, sf_dir, "events").select(F.col("event_id").alias("job_id"), status.alias("status"), F.col("ts").cast("timestamp").alias("updated_at"), (F.col("event_id") % 5).cast("int").alias("retry_count"), F.lit(3).alias("max_retries"))
-
-
 @query(f"""WITH {JOBS}, a AS (SELECT *, floor(epoch(TIMESTAMP '{AS_OF}')) - floor(epoch(updated_at)) AS age FROM jobs)
 SELECT job_id, status IN ('queued', 'processing') AS active, status = 'failed' AND retry_count < max_retries AS can_retry, status = 'processing' AND age > 120 AS stale, status IN ('completed', 'failed') AND age > 3600 AS expired FROM a""")
 def job_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return workspace.job_flags(_jobs(spark, sf_dir), F.lit(AS_OF).cast("timestamp")).select("job_id", "active", "can_retry", "stale", "expired")
+    return workspace.job_flags(stored_jobs(spark, sf_dir), F.lit(AS_OF).cast("timestamp")).select("job_id", "active", "can_retry", "stale", "expired")
 
 
 @query(f"""WITH {JOBS}, a AS (SELECT *, floor(epoch(TIMESTAMP '{AS_OF}')) - floor(epoch(updated_at)) AS age FROM jobs)
 SELECT job_id, CASE WHEN status = 'processing' AND age > 120 THEN 'queued' ELSE status END AS status, CASE WHEN status = 'processing' AND age > 120 THEN TIMESTAMP '{AS_OF}' ELSE updated_at END AS updated_at FROM a WHERE NOT (status IN ('completed', 'failed') AND age > 3600)""")
 def recovered_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    jobs, now = _jobs(spark, sf_dir), F.lit(AS_OF).cast("timestamp")
+    jobs, now = stored_jobs(spark, sf_dir), F.lit(AS_OF).cast("timestamp")
     log = workspace.change_rows(jobs, "insert", F.col("updated_at"), F.lit(0)).unionByName(workspace.recover_and_expire(jobs, now, F.lit(1)).withColumn("change_ts", F.lit("9999-01-01").cast("timestamp")))
     return workspace.current_state(log, ["job_id"]).select("job_id", "status", "updated_at")
 
@@ -443,21 +370,21 @@ def recovered_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT username, chat_id, job_id, place FROM (SELECT *, row_number() OVER (PARTITION BY username, chat_id ORDER BY created_at DESC, job_id DESC)::INT AS place FROM (SELECT source AS username, lang AS chat_id, doc_id AS job_id, doc_id % 1000 AS created_at FROM documents WHERE doc_id % 3 < 2)) WHERE place <= 5")
 def listed_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(F.col("document_id") % 3 == 0, "queued").when(F.col("document_id") % 3 == 1, "processing").otherwise("failed")
-    jobs = _files(spark, sf_dir).select("username", "chat_id", F.col("document_id").alias("job_id"), status.alias("status"), "created_at")
+    jobs = stored_files(spark, sf_dir).select("username", "chat_id", F.col("document_id").alias("job_id"), status.alias("status"), "created_at")
     return workspace.list_jobs(jobs, 5, True).select("username", "chat_id", "job_id", "place")
 
 
 @query("SELECT doc_id AS job_id FROM documents WHERE doc_id % 3 = 0 ORDER BY doc_id % 1000, doc_id LIMIT 20")
 def oldest_queued(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(F.col("document_id") % 3 == 0, "queued").otherwise("failed")
-    return workspace.next_queued(_files(spark, sf_dir).select(F.col("document_id").alias("job_id"), status.alias("status"), "created_at"), 20).select("job_id")
+    return workspace.next_queued(stored_files(spark, sf_dir).select(F.col("document_id").alias("job_id"), status.alias("status"), "created_at"), 20).select("job_id")
 
 
 @query(f"""WITH {MESSAGES}, m AS (SELECT message_id AS qid, chat_id, username, text, created_at, message_id % 3 AS k FROM messages WHERE role = 'user')
 SELECT qid || '-user' AS message_id, chat_id, username, 'user' AS role, text AS content, created_at FROM m UNION ALL
-SELECT qid || '-assistant', chat_id, username, 'assistant', CASE k WHEN 0 THEN {_quoted(rules.FALLBACK_ANSWER)} WHEN 1 THEN 'Answer to ' || text ELSE 'Answer to ' || text || chr(10) || chr(10) || '<!--larkdoc:sources:' || to_base64(('["' || username || '"]')::BLOB) || '-->' END, created_at + INTERVAL 1 MICROSECOND FROM m""")
+SELECT qid || '-assistant', chat_id, username, 'assistant', CASE k WHEN 0 THEN {quoted(rules.FALLBACK_ANSWER)} WHEN 1 THEN 'Answer to ' || text ELSE 'Answer to ' || text || chr(10) || chr(10) || '<!--larkdoc:sources:' || to_base64(('["' || username || '"]')::BLOB) || '-->' END, created_at + INTERVAL 1 MICROSECOND FROM m""")
 def conversation_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = _messages(spark, sf_dir).where("role = 'user'").select(F.col("message_id").alias("qid"), "username", "chat_id", F.col("text").alias("question"), "created_at")
+    said = stored_messages(spark, sf_dir).where("role = 'user'").select(F.col("message_id").alias("qid"), "username", "chat_id", F.col("text").alias("question"), "created_at")
     sources = F.when(F.col("qid") % 3 == 2, F.array("username", F.concat(F.lit(" "), "username")))
     replies = said.where("qid % 3 <> 0").select("qid", F.concat(F.lit("Answer to "), "question").alias("answer"), sources.alias("sources"))
     return workspace.conversation_log(said, replies)
@@ -469,7 +396,7 @@ CASE WHEN document_id % 5 = 1 AND n > 1 THEN 'ask_user' WHEN document_id % 5 = 2
 CASE document_id % 5 WHEN 0 THEN [i] WHEN 2 THEN list_slice([1, 2], 1, least(n, 2)) WHEN 3 THEN list_slice([1, 2], 1, least(n, 2)) ELSE [] END AS indexes FROM f JOIN n USING (username, chat_id)""")
 def routed_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind, name = F.col("document_id") % 5, F.concat(F.lit("zz"), F.md5(F.col("document_id").cast("string")), F.lit(".txt"))
-    held = workspace.document_numbers(_files(spark, sf_dir)).withColumn("name", name)
+    held = workspace.document_numbers(stored_files(spark, sf_dir)).withColumn("name", name)
     said = F.when(kind == 0, "ids").when(kind == 1, "summary").when(kind == 2, "document 1 and document 2").when(kind == 3, "compare document 1 and document 2").otherwise("hello there")
     ids = F.when(kind == 0, F.array(F.concat(F.lit(" "), F.col("document_id").cast("string"))))
     asked = held.select(F.col("document_id").alias("qid"), "username", "chat_id", said.alias("question"), ids.alias("selected_ids"))
@@ -479,17 +406,25 @@ def routed_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {MESSAGES}, u AS (SELECT username, count(*) AS n FROM messages WHERE role = 'user' GROUP BY username ORDER BY n DESC, username LIMIT 10)
 SELECT 'top_users' AS part, username AS name, n FROM u UNION ALL SELECT 'per_day', strftime(created_at, '%Y-%m-%d'), count(*) FROM messages WHERE created_at >= TIMESTAMP '{AS_OF}' - INTERVAL 14 DAY GROUP BY ALL""")
 def usage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analytics.usage_report(_messages(spark, sf_dir), "created_at", F.lit(AS_OF).cast("timestamp"), 14)
+    return analytics.usage_report(stored_messages(spark, sf_dir), "created_at", F.lit(AS_OF).cast("timestamp"), 14)
 
 
 @query(f"""WITH {JOBS}, w AS (SELECT DISTINCT event_id * 2 AS job_id FROM events)
 SELECT job_id, CASE WHEN status IS NULL THEN 'not found' WHEN status <> 'failed' THEN 'not failed' WHEN retry_count >= max_retries THEN 'limit exceeded' END AS error FROM w LEFT JOIN jobs USING (job_id)""")
 def retry_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = table(spark, sf_dir, "events").select((F.col("event_id") * 2).alias("job_id"))
-    return workspace.retry_errors(wanted, _jobs(spark, sf_dir))
-
-
-@query()
+    return workspace.retry_errors(wanted, stored_jobs(spark, sf_dir))
+
+
+@query(f"""WITH t AS (SELECT source AS username, lang AS chat_id, doc_id, list_distinct({tokens_sql('text')}) AS toks, {tokens_sql('text')} AS l FROM documents WHERE len({tokens_sql('text')}) > 0),
+u AS (SELECT doc_id, token, min(pos) AS pos FROM (SELECT doc_id, unnest(l) AS token, unnest(range(len(l))) AS pos FROM t) GROUP BY ALL),
+e AS (SELECT doc_id, arg_min(token, pos) AS first_token, arg_max(token, pos) AS last_token FROM u GROUP BY doc_id),
+d AS (SELECT username, chat_id, row_number() OVER (PARTITION BY username, chat_id ORDER BY doc_id)::INT AS upload_index, 'Report ' || first_token || ' ' || last_token || '.txt' AS name FROM t JOIN e USING (doc_id)),
+a0 AS (SELECT *, {FOLDED.format('name')} AS full_name, {FOLDED.format("regexp_replace(name, '[.][^.]*$', '')")} AS stem FROM d),
+a AS (SELECT username, chat_id, upload_index, unnest([CASE WHEN length(full_name) >= 3 THEN full_name END, CASE WHEN length(stem) >= 3 THEN stem END, CASE WHEN len(string_split(stem, ' ')) >= 3 THEN array_to_string(string_split(stem, ' ')[-3:], ' ') END]) AS alias FROM a0),
+q AS (SELECT item_id AS qid, 'src' || (item_id % 20) AS username, 'en' AS chat_id, {FOLDED.format("'document ' || (item_id % 9 + 1) || ' ' || text")} AS folded FROM benchmark),
+n AS (SELECT qid, username, chat_id, unnest(regexp_extract_all(folded, {quoted(rules.DOCUMENT_NUMBER)}, 1))::INT AS upload_index FROM q)
+SELECT qid, upload_index FROM n JOIN d USING (username, chat_id, upload_index) UNION SELECT qid, upload_index FROM q JOIN d USING (username, chat_id) WHERE regexp_matches(folded, {quoted(rules.ALL_DOCUMENTS)}) UNION SELECT qid, upload_index FROM q JOIN a USING (username, chat_id) WHERE contains(folded, alias)""")
 def select_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat(F.lit("Report "), F.element_at(text.token_set(F.col("text")), 1), F.lit(" "), F.element_at(F.reverse(text.token_set(F.col("text"))), 1), F.lit(".txt"))
     named = workspace.document_numbers(table(spark, sf_dir, "documents").where(F.size(text.token_set(F.col("text"))) > 0).select(F.col("source").alias("username"), F.col("lang").alias("chat_id"), F.col("doc_id").alias("document_id"), F.lit(0).alias("created_at"), name.alias("name")))
@@ -515,7 +450,7 @@ def dashboard_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {MESSAGES} SELECT username, count(*) AS messages FROM messages WHERE role = 'user' GROUP BY username ORDER BY messages DESC, username LIMIT 10")
 def top_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analytics.top_users(_messages(spark, sf_dir))
+    return analytics.top_users(stored_messages(spark, sf_dir))
 
 
 @query(f"SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events WHERE ts >= TIMESTAMP '{AS_OF}' - INTERVAL 14 DAY GROUP BY day")
@@ -556,23 +491,31 @@ def rate_limit_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.rate_limit(events, 3, 3600.0)
 
 
-def _job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _job_events(events: DataFrame) -> DataFrame:
     kinds = {"view": "progress", "click": "claim", "error": "fail", "purchase": "complete", "signup": "queue"}
     kind = F.coalesce(*[F.when(F.col("event_type") == k, v) for k, v in kinds.items()])
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("event_no"), F.when((kind == "queue") & (F.col("event_id") % 2 == 0), "retry").otherwise(kind).alias("kind"), F.floor("value").cast("int").alias("progress"), F.floor(F.col("value") / 2).cast("long").alias("chunks"), F.when(kind == "fail", F.col("props")).alias("detail"), F.col("ts").cast("timestamp").alias("ts"))
+    return events.select(F.col("user_id").alias("job_id"), F.col("event_id").alias("event_no"), F.when((kind == "queue") & (F.col("event_id") % 2 == 0), "retry").otherwise(kind).alias("kind"), F.floor("value").cast("int").alias("progress"), F.floor(F.col("value") / 2).cast("long").alias("chunks"), F.when(kind == "fail", F.col("props")).alias("detail"), F.col("ts").cast("timestamp").alias("ts"))
 
 
 @query("""SELECT job_id, status, retry_count, chunks FROM (SELECT user_id AS job_id, max_by(CASE WHEN event_type = 'view' OR event_type = 'click' THEN 'processing' WHEN event_type = 'error' THEN 'failed' WHEN event_type = 'purchase' THEN 'completed' ELSE 'queued' END, event_id) AS status, (count(*) FILTER (event_type = 'signup' AND event_id % 2 = 0))::INT AS retry_count, greatest(0, max(floor(value / 2)))::BIGINT AS chunks FROM events GROUP BY user_id)""")
 def job_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state.job_snapshot(_job_events(spark, sf_dir)).select("job_id", "status", "retry_count", "chunks")
+    return state.job_snapshot(_job_events(table(spark, sf_dir, "events"))).select("job_id", "status", "retry_count", "chunks")
+
 
+@query(ORACLES["job_snapshot"])
+def job_snapshot_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feeds.folded_jobs(spark, sf_dir, _job_events).select("job_id", "status", "retry_count", "chunks")
 
-@query(f"""WITH RECURSIVE {MESSAGES}, a AS (SELECT message_id, chat_id, epoch(created_at) AS sec, message_id % 3 = 0 AS unclear, regexp_matches(trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', ' ', 'g')), {_quoted(rules.DOCUMENT_NUMBER)}) OR message_id % 4 = 0 AS selects, row_number() OVER (PARTITION BY chat_id ORDER BY created_at, message_id) AS i FROM messages WHERE role = 'user'),
+
+query(ORACLES["rate_limit_replay"])(feeds.rate_limit_live)
+
+
+@query(f"""WITH RECURSIVE {MESSAGES}, a AS (SELECT message_id, chat_id, epoch(created_at) AS sec, message_id % 3 = 0 AS unclear, regexp_matches(trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', ' ', 'g')), {quoted(rules.DOCUMENT_NUMBER)}) OR message_id % 4 = 0 AS selects, row_number() OVER (PARTITION BY chat_id ORDER BY created_at, message_id) AS i FROM messages WHERE role = 'user'),
 s AS (SELECT message_id, chat_id, i, CASE WHEN unclear AND NOT selects THEN sec END AS waits, CASE WHEN unclear AND NOT selects THEN 'waiting' ELSE 'plain' END AS outcome FROM a WHERE i = 1 UNION ALL
 SELECT a.message_id, a.chat_id, a.i, CASE WHEN (s.waits IS NULL OR a.sec - s.waits > 900) AND unclear AND NOT selects THEN a.sec END, CASE WHEN s.waits IS NOT NULL AND a.sec - s.waits <= 900 THEN CASE WHEN selects THEN 'resolved' ELSE 'cleared' END WHEN unclear AND NOT selects THEN 'waiting' ELSE 'plain' END FROM s JOIN a ON a.chat_id = s.chat_id AND a.i = s.i + 1)
 SELECT message_id, outcome FROM s""")
 def pending_scope_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = _messages(spark, sf_dir).where("role = 'user'")
+    said = stored_messages(spark, sf_dir).where("role = 'user'")
     folded = text.fold_text("text")
     return state.pending_scopes(said.select("message_id", "chat_id", F.unix_timestamp("created_at").alias("at"), (F.col("message_id") % 3 == 0).alias("ambiguous"), (text.matches(folded, rules.DOCUMENT_NUMBER) | (F.col("message_id") % 4 == 0)).alias("selects")))
 
@@ -585,6 +528,9 @@ def answer_memo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.answer_memo(asked, 20_000)
 
 
+query(ORACLES["answer_memo"])(feeds.answer_memo_live)
+
+
 # --- outlines ---
 
 
@@ -682,14 +628,14 @@ def normalized_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {FILES} SELECT username, chat_id, document_id || '.txt' AS name, 100 AS progress, false AS pending FROM files WHERE document_id % 4 <> 0 UNION ALL SELECT username, chat_id, document_id || '.txt', least(99, document_id % 150)::INT, true FROM files WHERE document_id % 4 = 0""")
 def upload_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = _files(spark, sf_dir).withColumn("name", F.concat(F.col("document_id").cast("string"), F.lit(".txt")))
+    files = stored_files(spark, sf_dir).withColumn("name", F.concat(F.col("document_id").cast("string"), F.lit(".txt")))
     jobs = files.where("document_id % 4 = 0").select("username", "chat_id", F.lit("processing").alias("status"), F.array("name").alias("original_names"), (F.col("document_id") % 150).cast("int").alias("progress"))
     return workspace.upload_listing(files.where("document_id % 4 <> 0"), jobs)
 
 
 @query(f"""WITH {FILES} SELECT document_id AS job_id, CASE WHEN document_id % 7 = 0 THEN 'no owner or chat' WHEN document_id % 5 = 0 THEN 'no files' WHEN document_id % 3 = 0 THEN 'missing files: /up/' || document_id END AS error FROM files""")
 def payload_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = _files(spark, sf_dir)
+    files = stored_files(spark, sf_dir)
     path, n = F.concat(F.lit("/up/"), F.col("document_id").cast("string")), F.col("document_id")
     jobs = files.select(n.alias("job_id"), F.when(n % 7 != 0, F.col("username")).alias("username"), "chat_id", F.when(n % 5 != 0, F.array(path)).otherwise(F.array().cast("array<string>")).alias("file_paths"))
     return workspace.payload_errors(jobs, files.where("document_id % 3 <> 0").select(path.alias("path")))
