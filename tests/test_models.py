@@ -33,6 +33,55 @@ def test_chunks_cover_the_text(body, size, overlap):
     assert all(c.isspace() or i in covered for i, c in enumerate(body)) or overlap > 0
 
 
+def plain_chunks(body, lo, hi, size, overlap, separators):
+    """The splitter by places in the text instead of pieces of it."""
+    separator, rest = next((s, separators[i + 1 :]) for i, s in enumerate(separators) if s in body[lo:hi])
+    cuts, at = [lo], body.find(separator, lo, hi) if separator else hi
+    while separator and at >= 0:
+        cuts.append(at)
+        at = body.find(separator, at + len(separator), hi)
+    cuts = [*range(lo, hi)] if not separator else cuts
+    spans = [(a, b) for a, b in zip(cuts, [*cuts[1:], hi]) if a < b]
+    runs, out = [[]], []
+    for span in spans:
+        if span[1] - span[0] < size:
+            runs[-1].append(span)
+        else:
+            runs += [span, []]
+    for run in runs:
+        if isinstance(run, tuple):
+            out += plain_chunks(body, *run, size, overlap, rest) if rest else [body[run[0] : run[1]]]
+            continue
+        first = last = 0
+        while last < len(run):
+            last = first
+            while last < len(run) and run[last][1] - run[first][0] <= size:
+                last += 1
+            if said := body[run[first][0] : run[last - 1][1]].strip():
+                out.append(said)
+            if last < len(run):
+                while first < last and (run[last - 1][1] - run[first][0] > overlap or run[last][1] - run[first][0] > size):
+                    first += 1
+    return out
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab \n", max_size=80), st.integers(2, 12), st.integers(0, 5))
+def test_chunks_are_the_plain_splitters(body, size, overlap):
+    overlap = min(overlap, size - 1)
+    assert list(chunking.split_text(body, size, overlap)) == plain_chunks(body, 0, len(body), size, overlap, chunking.SEPARATORS)
+
+
+def test_all_documents_are_cut_like_the_plain_splitters(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    want = {}
+    for r in docs.where("text is not null").collect():
+        cut = plain_chunks(r["text"], 0, len(r["text"]), rules.CHUNK_SIZE, rules.CHUNK_OVERLAP, chunking.SEPARATORS)
+        want |= {(r["doc_id"], i): c for i, c in enumerate(cut)}
+    got = {(r["doc_id"], r["chunk_no"]): r["text"] for r in chunking.chunk_documents(docs).collect()}
+    assert got == want
+
+
 def test_chunk_numbers(spark):
     docs = spark.createDataFrame([(5, "a"), (9000, "word " * 700), (2, " x "), (3, " \n ")], "doc_id long, text string")
     found = chunking.number_chunks(chunking.chunk_documents(docs)).orderBy("chunk_index").collect()
