@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -21,11 +22,11 @@ SPACE = "▁"
 class Pieces:
     """A piece vocabulary: ``pieces`` and ``scores`` by id, ``byte_ids`` for the bytes of unknown characters.
 
-    ``kind`` "unigram": at each position the automaton's output links give the pieces that end
-    there, and each relaxes the best sum of scores (Viterbi). ``kind`` "bpe": the scores are merge
-    priorities, whose sums mean nothing, so the same pass relaxes by compatibility instead: the
-    prefix's encoding ends with the one piece that merging would not join with the piece before it.
-    The result is what merging pair by pair gives, in time proportional to the text.
+    One Viterbi pass serves both kinds: at each position the automaton's output links give the
+    pieces that end there, and each relaxes the best score reached. ``kind`` "unigram": a path's
+    score is the sum of its pieces' scores. ``kind`` "bpe": the scores are merge priorities, whose
+    sums mean nothing; a path scores 0 where merging leaves each two neighbours as they are, and
+    minus infinity elsewhere. One path scores 0, and that is what merging pair by pair gives.
 
     Pieces hold a space mark only at their beginning (or alone), so what stands between two spaces
     is encoded alone, and kept for the next time; ``words`` bounds how many are kept.
@@ -37,10 +38,13 @@ class Pieces:
         self.pieces, self.scores, self.byte_ids, self.kind, self.unknown_id, self.words = pieces, scores, byte_ids, kind, unknown_id, words
         self.id_of = {p: i for i, p in pieces.items()}
         self.text_of = {i: p.replace(SPACE, " ").encode() for i, p in pieces.items()} | {i: bytes([b]) for b, i in enumerate(byte_ids)} | ({} if unknown_id in byte_ids else {unknown_id: " ⁇ ".encode()})
+        self.chars = frozenset(p for p in self.id_of if len(p) == 1)
         self.splits: dict[int, tuple[int, int]] = {}
         self.order = {i: k for k, i in enumerate(sorted(pieces, key=lambda i: (-scores[i], i)))}
+        self.joins: dict[int, int] = {}
         if kind == "bpe":
             self._learn_splits()
+        self.gains = scores if kind != "bpe" else dict.fromkeys(pieces, 0.0)
         self.automaton = ahocorasick.Automaton()
         for i, p in pieces.items():
             if len(p) == 1 or kind != "bpe" or i in self.splits:
@@ -49,13 +53,17 @@ class Pieces:
         alone = "".join(re.escape(c) for c in "\n\t\r" if c not in self.id_of)
         self.chunks = re.compile(f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" + (f"|[{alone}]" if alone else ""))
         self.known: dict[str, bytes] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
 
     def __getstate__(self):
         return {**self.__dict__, "known": {}, "pairs": {}}
 
     def _learn_splits(self) -> None:
-        """The last merge of each piece that merging can make, shorter pieces first."""
+        """The last merge of each piece that merging can make, and the rank of any two pieces' merge."""
+        for i, p in self.pieces.items():
+            for k in range(1, len(p)):
+                if (a := self.id_of.get(p[:k])) is not None and (b := self.id_of.get(p[k:])) is not None:
+                    self.joins[a << 32 | b] = self.order[i]
         for i in sorted(self.pieces, key=lambda i: len(self.pieces[i])):
             parts = [self.id_of.get(c) for c in self.pieces[i]]
             if None in parts or len(parts) == 1:
@@ -68,6 +76,7 @@ class Pieces:
                 last, parts[k : k + 2] = (parts[k], parts[k + 1]), [joined]
             if parts == [i]:
                 self.splits[i] = last
+        self.ranks = {i: self.order[i] for i in self.splits}
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether merging the two pieces' characters leaves these two pieces.
@@ -75,26 +84,25 @@ class Pieces:
         Walks back through both pieces' merges, the latest first: the parts that touch at the seam
         must not have had a merge with each other before the merge that took them away.
         """
-        key = (left, right)
+        key = left << 32 | right
         if key in self.pairs:
             return self.pairs[key]
-        order, before = self.order, (1 << 60, 0)
-        good = True
+        joins, ranks, splits = self.joins, self.ranks, self.splits
+        before, on_right, good = 1 << 60, False, True
         while True:
-            joined = self.id_of.get(self.pieces[left] + self.pieces[right])
+            joined = joins.get(left << 32 | right)
             # of two merges of one kind the left one comes first
-            if joined is not None and (order[joined], 0.5) < before:
+            if joined is not None and (joined < before or joined == before and on_right):
                 good = False
                 break
-            ways = [(order[x], side, x) for side, x in ((0, left), (1, right)) if x in self.splits]
-            if not ways:
+            a, b = ranks.get(left, -1), ranks.get(right, -1)
+            if a < 0 and b < 0:
                 break
-            rank, side, x = max(ways)
-            before = (rank, side)
-            if side:
-                right = self.splits[x][0]
+            on_right = b >= a
+            if on_right:
+                before, right = b, splits[right][0]
             else:
-                left = self.splits[x][1]
+                before, left = a, splits[left][1]
         if len(self.pairs) > 250_000:
             self.pairs.clear()
         self.pairs[key] = good
@@ -102,16 +110,13 @@ class Pieces:
 
     def _segment(self, text: str) -> list[int]:
         """Ids of a stretch of known characters."""
-        n, viterbi = len(text), self.kind != "bpe"
-        last, best = [None] * (n + 1), [0.0] + [-1e300] * n
+        n, merged, gains = len(text), self.kind == "bpe", self.gains
+        last, best = [-1] * (n + 1), [0.0] + [-math.inf] * n
         for end, (i, size) in self.automaton.iter(text):
             end += 1
-            begin = end - size
-            if viterbi:
-                if (begin == 0 or last[begin] is not None) and best[begin] + self.scores[i] > best[end]:
-                    best[end], last[end] = best[begin] + self.scores[i], i
-            elif last[end] is None and (begin == 0 or last[begin] is not None and self.compatible(last[begin], i)):
-                last[end] = i
+            reached = best[end - size] + gains[i]
+            if reached > best[end] and (not merged or end == size or self.compatible(last[end - size], i)):
+                best[end], last[end] = reached, i
         ids = []
         while n:
             ids.append(last[n])
@@ -119,6 +124,8 @@ class Pieces:
         return ids[::-1]
 
     def _chunk(self, chunk: str) -> list[int]:
+        if self.chars.issuperset(chunk):
+            return self._segment(chunk)
         ids, at = [], 0
         for k, c in enumerate(chunk):
             if c not in self.id_of:
