@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice
@@ -79,14 +80,12 @@ class Pieces:
         self.ranks = {i: self.order[i] for i in self.splits}
 
     def compatible(self, left: int, right: int) -> bool:
-        """Whether merging the two pieces' characters leaves these two pieces.
+        """Whether merging the two pieces' characters leaves these two pieces; kept in ``pairs``.
 
         Walks back through both pieces' merges, the latest first: the parts that touch at the seam
         must not have had a merge with each other before the merge that took them away.
         """
         key = left << 32 | right
-        if key in self.pairs:
-            return self.pairs[key]
         joins, ranks, splits = self.joins, self.ranks, self.splits
         before, on_right, good = 1 << 60, False, True
         while True:
@@ -110,12 +109,16 @@ class Pieces:
 
     def _segment(self, text: str) -> list[int]:
         """Ids of a stretch of known characters."""
-        n, merged, gains = len(text), self.kind == "bpe", self.gains
+        n, merged, gains, pairs = len(text), self.kind == "bpe", self.gains, self.pairs
         last, best = [-1] * (n + 1), [0.0] + [-math.inf] * n
         for end, (i, size) in self.automaton.iter(text):
             end += 1
             reached = best[end - size] + gains[i]
-            if reached > best[end] and (not merged or end == size or self.compatible(last[end - size], i)):
+            if reached > best[end]:
+                if merged and end > size:
+                    good = pairs.get(last[end - size] << 32 | i)
+                    if not (self.compatible(last[end - size], i) if good is None else good):
+                        continue
                 best[end], last[end] = reached, i
         ids = []
         while n:
@@ -146,7 +149,8 @@ class Pieces:
                     del known[chunk]
                 new = set(chunks).difference(known)
             for chunk in new:
-                known[chunk] = np.array(self._chunk(chunk), "<u4").tobytes()
+                ids = self._chunk(chunk)
+                known[chunk] = struct.pack(f"<{len(ids)}I", *ids)
         return b"".join(map(known.__getitem__, chunks))
 
     def decode(self, ids: bytes) -> str:
