@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,10 +11,11 @@ from larkdoc.operators.vectors import knn_l2, metadata_filter
 
 
 class ChunkIndex:
-    """Chunks with embeddings under one folder, in versioned snapshots; the newest version is the index.
+    """Chunks with embeddings under one folder: parts that never change, and versions that list parts; the newest version is the index.
 
-    Every change writes a new version and never touches older ones, so a lost executor or a failed
-    write leaves the last version whole, and readers are not disturbed.
+    An append writes the new rows as a part, a deletion writes anew only the parts that hold rows to
+    remove; either then writes a version. Older versions and parts stay, so a lost executor or a failed
+    write leaves the last version whole, and readers are not disturbed. ``compact`` makes one part of all.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -30,33 +33,60 @@ class ChunkIndex:
     def versions(self) -> list[str]:
         return self._names(self.root, "version=")
 
+    def parts(self, version: str | None = None) -> list[str]:
+        """Names of the parts of a version, of the newest one if none is named."""
+        found = [version] if version else self.versions()[-1:]
+        return [r["part"] for v in found for r in self.spark.read.schema("part string").parquet(f"{self.root}/{v}").collect()]
+
+    def _read(self, parts: list[str]) -> DataFrame | None:
+        return self.spark.read.option("mergeSchema", True).parquet(*(f"{self.root}/parts/{p}" for p in parts)) if parts else None
+
     def read(self, version: str | None = None) -> DataFrame | None:
-        found = [version] if version else self.versions()
-        return self.spark.read.parquet(f"{self.root}/{found[-1]}") if found else None
+        return self._read(self.parts(version))
 
-    def write(self, rows: DataFrame) -> str:
+    def _publish(self, kept: list[str], rows: DataFrame) -> str:
+        """A new version of the parts ``kept`` and one of ``rows``."""
+        part = uuid.uuid4().hex
+        rows.write.parquet(f"{self.root}/parts/{part}")
         number = int(self.versions()[-1].removeprefix("version=")) + 1 if self.versions() else 1
-        rows.write.mode("overwrite").parquet(f"{self.root}/version={number:010d}")
+        self.spark.createDataFrame([(p,) for p in (*kept, part)], "part string").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/version={number:010d}")
         return f"version={number:010d}"
 
+    def write(self, rows: DataFrame) -> str:
+        return self._publish([], rows)
+
+    def compact(self) -> None:
+        if (held := self.read()) is not None:
+            self.write(held)
+
     def append(self, rows: DataFrame, overwrite: bool = False) -> int:
-        """Adds rows; a different vector length is an error unless ``overwrite``, which replaces the index. Returns the rows added."""
+        """Adds rows; a different vector length is an error unless ``overwrite``, which replaces the index. Returns the rows added.
+
+        Columns that only one side has are null on the other; where a column's type differs from the
+        index's, all rows are written anew in a type that holds both.
+        """
         held = self.read()
         size = lambda df: df.select(F.size("embedding").alias("n")).first()
         if held is not None and not overwrite and (a := size(held)) and (b := size(rows)) and a["n"] != b["n"]:
             raise ValueError(f"vectors of length {b['n']} don't fit an index of length {a['n']}")
-        self.write(rows if held is None or overwrite else held.unionByName(rows, allowMissingColumns=True))
-        return rows.count()
+        if held is None or overwrite:
+            self.write(rows)
+        elif all(rows.schema[c].dataType.simpleString() == held.schema[c].dataType.simpleString() for c in set(rows.columns) & set(held.columns)):
+            self._publish(self.parts(), rows)
+        else:
+            self.write(held.unionByName(rows, allowMissingColumns=True))
+        return self._read(self.parts()[-1:]).count() if held is None or overwrite else self.count() - held.count()
 
     def delete(self, wanted: dict[str, object]) -> int:
         """Removes rows by metadata, keeping the others' vectors; returns how many went."""
-        held = self.read()
-        if held is None:
+        parts = self.parts()
+        if not parts:
             return 0
-        n = metadata_filter(held, wanted).count()
-        if n:
-            self.write(metadata_filter(held, wanted, keep=False))
-        return n
+        part = F.regexp_extract("_metadata.file_path", r"/parts/([0-9a-f]+)/", 1)
+        hits = {r["_part"]: r["n"] for r in metadata_filter(self._read(parts).withColumn("_part", part), wanted).groupBy("_part").agg(F.count("*").alias("n")).collect()}
+        if hits:
+            self._publish([p for p in parts if p not in hits], metadata_filter(self._read(list(hits)), wanted, keep=False))
+        return sum(hits.values())
 
     def status(self, backups: str) -> DataFrame:
         """One row (document_count, backup_root_dir)."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import deque
 from collections.abc import Iterable, Iterator
 
@@ -49,21 +50,40 @@ def rate_limit(events: DataFrame, limit: int, window: float = 60.0) -> DataFrame
     return rows.mapInPandas(task, "event_id long, allowed boolean, retry_after long")
 
 
-def rate_limit_stream(events: DataFrame, limit: int, window: float = 60.0) -> DataFrame:
+#: Seconds added to event times: a stream's first watermark is 1970, and times up to then would come late to it. So event times may lie from 1844 to 2135.
+EVENT_SHIFT = 4_000_000_000
+
+
+def _timed(rows: DataFrame, late: str) -> DataFrame:
+    """``rows`` with the seconds ``at``, shifted, as event time."""
+    return rows.withColumn("event_time", F.timestamp_micros(((F.col("at") + EVENT_SHIFT) * 1_000_000).cast("long"))).withWatermark("event_time", late)
+
+
+def _forget_after(state: GroupState, seconds: float) -> None:
+    """Ends the state once the watermark has passed ``seconds``, unshifted."""
+    state.setTimeoutTimestamp(max(math.ceil((seconds + EVENT_SHIFT) * 1000), state.getCurrentWatermarkMs() + 1))
+
+
+def rate_limit_stream(events: DataFrame, limit: int, window: float = 60.0, late: str = "10 minutes") -> DataFrame:
     """``rate_limit`` over a stream: each micro-batch is ordered by (ts, event_id), the accepted times are the key's state.
 
-    State is kept for every key: a timeout by the clock would never let an ``availableNow`` run end.
+    Events may come up to ``late`` after later ones; Spark leaves out those that come after it. A key's
+    state goes once the watermark has passed the window of its last accepted time.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         log = deque(state.get[0]) if state.exists else deque()
         rows = pd.concat(list(frames)).sort_values(["at", "event_id"])
         found = list(limit_events(rows["at"], limit, window, log))
         state.update((list(log),))
+        _forget_after(state, log[-1] + window)
         yield pd.DataFrame({"event_id": rows["event_id"], "allowed": [a for a, _ in found], "retry_after": [r for _, r in found]})
 
-    timed = events.select("event_id", "key", (F.unix_micros("ts") / 1e6).alias("at"))
-    return timed.groupBy("key").applyInPandasWithState(step, "event_id long, allowed boolean, retry_after long", "log array<double>", "append", GroupStateTimeout.NoTimeout)
+    chosen = events.select("event_id", "key", (F.unix_micros("ts") / 1e6).alias("at"))
+    return _timed(chosen, late).groupBy("key").applyInPandasWithState(step, "event_id long, allowed boolean, retry_after long", "log array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def job_after(job: tuple, kind: str | None, progress: int | None, chunks: int | None, detail: str | None, ts: int | None) -> tuple:
@@ -166,10 +186,16 @@ def answer_memo(asked: DataFrame, ttl: float = rules.MEMO_SECONDS) -> DataFrame:
     return rows.mapInPandas(task, "ask_id long, reused boolean")
 
 
-def pending_scopes_stream(messages: DataFrame, ttl: float = rules.PENDING_SECONDS) -> DataFrame:
-    """``pending_scopes`` over a stream; the time of the waiting question is the chat's state, kept while it waits."""
+def pending_scopes_stream(messages: DataFrame, ttl: float = rules.PENDING_SECONDS, late: str = "10 minutes") -> DataFrame:
+    """``pending_scopes`` over a stream; the time of the waiting question is the chat's state, kept while it can be replied to.
+
+    Messages may come up to ``late`` after later ones; Spark leaves out those that come after it.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
+        if group.hasTimedOut:
+            group.remove()
+            return
         waiting = group.get[0] if group.exists else None
         rows, out = pd.concat(list(frames)).sort_values(["at", "message_id"]), []
         for turn in rows[["at", "ambiguous", "selects"]].itertuples(index=False):
@@ -179,16 +205,23 @@ def pending_scopes_stream(messages: DataFrame, ttl: float = rules.PENDING_SECOND
             group.remove()
         else:
             group.update((waiting,))
+            _forget_after(group, waiting + ttl)
         yield pd.DataFrame({"message_id": rows["message_id"], "outcome": out})
 
     chosen = messages.select("message_id", "chat_id", F.col("at").cast("double").alias("at"), "ambiguous", "selects")
-    return chosen.groupBy("chat_id").applyInPandasWithState(step, "message_id long, outcome string", "waiting double", "append", GroupStateTimeout.NoTimeout)
+    return _timed(chosen, late).groupBy("chat_id").applyInPandasWithState(step, "message_id long, outcome string", "waiting double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def answer_memo_stream(asked: DataFrame, ttl: float = rules.MEMO_SECONDS) -> DataFrame:
-    """``answer_memo`` over a stream; the time of the stored answer is the key's state."""
+def answer_memo_stream(asked: DataFrame, ttl: float = rules.MEMO_SECONDS, late: str = "10 minutes") -> DataFrame:
+    """``answer_memo`` over a stream; the time of the stored answer is the key's state, kept while it can be reused.
+
+    Questions may come up to ``late`` after later ones; Spark leaves out those that come after it.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
+        if group.hasTimedOut:
+            group.remove()
+            return
         stored = group.get[0] if group.exists else None
         rows, out = pd.concat(list(frames)).sort_values(["at", "ask_id"]), []
         for at in rows["at"]:
@@ -196,7 +229,8 @@ def answer_memo_stream(asked: DataFrame, ttl: float = rules.MEMO_SECONDS) -> Dat
             stored = stored if reused else at
             out.append(reused)
         group.update((float(stored),))
+        _forget_after(group, stored + ttl)
         yield pd.DataFrame({"ask_id": rows["ask_id"], "reused": out})
 
     chosen = asked.select("ask_id", "key", F.col("at").cast("double").alias("at"))
-    return chosen.groupBy("key").applyInPandasWithState(step, "ask_id long, reused boolean", "stored double", "append", GroupStateTimeout.NoTimeout)
+    return _timed(chosen, late).groupBy("key").applyInPandasWithState(step, "ask_id long, reused boolean", "stored double", "append", GroupStateTimeout.EventTimeTimeout)

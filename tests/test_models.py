@@ -10,6 +10,7 @@ from collections import deque
 from datetime import datetime, timedelta
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -155,6 +156,24 @@ def test_hash_embedding_and_neighbours(spark, tmp_path):
     assert not index.restore_latest(f"{tmp_path}/none").first()["restored"]
 
 
+def test_index_changes_write_only_what_changes(spark, tmp_path):
+    index = ChunkIndex(spark, f"{tmp_path}/index")
+    rows = lambda ids, **more: spark.createDataFrame([(i, [float(i), 1.0], "even" if i % 2 == 0 else "odd") for i in ids], "id long, embedding array<double>, label string").withColumns({k: F.lit(v) for k, v in more.items()})
+    assert index.append(rows(range(10))) == 10 and index.append(rows([21, 23], lang="en")) == 2
+    first, second = index.parts()
+    assert index.delete({"label": "even"}) == 5 and index.parts()[0] == second and first not in index.parts() and len(index.parts()) == 2
+    assert {(r["id"], r["lang"]) for r in index.read().collect()} == {(i, None) for i in (1, 3, 5, 7, 9)} | {(21, "en"), (23, "en")}
+    assert index.delete({"label": "none"}) == 0 and index.count() == 7 and index.read("version=0000000001").count() == 10
+    narrow = rows([31]).withColumn("embedding", F.col("embedding").cast("array<float>"))
+    assert index.append(narrow) == 1 and index.count() == 8 and len(index.parts()) == 1
+    assert index.append(rows([])) == 0 and index.count() == 8
+    with pytest.raises(ValueError):
+        index.append(spark.createDataFrame([(1, [1.0])], "id long, embedding array<double>"))
+    index.append(rows([40]))
+    index.compact()
+    assert len(index.parts()) == 1 and index.count() == 9
+
+
 def text_vector():
     return vectors.hash_embedding(F.lit("héllo"))
 
@@ -216,6 +235,20 @@ def test_state_streams_are_the_batches(spark, tmp_path):
     assert streamed(spark, tmp_path, asked, lambda s: state.answer_memo_stream(s, 500.0), "memo") == {tuple(r) for r in state.answer_memo(asked, 500.0).collect()}
 
 
+def test_state_ends_with_its_window(spark, tmp_path):
+    rows = [(i, i, float(i % 20 + i // 20 * 100_000), i) for i in range(40)]
+    asked = spark.createDataFrame(rows, "ask_id long, key long, at double, n int")
+    for k, part in enumerate((asked.where("n < 20"), asked.where("n >= 20"))):
+        part.coalesce(1).write.parquet(f"{tmp_path}/in/part={k}")
+    source = spark.readStream.schema(asked.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/part=*")
+    timed = source.select(F.col("ask_id").alias("event_id"), "key", F.timestamp_seconds("at").alias("ts"))
+    said = source.select(F.col("ask_id").alias("message_id"), F.col("key").alias("chat_id"), "at", F.lit(True).alias("ambiguous"), F.lit(False).alias("selects"))
+    for name, stream in (("limits", state.rate_limit_stream(timed, 3, 60.0)), ("memos", state.answer_memo_stream(source, 500.0)), ("replies", state.pending_scopes_stream(said, 120.0))):
+        query = stream.writeStream.format("memory").queryName(f"ended_{name}").option("checkpointLocation", f"{tmp_path}/{name}").trigger(availableNow=True).start()
+        query.awaitTermination()
+        assert spark.table(f"ended_{name}").count() == 40 and query.lastProgress["stateOperators"][0]["numRowsTotal"] == 20
+
+
 def test_daily_counts_stream_is_the_batch(spark, tmp_path):
     whole = events(spark, 200).withColumn("ts", F.expr("ts + make_dt_interval(0, event_id * 2)"))
     whole.coalesce(1).write.parquet(f"{tmp_path}/in")
