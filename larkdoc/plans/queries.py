@@ -187,7 +187,7 @@ def source_marker_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, sha256(text) AS file_hash, strlen(text)::BIGINT AS size FROM documents")
 def file_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("file_hash"), F.octet_length("text").cast("long").alias("size"))
+    return table(spark, sf_dir, "documents").select("doc_id", *extract.fingerprint(F.col("text").cast("binary")))
 
 
 @query(f"""SELECT doc_id, 0 AS chunk_no, (strpos(text, {strip_sql('text')}) - 1)::INT AS start_index, {strip_sql('text')} AS text FROM documents WHERE regexp_matches(text, '\\S') AND length(text) < 1500""")
@@ -232,8 +232,7 @@ def knn_l2_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT label, count(*) AS n FROM embeddings WHERE NOT (label IN (1, 3)) GROUP BY label")
 def delete_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = table(spark, sf_dir, "embeddings")
-    return held.join(vectors.metadata_filter(held, {"label": [1, 3]}).select("vec_id"), "vec_id", "left_anti").groupBy("label").agg(F.count("*").alias("n"))
+    return vectors.metadata_filter(table(spark, sf_dir, "embeddings"), {"label": [1, 3]}, keep=False).groupBy("label").agg(F.count("*").alias("n"))
 
 
 @query()

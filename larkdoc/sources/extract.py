@@ -23,12 +23,17 @@ from larkdoc.operators.common import written
 ROWS = "path string, extension string, page int, slide int, sheet string, text string, error string"
 
 
+def fingerprint(content: Column) -> list[Column]:
+    """(file_hash, size) of a file's bytes."""
+    return [F.sha2(content, 256).alias("file_hash"), F.length(content).cast("long").alias("size")]
+
+
 def read_files(spark: SparkSession, path: str, extensions: tuple[str, ...] = rules.EXTENSIONS) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected) files under ``path``: path, extension, content, file_hash, size; and path, reason."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     files = files.withColumn("extension", F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)))
     good = F.col("extension").isin(*extensions)
-    accepted = files.where(good).select("path", "extension", "content", F.sha2("content", 256).alias("file_hash"), F.length("content").cast("long").alias("size"))
+    accepted = files.where(good).select("path", "extension", "content", *fingerprint(F.col("content")))
     return accepted, files.where(~good).select("path", F.concat(F.lit("unsupported: "), "extension").alias("reason"))
 
 
@@ -271,7 +276,7 @@ def ingest(files: DataFrame, stamp: dict[str, str], embed: Callable[[Column], Co
     place = Window.partitionBy("path").orderBy(F.col("page").asc_nulls_first(), F.col("slide").asc_nulls_first(), F.col("sheet").asc_nulls_first(), "chunk_no")
     numbered = cut.withColumns({"chunk_index": F.row_number().over(place) - 1, "chunk_chars": F.length("text"), "extension": F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))})
     chunks = written(numbered.withColumn("embedding", embed(F.col("text"))).withColumns(stamps), "chunks")
-    named = files.select("path", text.display_name(F.col("path")).alias("name"), F.sha2("content", 256).alias("file_hash"), F.length("content").cast("long").alias("file_size"))
+    named = files.select("path", text.display_name(F.col("path")).alias("name"), *fingerprint(F.col("content"))).withColumnRenamed("size", "file_size")
     documents = named.join(rows.select("path").distinct(), "path", "left_semi").withColumns(stamps)
     jobs = files.select("path").join(rejects.groupBy("path").agg(F.min("reason").alias("reason")), "path", "left").select("path", F.when(F.col("reason").isNull(), "completed").otherwise("failed").alias("status"), "reason")
     result = files.agg(F.count("*").alias("files_processed")).crossJoin(chunks.agg(F.count("*").alias("chunks_indexed")))  # rows of one
