@@ -15,10 +15,13 @@ from larkdoc.llm.common import read_table
 from larkdoc.llm.embeddings import near_vectors
 from larkdoc.llm.fingerprints import edited_fingerprints
 from larkdoc.llm.near_duplicates import near_duplicates
+from larkdoc.llm.negatives import hard_negatives
 from larkdoc.llm.packing import pack
 from larkdoc.llm.pieces import decode_pieces, encode_pieces
 from larkdoc.llm.quality import quality_scores
+from larkdoc.llm.resampling import importance_resample
 from larkdoc.llm.secrets import BASE_RULES, scan_secrets
+from larkdoc.llm.sharding import sharded_documents
 from larkdoc.llm.substrings import dedup_substrings
 from larkdoc.llm.toxicity import toxicity_scores
 
@@ -88,10 +91,24 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"), F.length("text").cast("long").alias("decoded_chars"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors.withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharded_documents(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_fingerprints": op1_fingerprints, "op2_near_duplicates": op2_near_duplicates, "op3_secrets": op3_secrets, "op4_packing": op4_packing, "op5_substrings": op5_substrings, "op6_chat": op6_chat, "op7_quality": op7_quality, "op8_embeddings": op8_embeddings, "op9_toxicity": op9_toxicity, "op10_sentencepiece": op10_sentencepiece, "pipeline": pipeline}
+    return {"op1_fingerprints": op1_fingerprints, "op2_near_duplicates": op2_near_duplicates, "op3_secrets": op3_secrets, "op4_packing": op4_packing, "op5_substrings": op5_substrings, "op6_chat": op6_chat, "op7_quality": op7_quality, "op8_embeddings": op8_embeddings, "op9_toxicity": op9_toxicity, "op10_sentencepiece": op10_sentencepiece, "op11_negatives": op11_negatives, "op12_resampling": op12_resampling, "op13_sharding": op13_sharding, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
-    """The other queries (hashes of our own, classifiers, tokenizers) are tested against brute force, libraries or held-out rows."""
-    return {"op2_near_duplicates": oracles.NEAR_DUPLICATES, "op3_secrets": oracles.SECRETS, "op5_substrings": oracles.SUBSTRINGS, "op6_chat": oracles.chat(CONTROL_WORDS), "op8_embeddings": oracles.EMBEDDINGS}
+    """The other queries (hashes of our own, classifiers, tokenizers, crc32, random orders) are tested against brute force, libraries or held-out rows."""
+    return {"op2_near_duplicates": oracles.NEAR_DUPLICATES, "op3_secrets": oracles.SECRETS, "op5_substrings": oracles.SUBSTRINGS, "op6_chat": oracles.chat(CONTROL_WORDS), "op8_embeddings": oracles.EMBEDDINGS, "op11_negatives": oracles.NEGATIVES}
