@@ -42,11 +42,16 @@ def shared_dir(spark: SparkSession) -> str:
     return base or f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints')}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, for what is read more than once; it goes when the driver's JVM ends."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder's path in the shared one; it goes when the driver's JVM ends."""
     path = f"{shared_dir(spark)}/larkdoc-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, for what is read more than once; it goes when the driver's JVM ends."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

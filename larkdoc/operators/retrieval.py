@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from larkdoc.functions import rules, text
 from larkdoc.operators.common import small, top_rows, written
-from larkdoc.operators.nearest import best_rows
+from larkdoc.operators.nearest import Found, best_rows
 from larkdoc.operators.vectors import knn_l2
+from larkdoc.sources.postings import PostingIndex
 
 
 def _asked(questions: list[Row]) -> tuple:
@@ -27,8 +28,8 @@ def _asked(questions: list[Row]) -> tuple:
     return pa.array(list(held), pa.string()), np.cumsum(sizes) - sizes, sizes, owners, np.array([max(1, len(r["tokens"] or [])) for r in questions], float)
 
 
-def _overlaps(asked: tuple, chunks: pa.RecordBatch, at_once: int = 1 << 20) -> np.ndarray:
-    """The negative overlap of each question with each chunk (id, tokens), infinite where they share no token."""
+def _overlaps(asked: tuple, chunks: pa.RecordBatch, worst: np.ndarray, at_once: int = 1 << 20) -> Found:
+    """The negative overlap of questions and chunks (id, tokens) that share a token."""
     known, starts, sizes, owners, n_tokens = asked
     lists = chunks.column(1)
     row = np.repeat(np.arange(chunks.num_rows), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
@@ -42,7 +43,9 @@ def _overlaps(asked: tuple, chunks: pa.RecordBatch, at_once: int = 1 << 20) -> n
         place = np.arange(n.sum()) + np.repeat(starts[t] - np.cumsum(n) + n, n)
         counts += np.bincount(owners[place] * chunks.num_rows + np.repeat(r, n), minlength=len(counts))
     counts = counts.reshape(len(n_tokens), chunks.num_rows)
-    return np.where(counts > 0, -counts / n_tokens[:, None], np.inf)
+    cost = -counts / n_tokens[:, None]
+    query, row = np.nonzero((counts > 0) & (cost <= worst[:, None]))
+    return query, row, cost[query, row]
 
 
 def lexical_topk(questions: DataFrame, chunks: DataFrame, k: int = rules.TOP_K, keys: tuple[str, ...] = ("qid",)) -> DataFrame:
@@ -62,10 +65,11 @@ def query_variants(questions: DataFrame) -> DataFrame:
     return named.select("qid", F.posexplode(text.expand_queries(F.col("raw"), F.col("rewritten"))).alias("variant_no", "query"))
 
 
-def variant_hits(variants: DataFrame, chunks: DataFrame, k: int = rules.TOP_K) -> DataFrame:
-    """(qid, variant_no, chunk_id, rank): each variant's ``k`` best chunks by token overlap, ranks from 0."""
-    asked = variants.select("qid", "variant_no", text.token_set(F.col("query")).alias("tokens"))
-    return lexical_topk(asked, chunks, k, ("qid", "variant_no")).select("qid", "variant_no", "chunk_id", (F.col("rank") - 1).alias("rank"))
+def variant_hits(variants: DataFrame, chunks: DataFrame | PostingIndex, k: int = rules.TOP_K) -> DataFrame:
+    """(qid, variant_no, chunk_id, rank): each variant's ``k`` best chunks by token overlap, ranks from 0; from an index if there is one."""
+    asked, keys = variants.select("qid", "variant_no", text.token_set(F.col("query")).alias("tokens")), ("qid", "variant_no")
+    found = chunks.search(asked, k, keys) if isinstance(chunks, PostingIndex) else lexical_topk(asked, chunks, k, keys)
+    return found.select("qid", "variant_no", "chunk_id", (F.col("rank") - 1).alias("rank"))
 
 
 def vector_hits(variants: DataFrame, vectors: DataFrame, embed: Callable[[Column], Column], k: int = rules.MAX_TOP_K, wanted: dict[str, object] | None = None) -> DataFrame:

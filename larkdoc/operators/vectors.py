@@ -8,11 +8,12 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from larkdoc.functions import rules
-from larkdoc.operators.nearest import best_rows
+from larkdoc.operators.nearest import Found, best_rows
 
 
 def hash_embedding(text: Column, dimensions: int = rules.HASH_DIMENSIONS) -> Column:
@@ -46,25 +47,44 @@ def metadata_filter(df: DataFrame, wanted: dict[str, object], keep: bool = True)
     return df.where(found if keep else ~found)
 
 
-def _by_length(queries: list[Row]) -> tuple[int, dict[int, tuple[np.ndarray, np.ndarray]]]:
+def by_length(queries: list[Row]) -> tuple[int, dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """How many queries there are, and for each length of vectors the queries' places and vectors."""
     places: dict[int, list[int]] = {}
     for i, row in enumerate(queries):
         places.setdefault(len(row["embedding"]), []).append(i)
-    return len(queries), {n: (np.array(at), np.array([queries[i]["embedding"] for i in at], float)) for n, at in places.items()}
+    return len(queries), {n: (np.array(at), np.array([queries[i]["embedding"] for i in at], float).reshape(len(at), n)) for n, at in places.items()}
 
 
-def _distances(asked: tuple[int, dict], vectors: pa.RecordBatch) -> np.ndarray:
-    """Squared distances of queries and vectors (id, embedding), infinite where their lengths differ."""
-    out = np.full((asked[0], vectors.num_rows), np.inf)
-    lists = vectors.column(1).to_pylist()
-    sizes = np.array([len(v) for v in lists])
-    for n, (places, q) in asked[1].items():
+def vectors_by_length(lists: pa.ListArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, rows, vectors) of the lists of each length."""
+    sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    for n in np.unique(sizes):
         mine = np.flatnonzero(sizes == n)
-        if len(mine):
-            x = np.array([lists[i] for i in mine], float)
-            for at in range(0, len(q), 64):
-                out[np.ix_(places[at : at + 64], mine)] = ((q[at : at + 64, None] - x[None]) ** 2).sum(2)
-    return out
+        values = (lists if len(mine) == len(lists) else lists.take(pa.array(mine))).flatten()
+        yield int(n), mine, values.to_numpy(zero_copy_only=False).astype(float).reshape(len(mine), int(n))
+
+
+def squared(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows of ``q`` to all of ``x``, difference by difference."""
+    return np.concatenate([((q[at : at + 16, None] - x[None]) ** 2).sum(2) for at in range(0, len(q), 16)])
+
+
+def _distances(asked: tuple[int, dict], vectors: pa.RecordBatch, worst: np.ndarray) -> Found:
+    """Squared distances of queries and vectors (id, embedding) of one length."""
+    found = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
+    for n, mine, x in vectors_by_length(vectors.column(1)):
+        if n in asked[1]:
+            places, q = asked[1][n]
+            d2 = squared(q, x)
+            i, j = np.nonzero(d2 <= worst[places, None])
+            found.append((places[i], mine[j], d2[i, j]))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def usable(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, embedding as doubles) of the rows whose vector is there, without null or undefined components."""
+    plain = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x))
+    return rows.select(*keys, F.col("embedding").cast("array<double>").alias("embedding")).where("embedding is not null").where(plain)
 
 
 def knn_l2(queries: DataFrame, vectors: DataFrame, k: int, wanted: dict[str, object] | None = None, keys: tuple[str, ...] = ("qid",)) -> DataFrame:
@@ -74,7 +94,4 @@ def knn_l2(queries: DataFrame, vectors: DataFrame, k: int, wanted: dict[str, obj
     than a query's are no neighbours of it. ``wanted`` filters before any distance is computed.
     """
     vectors = metadata_filter(vectors, wanted) if wanted else vectors
-    plain = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x))
-    held = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).where("embedding is not null").where(plain)
-    asked = queries.select(*keys, F.col("embedding").cast("array<double>").alias("embedding")).where("embedding is not null").where(plain)
-    return best_rows(asked, list(keys), held, k, _by_length, _distances).select(*keys, "vec_id", F.col("cost").alias("d2"), "rank")
+    return best_rows(usable(queries, *keys), list(keys), usable(vectors, "vec_id"), k, by_length, _distances).select(*keys, "vec_id", F.col("cost").alias("d2"), "rank")

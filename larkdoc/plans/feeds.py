@@ -2,25 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkdoc.operators.common import shared_dir
+from larkdoc.operators.common import scratch
 from larkdoc.plans.tables import ORACLES, query, table
 from larkdoc.streaming import state, streams
 
 
-def _place(spark: SparkSession, label: str) -> str:
-    """A new folder in the shared one, which goes when the driver's JVM ends."""
-    root = f"{shared_dir(spark)}/larkdoc-{label}-{uuid.uuid4().hex}"
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return root
-
-
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     # a pattern, as a stream's path without one must be a folder, and a table may be one file
     return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parque[t]")
@@ -28,7 +19,7 @@ def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _run(rows: DataFrame, label: str, mode: str) -> DataFrame:
     """What a stream wrote: the last whole result in complete mode, all rows in append mode."""
-    spark, root = rows.sparkSession, _place(rows.sparkSession, label)
+    spark, root = rows.sparkSession, scratch(rows.sparkSession, label)
 
     def save(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/rows" if mode == "complete" else f"{root}/rows/batch={number}")
@@ -94,7 +85,7 @@ def answer_memo_live(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def folded_jobs(spark: SparkSession, sf_dir: str, job_events: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The last snapshot that ``streams.fold_jobs`` keeps of a stream of job events."""
-    root = _place(spark, "jobs")
+    root = scratch(spark, "jobs")
     streams.fold_jobs(job_events(_stream(spark, sf_dir, "events")), f"{root}/jobs", f"{root}/state").awaitTermination()
     latest = max(int(p.getPath().getName().removeprefix("version=")) for p in _listed(spark, f"{root}/jobs"))
     return spark.read.parquet(f"{root}/jobs/version={latest}")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from larkdoc.functions import rules, text
 from larkdoc.operators import analytics, answers, chunking, outline, retrieval, vectors, workspace
-from larkdoc.plans import changes, feeds, texts, uploads  # noqa: F401  (they register theirs)
+from larkdoc.plans import changes, feeds, indexed, texts, uploads  # noqa: F401  (they register theirs)
 from larkdoc.plans.tables import AS_OF, FILES, JOBS, MESSAGES, ORACLES, QUERIES, Query, asked_questions, query, quoted, stored_chunks, stored_files, stored_jobs, stored_messages, strip_sql, table, tokens_sql, ws_sql
 from larkdoc.sources import extract
 from larkdoc.streaming import state
@@ -109,6 +109,10 @@ def rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.rank_fusion(fused, asked, chunks).withColumn("score", F.round("score", 9))
 
 
+query(TOPK)(indexed.indexed_topk)
+query(ORACLES["rank_fusion"])(indexed.indexed_fusion)
+
+
 @query(f"WITH {QUESTION}, {HITS} SELECT qid, chunk_id, place, round(relevance, 9) AS relevance FROM kept")
 def relevance_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.retrieve(asked_questions(spark, sf_dir), stored_chunks(spark, sf_dir)).select("qid", "chunk_id", "place", F.round("relevance", 9).alias("relevance"))
@@ -230,6 +234,10 @@ def knn_l2_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.knn_l2(asked, held, rules.TOP_K, {"label": [1, 3]}).withColumn("d2", F.round("d2", 9))
 
 
+query(_knn_sql(""))(indexed.knn_cells)
+query(_knn_sql("WHERE label IN (1, 3)"))(indexed.knn_cells_filtered)
+
+
 @query("SELECT label, count(*) AS n FROM embeddings WHERE NOT (label IN (1, 3)) GROUP BY label")
 def delete_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.metadata_filter(table(spark, sf_dir, "embeddings"), {"label": [1, 3]}, keep=False).groupBy("label").agg(F.count("*").alias("n"))
