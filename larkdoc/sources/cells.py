@@ -107,13 +107,14 @@ class CellIndex:
         schema = T.StructType([*rows.schema, T.StructField("radius", T.DoubleType()), T.StructField("cell", T.IntegerType())])
         placed = rows.mapInArrow(assign, schema).repartition("cell", F.pmod(F.xxhash64("vec_id"), F.lit(_SPREAD))).sortWithinPartitions("cell", "radius")
         placed.write.mode("overwrite").partitionBy("cell").parquet(f"{self.root}/rows")
+        placed.limit(0).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/columns")
         stored = [(length, first + i, c.tolist()) for length, (first, own) in centres.items() for i, c in enumerate(own)]
         sizes = self.spark.read.schema(schema).parquet(f"{self.root}/rows").groupBy("cell").agg(F.count("*").alias("n"), F.min("radius").alias("low"), F.max("radius").alias("high"))
         known = self.spark.createDataFrame(stored, "length int, cell int, centre array<double>")
         known.join(sizes, "cell", "full_outer").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/cells")
 
     def rows(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/rows")
+        return self.spark.read.schema(self.spark.read.parquet(f"{self.root}/columns").schema).parquet(f"{self.root}/rows")
 
     def cells(self) -> Cells:
         """The table of cells, at most ``MOST_CELLS`` and one."""
