@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from larkdoc.llm.common import components, written
 
-SAMPLE, SUBSPACES, CODES, MOST_LISTS, BLOCK, PAIRS = 8192, 8, 64, 4096, 8192, 1 << 20
+SAMPLE, SUBSPACES, CODES, MOST_LISTS, BLOCK = 8192, 8, 64, 4096, 8192
+#: Queries and entries whose products are added up at once, in the cache.
+QUERIES_AT_ONCE, ENTRIES_AT_ONCE = 512, 512
 
 
 def _kmeans(points: np.ndarray, k: int, rounds: int, random: np.random.Generator) -> np.ndarray:
@@ -80,10 +82,14 @@ class ProductIndex:
         size = (self.coarse**2).sum(1)
         return size[:, None] + size[None] - 2 * self.coarse @ self.coarse.T
 
-    def decoded(self, number: int, codes: np.ndarray) -> np.ndarray:
-        """What the codes of a list's vectors stand for."""
+    def decoded(self, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """What the codes of vectors stand for."""
         rest = np.concatenate([self.books[s][codes[:, s]] for s in range(SUBSPACES)], 1)
-        return self.coarse[number] + rest[:, : self.coarse.shape[1]]
+        return self.coarse[lists] + rest[:, : self.coarse.shape[1]]
+
+    def tables(self, queries: np.ndarray) -> np.ndarray:
+        """(subspaces x codes x queries): the products of the queries' parts with all codes, looked up for each entry instead of multiplied."""
+        return np.einsum("scw,qsw->scq", self.books, self._split(queries)).astype(np.float32)
 
 
 def _joined(i: np.ndarray, j: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -111,19 +117,19 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id"
     by more than the entry's own coding error; the rest are reranked by exact cosines. So no link is
     missed. Vectors without structure in many columns probe nearly all lists, and time then grows
     with the square of the distinct vectors; a query is sent once to each group of lists, not to each
-    list. A group is searched in blocks of about ``BLOCK`` entries and queries, ``PAIRS`` pairs at a time;
-    a block gives counts and a smallest linked id for each vector, never pairs.
+    list. A group is searched in blocks of about ``BLOCK`` entries and queries: tables of the queries' products with all codes
+    are looked up for each entry and added to the product with its centre; a block gives counts and a smallest linked id for each vector, never pairs.
 
     Vectors of each length are compared among themselves, with an index of their own, one length
     after another. Null or zero vectors and those with null, infinite or undefined components link
-    with nothing, as do rows with a null id. Rows that share an id count each. No rows give no rows;
+    with nothing, as do rows with a null id. Rows that share an id count each and are linked by their own vectors only. No rows give no rows;
     other columns are ignored.
     """
     kind = np.float32 if "float" in dict(vectors.dtypes)[vector_col] else np.float64  # sent as they came
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     finite = F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)) & F.coalesce(F.exists("v", lambda x: x != 0), F.lit(False))
     good = finite & F.col("vec_id").isNotNull()
-    classes = written(rows.where(good).groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "vectors")
+    classes = written(rows.where(good).groupBy("v").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies")).withColumn("rep", F.monotonically_increasing_id()), "vectors")  # ids may be shared, so classes have keys of their own
     lengths = classes.groupBy(F.size("v").alias("length")).agg(F.count("*").alias("n")).where("n > 1").collect()  # a row for each length
     found = [_links(classes.where(F.size("v") == r["length"]), r["n"], cosine, kind) for r in sorted(lengths)]
     if found:
@@ -131,10 +137,12 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id"
         counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
         labels = components(found.where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b")))
         classes = classes.join(counts, "rep", "left").join(labels, F.col("rep") == F.col("node"), "left")
+        least = classes.where("component is not null").groupBy("component").agg(F.min("first").alias("smallest"))
+        classes = classes.join(least, "component", "left")
     else:
-        classes = classes.withColumns({"links": F.lit(None).cast("long"), "component": F.lit(None).cast("long")})
+        classes = classes.withColumns({"links": F.lit(None).cast("long"), "smallest": F.lit(None).cast("long")})
     # a vector finds itself, with all its copies
-    named = classes.select("v", (F.coalesce("links", "copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    named = classes.select("v", (F.coalesce("links", "copies") - 1).alias("n_links"), F.coalesce("smallest", "first").alias("component_id"))
     linked = rows.where(good).join(named, "v").select("vec_id", "n_links", "component_id")
     alone = rows.where(~good).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
@@ -191,35 +199,39 @@ def _links(classes: DataFrame, n: int, cosine: float, kind: type) -> DataFrame:
         index, entries = shared.value, entries.sort_values("list")
         x, q = (_units(np.frombuffer(b"".join(side["vector"]), kind).reshape(len(side), -1).astype(float)) for side in (entries, queries))
         codes = np.frombuffer(b"".join(entries["codes"]), np.uint8).reshape(len(entries), -1)
-        weights = entries["copies"].to_numpy()
+        lists, weights = entries["list"].to_numpy(), entries["copies"].to_numpy()
         ids, node = np.unique(np.concatenate([queries["rep"].to_numpy(), entries["rep"].to_numpy()]), return_inverse=True)
         places, links, edges = np.arange(len(ids)), np.zeros(len(ids), np.int64), []
-        numbers, begins = np.unique(entries["list"].to_numpy(), return_index=True)
-        spans = [(number, at, min(at + BLOCK, end)) for number, begin, end in zip(numbers, begins, [*begins[1:], len(x)], strict=True) for at in range(begin, end, BLOCK)]
-        coded = np.concatenate([index.decoded(number, codes[begin:end]) for number, begin, end in spans])
         # |q - c|^2 <= (reach + error)^2 as a product, for |q| = 1; single precision needs the slack
+        coded = index.decoded(lists, codes)
         least_product = ((1 + (coded**2).sum(1) - (reach + entries["error"].to_numpy() + 1e-4) ** 2 - 1e-5) / 2).astype(np.float32)
-        coded = coded.astype(np.float32)
-        for first in range(0, len(q), 1024):
-            asking = q[first : first + 1024]
-            probed, asking = index.probes(asking, reach), asking.astype(np.float32)
+        numbers, begins = np.unique(lists, return_index=True)
+        spans = [(number, at, min(at + ENTRIES_AT_ONCE, end)) for number, begin, end in zip(numbers, begins, [*begins[1:], len(x)], strict=True) for at in range(begin, end, ENTRIES_AT_ONCE)]
+        for first in range(0, len(q), QUERIES_AT_ONCE):
+            asking = q[first : first + QUERIES_AT_ONCE]
+            probed, tables, base = index.probes(asking, reach), index.tables(asking), (index.coarse @ asking.T).astype(np.float32)
             for number, begin, end in spans:
                 chosen = np.flatnonzero(probed[:, number])
-                step = max(1, PAIRS // (end - begin))
-                for some in (chosen[at : at + step] for at in range(0, len(chosen), step)):
-                    j, i = np.nonzero(coded[begin:end] @ asking[some].T >= least_product[begin:end, None])
-                    i, j = some[i] + first, j + begin
-                    exact = np.empty(len(i))
-                    for at in range(0, len(i), 1 << 17):
-                        exact[at : at + (1 << 17)] = np.einsum("ij,ij->i", q[i[at : at + (1 << 17)]], x[j[at : at + (1 << 17)]])
-                    linked = exact >= cosine
-                    i, j = i[linked], j[linked]
-                    np.add.at(links, node[i], weights[j])
-                    i, j = node[i], node[j + len(q)]
-                    if (i != j).any():
-                        least = _joined(i, j, places)
-                        moved = np.flatnonzero(least != places)
-                        edges.append(np.stack([moved, least[moved]]))
+                if not len(chosen):
+                    continue
+                own = tables if len(chosen) == len(asking) else np.ascontiguousarray(tables[:, :, chosen])
+                product = np.broadcast_to(base[number, chosen], (end - begin, len(chosen))).copy()
+                looked = np.empty_like(product)
+                for s in range(SUBSPACES):
+                    product += np.take(own[s], codes[begin:end, s], axis=0, out=looked)
+                j, i = np.nonzero(product >= least_product[begin:end, None])
+                i, j = chosen[i] + first, j + begin
+                exact = np.empty(len(i))
+                for at in range(0, len(i), 1 << 17):
+                    exact[at : at + (1 << 17)] = np.einsum("ij,ij->i", q[i[at : at + (1 << 17)]], x[j[at : at + (1 << 17)]])
+                linked = exact >= cosine
+                i, j = i[linked], j[linked]
+                np.add.at(links, node[i], weights[j])
+                i, j = node[i], node[j + len(q)]
+                if (i != j).any():
+                    least = _joined(i, j, places)
+                    moved = np.flatnonzero(least != places)
+                    edges.append(np.stack([moved, least[moved]]))
         label = _joined(*np.concatenate(edges, 1), places) if edges else places
         used = np.flatnonzero((links > 0) | (label != places))
         return pd.DataFrame({"rep": ids[used], "links": links[used], "least": ids[label[used]]})

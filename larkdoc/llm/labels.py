@@ -15,9 +15,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, learn_from: Co
     """(doc_id, text, label) of at most ``per_class`` documents of each label 0 and 1, chosen by a hash of their ids.
 
     ``docs`` has doc_id and text. Rows of ``labels`` outside ``learn_from`` or with null ids or labels don't
-    count; of ids labelled more than once the smallest label counts. The chosen ids are at most twice
+    count; of ids labelled more than once the smallest label counts, of rows that share an id the least text. The chosen ids are at most twice
     ``per_class``, so they are broadcast to the texts.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)").where(learn_from).groupBy("doc_id").agg(F.min("label").alias("label"))
     chosen = [known.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for value in (0, 1)]
-    return docs.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").dropDuplicates(["doc_id"]) if per_class else docs.withColumn("label", F.lit(0)).where("false")
+    return docs.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")) if per_class else docs.withColumn("label", F.lit(0)).where("false")

@@ -101,10 +101,52 @@ def bands_of(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def sketches_of(signatures: np.ndarray) -> list[bytes]:
-    """One byte of each slot."""
-    bytes_ = (rolling.mixed(signatures.view(np.uint64)) & np.uint64(255)).astype(np.uint8)
-    return [row.tobytes() for row in bytes_]
+def tokens_of(bag: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """A multiset as a set of 64-bit tokens: a shingle that is there for the k-th time is a token of its own."""
+    keys, counts = bag
+    turn = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+    return rolling.mixed(np.repeat(keys, counts) + turn.astype(np.uint64) * _GOLDEN)
+
+
+def parity_sketch(tokens: np.ndarray) -> bytes:
+    """Whether the tokens at each of a power of two of bits are odd in number; four times as many bits as tokens, from 256 to 65,536.
+
+    Two sets differ in at least as many tokens as their sketches do in bits, whatever the hash.
+    """
+    bits = 1 << int(np.clip(np.ceil(np.log2(max(1, 4 * len(tokens)))), 8, 16))
+    return np.packbits((np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(sketch: np.ndarray, size: int) -> np.ndarray:
+    """Sketches (rows of words) with as many words as ``size``: halves that fall together are added without carry."""
+    while sketch.shape[1] > size:
+        half = sketch.shape[1] // 2
+        sketch = sketch[:, :half] ^ sketch[:, half:]
+    return sketch
+
+
+def most_differences(sizes: np.ndarray, similarity: float) -> np.ndarray:
+    """In how many tokens two sets of ``sizes`` tokens together may differ at most if they overlap by ``similarity``."""
+    return sizes * (1 - 2 * similarity / (1 + similarity)) + 1e-6
+
+
+def may_overlap(first: list[np.ndarray], second: list[np.ndarray], i: np.ndarray, j: np.ndarray, sizes: np.ndarray, similarity: float) -> np.ndarray:
+    """For pairs first[i], second[j] of sketches, ``sizes`` tokens together, whether these leave an overlap of ``similarity`` possible. No such pair is lost."""
+    words = [np.array([len(x) for x in side]) for side in (first, second)]
+    least, differ = np.minimum(words[0][i], words[1][j]), np.zeros(len(i), np.int64)
+    for size in np.unique(least):
+        sides = []
+        for side, own, at in ((first, words[0], i), (second, words[1], j)):
+            used, place = np.unique(at[least == size], return_inverse=True)
+            matrix = np.empty((len(used), size), np.uint64)
+            for length in np.unique(own[used]):
+                mine = np.flatnonzero(own[used] == length)
+                matrix[mine] = folded(np.stack([side[k] for k in used[mine]]), int(size))
+            sides.append((matrix, place))
+        (x, at), (y, to) = sides
+        step = max(1, (1 << 20) // int(size))
+        differ[least == size] = np.concatenate([np.bitwise_count(x[at[k : k + step]] ^ y[to[k : k + step]]).sum(1, dtype=np.int64) for k in range(0, len(at), step)])
+    return differ <= most_differences(sizes, similarity)
 
 
 def dealt(pairs: DataFrame, pairs_a_group: int = 500) -> DataFrame:
@@ -114,25 +156,21 @@ def dealt(pairs: DataFrame, pairs_a_group: int = 500) -> DataFrame:
     return pairs.join(F.broadcast(busy) if few else busy, "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), "parts"), F.lit(0)).alias("part"))
 
 
-def likely(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
-    """The (a, b, part) of ``pairs`` whose slots agree as often as ``similarity`` makes likely, less five standard deviations.
-
-    So one in millions of links is lost here, fewer than the bands lose, and texts that only share a
-    passage aren't fetched and compared.
-    """
+def possible(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """The (a, b, part) of ``pairs`` that sizes and parity sketches leave possible, so that texts that only share a passage aren't fetched and compared."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            first, second = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (3, 4))
-            size = first.shape[1]
-            good = (first == second).sum(1) >= size * (similarity - 5 * np.sqrt(similarity * (1 - similarity) / size))
-            yield batch.select([0, 1, 2]).filter(pa.array(good))
+            first, second = ([np.frombuffer(x, np.uint64) for x in batch.column(k).to_pylist()] for k in (3, 4))
+            at = np.arange(batch.num_rows)
+            yield batch.select([0, 1, 2]).filter(pa.array(may_overlap(first, second, at, at, batch.column(5).to_numpy(), similarity)))
 
-    left = pairs.select("a", "part").distinct().join(sketches.select(F.col("doc_id").alias("a"), F.col("sketch").alias("_a")), "a")
-    joined = pairs.join(left, ["a", "part"]).join(sketches.select(F.col("doc_id").alias("b"), F.col("sketch").alias("_b")), "b")
-    return joined.select("a", "b", "part", "_a", "_b").mapInArrow(task, "a long, b long, part long")
+    left = pairs.select("a", "part").distinct().join(sketches.select(F.col("doc_id").alias("a"), F.col("sketch").alias("_a"), F.col("size").alias("_m")), "a")
+    joined = pairs.join(left, ["a", "part"]).join(sketches.select(F.col("doc_id").alias("b"), F.col("sketch").alias("_b"), F.col("size").alias("_n")), "b")
+    near = F.abs(F.col("_m") - F.col("_n")) <= (F.col("_m") + F.col("_n")) * (1 - 2 * similarity / (1 + similarity)) + 1e-6
+    return joined.where(near).select("a", "b", "part", "_a", "_b", F.col("_m") + F.col("_n")).mapInArrow(task, "a long, b long, part long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -162,14 +200,13 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
 def _compared(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The links among ``pairs`` (a, b), which may repeat."""
     tried = written(dealt(written(pairs.distinct(), "pairs")), "dealt")
-    return written(verified(written(likely(tried, sketches, similarity), "likely"), texts, similarity), "links")
+    return written(verified(written(possible(tried, sketches, similarity), "possible"), texts, similarity), "links")
 
 
 def rare_shingles(texts: DataFrame, similarity: float) -> DataFrame:
     """Rows (token, doc_id, at, size): the rarest shingles of each of ``texts`` (doc_id, text), as many as a link needs.
 
-    A shingle that a text has for the k-th time is a token of its own, so that texts are sets of
-    ``size`` tokens. All texts order their tokens alike, by the number of texts with it and then by
+    Texts are sets of ``size`` tokens (``tokens_of``). All texts order their tokens alike, by the number of texts with it and then by
     hash; ``at`` is a token's place in its text. Two sets of an overlap of ``similarity`` have one of
     their first size - ceil(similarity * size) + 1 tokens in common, as the rest is too small to be
     all of what they share. Tokens of one text only aren't given, but count as the first places.
@@ -178,11 +215,8 @@ def rare_shingles(texts: DataFrame, similarity: float) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                keys, counts = shingles(text.as_py())
-                n = int(counts.sum())
-                if n:
-                    turn = np.arange(n) - np.repeat(np.cumsum(counts) - counts, counts)
-                    tokens = rolling.mixed(np.repeat(keys, counts) + turn.astype(np.uint64) * _GOLDEN)
+                tokens = tokens_of(shingles(text.as_py()))
+                if n := len(tokens):
                     yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(np.full(n, doc_id)), pa.array(np.full(n, n))], names=["token", "doc_id", "size"])
 
     tokens = written(texts.select("doc_id", "text").mapInArrow(task, "token long, doc_id long, size long"), "tokens")
@@ -238,17 +272,39 @@ def _classes(hits: DataFrame, sketches: DataFrame, texts: DataFrame, similarity:
     if not links.isEmpty():
         labels = _joined(labels, links)
         rows, met = labelled(labels)
-    # all others, a common token's rows dealt over tasks
+    # all others, a common token's rows dealt over tasks; only pairs that may link leave them
     met = met.select("token", F.ceil(F.col("n") / MOST_TOGETHER).alias("parts"))
-    both = rows.join(met, "token")
-    one = both.withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts")).alias("a")
-    all_ = both.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).alias("b")
-    same = (F.col("a.token") == F.col("b.token")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.doc_id") < F.col("b.doc_id")) & (F.col("a.label") != F.col("b.label"))
-    rest = one.join(all_, same & _may_link(similarity, "a", "b")).select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"))
+    own = F.pmod(F.xxhash64("doc_id"), F.col("parts"))
+    both = rows.join(met, "token").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    both = both.join(sketches.select("doc_id", "sketch"), "doc_id")
+    blocks = both.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "at", "size", "label", "sketch")
+    rest = blocks.groupBy("token", "i", "j").applyInArrow(lambda key, block: _pairs_of_block(block, key[1].as_py(), key[2].as_py(), similarity), "a long, b long")
     links = _compared(rest, sketches, texts, similarity)
     return labels if links.isEmpty() else _joined(labels, links)
 
 
+def _pairs_of_block(block: pa.Table, i: int, j: int, similarity: float) -> pa.Table:
+    """The pairs (a, b) of a token's parts ``i`` and ``j`` that have different labels and that places, sizes and sketches leave possible."""
+    own, doc, at, size, label = (block.column(c).to_numpy() for c in ("own", "doc_id", "at", "size", "label"))
+    sketches = [np.frombuffer(x, np.uint64) for x in block.column("sketch").to_pylist()]
+    left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for start in range(0, len(left), 256):
+        x = left[start : start + 256]
+        rest = np.minimum((size - at)[x][:, None], (size - at)[right][None])
+        both = size[x][:, None] + size[right][None]
+        fits = (label[x][:, None] != label[right][None]) & (rest * (1 + similarity) >= both * similarity - 1e-9)
+        if i == j:
+            fits &= doc[x][:, None] < doc[right][None]
+        p, q = np.nonzero(fits)
+        for some in range(0, len(p), 1 << 17):
+            m, n = x[p[some : some + (1 << 17)]], right[q[some : some + (1 << 17)]]
+            kept = may_overlap(sketches, sketches, m, n, size[m] + size[n], similarity)
+            found.append((np.minimum(doc[m[kept]], doc[n[kept]]), np.maximum(doc[m[kept]], doc[n[kept]])))
+    a, b = (np.concatenate(c) for c in zip(*found, strict=True))
+    return pa.table({"a": pa.array(a), "b": pa.array(b)})
+
+
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     """``labels`` (node, component) after more links: only the components that these join are looked at anew."""
     ends = links.select("a", "b").join(labels.select(F.col("node").alias("a"), F.col("component").alias("_a")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("component").alias("_b")), "b", "left")
@@ -259,7 +315,7 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = BAND_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, class_id, kept), one for each row of ``docs``: the smallest id of each class of near copies is kept.
+    """Rows (doc_id, class_id, kept, text_hash), one for each row of ``docs``: the smallest id of each class of near copies is kept.
 
     Two documents are linked if their multisets of ``SHINGLE`` consecutive words overlap by
     ``similarity`` or more (weighted Jaccard), or their words are the same; classes are what links
@@ -268,43 +324,46 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     on whole texts. Signatures, buckets, pairs and links stay in tables.
 
     A null text has no words, as an empty one has, and these texts are one class; a row with a null
-    id has a null class and is kept; rows that share an id share its class; no rows give no rows;
-    other columns are ignored.
+    id has a null class and is kept; texts are told apart by their words, not by ids, so rows that share an id may be in
+    different classes; no rows give no rows; other columns are ignored. The column ``text_hash`` of the result tells such rows apart.
     """
-    texts = id_and_text(docs, id_col, text_col)
+    texts = id_and_text(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def signed(ids: list, same: list, bags: list) -> pa.RecordBatch:
-            signatures = bag_minhash(bags, bands * rows)
-            keys = pa.array(list(bands_of(signatures, bands, rows)), pa.list_(pa.int64()))
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(same, pa.binary()), keys, pa.array(sketches_of(signatures), pa.binary())], names=["doc_id", "same", "bands", "sketch"])
+        def signed(rows_: list[tuple], bags: list) -> pa.RecordBatch:
+            ids, hashes, same, sketches, sizes = zip(*rows_, strict=True)
+            keys = pa.array(list(bands_of(bag_minhash(bags, bands * rows), bands, rows)), pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(same, pa.binary()), keys, pa.array(sketches, pa.binary()), pa.array(sizes, pa.int64())], names=["doc_id", "text_hash", "same", "bands", "sketch", "size"])
 
         # signatures are drawn for many texts at once, as many as have BAGS_AT_ONCE shingles together
-        ids, same, bags, held = [], [], [], 0
+        told, bags, held = [], [], 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc_id, text_hash, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py()
-                ids.append(doc_id)
-                same.append(hashlib.sha256(b" ".join(text.encode("utf-8", "replace").split())).digest())
                 bags.append(shingles(text))
+                tokens = tokens_of(bags[-1])
+                told.append((doc_id, text_hash, hashlib.sha256(b" ".join(text.encode("utf-8", "replace").split())).digest(), parity_sketch(tokens), len(tokens)))
                 held += len(bags[-1][0]) + 100
                 if held >= BAGS_AT_ONCE:
-                    yield signed(ids, same, bags)
-                    ids, same, bags, held = [], [], [], 0
-        if ids:
-            yield signed(ids, same, bags)
-
-    scanned = written(texts.mapInArrow(scan, "doc_id long, same binary, bands array<long>, sketch binary"), "signatures")
-    alike = scanned.where("doc_id is not null").groupBy("same").agg(F.min(F.struct("doc_id", "bands", "sketch")).alias("least")).select("same", "least.*")
-    alike = written(alike, "texts")
-    keyed = alike.where(F.col("same") != F.lit(hashlib.sha256(b"").digest())).select("doc_id", F.explode("bands").alias("key"))
+                    yield signed(told, bags)
+                    told, bags, held = [], [], 0
+        if told:
+            yield signed(told, bags)
+
+    scanned = written(texts.mapInArrow(scan, "doc_id long, text_hash long, same binary, bands array<long>, sketch binary, size long"), "signatures")
+    alike = scanned.where("doc_id is not null").groupBy("same").agg(F.min(F.struct("doc_id", "text_hash", "bands", "sketch", "size")).alias("least")).select("same", "least.*")
+    alike = written(alike.withColumn("node", F.monotonically_increasing_id()), "texts")  # a node for each text; ids may have several
+    keyed = alike.where(F.col("same") != F.lit(hashlib.sha256(b"").digest())).select(F.col("node").alias("doc_id"), F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     hits = written(keyed.join(shared, "key"), "buckets")
-    wanted = written(hits.select("doc_id").distinct(), "wanted")
+    wanted = written(alike.select("node", "doc_id", "text_hash").join(hits.select(F.col("doc_id").alias("node")).distinct(), "node", "left_semi"), "wanted")
     few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    chosen = texts.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    classes = _classes(hits, alike.select("doc_id", "sketch"), written(chosen, "candidate-texts"), similarity)
-    named = alike.join(classes, F.col("doc_id") == F.col("node"), "left").select("same", F.coalesce("component", "doc_id").alias("class_id"))
-    known = scanned.where("doc_id is not null").select("doc_id", "same").join(named, "same").select("doc_id", "class_id")
-    return known.unionByName(scanned.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"))).select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
-
+    chosen = texts.join(F.broadcast(wanted) if few else wanted, ["doc_id", "text_hash"]).select(F.col("node").alias("doc_id"), "text").dropDuplicates(["doc_id"])
+    nodes = alike.select(F.col("node").alias("doc_id"), "sketch", "size")
+    classes = _classes(hits, nodes, written(chosen, "candidate-texts"), similarity)
+    placed = alike.select("same", "node", "doc_id").join(classes, "node", "left")
+    least = placed.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
+    named = placed.join(least, "component", "left").select("same", F.coalesce("least", "doc_id").alias("class_id"))
+    known = scanned.where("doc_id is not null").select("doc_id", "text_hash", "same").join(named, "same").select("doc_id", "class_id", "text_hash")
+    unknown = scanned.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), "text_hash")
+    return known.unionByName(unknown).select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"), "text_hash")

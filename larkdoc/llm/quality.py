@@ -113,24 +113,24 @@ def fit_neighbours(sample: DataFrame) -> NeighbourModel:
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, threshold: float = 0.3, per_class: int = PER_CLASS, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, held_out, score, predicted), one for each row of ``docs``; learns only from the other folds.
+    """Rows (doc_id, held_out, score, predicted, text_hash), one for each row of ``docs``; learns only from the other folds.
 
     The model (``per_class`` labelled rows of each class at most, ``DIMENSIONS`` numbers each) is broadcast and
     every document is compared with all of it in blocks. A null or empty text scores the sample's
-    share of label 1; a null id stays null; repeated rows score alike; without labels scores are 0.5;
+    share of label 1; a null id stays null; repeated rows score alike, and ``text_hash`` tells rows of one id apart; without labels scores are 0.5;
     no rows give no rows; other columns are ignored.
     """
-    chosen = id_and_text(docs, id_col, text_col)
+    chosen = id_and_text(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
     fold = fold_of(F.col("doc_id"), folds)
-    model = docs.sparkSession.sparkContext.broadcast(fit_neighbours(training_rows(chosen, labels, label, fold != held_out, per_class)))
+    model = docs.sparkSession.sparkContext.broadcast(fit_neighbours(training_rows(chosen.select("doc_id", "text"), labels, label, fold != held_out, per_class)))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema, shapes = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())]), _Shapes()
+        schema, shapes = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("text_hash", pa.int64())]), _Shapes()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 counts = np.stack([terms(text.as_py(), shapes) for text in part.column(1)])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.value.scores(counts))], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.value.scores(counts)), part.column(2)], schema=schema)
 
-    scored = chosen.mapInArrow(task, "doc_id long, score double")
-    return scored.select("doc_id", (fold == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    scored = chosen.mapInArrow(task, "doc_id long, score double, text_hash long")
+    return scored.select("doc_id", (fold == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "text_hash")

@@ -132,3 +132,39 @@ def test_vectors(spark):
         assert found[None] == (0, None, True)
         assert [found[i] for i in (13, 14, 15, 16)] == [(1, 13, True), (1, 13, False), (1, 15, True), (1, 15, False)]
         assert embeddings.near_vectors(df.where("false")).count() == 0
+
+
+def test_vectors_that_share_an_id(spark):
+    data = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, -1.0])]
+    found = lambda rows: sorted(tuple(r) for r in embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert found(data) == [(1, 0, 1, True), (1, 0, 1, True), (2, 0, 2, True)]
+    assert found([*data, (3, [0.01, 1.0])]) == [(1, 0, 1, True), (1, 1, 1, True), (2, 0, 2, True), (3, 1, 1, False)]
+
+
+def test_texts_that_share_an_id(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(100)) for c in "ab")
+    for data in ([(5, a), (5, b), (9, b + " more")], [(5, b), (5, a), (9, b + " more")]):
+        found = sorted(tuple(r)[:3] for r in near_duplicates.near_duplicates(rows(spark, *data).coalesce(1)).collect())
+        assert found == [(5, 5, True), (5, 5, True), (9, 5, False)]
+
+
+def test_stages_tell_rows_of_one_id_apart(spark, tmp_path):
+    import corpus_pipeline
+
+    a, b = (" ".join(f"{c}{i}" for i in range(100)) for c in "ab")
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in ((1, a), (5, a), (5, b))], COLUMNS)
+    kept = corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == [(1, a), (5, b)]
+    good, bad = [f"The river carried {w} past the old mill and the miller watched it go." for w in ("boats", "logs", "leaves", "swans")], ["!!! $$$ ### 123 ~~~", "zzz zzz zzz zzz", "@@@@ 99 %% 99", "kkk ## kkk ##"]
+    texts = [(i, t) for i, t in enumerate((good + bad) * 5)] + [(1000, good[0]), (1000, bad[0])]
+    spark.createDataFrame([(i, int(t in good), 0) for i, t in texts if i < 1000], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts], COLUMNS)
+    kept = [r["text"] for r in corpus_pipeline.quality(spark, docs, str(tmp_path)).collect() if r["doc_id"] == 1000]
+    assert kept == [good[0]]
+
+
+def test_training_rows_of_shared_ids_are_the_same_in_any_order(spark):
+    data = [(i % 7, f"text {i * 13 % 29} words {i}") for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(7)], "doc_id long, quality int, toxic int")
+    scored = [sorted((r["doc_id"], r["text_hash"], round(r["score"], 8)) for r in quality.quality_scores(rows(spark, *d), labels).collect()) for d in (data, data[::-1])]
+    assert scored[0] == scored[1]

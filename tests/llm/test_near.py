@@ -58,6 +58,44 @@ def test_a_large_bucket_makes_few_pairs(spark, monkeypatch):
     assert sum(compared) < 40 * 3000 and compared[1:] == [0, 0]
 
 
+def family(n, seed=6):
+    """Texts of 200 words with 8 of them swapped for one of 5 others each; as a rule no two are linked."""
+    random_ = random.Random(seed)
+    base, places = [f"w{i}" for i in range(200)], random.Random(1).sample(range(200), 8)
+    return [(k, " ".join(f"v{i}-{random_.randrange(5)}" if i in places else w for i, w in enumerate(base))) for k in range(n)]
+
+
+def test_a_family_of_variants_makes_few_pairs(spark, monkeypatch):
+    plain, made = nd.dealt, {}
+    for n in (400, 1600):
+        compared = []
+        monkeypatch.setattr(nd, "dealt", lambda pairs, compared=compared: compared.append(pairs.count()) or plain(pairs))
+        data = family(n)
+        found = {r["doc_id"]: r["class_id"] for r in nd.near_duplicates(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+        assert n > 400 or found == classes(data)[1]
+        made[n] = compared
+    assert sum(made[1600]) < 6 * sum(made[400]), made
+
+
+def test_sketches_lose_no_link():
+    random_ = random.Random(2)
+    for size in (1, 3, 60, 700, 30_000):
+        for _ in range(8):
+            words = [f"w{random_.randrange(size)}" for _ in range(size + 4)]
+            other = list(words)
+            for _ in range(random_.randrange(max(1, size // 20) + 1)):
+                other[random_.randrange(len(other))] = f"x{random_.randrange(10**6)}"
+            other = other[: len(other) - random_.randrange(max(1, size // 8))]
+            bags = [nd.shingles(" ".join(w)) for w in (words, other)]
+            tokens = [nd.tokens_of(b) for b in bags]
+            sketches = [[nd.np.frombuffer(nd.parity_sketch(t), nd.np.uint64)] for t in tokens]
+            differ = len(set(tokens[0].tolist()) ^ set(tokens[1].tolist()))
+            possible = nd.may_overlap(*sketches, nd.np.array([0]), nd.np.array([0]), nd.np.array([sum(map(len, tokens))]), 0.8)[0]
+            assert possible or nd.overlap(*bags) < 0.8
+            if differ <= nd.most_differences(nd.np.array([sum(map(len, tokens))]), 0.8)[0]:
+                assert possible
+
+
 def test_rare_shingles_meet_all_links(spark):
     random_ = random.Random(9)
     data = []
