@@ -27,17 +27,22 @@ def _documents(docs: DataFrame, n_chars: Column | None = None) -> DataFrame:
     return counted.select(*DOCUMENT_COLUMNS)
 
 
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows of ``gone`` (doc_id, text_hash); rows of one id are told apart by their texts."""
+    marked = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    gone = gone.select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")).distinct()
+    return marked.join(gone, (F.col("doc_id") == F.col("_gone")) & (marked["_hash"] == gone["_hash"]), "left_anti")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject."""
     scores = quality_scores(docs, read_table(spark, sf_dir, "labels"), threshold=QUALITY_THRESHOLD)
-    rejected = scores.where("predicted = 0 and doc_id is not null").select("doc_id").distinct()
-    return _documents(docs.join(rejected, "doc_id", "left_anti"))
+    return _documents(_without(docs, scores.where("predicted = 0 and doc_id is not null")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each class of near duplicates."""
-    dropped = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return _documents(docs.join(dropped, "doc_id", "left_anti"))
+    return _documents(_without(docs, near_duplicates(docs).where("not kept")))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
