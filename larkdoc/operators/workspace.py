@@ -215,7 +215,11 @@ def conversation_log(asked: DataFrame, answers: DataFrame) -> DataFrame:
     which go behind the answer in a marker (``text.attach_sources``). A question without an answer gets
     the fallback. An answer is a microsecond later than its question.
     """
-    said = asked.join(answers, "qid", "left")
+    return log_of_turns(asked.join(answers, "qid", "left"))
+
+
+def log_of_turns(said: DataFrame) -> DataFrame:
+    """The two messages of each question (qid, workspace, question, created_at, answer, sources)."""
     reply = text.attach_sources(F.coalesce("answer", F.lit(rules.FALLBACK_ANSWER)), F.col("sources"))
     turns = F.array(
         F.struct(F.lit("user").alias("role"), F.col("question").alias("content"), F.col("created_at")),

@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import nullcontext
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkdoc.operators.common import scratch
-from larkdoc.plans.tables import ORACLES, query, table
-from larkdoc.streaming import state, streams
+from larkdoc.operators import workspace
+from larkdoc.plans.tables import AS_OF, query, stored_jobs, stored_messages, table
+from larkdoc.streaming import state, streams, timed
+
+#: A time after all events, for what is still open then.
+LONG_AFTER = "2100-01-01 00:00:00"
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,14 +22,23 @@ def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
-def _run(rows: DataFrame, label: str, mode: str) -> DataFrame:
+def _clock(spark: SparkSession, until: str) -> DataFrame:
+    """A stream (at) that says once that it is ``until``."""
+    path = scratch(spark, "clock")
+    spark.sql(f"SELECT TIMESTAMP '{until}' AS at").write.parquet(path)
+    return spark.readStream.schema("at timestamp").parquet(path)
+
+
+def _run(rows: DataFrame, label: str, mode: str, rocks: bool = False) -> DataFrame:
     """What a stream wrote: the last whole result in complete mode, all rows in append mode."""
     spark, root = rows.sparkSession, scratch(rows.sparkSession, label)
 
     def save(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/rows" if mode == "complete" else f"{root}/rows/batch={number}")
 
-    rows.writeStream.foreachBatch(save).outputMode(mode).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    with timed.rocks_state(spark) if rocks else nullcontext():
+        query = rows.writeStream.foreachBatch(save).outputMode(mode).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
     return spark.read.schema(rows.schema).parquet(f"{root}/rows" if mode == "complete" else f"{root}/rows/batch=*")
 
 
@@ -43,12 +57,12 @@ def live_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {REQUESTS} SELECT date_trunc('minute', ts) AS minute, endpoint, count(*) AS n FROM r GROUP BY ALL")
 def requests_per_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(streams.per_minute(_requests(_stream(spark, sf_dir, "events"))), "minutes", "complete")
+    return _run(streams.per_minute(_requests(_stream(spark, sf_dir, "events")), clock=_clock(spark, LONG_AFTER)), "minutes", "append")
 
 
 @query("SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY day")
 def daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _run(streams.daily_counts(_stream(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"))), "days", "complete")
+    found = _run(streams.daily_counts(_stream(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts")), clock=_clock(spark, LONG_AFTER)), "days", "append")
     return found.withColumn("day", F.col("day").cast("string"))
 
 
@@ -59,13 +73,35 @@ def progress_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(streams.progress_feed(said), "progress", "complete")
 
 
-@query("SELECT DISTINCT source AS username, lang AS chat_id, sha256(text) AS file_hash FROM documents WHERE doc_id % 3 <> 0 AND (source, lang, sha256(text)) NOT IN (SELECT (source, lang, sha256(text)) FROM documents WHERE doc_id % 3 = 0)")
+@query("""WITH u AS (SELECT source AS username, lang AS chat_id, sha256(text) AS file_hash, doc_id * 2 + again AS upload_no, doc_id % 1000 + again * 2 AS day FROM documents, (VALUES (0), (1)) AS t(again) WHERE doc_id % 3 <> 0),
+s AS (SELECT source, lang, sha256(text) AS h FROM documents WHERE doc_id % 3 = 0)
+SELECT username, chat_id, file_hash, upload_no FROM u WHERE NOT EXISTS (SELECT 1 FROM s WHERE source = username AND lang = chat_id AND h = file_hash) QUALIFY row_number() OVER (PARTITION BY username, chat_id, file_hash ORDER BY day, upload_no) = 1""")
 def refused_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Uploads that are neither stored nor repeated in the stream, which remembers longer than the uploads last."""
-    columns = lambda df: df.select(F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") % 1000).alias("ts"), F.col("source").alias("username"), F.col("lang").alias("chat_id"), F.sha2("text", 256).alias("file_hash"))
-    stored = columns(table(spark, sf_dir, "documents").where("doc_id % 3 = 0"))
-    fresh = streams.refuse_duplicates(columns(_stream(spark, sf_dir, "documents").where("doc_id % 3 <> 0")), stored, "1 day")
-    return _run(fresh, "uploads", "append").select("username", "chat_id", "file_hash")
+    """Uploads that are neither stored nor came before, each sent again two days later: none is let in twice."""
+    hashed = lambda df: df.select("doc_id", F.col("source").alias("username"), F.col("lang").alias("chat_id"), F.sha2("text", 256).alias("file_hash"))
+    stored = hashed(table(spark, sf_dir, "documents").where("doc_id % 3 = 0"))
+    sent = hashed(_stream(spark, sf_dir, "documents").where("doc_id % 3 <> 0")).withColumn("again", F.explode(F.array(F.lit(0), F.lit(1))))
+    uploads = sent.select("username", "chat_id", "file_hash", (F.col("doc_id") * 2 + F.col("again")).alias("upload_no"), F.timestamp_seconds(F.lit(1704067200) + (F.col("doc_id") % 1000 + F.col("again") * 2) * 86400).alias("ts"))
+    return _run(timed.refuse_known_uploads(uploads, stored), "uploads", "append", rocks=True).select("username", "chat_id", "file_hash", "upload_no")
+
+
+def conversation_log_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``conversation_log`` from a stream of questions and one of answers; a third of the questions has none."""
+    spoken = stored_messages(spark, sf_dir, _stream(spark, sf_dir, "conversations")).where("role = 'user'")
+    said = spoken.select(F.col("message_id").alias("qid"), "username", "chat_id", F.col("text").alias("question"), "created_at")
+    again = stored_messages(spark, sf_dir, _stream(spark, sf_dir, "conversations")).where("role = 'user' and message_id % 3 <> 0")
+    sources = F.when(F.col("message_id") % 3 == 2, F.array("username", F.concat(F.lit(" "), "username")))
+    replies = again.select(F.col("message_id").alias("qid"), F.concat(F.lit("Answer to "), "text").alias("answer"), sources.alias("sources"), F.timestamp_seconds(F.unix_timestamp("created_at") + 5).alias("answered_at"))
+    return _run(timed.live_conversation_log(said, replies, clock=_clock(spark, LONG_AFTER)), "log", "append")
+
+
+def recovered_jobs_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``recovered_jobs`` from a stream of jobs: changes made by timers as the clock reaches ``AS_OF``."""
+    stream = stored_jobs(spark, sf_dir, _stream(spark, sf_dir, "events"))
+    changes = _run(timed.recover_and_expire_stream(stream, _clock(spark, AS_OF)), "recovered", "append", rocks=True)
+    jobs = stored_jobs(spark, sf_dir)
+    log = workspace.change_rows(jobs.select("job_id", "status", "updated_at"), "insert", F.col("updated_at"), F.lit(0)).unionByName(changes.withColumn("change_no", F.lit(1)))
+    return workspace.current_state(log, ["job_id"]).select("job_id", "status", "updated_at")
 
 
 def _events(df: DataFrame) -> DataFrame:

@@ -374,6 +374,9 @@ def recovered_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workspace.current_state(log, ["job_id"]).select("job_id", "status", "updated_at")
 
 
+query(ORACLES["recovered_jobs"])(feeds.recovered_jobs_live)
+
+
 @query("SELECT username, chat_id, job_id, place FROM (SELECT *, row_number() OVER (PARTITION BY username, chat_id ORDER BY created_at DESC, job_id DESC)::INT AS place FROM (SELECT source AS username, lang AS chat_id, doc_id AS job_id, doc_id % 1000 AS created_at FROM documents WHERE doc_id % 3 < 2)) WHERE place <= 5")
 def listed_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(F.col("document_id") % 3 == 0, "queued").when(F.col("document_id") % 3 == 1, "processing").otherwise("failed")
@@ -397,6 +400,9 @@ def conversation_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workspace.conversation_log(said, replies)
 
 
+query(ORACLES["conversation_log"])(feeds.conversation_log_live)
+
+
 @query("""WITH f AS (SELECT source AS username, lang AS chat_id, doc_id AS document_id, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id % 1000, doc_id)::INT AS i FROM documents), n AS (SELECT username, chat_id, count(*) AS n FROM f GROUP BY ALL)
 SELECT document_id AS qid, CASE document_id % 5 WHEN 1 THEN 'summary' ELSE CASE document_id % 5 WHEN 0 THEN 'ids' WHEN 2 THEN 'document 1 and document 2' WHEN 3 THEN 'compare document 1 and document 2' ELSE 'hello there' END END AS question,
 CASE WHEN document_id % 5 = 1 AND n > 1 THEN 'ask_user' WHEN document_id % 5 = 2 AND n > 1 THEN 'per_document' ELSE 'combined' END AS mode,

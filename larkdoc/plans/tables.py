@@ -49,9 +49,10 @@ def stored_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 FILES = "files AS (SELECT source AS username, lang AS chat_id, doc_id AS document_id, sha256(text) AS file_hash, TIMESTAMP '2024-01-01 00:00:00' + to_seconds(doc_id % 1000) AS created_at, (doc_id % 3 + 1)::INT AS version FROM documents)"
 
 
-def stored_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns as messages, a minute apart; user names by chat."""
-    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("chat_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("message_id"), F.concat(F.lit("user"), (F.col("conv_id") % 20).cast("string")).alias("username"), "role", F.coalesce("text", F.lit("")).alias("text"), F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 600 + F.col("turn") * 60).alias("created_at"))
+def stored_messages(spark: SparkSession, sf_dir: str, turns: DataFrame | None = None) -> DataFrame:
+    """Turns as messages, a minute apart; user names by chat. ``turns`` may be a stream of the table."""
+    turns = table(spark, sf_dir, "conversations") if turns is None else turns
+    return turns.select(F.col("conv_id").alias("chat_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("message_id"), F.concat(F.lit("user"), (F.col("conv_id") % 20).cast("string")).alias("username"), "role", F.coalesce("text", F.lit("")).alias("text"), F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 600 + F.col("turn") * 60).alias("created_at"))
 
 
 MESSAGES = "messages AS (SELECT conv_id AS chat_id, conv_id * 1000 + turn AS message_id, 'user' || (conv_id % 20) AS username, role, coalesce(text, '') AS text, TIMESTAMP '2024-01-01 00:00:00' + to_seconds(conv_id * 600 + turn * 60) AS created_at FROM conversations)"
@@ -76,7 +77,9 @@ def quoted(value: str) -> str:
 JOBS = "jobs AS (SELECT event_id AS job_id, CASE event_type WHEN 'view' THEN 'queued' WHEN 'click' THEN 'processing' WHEN 'error' THEN 'failed' ELSE 'completed' END AS status, ts AS updated_at, (event_id % 5)::INT AS retry_count, 3 AS max_retries FROM events)"
 
 
-def stored_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stored_jobs(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """Events as jobs. ``events`` may be a stream of the table."""
+    events = table(spark, sf_dir, "events") if events is None else events
     kind = F.col("event_type")
     status = F.when(kind == "view", "queued").when(kind == "click", "processing").when(kind == "error", "failed").otherwise("completed")
-    return table(spark, sf_dir, "events").select(F.col("event_id").alias("job_id"), status.alias("status"), F.col("ts").cast("timestamp").alias("updated_at"), (F.col("event_id") % 5).cast("int").alias("retry_count"), F.lit(3).alias("max_retries"))
+    return events.select(F.col("event_id").alias("job_id"), status.alias("status"), F.col("ts").cast("timestamp").alias("updated_at"), (F.col("event_id") % 5).cast("int").alias("retry_count"), F.lit(3).alias("max_retries"))

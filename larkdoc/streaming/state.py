@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import math
 from collections import deque
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
 import pandas as pd
 import pyarrow as pa
@@ -18,6 +19,23 @@ from larkdoc.functions import rules
 TRANSITIONS = {"queue": ("queued", "queued", 0), "claim": ("processing", "loading", 1), "progress": ("processing", None, None), "complete": ("completed", "completed", 100), "fail": ("failed", "failed", None), "retry": ("queued", "queued", 0)}
 
 
+def in_key_order(batches: Iterator[pa.RecordBatch], begin: Callable[[], Any], step: Callable[[Any, tuple], tuple[Any, tuple]], names: list[str], types: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """A row for each row (id, key, more), which come sorted by key: ``step`` makes it of the key's state and the row, and gives the next state.
+
+    Null keys are one key, as in a group, and so are undefined numbers.
+    """
+    now, state = object(), None
+    for batch in batches:
+        out = []
+        for row_id, key, *more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if key != now and not (key != key and now != now):
+                now, state = key, begin()
+            state, found = step(state, tuple(more))
+            out.append((row_id, *found))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+
+
 def limit_events(times: Iterable[float], limit: int, window: float, log: deque) -> Iterator[tuple[bool, int]]:
     """(allowed, retry_after) for each time in order; ``log`` holds the accepted times, rejected ones don't count."""
     for now in times:
@@ -36,18 +54,14 @@ def rate_limit(events: DataFrame, limit: int, window: float = 60.0) -> DataFrame
     Rows are dealt by key and read in order, so a key of any size streams through its task.
     """
 
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, log = None, deque()
-        for frame in batches:
-            out = []
-            for event_id, key, at in zip(frame["event_id"], frame["key"], frame["at"], strict=True):
-                if key != now:
-                    now, log = key, deque()
-                out.append((event_id, *next(limit_events([at], limit, window, log))))
-            yield pd.DataFrame(out, columns=["event_id", "allowed", "retry_after"])
+    def step(log: deque, row: tuple) -> tuple[deque, tuple]:
+        return log, next(limit_events(row, limit, window, log))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return in_key_order(batches, deque, step, ["event_id", "allowed", "retry_after"], [pa.int64(), pa.bool_(), pa.int64()])
 
-    rows = events.select("event_id", "key", (F.unix_micros("ts") / 1e6).alias("at")).repartition("key").sortWithinPartitions("key", "at", "event_id")
-    return rows.mapInPandas(task, "event_id long, allowed boolean, retry_after long")
+    rows = events.select(F.col("event_id").cast("long").alias("event_id"), "key", (F.unix_micros("ts") / 1e6).alias("at")).repartition("key").sortWithinPartitions("key", "at", "event_id")
+    return rows.mapInArrow(task, "event_id long, allowed boolean, retry_after long")
 
 
 #: Seconds added to event times: a stream's first watermark is 1970, and times up to then would come late to it. So event times may lie from 1844 to 2135.
@@ -149,19 +163,15 @@ def pending_replies(turns: Iterable[tuple[float, bool, bool]], ttl: float, waiti
 def pending_scopes(messages: DataFrame, ttl: float = rules.PENDING_SECONDS) -> DataFrame:
     """(message_id, outcome) for users' messages (message_id, chat_id, at, ambiguous, selects), by chat in the order of (at, message_id)."""
 
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, waiting = None, None
-        for frame in batches:
-            out = []
-            for message_id, chat, *turn in frame.itertuples(index=False):
-                if chat != now:
-                    now, waiting = chat, None
-                outcome, waiting = next(pending_replies([tuple(turn)], ttl, waiting))
-                out.append((message_id, outcome))
-            yield pd.DataFrame(out, columns=["message_id", "outcome"])
+    def step(waiting: float | None, row: tuple) -> tuple[float | None, tuple]:
+        outcome, waiting = next(pending_replies([row], ttl, waiting))
+        return waiting, (outcome,)
 
-    rows = messages.select("message_id", "chat_id", F.col("at").cast("double").alias("at"), "ambiguous", "selects").repartition("chat_id").sortWithinPartitions("chat_id", "at", "message_id")
-    return rows.mapInPandas(task, "message_id long, outcome string")
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return in_key_order(batches, lambda: None, step, ["message_id", "outcome"], [pa.int64(), pa.string()])
+
+    rows = messages.select(F.col("message_id").cast("long").alias("message_id"), "chat_id", F.col("at").cast("double").alias("at"), "ambiguous", "selects").repartition("chat_id").sortWithinPartitions("chat_id", "at", "message_id")
+    return rows.mapInArrow(task, "message_id long, outcome string")
 
 
 def answer_memo(asked: DataFrame, ttl: float = rules.MEMO_SECONDS) -> DataFrame:
@@ -170,20 +180,15 @@ def answer_memo(asked: DataFrame, ttl: float = rules.MEMO_SECONDS) -> DataFrame:
     A stored answer isn't renewed by its reuse.
     """
 
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, stored = None, None
-        for frame in batches:
-            out = []
-            for ask_id, key, at in zip(frame["ask_id"], frame["key"], frame["at"], strict=True):
-                if key != now:
-                    now, stored = key, None
-                reused = stored is not None and at - stored < ttl
-                stored = stored if reused else at
-                out.append((ask_id, reused))
-            yield pd.DataFrame(out, columns=["ask_id", "reused"])
-
-    rows = asked.select("ask_id", "key", F.col("at").cast("double").alias("at")).repartition("key").sortWithinPartitions("key", "at", "ask_id")
-    return rows.mapInPandas(task, "ask_id long, reused boolean")
+    def step(stored: float | None, row: tuple) -> tuple[float, tuple]:
+        reused = stored is not None and row[0] - stored < ttl
+        return stored if reused else row[0], (reused,)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return in_key_order(batches, lambda: None, step, ["ask_id", "reused"], [pa.int64(), pa.bool_()])
+
+    rows = asked.select(F.col("ask_id").cast("long").alias("ask_id"), "key", F.col("at").cast("double").alias("at")).repartition("key").sortWithinPartitions("key", "at", "ask_id")
+    return rows.mapInArrow(task, "ask_id long, reused boolean")
 
 
 def pending_scopes_stream(messages: DataFrame, ttl: float = rules.PENDING_SECONDS, late: str = "10 minutes") -> DataFrame:

@@ -1,4 +1,4 @@
-"""Streaming counts, ingest and duplicate refusal."""
+"""Streaming counts, ingest and job snapshots."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from larkdoc.operators.vectors import hash_embedding
 from larkdoc.sources.extract import ingest
 from larkdoc.streaming.state import job_snapshot
+from larkdoc.streaming.timed import with_clock
 
 
 def live_metrics(requests: DataFrame) -> DataFrame:
@@ -16,13 +17,14 @@ def live_metrics(requests: DataFrame) -> DataFrame:
     return requests.groupBy("status", "endpoint").agg(F.count("*").alias("n"))
 
 
-def per_minute(requests: DataFrame, late: str = "10 minutes") -> DataFrame:
-    return requests.withWatermark("ts", late).groupBy(F.window("ts", "1 minute").alias("w"), "endpoint").agg(F.count("*").alias("n")).select(F.col("w.start").alias("minute"), "endpoint", "n")
+def per_minute(requests: DataFrame, late: str = "10 minutes", clock: DataFrame | None = None) -> DataFrame:
+    """(minute, endpoint, n); in append mode a minute comes once it can't change, and its state goes."""
+    return with_clock(requests.select("ts", "endpoint"), "ts", clock, late).groupBy(F.window("ts", "1 minute").alias("w"), "endpoint").agg(F.count("*").alias("n")).select(F.col("w.start").alias("minute"), "endpoint", "n")
 
 
-def daily_counts(rows: DataFrame, late: str = "1 day") -> DataFrame:
+def daily_counts(rows: DataFrame, late: str = "1 day", clock: DataFrame | None = None) -> DataFrame:
     """(day, n); in append mode a day comes once it can't change."""
-    return rows.withWatermark("ts", late).groupBy(F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("n")).select(F.to_date("w.start").alias("day"), "n")
+    return with_clock(rows.select("ts"), "ts", clock, late).groupBy(F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("n")).select(F.to_date("w.start").alias("day"), "n")
 
 
 def progress_feed(events: DataFrame) -> DataFrame:
@@ -30,16 +32,6 @@ def progress_feed(events: DataFrame) -> DataFrame:
     return events.groupBy("job_id").agg(F.max(F.when(F.col("kind") == "complete", 100).otherwise(F.least(F.lit(99), F.coalesce("progress", F.lit(0))))).alias("progress"))
 
 
-def refuse_duplicates(uploads: DataFrame, stored: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Uploads (ts, username, chat_id, file_hash) whose hash is neither stored nor seen in the stream within ``late`` before.
-
-    Hashes that are older are forgotten, so ``stored`` must hold uploads by then.
-    """
-    key = ["username", "chat_id", "file_hash"]
-    fresh = uploads.join(stored.select(*key, F.lit(True).alias("_held")).distinct(), key, "left").where("_held is null").drop("_held")
-    return fresh.withWatermark("ts", late).dropDuplicatesWithinWatermark(key)
-
-
 def ingest_files(spark: SparkSession, path: str, chunks_path: str, jobs_path: str, checkpoint: str, stamp: dict[str, str], documents_path: str | None = None) -> StreamingQuery:
     """Files that appear under ``path`` are ingested (``extract.ingest``): chunks, a job row for each file, and document rows.
 
@@ -63,12 +55,14 @@ def fold_jobs(events: DataFrame, state_path: str, checkpoint: str) -> StreamingQ
 
     So a batch costs as much as its events and the jobs held, however many events came before. The
     version after batch n is ``version=<n>`` under ``state_path``; a batch that is run again starts from
-    the version before it. Events of a job must come in order of micro-batches.
+    the version before it, so that one stays and older ones are deleted. Events of a job must come in order of micro-batches.
     """
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         held = spark.read.parquet(f"{state_path}/version={number - 1}") if number else None
         job_snapshot(batch, held).write.mode("overwrite").parquet(f"{state_path}/version={number}")
+        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{state_path}/version={number - 2}")
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
     return events.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
