@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkdoc.functions import rules, text
 from larkdoc.operators.common import written
+from larkdoc.operators.ranks import running_sums
 
 SEPARATORS = ("\n\n", "\n", " ", "")
 
@@ -87,15 +88,9 @@ def chunk_documents(docs: DataFrame, size: int = rules.CHUNK_SIZE, overlap: int
 def number_chunks(chunks: DataFrame) -> DataFrame:
     """``chunks`` with chunk_index, running over the batch by (doc_id, chunk_no), and chunk_chars.
 
-    Documents' chunk counts are summed in two steps, by blocks of ids and over the blocks, so no
-    window sees all rows. Chunks are written once, so that texts are cut once.
+    Documents' chunk counts are summed by ranges of ids (``ranks.running_sums``), so no window sees all rows, however sparse
+    the ids are. Chunks are written once, so that texts are cut once.
     """
     chunks = written(chunks, "chunks")
-    counts = chunks.groupBy("doc_id").agg(F.count("*").alias("n")).withColumn("block", F.expr("doc_id div 4096"))
-    blocks = counts.groupBy("block").agg(F.sum("n").alias("n")).withColumn("group", F.expr("block div 4096"))
-    groups = blocks.groupBy("group").agg(F.sum("n").alias("n"))
-    before = lambda keys, order: F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    groups = groups.select("group", before([F.lit(0)], "group").alias("g"))  # one row for 16 million ids
-    blocks = blocks.select("block", "group", before(["group"], "block").alias("b")).join(groups, "group").select("block", (F.col("b") + F.col("g")).alias("b"))
-    starts = counts.select("doc_id", "block", before(["block"], "doc_id").alias("d")).join(blocks, "block").select("doc_id", (F.col("b") + F.col("d")).alias("first"))
-    return chunks.join(starts, "doc_id").select("doc_id", "chunk_no", "start_index", "text", (F.col("first") + F.col("chunk_no")).alias("chunk_index"), F.length("text").alias("chunk_chars"))
+    starts = running_sums(chunks.groupBy("doc_id").agg(F.count("*").alias("n")), ["doc_id"], "n", "first").select("doc_id", "first")
+    return chunks.join(starts, chunks["doc_id"].eqNullSafe(starts["doc_id"])).select(chunks["doc_id"], "chunk_no", "start_index", "text", (F.col("first") + F.col("chunk_no")).alias("chunk_index"), F.length("text").alias("chunk_chars"))

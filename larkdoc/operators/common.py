@@ -5,7 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -55,3 +58,21 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = scratch(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def in_key_order(batches: Iterator[pa.RecordBatch], begin: Callable[[], Any], step: Callable[[Any, tuple], tuple[Any, tuple]], names: list[str], types: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """A row for each row (id, key, more), which come sorted by key: ``step`` makes it of the key's state and the row, and gives the next state.
+
+    Null keys are one key, as in a group, and so are undefined numbers. Deal the rows by a hash of the key, not by the key: behind a
+    join on that key Spark takes the join's own dealing for repartition(), and may give it up again when the join becomes a broadcast.
+    """
+    now, state = object(), None
+    for batch in batches:
+        out = []
+        for row_id, key, *more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if key != now and not (key != key and now != now):
+                now, state = key, begin()
+            state, found = step(state, tuple(more))
+            out.append((row_id, *found))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkdoc.operators import analytics, workspace
+from larkdoc.operators import analytics, ranks, user_changes, workspace
 from larkdoc.plans.tables import FILES, query, stored_files, table
 
 USERS = "users AS (SELECT c_custkey, 'User' || c_custkey AS username, CASE WHEN c_custkey = 0 THEN 'admin' ELSE 'user' END AS role, c_acctbal > 0 OR c_custkey = 0 AS is_active FROM customer)"
@@ -74,3 +74,48 @@ def selected_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = stored_files(spark, sf_dir)
     wanted = files.select(*workspace.WORKSPACE, F.when(F.col("document_id") % 4 == 0, F.concat(F.lit(" "), F.col("document_id").cast("string"))).when(F.col("document_id") % 4 == 1, F.lit("  ")).otherwise(F.concat(F.lit("gone"), F.col("document_id").cast("string"))).alias("document_id"))
     return workspace.resolve_selected(files, wanted.unionByName(wanted)).select(*workspace.WORKSPACE, "document_id", "upload_index")
+
+
+LIVED = """u AS (SELECT 'user' || c_custkey AS username, CASE WHEN c_custkey % 10 = 0 THEN 'admin' ELSE 'user' END AS role, true AS is_active, md5(c_name) AS password_hash FROM customer WHERE c_custkey % 2 = 0),
+ch AS (SELECT o_orderkey AS change_no, 'user' || o_custkey AS username, ['insert', 'set', 'set', 'delete', 'set'][o_orderkey % 5 + 1] AS op, CASE o_orderkey % 5 WHEN 1 THEN 'admin' WHEN 4 THEN 'user' END AS role, CASE o_orderkey % 5 WHEN 2 THEN o_orderkey % 2 = 0 END AS is_active, CASE WHEN o_orderkey % 5 IN (0, 4) THEN md5(o_orderkey::VARCHAR) END AS password_hash FROM orders),
+x AS (SELECT -1 AS change_no, username, 'insert' AS op, role, is_active, password_hash FROM u UNION ALL SELECT * FROM ch),
+f AS (SELECT *, coalesce(last_value(CASE WHEN op <> 'set' THEN op END IGNORE NULLS) OVER (PARTITION BY username ORDER BY change_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'delete') = 'insert' AS alive FROM x),
+l AS (SELECT *, sum((op = 'insert')::INT) OVER (PARTITION BY username ORDER BY change_no) AS life FROM f WHERE (op = 'insert') <> alive),
+m AS (SELECT username, max(life) AS life, arg_max(op, change_no) AS op FROM l GROUP BY username)"""
+
+
+@query(f"""WITH {LIVED} SELECT 'user' AS kind, username, coalesce(arg_max(role, change_no) FILTER (role IS NOT NULL), 'user') AS role, coalesce(arg_max(is_active, change_no) FILTER (is_active IS NOT NULL), true) AS is_active, arg_max(password_hash, change_no) FILTER (password_hash IS NOT NULL) AS password_hash, NULL::BIGINT AS change_no, NULL AS reason
+FROM l JOIN (SELECT username, life FROM m WHERE op <> 'delete') USING (username, life) GROUP BY username
+UNION ALL SELECT 'refused', username, NULL, NULL, NULL, change_no, CASE WHEN op = 'insert' THEN 'username exists' ELSE 'no such username' END FROM f WHERE (op = 'insert') = alive""")
+def applied_user_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the customers as users, and orders as inserts, field changes and deletes of all of them."""
+    key, order = F.col("c_custkey"), F.col("o_orderkey")
+    users = table(spark, sf_dir, "customer").where(key % 2 == 0).select(F.concat(F.lit(" User"), key.cast("string")).alias("username"), F.when(key % 10 == 0, "admin").otherwise("user").alias("role"), F.lit(True).alias("is_active"), F.md5("c_name").alias("password_hash"))
+    kind = (order % 5).cast("int")
+    changes = table(spark, sf_dir, "orders").select(
+        order.alias("change_no"), F.concat(F.lit("USER"), F.col("o_custkey").cast("string"), F.lit(" ")).alias("username"), F.get(F.array(*map(F.lit, ("insert", "set", "set", "delete", "set"))), kind).alias("op"),
+        F.when(kind == 1, "admin").when(kind == 4, "user").alias("role"), F.when(kind == 2, order % 2 == 0).alias("is_active"), F.when(kind.isin(0, 4), F.md5(order.cast("string"))).alias("password_hash"),
+    )
+    rows, refused = user_changes.apply_user_changes(users, changes)
+    none = lambda kind: F.lit(None).cast(kind)
+    return rows.select(F.lit("user").alias("kind"), "username", "role", "is_active", "password_hash", none("long").alias("change_no"), none("string").alias("reason")).unionByName(
+        refused.select(F.lit("refused").alias("kind"), "username", none("string").alias("role"), none("boolean").alias("is_active"), none("string").alias("password_hash"), F.col("change_no").cast("long").alias("change_no"), "reason")
+    )
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS place, count(*) OVER () AS total FROM orders QUALIFY place > (SELECT count(*) // 2 FROM orders) AND place <= (SELECT count(*) // 2 FROM orders) + 50")
+def deep_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fifty orders from the middle of all of them by price, with their places and the total."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    return ranks.page_with_total(orders, [F.desc("o_totalprice"), "o_orderkey"], orders.count() // 2, 50).select("o_orderkey", "place", "total")
+
+
+HASHED = "(doc_id * 2654435761) % 4294967296"
+
+
+@query(f"WITH t AS (SELECT {HASHED} AS doc_id, length(text)::BIGINT AS n FROM documents WHERE text IS NOT NULL) SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rank, coalesce(sum(n) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS chars_before FROM t")
+def numbered_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents under sparse ids, numbered, with the characters in front of each."""
+    rows = table(spark, sf_dir, "documents").where("text is not null").select(F.expr(HASHED).alias("doc_id"), F.length("text").cast("long").alias("n"))
+    numbered = ranks.in_ranges(rows, ["doc_id"]).numbered()
+    return numbered.join(ranks.running_sums(rows, ["doc_id"], "n", "chars_before"), "doc_id").select("doc_id", "rank", "chars_before")

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import deque
-from collections.abc import Callable, Iterable, Iterator
-from typing import Any
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -14,28 +13,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from larkdoc.functions import rules
+from larkdoc.operators.common import in_key_order
 
 #: What a job's event may set, by its kind: status, stage, progress.
 TRANSITIONS = {"queue": ("queued", "queued", 0), "claim": ("processing", "loading", 1), "progress": ("processing", None, None), "complete": ("completed", "completed", 100), "fail": ("failed", "failed", None), "retry": ("queued", "queued", 0)}
 
 
-def in_key_order(batches: Iterator[pa.RecordBatch], begin: Callable[[], Any], step: Callable[[Any, tuple], tuple[Any, tuple]], names: list[str], types: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
-    """A row for each row (id, key, more), which come sorted by key: ``step`` makes it of the key's state and the row, and gives the next state.
-
-    Null keys are one key, as in a group, and so are undefined numbers.
-    """
-    now, state = object(), None
-    for batch in batches:
-        out = []
-        for row_id, key, *more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if key != now and not (key != key and now != now):
-                now, state = key, begin()
-            state, found = step(state, tuple(more))
-            out.append((row_id, *found))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
-
-
 def limit_events(times: Iterable[float], limit: int, window: float, log: deque) -> Iterator[tuple[bool, int]]:
     """(allowed, retry_after) for each time in order; ``log`` holds the accepted times, rejected ones don't count."""
     for now in times:
@@ -60,7 +43,7 @@ def rate_limit(events: DataFrame, limit: int, window: float = 60.0) -> DataFrame
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return in_key_order(batches, deque, step, ["event_id", "allowed", "retry_after"], [pa.int64(), pa.bool_(), pa.int64()])
 
-    rows = events.select(F.col("event_id").cast("long").alias("event_id"), "key", (F.unix_micros("ts") / 1e6).alias("at")).repartition("key").sortWithinPartitions("key", "at", "event_id")
+    rows = events.select(F.col("event_id").cast("long").alias("event_id"), "key", (F.unix_micros("ts") / 1e6).alias("at")).repartition(F.xxhash64("key")).sortWithinPartitions("key", "at", "event_id")
     return rows.mapInArrow(task, "event_id long, allowed boolean, retry_after long")
 
 
@@ -140,7 +123,7 @@ def job_snapshot(events: DataFrame, held: DataFrame | None = None) -> DataFrame:
     if held is not None:
         none = F.lit(None)
         rows = rows.unionByName(held.select("job_id", "status", F.col("retry_count").alias("retries"), none.cast(rows.schema["event_no"].dataType).alias("event_no"), none.cast("string").alias("kind"), "progress", "chunks", "detail", F.unix_micros("updated_at").alias("at")))
-    rows = rows.repartition("job_id").sortWithinPartitions("job_id", F.col("retries").asc_nulls_last(), "event_no", "kind", "progress", "chunks", "detail", "at")
+    rows = rows.repartition(F.xxhash64("job_id")).sortWithinPartitions("job_id", F.col("retries").asc_nulls_last(), "event_no", "kind", "progress", "chunks", "detail", "at")
     folded = rows.mapInArrow(task, f"job_id {events.schema['job_id'].dataType.simpleString()}, status string, progress int, chunks long, detail string, retry_count int, updated_at long")
     return folded.withColumn("updated_at", F.timestamp_micros("updated_at"))
 
@@ -170,7 +153,7 @@ def pending_scopes(messages: DataFrame, ttl: float = rules.PENDING_SECONDS) -> D
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return in_key_order(batches, lambda: None, step, ["message_id", "outcome"], [pa.int64(), pa.string()])
 
-    rows = messages.select(F.col("message_id").cast("long").alias("message_id"), "chat_id", F.col("at").cast("double").alias("at"), "ambiguous", "selects").repartition("chat_id").sortWithinPartitions("chat_id", "at", "message_id")
+    rows = messages.select(F.col("message_id").cast("long").alias("message_id"), "chat_id", F.col("at").cast("double").alias("at"), "ambiguous", "selects").repartition(F.xxhash64("chat_id")).sortWithinPartitions("chat_id", "at", "message_id")
     return rows.mapInArrow(task, "message_id long, outcome string")
 
 
@@ -187,7 +170,7 @@ def answer_memo(asked: DataFrame, ttl: float = rules.MEMO_SECONDS) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return in_key_order(batches, lambda: None, step, ["ask_id", "reused"], [pa.int64(), pa.bool_()])
 
-    rows = asked.select(F.col("ask_id").cast("long").alias("ask_id"), "key", F.col("at").cast("double").alias("at")).repartition("key").sortWithinPartitions("key", "at", "ask_id")
+    rows = asked.select(F.col("ask_id").cast("long").alias("ask_id"), "key", F.col("at").cast("double").alias("at")).repartition(F.xxhash64("key")).sortWithinPartitions("key", "at", "ask_id")
     return rows.mapInArrow(task, "ask_id long, reused boolean")
 
 
