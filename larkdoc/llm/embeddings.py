@@ -205,22 +205,31 @@ def _links(classes: DataFrame, n: int, cosine: float, kind: type) -> DataFrame:
         # |q - c|^2 <= (reach + error)^2 as a product, for |q| = 1; single precision needs the slack
         coded = index.decoded(lists, codes)
         least_product = ((1 + (coded**2).sum(1) - (reach + entries["error"].to_numpy() + 1e-4) ** 2 - 1e-5) / 2).astype(np.float32)
-        numbers, begins = np.unique(lists, return_index=True)
-        spans = [(number, at, min(at + ENTRIES_AT_ONCE, end)) for number, begin, end in zip(numbers, begins, [*begins[1:], len(x)], strict=True) for at in range(begin, end, ENTRIES_AT_ONCE)]
         for first in range(0, len(q), QUERIES_AT_ONCE):
             asking = q[first : first + QUERIES_AT_ONCE]
-            probed, tables, base = index.probes(asking, reach), index.tables(asking), (index.coarse @ asking.T).astype(np.float32)
-            for number, begin, end in spans:
-                chosen = np.flatnonzero(probed[:, number])
-                if not len(chosen):
+            probed, tables, base = index.probes(asking, reach).T, index.tables(asking), (index.coarse @ asking.T).astype(np.float32)
+            for begin in range(0, len(x), ENTRIES_AT_ONCE):
+                end = min(begin + ENTRIES_AT_ONCE, len(x))
+                numbers = np.unique(lists[begin:end])
+                if probed[numbers].mean() > 0.25:
+                    parts = [(np.arange(begin, end), np.arange(len(asking)))]
+                else:  # where few lists are probed, each of them with its own queries
+                    parts = [(begin + np.flatnonzero(lists[begin:end] == n), np.flatnonzero(probed[n])) for n in numbers if probed[n].any()]
+                hits = []
+                for some, chosen in parts:
+                    whole = len(chosen) == len(asking)
+                    own = tables if whole else np.ascontiguousarray(tables[:, :, chosen])
+                    product = base[lists[some]] if whole else base[lists[some]][:, chosen]
+                    looked = np.empty_like(product)
+                    for s in range(SUBSPACES):
+                        product += np.take(own[s], codes[some, s], axis=0, out=looked)
+                    j, i = np.nonzero(product >= least_product[some, None])
+                    j, i = some[j], chosen[i]
+                    open_ = probed[lists[j], i]
+                    hits.append((i[open_] + first, j[open_]))
+                if not hits:
                     continue
-                own = tables if len(chosen) == len(asking) else np.ascontiguousarray(tables[:, :, chosen])
-                product = np.broadcast_to(base[number, chosen], (end - begin, len(chosen))).copy()
-                looked = np.empty_like(product)
-                for s in range(SUBSPACES):
-                    product += np.take(own[s], codes[begin:end, s], axis=0, out=looked)
-                j, i = np.nonzero(product >= least_product[begin:end, None])
-                i, j = chosen[i] + first, j + begin
+                i, j = (np.concatenate(h) for h in zip(*hits, strict=True))
                 exact = np.empty(len(i))
                 for at in range(0, len(i), 1 << 17):
                     exact[at : at + (1 << 17)] = np.einsum("ij,ij->i", q[i[at : at + (1 << 17)]], x[j[at : at + (1 << 17)]])
