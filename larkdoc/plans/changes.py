@@ -84,9 +84,9 @@ l AS (SELECT *, sum((op = 'insert')::INT) OVER (PARTITION BY username ORDER BY c
 m AS (SELECT username, max(life) AS life, arg_max(op, change_no) AS op FROM l GROUP BY username)"""
 
 
-@query(f"""WITH {LIVED} SELECT 'user' AS kind, username, coalesce(arg_max(role, change_no) FILTER (role IS NOT NULL), 'user') AS role, coalesce(arg_max(is_active, change_no) FILTER (is_active IS NOT NULL), true)::VARCHAR AS is_active, arg_max(password_hash, change_no) FILTER (password_hash IS NOT NULL) AS password_hash, NULL::BIGINT AS change_no, NULL AS reason
+@query(f"""WITH {LIVED} SELECT 'user' AS kind, username, coalesce(arg_max(role, change_no) FILTER (role IS NOT NULL), 'user') AS role, coalesce(arg_max(is_active, change_no) FILTER (is_active IS NOT NULL), true)::VARCHAR AS is_active, arg_max(password_hash, change_no) FILTER (password_hash IS NOT NULL) AS password_hash, 0::BIGINT AS change_no, NULL::VARCHAR AS reason
 FROM l JOIN (SELECT username, life FROM m WHERE op <> 'delete') USING (username, life) GROUP BY username
-UNION ALL SELECT 'refused', username, NULL, NULL, NULL, change_no, CASE WHEN op = 'insert' THEN 'username exists' ELSE 'no such username' END FROM f WHERE (op = 'insert') = alive""")
+UNION ALL SELECT 'refused', username, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, change_no::BIGINT, CASE WHEN op = 'insert' THEN 'username exists' ELSE 'no such username' END FROM f WHERE (op = 'insert') = alive""")
 def applied_user_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half of the customers as users, and orders as inserts, field changes and deletes of all of them."""
     key, order = F.col("c_custkey"), F.col("o_orderkey")
@@ -98,7 +98,7 @@ def applied_user_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows, refused = user_changes.apply_user_changes(users, changes)
     none = lambda kind: F.lit(None).cast(kind)
-    return rows.select(F.lit("user").alias("kind"), "username", "role", F.col("is_active").cast("string").alias("is_active"), "password_hash", none("long").alias("change_no"), none("string").alias("reason")).unionByName(
+    return rows.select(F.lit("user").alias("kind"), "username", "role", F.col("is_active").cast("string").alias("is_active"), "password_hash", F.lit(0).cast("long").alias("change_no"), none("string").alias("reason")).unionByName(
         refused.select(F.lit("refused").alias("kind"), "username", none("string").alias("role"), none("string").alias("is_active"), none("string").alias("password_hash"), F.col("change_no").cast("long").alias("change_no"), "reason")
     )
 
