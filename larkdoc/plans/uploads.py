@@ -7,9 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkdoc.functions import text
 from larkdoc.operators import vectors, workspace
-from larkdoc.operators.common import shared_dir
-from larkdoc.plans.tables import asked_questions, query, table
+from larkdoc.operators.common import scratch, shared_dir
+from larkdoc.plans.tables import ORACLES, asked_questions, query, table
 from larkdoc.sources import extract
 from larkdoc.sources.index import ChunkIndex
 
@@ -46,6 +47,19 @@ def extracted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("path", "text", F.lit(False).alias("rejected")).unionByName(rejects.select("path", F.lit(None).cast("string").alias("text"), F.lit(True).alias("rejected")))
 
 
+@query(ORACLES["extracted_files"])
+def extracted_files_lateral(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``extracted_files`` by SQL, with the table function for the formats that need Python."""
+    extract.register_extractor(spark)
+    files = _bytes(spark, sf_dir)
+    python = files.where(F.col("extension").isin(*extract.EXTRACTORS))
+    found = spark.sql("SELECT f.path, x.text, x.error FROM {files} f, LATERAL extract_file(f.extension, f.content) x", files=python)
+    plain = files.where(~F.col("extension").isin(*extract.EXTRACTORS))
+    body = F.when(F.col("extension") == ".doc", extract.scraped(F.col("content"))).otherwise(extract.decoded(F.col("content")))
+    rows = found.unionByName(plain.select("path", body.alias("text"), F.lit(None).cast("string").alias("error")))
+    return rows.where(F.col("error").isNotNull() | ~text.is_blank(F.col("text"))).select("path", "text", F.col("error").isNotNull().alias("rejected"))
+
+
 @query("""WITH f AS (SELECT '/up/json-' || c_custkey || '.json' AS path, CASE WHEN c_custkey % 9 = 0 THEN '{' ELSE '{"n": {"name": "' || c_name || '"}, "t": ["' || c_mktsegment || '", ' || c_nationkey || ']}' END AS body, c_custkey % 9 = 0 AS bad FROM customer)
 SELECT 'document' AS kind, path, path[5:] AS name, sha256(body) AS file_hash, strlen(body)::BIGINT AS n, 'ann' AS owner FROM f WHERE NOT bad UNION ALL SELECT 'job', path, CASE WHEN bad THEN 'failed' ELSE 'completed' END, NULL, 0, NULL FROM f UNION ALL
 SELECT 'chunk', path, NULL, NULL, 0, 'ann' FROM f WHERE NOT bad UNION ALL SELECT 'files', NULL, NULL, NULL, count(*), NULL FROM f UNION ALL SELECT 'chunks', NULL, NULL, NULL, count(*) FILTER (NOT bad), NULL FROM f""")
@@ -74,7 +88,9 @@ SELECT qid, vec_id, row_number() OVER (PARTITION BY qid ORDER BY d2, vec_id)::IN
 def scoped_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.concat(F.lit("o"), (F.col("doc_id") % 3).cast("string")).alias("owner"), F.col("lang").alias("chat_id"), F.concat(F.lit("f"), (F.col("doc_id") % 5).cast("string")).alias("source"), vectors.hash_embedding(F.col("text")).alias("embedding"))
     asked = asked_questions(spark, sf_dir).select("qid", vectors.hash_embedding(F.col("question")).alias("embedding"))
-    return vectors.knn_l2(asked, held, 3, workspace.scope_filter("o1", "en", ["f0", "f2", "", "f3", "f0"])).select("qid", "vec_id", "rank")
+    index = ChunkIndex(spark, scratch(spark, "scopes"), ("owner", "chat_id"))
+    index.write(held)
+    return index.search(asked, 3, workspace.scope_filter("o1", "en", ["f0", "f2", "", "f3", "f0"])).select("qid", "vec_id", "rank")
 
 
 @query("SELECT doc_id, [length(coalesce(text, ''))::FLOAT, (length(coalesce(text, '')) - length(replace(coalesce(text, ''), ' ', '')))::FLOAT] AS embedding FROM documents")

@@ -242,6 +242,26 @@ def extract_rows(files: DataFrame, extractors: dict[str, Callable[[bytes], Itera
     return rows.where("error is null").where(~text.is_blank(F.col("text"))).drop("error"), rows.where("error is not null").select("path", F.col("error").alias("reason"))
 
 
+def extractor_function(extractors: dict[str, Callable[[bytes], Iterator[dict]]] | None = None) -> type:
+    """A table function (extension, content) to rows (page, slide, sheet, text, error), one for each row of the file or one that says why it can't be read."""
+    extractors = EXTRACTORS if extractors is None else extractors
+
+    class ExtractFile:
+        def eval(self, extension: str, content: bytes) -> Iterator[tuple]:
+            try:
+                rows = [(r.get("page"), r.get("slide"), r.get("sheet"), r["text"], None) for r in extractors[extension](bytes(content))]
+            except Exception as problem:  # any file can be broken in any way; it becomes a row with its reason
+                rows = [(None, None, None, None, f"{type(problem).__name__}: {problem}"[:200])]
+            yield from rows
+
+    return F.udtf(ExtractFile, returnType="page int, slide int, sheet string, text string, error string")
+
+
+def register_extractor(spark: SparkSession, name: str = "extract_file", extractors: dict[str, Callable[[bytes], Iterator[dict]]] | None = None) -> None:
+    """For SQL: ``SELECT f.path, x.* FROM files f, LATERAL extract_file(f.extension, f.content) x``."""
+    spark.udtf.register(name, extractor_function(extractors))
+
+
 @F.pandas_udf(T.StringType())
 def html_to_text(pages: pd.Series) -> pd.Series:
     return pages.map(lambda p: None if p is None else html_text(p))

@@ -91,3 +91,29 @@ def test_cells_of_rare_lengths_and_of_nothing(spark, tmp_path, monkeypatch):
     assert rows(index.search(asked, 4)) == rows(vectors.knn_l2(asked, held, 4))
     index.write(held.where("false"))
     assert index.search(asked, 4).count() == 0
+
+
+def test_an_index_by_scope_reads_its_folders_alone(spark, tmp_path):
+    from larkdoc.sources.index import ChunkIndex
+
+    data = [(i, f"o{i % 3}", None if i % 7 == 0 else str(i % 4).zfill(3), [float(i), 1.0]) for i in range(120)]
+    held = spark.createDataFrame(data, "vec_id long, owner string, chat_id string, embedding array<double>")
+    index, plain = ChunkIndex(spark, f"{tmp_path}/by-scope", ("owner", "chat_id")), ChunkIndex(spark, f"{tmp_path}/plain")
+    for one in (index, plain):
+        one.write(held.where("vec_id < 80"))
+        one.append(held.where("vec_id >= 80"))
+    assert index.read().columns == plain.read().columns
+    asked = held.limit(5).select(F.col("vec_id").alias("qid"), "embedding")
+    for wanted in ({"owner": "o1", "chat_id": "002"}, {"owner": ["o0", "o2"]}, {"chat_id": "None"}, {"owner": "o9"}, None):
+        assert rows(index.search(asked, 4, wanted)) == rows(plain.search(asked, 4, wanted))
+    narrowed = index._narrowed(index._read(index.parts()), {"owner": "o1", "chat_id": ["002", "003"]})
+    plan = narrowed._jdf.queryExecution().toString()
+    assert "in_owner#" in plan.split("PartitionFilters: ")[1].split("]")[0] and narrowed.count() == len([r for r in data if r[1] == "o1" and r[2] in ("002", "003")])
+    scopes = spark.createDataFrame([(1, "o1", "002"), (2, "o0", None), (3, "o9", "001")], "qid long, owner string, chat_id string").where("qid < 3")
+    found = index.rows_of(scopes)
+    assert rows(found.select("qid", "vec_id")) == sorted((((1 if r[1] == "o1" else 2), r[0]) for r in data if (r[1], r[2]) in (("o1", "002"), ("o0", None))), key=repr)
+    assert "dynamicpruning" in found._jdf.queryExecution().toString()
+    assert index.delete({"owner": "o1"}) == plain.delete({"owner": "o1"}) == 40
+    assert rows(index.read()) == rows(plain.read())
+    index.compact()
+    assert rows(index.read()) == rows(plain.read()) and len(index.parts()) == 1
