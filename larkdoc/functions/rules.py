@@ -13,9 +13,11 @@ FIELD_LENGTHS = {"title": (1, 200), "name": (1, 255), "username": (3, 64), "pass
 EXTENSIONS = (".txt", ".md", ".csv", ".json", ".xml", ".html", ".docx", ".xlsx", ".pptx", ".doc")
 
 STOP_WORDS = (
-    "va và la là cua của cho voi với trong tren trên duoc được nhung những cac các mot một nhu như the thế nao nào toi tôi ban bạn minh mình "
-    "giup giúp gi gì co có khong không tai tại sao khi this that what when where who why how is are a an of for to and or in on from with about please help"
-).split()
+    "va", "và", "la", "là", "cua", "của", "cho", "voi", "với", "trong", "tren", "trên", "duoc", "được", "nhung", "những", "cac", "các", "mot", "một",
+    "nhu", "như", "the", "thế", "nao", "nào", "toi", "tôi", "ban", "bạn", "minh", "mình", "giup", "giúp", "gi", "gì", "co", "có", "khong", "không",
+    "tai", "tại", "sao", "khi", "this", "that", "what", "when", "where", "who", "why", "how", "is", "are", "a", "an", "of", "for", "to", "and", "or",
+    "in", "on", "from", "with", "about", "please", "help",
+)
 
 #: Titles and stand-ins of rendered outlines.
 OVERVIEW, DEFAULT_ROOT, NO_DETAIL, NO_STAGE = "Tổng quan", "Tổng quan tài liệu", "Nội dung chính trong tài liệu", "Noi dung chinh"

@@ -184,8 +184,8 @@ def outline_rows(texts: DataFrame, most_branches: int = 8, most_children: int =
     """(id, branch_no, branch, children) from the lines of (id, text): bullets, ``branch: child``, first cells of tables."""
     lines = texts.select("id", F.posexplode(F.split("text", r"\R")).alias("pos", "line")).where(F.length(text.strip(F.col("line"))).between(3, 90) & ~F.col("line").rlike(r"^\s*\|?\s*:?-{3,}"))
     cells = F.transform(F.split(F.regexp_replace("line", r"^\s*\||\|\s*$", ""), r"\|"), text.clean_label)
-    pair = text.split_branch_child(F.regexp_replace(text.strip(F.col("line")), r"^(?:[-*•]|\d+[.)])\s+", ""))
-    table = F.col("line").rlike(r"^\s*\|.+\|\s*$")
+    pair = text.split_branch_child(F.regexp_replace(text.strip(F.col("line")), f"^{LIST_MARK}", ""))
+    table = F.col("line").rlike(TABLE_ROW)
     named = lines.select("id", "pos", F.when(table, F.get(cells, F.lit(0))).otherwise(text.clean_label(pair["branch"])).alias("branch"), F.when(table, F.slice(cells, 2, 2)).otherwise(F.array(text.clean_label(pair["child"]))).alias("children")).where("branch <> ''")
     return _branches(named, most_branches, most_children)
 

@@ -130,3 +130,13 @@ def folded_jobs(spark: SparkSession, sf_dir: str, job_events: Callable[[DataFram
 def _listed(spark: SparkSession, folder: str) -> list:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     return list(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path))
+
+
+@query("SELECT 'completed' AS status, 100 AS progress, count(*) AS files_total, count(*) AS chunks_total, count(*) AS chunks FROM supplier")
+def ingest_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as files of their own, ingested by a stream whose micro-batches leave the events of their jobs; summed over the batches."""
+    root = scratch(spark, "ingest")
+    table(spark, sf_dir, "supplier").select(F.concat("s_name", F.lit(" of "), F.col("s_nationkey").cast("string")).alias("value"), "s_suppkey").repartition("s_suppkey").write.partitionBy("s_suppkey").text(f"{root}/files")
+    streams.ingest_files(spark, f"{root}/files", f"{root}/chunks", f"{root}/jobs", f"{root}/state", {"owner": "ann"}, events_path=f"{root}/events").awaitTermination()
+    jobs = state.job_snapshot(spark.read.parquet(f"{root}/events/batch=*"))
+    return jobs.groupBy("status").agg(F.min("progress").alias("progress"), *[F.sum(c).alias(c) for c in ("files_total", "chunks_total", "chunks")])

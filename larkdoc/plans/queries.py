@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkdoc.functions import rules, text
@@ -204,6 +204,18 @@ def chunk_all_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.number_chunks(chunking.chunk_documents(table(spark, sf_dir, "documents")))
 
 
+@query(r"""SELECT doc_id, len(list_distinct(list_filter(regexp_extract_all(text, '[!-~]+'), lambda w: length(w) <= 200)))::BIGINT AS n_words, true AS begins, true AS ends, true AS fits, true AS exact FROM documents WHERE regexp_matches(text, '\S')""")
+def chunk_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """That the chunks of all whole texts lose no word, begin and end where the text does, have the size at most and stand where start_index says."""
+    chunks = chunking.chunk_documents(table(spark, sf_dir, "documents"))
+    whole = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("whole"), text.strip(F.col("text")).alias("clean"))
+    words = lambda column: F.array_distinct(F.filter(F.regexp_extract_all(column, F.lit("([!-~]+)"), 1), lambda w: F.length(w) <= 200))
+    seen = chunks.join(whole, "doc_id").withColumn("exact", F.substring("whole", F.col("start_index") + 1, F.length("text")) == F.col("text"))
+    found = seen.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list(words(F.col("text"))))).alias("w"), F.min_by("text", "chunk_no").alias("first"), F.max_by("text", "chunk_no").alias("last"), F.max(F.length("text")).alias("most"), F.min("exact").alias("exact"))
+    both = found.join(whole, "doc_id")
+    return both.select("doc_id", F.size(F.array_intersect("w", words(F.col("whole")))).cast("long").alias("n_words"), F.startswith("clean", "first").alias("begins"), F.endswith("clean", "last").alias("ends"), (F.col("most") <= rules.CHUNK_SIZE).alias("fits"), "exact")
+
+
 @query("SELECT doc_id, doc_id || '||' || (doc_id % 7) || '||' || sha1(left(text, 512)) AS chunk_key FROM documents")
 def chunk_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(None).cast("int")
@@ -608,9 +620,9 @@ def clean_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", text.clean_label(F.col("text")).alias("label"))
 
 
-@query("SELECT qid, string_agg('**' || label || '**' || chr(10) || answer, chr(10) || chr(10) ORDER BY number) AS answer, list_sort(list_distinct(list(source))) AS sources FROM (SELECT doc_id % 50 AS qid, doc_id AS number, lang AS label, text AS answer, source FROM documents) GROUP BY qid")
+@query("SELECT qid, string_agg('**' || label || '**' || chr(10) || answer, chr(10) || chr(10) ORDER BY number) AS answer, list_sort(list_distinct(list(source))) AS sources FROM (SELECT doc_id // 20 AS qid, doc_id AS number, lang AS label, text AS answer, source FROM documents) GROUP BY qid")
 def compose_per_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = table(spark, sf_dir, "documents").select((F.col("doc_id") % 50).alias("qid"), F.col("doc_id").alias("number"), F.col("lang").alias("label"), F.col("text").alias("answer"), F.array("source").alias("sources"))
+    parts = table(spark, sf_dir, "documents").select(F.expr("doc_id div 20").alias("qid"), F.col("doc_id").alias("number"), F.col("lang").alias("label"), F.col("text").alias("answer"), F.array("source").alias("sources"))
     return answers.compose_per_document(parts).withColumn("sources", F.array_sort("sources"))
 
 
@@ -624,11 +636,11 @@ def job_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", text.progress_percent(stage, F.col("event_id") % 50, F.lit(49)).alias("percent"))
 
 
-@query("""WITH n AS (SELECT source, array_to_string(list(doc_id || '.txt' ORDER BY doc_id), chr(1)) AS l, count(*) AS k FROM documents GROUP BY source)
-SELECT source, CASE WHEN k > 1 THEN 'Compare.' || chr(10) || chr(10) || array_to_string(list_transform(string_split(l, chr(1)), lambda x, i: i || '. ' || x), chr(10)) ELSE 'Compare.' END AS question FROM n""")
+@query("""WITH n AS (SELECT source, doc_id // 100 AS chat, array_to_string(list(doc_id || '.txt' ORDER BY doc_id), chr(1)) AS l, count(*) AS k FROM documents GROUP BY ALL)
+SELECT source, chat, CASE WHEN k > 1 THEN 'Compare.' || chr(10) || chr(10) || array_to_string(list_transform(string_split(l, chr(1)), lambda x, i: i || '. ' || x), chr(10)) ELSE 'Compare.' END AS question FROM n""")
 def annotated_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.transform(F.array_sort(F.collect_list("doc_id")), lambda i: F.concat(i.cast("string"), F.lit(".txt")))
-    return table(spark, sf_dir, "documents").groupBy("source").agg(names.alias("names")).select("source", text.annotate_question(F.lit("Compare."), F.col("names")).alias("question"))
+    return table(spark, sf_dir, "documents").groupBy("source", F.expr("doc_id div 100").alias("chat")).agg(names.alias("names")).select("source", "chat", text.annotate_question(F.lit("Compare."), F.col("names")).alias("question"))
 
 
 @query(r"""WITH j AS (SELECT event_id AS job_id, CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'completed' ELSE 'queued' END AS status, try_cast(regexp_extract(props, '(\d+)', 1) AS INT) AS p, (event_id % 5)::INT AS retry_count FROM events)

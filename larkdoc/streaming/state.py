@@ -83,17 +83,18 @@ def rate_limit_stream(events: DataFrame, limit: int, window: float = 60.0, late:
     return _timed(chosen, late).groupBy("key").applyInPandasWithState(step, "event_id long, allowed boolean, retry_after long", "log array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def job_after(job: tuple, kind: str | None, progress: int | None, chunks: int | None, detail: str | None, ts: int | None) -> tuple:
-    """A job's (status, progress, chunks, detail, retry_count, updated_at) after one more event."""
-    status, at, n, said, retries, _ = job
+def job_after(job: tuple, kind: str | None, progress: int | None, chunks: int | None, detail: str | None, ts: int | None, files_total: int | None, chunks_total: int | None) -> tuple:
+    """A job's (status, progress, chunks, detail, retry_count, updated_at, files_total, chunks_total) after one more event."""
+    status, at, n, said, retries, _, files, of = job
     to, _, fresh = TRANSITIONS.get(kind, (status, None, None))
     given = at if progress is None else max(at, min(100, max(0, progress)))
     said = None if kind == "retry" else said if detail is None else detail
-    return to, given if fresh is None else fresh, n if chunks is None else max(n, chunks), said, retries + (kind == "retry"), ts
+    counts = [old if new is None else max(old, new) for old, new in ((n, chunks), (files, files_total), (of, chunks_total))]
+    return to, given if fresh is None else fresh, counts[0], said, retries + (kind == "retry"), ts, *counts[1:]
 
 
 def job_snapshot(events: DataFrame, held: DataFrame | None = None) -> DataFrame:
-    """The state of each job after its events (job_id, event_no, kind, progress, chunks, detail, ts).
+    """The state of each job after its events (job_id, event_no, kind, progress, chunks, detail, ts, and files_total and chunks_total if they have these).
 
     ``held`` is an earlier result to go on from; jobs of it without events stay as they were.
 
@@ -105,26 +106,26 @@ def job_snapshot(events: DataFrame, held: DataFrame | None = None) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, job = None, None
         for batch in batches:
-            names, types = ["job_id", "status", "progress", "chunks", "detail", "retry_count", "updated_at"], [batch.schema.field(0).type, pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.int64()]
+            names, types = ["job_id", "status", "progress", "chunks", "detail", "retry_count", "updated_at", "files_total", "chunks_total"], [batch.schema.field(0).type, pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             done = []
             for job_id, status, retries, _, *event in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if job is None or job_id != now:
                     if job is not None:
                         done.append((now, *job))
-                    now, job = job_id, (None, 0, 0, None, 0, None)
-                job = job_after(job, *event) if retries is None else (status, *event[1:4], retries, event[4])
+                    now, job = job_id, (None, 0, 0, None, 0, None, 0, 0)
+                job = job_after(job, *event) if retries is None else (status, *event[1:4], retries, *event[4:])
             if done:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), types, strict=True)], names=names)
         if job is not None:
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((now, *job), types, strict=True)], names=names)
 
-    rows = events.select("job_id", "event_no", "kind", F.col("progress").cast("int").alias("progress"), F.col("chunks").cast("long").alias("chunks"), F.col("detail").cast("string").alias("detail"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
-    rows = rows.select("job_id", F.lit(None).cast("string").alias("status"), F.lit(None).cast("int").alias("retries"), "event_no", "kind", "progress", "chunks", "detail", "at")
+    none = F.lit(None)
+    totals = [(F.col(c) if c in events.columns else none).cast("long").alias(c) for c in ("files_total", "chunks_total")]
+    rows = events.select("job_id", none.cast("string").alias("status"), none.cast("int").alias("retries"), "event_no", "kind", F.col("progress").cast("int").alias("progress"), F.col("chunks").cast("long").alias("chunks"), F.col("detail").cast("string").alias("detail"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), *totals)
     if held is not None:
-        none = F.lit(None)
-        rows = rows.unionByName(held.select("job_id", "status", F.col("retry_count").alias("retries"), none.cast(rows.schema["event_no"].dataType).alias("event_no"), none.cast("string").alias("kind"), "progress", "chunks", "detail", F.unix_micros("updated_at").alias("at")))
+        rows = rows.unionByName(held.select("job_id", "status", F.col("retry_count").alias("retries"), none.cast(rows.schema["event_no"].dataType).alias("event_no"), none.cast("string").alias("kind"), "progress", "chunks", "detail", F.unix_micros("updated_at").alias("at"), "files_total", "chunks_total"))
     rows = rows.repartition(F.xxhash64("job_id")).sortWithinPartitions("job_id", F.col("retries").asc_nulls_last(), "event_no", "kind", "progress", "chunks", "detail", "at")
-    folded = rows.mapInArrow(task, f"job_id {events.schema['job_id'].dataType.simpleString()}, status string, progress int, chunks long, detail string, retry_count int, updated_at long")
+    folded = rows.mapInArrow(task, f"job_id {events.schema['job_id'].dataType.simpleString()}, status string, progress int, chunks long, detail string, retry_count int, updated_at long, files_total long, chunks_total long")
     return folded.withColumn("updated_at", F.timestamp_micros("updated_at"))
 
 
