@@ -90,25 +90,37 @@ class NeighbourModel:
 def fit_neighbours(sample: DataFrame) -> NeighbourModel:
     """Latent-semantic analysis of (text, label) rows, at most twice ``PER_CLASS``: weighted term counts, largest singular axes.
 
-    Tasks count terms; the driver gets ``TERMS`` counts for each row of the bounded sample. Without rows scores are 0.5.
+    Tasks count terms; the driver gets the counts that aren't 0 of each row of the bounded sample, and holds two tables of ``TERMS`` columns
+    of them. Without rows scores are 0.5.
     """
 
+    def packed(counts: np.ndarray) -> bytes:
+        used = np.flatnonzero(counts)
+        return used.astype(np.uint16).tobytes() + counts[used].tobytes()
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shapes = _Shapes()
-        rows = ((doc_id, label, terms(text.as_py(), shapes).tobytes()) for batch in batches for doc_id, label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True))
+        rows = ((doc_id, label, packed(terms(text.as_py(), shapes))) for batch in batches for doc_id, label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True))
         return batched(rows, pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("counts", pa.binary())]))
 
     found = sorted(sample.select("doc_id", "label", "text").mapInArrow(task, "doc_id long, label int, counts binary").collect())
     if not found:
         return NeighbourModel(np.zeros(TERMS), np.zeros((TERMS, 1)), np.zeros((0, 1), np.float32), np.zeros(0), 0.5)
-    counts = np.stack([np.frombuffer(r["counts"], np.float32) for r in found])
-    labels = np.array([r["label"] for r in found], float)
-    weights = np.log((1 + len(found)) / (1 + (counts > 0).sum(0))) + 0.1
-    rows = np.log1p(counts) * weights
-    rows = rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
-    values, axes = np.linalg.eigh(rows.T.astype(float) @ rows)
+    labels, counts = np.array([r["label"] for r in found], float), np.zeros((len(found), TERMS), np.float32)
+    for i, r in enumerate(found):
+        n = len(r["counts"]) // 6
+        counts[i, np.frombuffer(r["counts"], np.uint16, n)] = np.frombuffer(r["counts"], np.float32, n, 2 * n)
+    del found
+    weights = np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))) + 0.1
+    products = np.zeros((TERMS, TERMS))
+    for at in range(0, len(counts), 256):
+        rows = np.log1p(counts[at : at + 256]) * weights
+        rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
+        products += rows.T @ rows
+    _, axes = np.linalg.eigh(products)
+    del products
     model = NeighbourModel(weights.astype(np.float32), axes[:, ::-1][:, :DIMENSIONS].astype(np.float32), np.zeros((0, DIMENSIONS), np.float32), labels, float(labels.mean()))
-    model.vectors = model.embed(counts)
+    model.vectors = np.concatenate([model.embed(counts[at : at + 256]) for at in range(0, len(counts), 256)])
     return model
 
 
