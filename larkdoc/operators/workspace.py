@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkdoc.functions import rules, text
+from larkdoc.operators.aliases import named_in
 from larkdoc.operators.common import latest, numbered, small, top_rows
 
 WORKSPACE = ["username", "chat_id"]
@@ -142,9 +143,7 @@ def select_documents(questions: DataFrame, documents: DataFrame, bare_numbers: b
     """(qid, upload_index) that a question names: all, by number, or by a name in it.
 
     ``questions`` has qid, the workspace and question; ``documents`` the workspace, upload_index and name.
-    Numbers meet by equality. A name meets a question by its first 12, 6 or 3 characters, the most that
-    it has, among all stretches of the question's text of that length, and is then looked for whole; so
-    questions aren't paired with all documents of their workspace unless they ask for all.
+    Numbers meet by equality. Names are sought by an automaton of a workspace's aliases (``named_in``), in one pass over each question.
     """
     asked = questions.select("qid", *WORKSPACE, text.fold_text("question").alias("folded"))
     every = asked.where(text.matches(F.col("folded"), rules.ALL_DOCUMENTS)).join(documents.select(*WORKSPACE, "upload_index"), WORKSPACE)
@@ -154,17 +153,8 @@ def select_documents(questions: DataFrame, documents: DataFrame, bare_numbers: b
         numbers = F.concat(numbers, F.regexp_extract_all("folded", F.lit(rules.BARE_NUMBER), 1))
     said = asked.select("qid", *WORKSPACE, F.explode(F.array_distinct(F.transform(numbers, lambda n: n.cast("int")))).alias("upload_index"))
     by_number = said.join(documents.select(*WORKSPACE, "upload_index"), [*WORKSPACE, "upload_index"])
-    sizes = (12, 6, 3)
-    start = F.coalesce(*[F.when(F.length("alias") >= n, F.substring("alias", 1, n)) for n in sizes], F.col("alias"))
-    names = documents.select(*WORKSPACE, "upload_index", F.explode(text.document_aliases(F.col("name"))).alias("alias")).withColumn("start", start)
-
-    def stretches(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("folded") - n + 1))
-        return F.transform(starts, lambda i: F.substring(F.col("folded"), i, F.lit(n)))
-
-    parts = asked.select("qid", *WORKSPACE, "folded", F.explode(F.array_distinct(F.flatten(F.array(*map(stretches, sizes))))).alias("start"))
-    by_name = parts.join(names, [*WORKSPACE, "start"]).where(F.contains("folded", "alias"))
-    found = [rows.select("qid", "upload_index") for rows in (every, by_number, by_name)]
+    names = documents.select(*WORKSPACE, "upload_index", F.explode(text.document_aliases(F.col("name"))).alias("alias"))
+    found = [rows.select("qid", "upload_index") for rows in (every, by_number, named_in(asked, names))]
     return found[0].unionByName(found[1]).unionByName(found[2]).distinct()
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from larkdoc.functions import rules, text
 from larkdoc.operators import analytics, answers, chunking, outline, retrieval, vectors, workspace
-from larkdoc.plans import changes, feeds, indexed, texts, uploads  # noqa: F401  (they register theirs)
+from larkdoc.plans import changes, feeds, files, indexed, texts, uploads  # noqa: F401  (they register theirs)
 from larkdoc.plans.tables import AS_OF, FILES, JOBS, MESSAGES, ORACLES, QUERIES, Query, asked_questions, query, quoted, stored_chunks, stored_files, stored_jobs, stored_messages, strip_sql, table, tokens_sql, ws_sql
 from larkdoc.sources import extract
 from larkdoc.streaming import state
@@ -162,6 +162,11 @@ def extractive_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.extractive_answers(_context(spark, sf_dir), asked_questions(spark, sf_dir))
 
 
+@query(f"{SENTENCES}, {ANSWER} SELECT qid, CASE WHEN length(coalesce(text, '')) % 4 < 2 THEN answer ELSE 'M ' || text END AS answer FROM answer JOIN benchmark ON item_id = qid")
+def model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.model_answers(spark, sf_dir, _context(spark, sf_dir))
+
+
 @query(f"""WITH {QUESTION}, {VECTOR_HITS}, {FUSION}, ctx AS (SELECT qid, chunk_id, place, text, source FROM kept JOIN c0 USING (chunk_id)), q AS (SELECT item_id AS qid, list_distinct({tokens_sql("coalesce(text, '')")}) AS tokens FROM benchmark),
 {BEST}, {ANSWER}, refs AS (SELECT qid, source || ' [đoạn ' || (chunk_id % 7) || ']' AS ref, min(place) AS first_at FROM ctx GROUP BY ALL),
 src AS (SELECT qid, list(ref ORDER BY first_at) AS sources FROM refs GROUP BY qid)
