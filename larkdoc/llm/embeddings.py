@@ -116,7 +116,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id"
     ``ProductIndex.probes``), and drops an entry if the distance to what its codes stand for exceeds that distance
     by more than the entry's own coding error; the rest are reranked by exact cosines. So no link is
     missed. Vectors without structure in many columns probe nearly all lists, and time then grows
-    with the square of the distinct vectors; a query is sent once to each group of lists, not to each
+    with the square of the distinct vectors; a query is sent once to each group of lists from its own on, not to each
     list. A group is searched in blocks of about ``BLOCK`` entries and queries: tables of the queries' products with all codes
     are looked up for each entry and added to the product with its centre; a block gives counts and a smallest linked id for each vector, never pairs.
 
@@ -167,6 +167,7 @@ def _links(classes: DataFrame, n: int, cosine: float, kind: type) -> DataFrame:
                 probed = np.zeros((len(units), groups.max() + 1), bool)
                 again, lead = np.nonzero(shared.value.probes(units, reach))
                 probed[again, groups[lead]] = True
+                probed &= np.arange(probed.shape[1]) >= groups[lists][:, None]  # a pair of groups is searched from one side
                 again, asked = np.nonzero(probed)
                 entry = np.concatenate([np.ones(len(units), bool), np.zeros(len(again), bool)])
                 source = np.concatenate([np.arange(len(units)), again])
@@ -193,13 +194,15 @@ def _links(classes: DataFrame, n: int, cosine: float, kind: type) -> DataFrame:
     placed = placed.select("group", "list", F.when(F.col("entry"), F.col("own")).otherwise(F.col("other")).alias("entries"), F.when(F.col("entry"), F.col("other")).otherwise(F.col("own")).alias("queries"), "entry", "rep", "copies", "vector", "codes", "error")
 
     def search(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        """The links of a block; where a query comes from another group, they count for its entries too, as these aren't sent there."""
         entries, queries = frame[frame["entry"]], frame[~frame["entry"]]
         if not len(entries) or not len(queries):
             return pd.DataFrame({"rep": [], "links": [], "least": []})
         index, entries = shared.value, entries.sort_values("list")
         x, q = (_units(np.frombuffer(b"".join(side["vector"]), kind).reshape(len(side), -1).astype(float)) for side in (entries, queries))
         codes = np.frombuffer(b"".join(entries["codes"]), np.uint8).reshape(len(entries), -1)
-        lists, weights = entries["list"].to_numpy(), entries["copies"].to_numpy()
+        lists, weights, asking_weights = entries["list"].to_numpy(), entries["copies"].to_numpy(), queries["copies"].to_numpy()
+        guest = index.groups[queries["list"].to_numpy()] != key[0]
         ids, node = np.unique(np.concatenate([queries["rep"].to_numpy(), entries["rep"].to_numpy()]), return_inverse=True)
         places, links, edges = np.arange(len(ids)), np.zeros(len(ids), np.int64), []
         # |q - c|^2 <= (reach + error)^2 as a product, for |q| = 1; single precision needs the slack
@@ -236,6 +239,7 @@ def _links(classes: DataFrame, n: int, cosine: float, kind: type) -> DataFrame:
                 linked = exact >= cosine
                 i, j = i[linked], j[linked]
                 np.add.at(links, node[i], weights[j])
+                np.add.at(links, node[j + len(q)][guest[i]], asking_weights[i][guest[i]])
                 i, j = node[i], node[j + len(q)]
                 if (i != j).any():
                     least = _joined(i, j, places)
