@@ -140,10 +140,12 @@ def question_flags(question: Column) -> dict[str, Column]:
     return {name: matches(question, f"(?:{pattern})") for name, pattern in kinds.items()}
 
 
-def diagram_kind(question: Column) -> Column:
-    """Timeline, pie, mindmap or flowchart by the question's words; else by its hash."""
+def diagram_kind(question: Column, branches: Column | None = None) -> Column:
+    """Timeline, pie, mindmap or flowchart by the question's words; else by the hash of the lower-cased question, or of an outline's ``branches`` if the question is empty."""
     flags = question_flags(question)
-    last = F.conv(F.right(F.sha1(F.encode(question, "UTF-8")), F.lit(1)), 16, 10).cast("int") % 4
+    asked = F.lower(F.coalesce(question, F.lit("")))
+    seed = asked if branches is None else F.when(asked == "", F.coalesce(branches, F.lit(""))).otherwise(asked)
+    last = F.conv(F.right(F.sha1(F.encode(seed, "UTF-8")), F.lit(1)), 16, 10).cast("int") % 4
     kinds = F.array(*map(F.lit, ("flowchart", "mindmap", "timeline", "pie")))
     return F.when(flags["timeline"], "timeline").when(flags["pie"], "pie").when(flags["mindmap"], "mindmap").when(flags["flow"], "flowchart").otherwise(F.get(kinds, last))
 

@@ -261,17 +261,19 @@ def post_process_answers(answers: DataFrame, context: DataFrame) -> DataFrame:
     near = context.where("place <= 4").select("qid", "place", "source", "text")
     said = bullet_rows(repaired.select(F.col("qid").alias("id"), F.col("answer").alias("text")))
     told = outline_rows(near.groupBy("qid").agg(in_order(["place"], "text", "\n").alias("text")).withColumnRenamed("qid", "id"))
-    visual = render_outline(merge_outlines(said, told), outline_roots(near, answers, rules.OVERVIEW)).drop("wide_mindmap")
+    merged = written(merge_outlines(said, told), "outlines")
+    visual = render_outline(merged, outline_roots(near, answers, rules.OVERVIEW)).drop("wide_mindmap")
+    branches = merged.groupBy("id").agg(in_order(["branch_no"], "branch", " ").alias("_branches"))
     few = repaired.select(F.col("qid").alias("id")).join(said.groupBy("id").agg(F.count("*").alias("_n")).where("_n >= 4"), "id", "left_anti")
     maps = render_outline(merge_outlines(said, told.join(few, "id", "left_semi"), 8, extend=False), outline_roots(near, answers, "Mindmap")).select("id", "wide_mindmap")
-    joined = repaired.join(visual, F.col("qid") == visual["id"], "left").drop("id").join(maps, F.col("qid") == maps["id"], "left").drop("id")
+    joined = repaired.join(visual, F.col("qid") == visual["id"], "left").drop("id").join(branches, F.col("qid") == branches["id"], "left").drop("id").join(maps, F.col("qid") == maps["id"], "left").drop("id")
     question, tidy, narrative = F.col("question"), F.col("parts.tidy"), F.col("parts.narrative")
     none = F.lit(None).cast("string")
 
     def together(*parts: Column) -> Column:
         return F.array_join(F.filter(F.array(*parts), lambda x: x.isNotNull() & (x != "")), "\n\n")
 
-    kind = text.diagram_kind(question)
+    kind = text.diagram_kind(question, F.col("_branches"))
     diagram = F.coalesce(F.when(kind == "timeline", F.col("timeline")).when(kind == "pie", F.col("pie")).when(kind == "mindmap", F.col("mindmap")), F.col("flowchart"))
     extra = together(
         tidy,
