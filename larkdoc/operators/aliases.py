@@ -19,7 +19,7 @@ def named_in(questions: DataFrame, names: DataFrame) -> DataFrame:
     a large workspace, is cut into blocks, each block of aliases meeting each of questions. Empty aliases and null workspaces find nothing.
     """
     space = ["username", "chat_id"]
-    names = names.where("alias <> ''").select(*space, F.col("upload_index").cast("long").alias("upload_index"), "alias")
+    names = names.where("alias <> '' and username is not null and chat_id is not null").select(*space, F.col("upload_index").cast("long").alias("upload_index"), "alias")
     held = names.groupBy(*space).agg(F.count("*").alias("n"))
     asked = questions.where("folded <> ''").select(*[F.col(c).alias(c) for c in ("qid", *space, "folded")])  # columns of its own, where both sides come from one table
     n_groups = max(1, -(-names.count() // ALIASES))

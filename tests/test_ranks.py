@@ -69,3 +69,19 @@ def test_changes_apply_field_by_field(spark):
     assert sorted(r["change_no"] for r in refused.collect()) == out
     rows, refused = user_changes.apply_user_changes(held, log.where(F.lit(False)))
     assert rows.count() == 6 and refused.count() == 0
+
+
+def test_names_are_found_in_blocks(spark, monkeypatch):
+    from larkdoc.operators import aliases
+
+    monkeypatch.setattr(aliases, "ALIASES", 7)
+    monkeypatch.setattr(aliases, "QUESTIONS", 11)
+    random_ = random.Random(5)
+    spaces = [("u", 1), ("u", 1), ("u", 1), ("v", 2), (None, 3)]
+    names = [(*random_.choice(spaces), i, "".join(random_.choice("ab ") for _ in range(random_.randrange(5)))) for i in range(80)]
+    asked = [(q, *random_.choice(spaces), "".join(random_.choice("ab ") for _ in range(random_.randrange(30)))) for q in range(90)]
+    want = {(q, i) for q, u, c, text in asked for v, d, i, alias in names if u is not None and (u, c) == (v, d) and alias and text and alias in text}
+    held = spark.createDataFrame(names, "username string, chat_id long, upload_index int, alias string")
+    questions = spark.createDataFrame(asked, "qid long, username string, chat_id long, folded string")
+    assert {tuple(r) for r in aliases.named_in(questions, held).collect()} == want
+    assert aliases.named_in(questions, held.where(F.lit(False))).count() == 0

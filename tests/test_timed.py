@@ -100,3 +100,32 @@ def test_null_keys_are_one_key_in_batch_and_stream(spark, tmp_path, kind):
     messages = held.select(F.col("event_id").alias("message_id"), F.col("key").alias("chat_id"), F.unix_timestamp("ts").alias("at"), (F.col("event_id") < 2).alias("ambiguous"), (F.col("event_id") >= 2).alias("selects"))
     said = {r["message_id"]: r["outcome"] for r in state.pending_scopes(messages, 900).collect()}
     assert said == {i: "waiting" if i < 2 else "resolved" if i < 4 else "plain" for i in range(10)}
+
+
+def test_progress_is_told(spark, tmp_path):
+    from larkdoc.streaming import streams
+
+    told = []
+    listener = streams.ProgressCalls(told.append)
+    spark.streams.addListener(listener)
+    try:
+        rows = spark.range(5).withColumn("ts", F.lit(T0))
+        rows.write.parquet(f"{tmp_path}/in")
+        query = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in").writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/s").trigger(availableNow=True).start()
+        query.awaitTermination()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    finally:
+        spark.streams.removeListener(listener)
+    assert any(t.get("rows") == 5 and t["batch"] == 0 for t in told) and any(t.get("ended") and t["error"] is None for t in told)
+
+
+def test_ingest_leaves_the_events_of_its_batches(spark, tmp_path):
+    from larkdoc.streaming import streams
+
+    (tmp_path / "files").mkdir()
+    for name, body in (("a.txt", "alpha"), ("b.txt", "beta " * 1000), ("c.json", "{")):
+        (tmp_path / "files" / name).write_text(body)
+    streams.ingest_files(spark, str(tmp_path / "files"), f"{tmp_path}/chunks", f"{tmp_path}/jobs", f"{tmp_path}/s", {"owner": "o"}, events_path=f"{tmp_path}/events").awaitTermination()
+    job = state.job_snapshot(spark.read.parquet(f"{tmp_path}/events/batch=0")).collect()
+    n = spark.read.parquet(f"{tmp_path}/chunks/batch=0").count()
+    assert [(r["status"], r["progress"], r["files_total"], r["chunks_total"], r["chunks"], r["detail"]) for r in job] == [("completed", 100, 3, n, n, "1 of 3 files failed")] and n > 3
