@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkdoc.functions import rules, text
+from larkdoc.operators.common import small
 from larkdoc.operators.nearest import Best, block_by_block
 
 #: Chunks and token occurrences of a shard at most; folders of tokens.
 SHARD_CHUNKS, SHARD_TOKENS, BUCKETS = 1 << 13, 1 << 22, 32
-#: Tasks that the lists of one bucket may be written by.
-_SPREAD = 8
+#: Tasks that the lists of one bucket may be written by; tokens that a plan may name.
+_SPREAD, MOST_LITERALS = 8, 2000
 
 
 def _inverted(batches: Iterator[pa.RecordBatch], shard_chunks: int) -> Iterator[pa.RecordBatch]:
@@ -123,7 +124,12 @@ class PostingIndex:
             return self.spark.createDataFrame([], schema)
         rows = self.spark.read.schema(schema).option("basePath", self.root).parquet(*parts)
         buckets = [r[0] for r in self.spark.createDataFrame([(t,) for t in tokens], "token string").select(F.pmod(F.xxhash64("token"), F.lit(BUCKETS)).cast("int")).distinct().collect()]
-        return rows.where(F.col("bucket").isin(buckets) & F.col("token").isin(tokens)).select("part", "shard", "token", "chunk_ids")
+        rows = rows.where(F.col("bucket").isin(buckets))
+        if len(tokens) <= MOST_LITERALS:
+            rows = rows.where(F.col("token").isin(tokens))
+        else:  # too many for a plan; the folders are still picked
+            rows = rows.join(small(self.spark.createDataFrame([(t,) for t in tokens], "token string")), "token", "left_semi")
+        return rows.select("part", "shard", "token", "chunk_ids")
 
     def search(self, questions: DataFrame, k: int = rules.TOP_K, keys: tuple[str, ...] = ("qid",)) -> DataFrame:
         """The rows of ``retrieval.lexical_topk``, (keys, chunk_id, overlap, rank), for ``questions`` (keys, tokens).

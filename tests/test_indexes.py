@@ -36,9 +36,10 @@ def corpus(spark, n=600):
     return chunks, asked.select("qid", text.token_set(F.col("question")).alias("tokens"))
 
 
-@pytest.mark.parametrize("block", [4096, 7])
-def test_postings_find_what_a_scan_finds(spark, tmp_path, monkeypatch, block):
+@pytest.mark.parametrize(("block", "literals"), [(4096, 2000), (7, 3)])
+def test_postings_find_what_a_scan_finds(spark, tmp_path, monkeypatch, block, literals):
     monkeypatch.setattr(nearest, "QUERY_BLOCK", block)
+    monkeypatch.setattr(postings, "MOST_LITERALS", literals)
     chunks, asked = corpus(spark)
     index = postings.PostingIndex(spark, f"{tmp_path}/postings", shard_chunks=50)
     assert index.search(asked, 4).count() == 0
