@@ -14,30 +14,26 @@ from larkdoc.functions import rules, text
 from larkdoc.operators.answers import in_order
 from larkdoc.operators.common import written
 
-#: The arrows and first words of the diagram language, arrows that point back, other lines' first words,
-#: arrows that mark a line wherever they stand, the characters of node names and list marks, and the shapes of table
-#: rows and rules.
-ARROWS = ("-->", "==>", "-.->", "---", "~~>", "--o", "o--", "--x", "x--")
-BACK_ARROWS = ("<--", "<==", "<-.->")
-LOOSE_ARROWS = ("-->", "==>", "-.->", "---", "~~>", *BACK_ARROWS)
-DIAGRAM_WORDS = ("flowchart", "graph", "mindmap", "sequencediagram", "classdiagram", "erdiagram", "gantt", "journey", "statediagram", "statediagram-v2", "pie", "timeline", "xychart", "xychart-beta")
-META_WORDS = ("subgraph", "end", "%%")
-NODE_NAME = r"[A-Za-z0-9_\u00C0-\u024F\u3040-\u30FF\u4E00-\u9FFF-]+"
+#: Which texts are fenced diagrams, labelled edges, two edges on a line, first and other lines of a diagram,
+#: arrows that mark a line wherever they stand, list marks, table rows and rules. Results depend on these very patterns.
+FENCED = r"```mermaid\s*(.*?)```"
+LABEL_IN_BARS = r"(-->|==>|-\.->|---|~~>|--o|o--|--x|x--)[ \t]*\|([^|\n]+)\|[ \t]*>[ \t]*"
+LABEL_BARE = r"(-->|==>|-\.->|---|~~>|--o|o--|--x|x--)[ \t]*([^|\n][^>\n]{1,120}?)[ \t]*>[ \t]*(?=[A-Za-z0-9_À-ɏ぀-ヿ一-鿿-]+[ \t]*[\[(])"
+TWO_EDGES = r"([\])])[ \t]+(?=\w+[ \t]*(?:-->|==>|-\.->|---|~~>|--o|o--|--x|x--))"
+DECLARES = r"\s*(?:flowchart|graph|mindmap|sequencediagram|classdiagram|erdiagram|gantt|journey|statediagram|statediagram-v2|pie|timeline|xychart|xychart-beta)\b"
+EDGE_LINE = r"[A-Za-z0-9_À-ɏ぀-ヿ一-鿿-]+\s*(?:-->|==>|-\.->|---|~~>|--o|o--|--x|x--|<--|<==|<-\.->)"
+NODE_LINE = r"[A-Za-z0-9_À-ɏ぀-ヿ一-鿿-]+\s*[\[(].*[\])]$"
+SHORT_LINE = r"[A-Za-z0-9_]{1,4}$"
+META_LINE = r"(?i:subgraph|end|%%)\b"
+LOOSE_ARROWS = ("-->", "==>", "-.->", "---", "~~>", "<--", "<==", "<-.->")
 LIST_MARK = r"(?:[-*•]|\d+[.)])\s+"
 TABLE_ROW = r"^\s*\|.+\|\s*$"
 TABLE_RULE = r"^\s*\|?\s*:?-{3,}:?\s*(?:\|\s*:?-{3,}:?\s*)+\|?\s*$"
 
-
-def _any_of(words: tuple[str, ...]) -> str:
-    return "|".join(map(re.escape, words))
-
-
-_FENCED = re.compile(r"```mermaid\s*(.*?)```", re.S | re.I)
-_LABEL_IN_BARS = re.compile(rf"({_any_of(ARROWS)})[ \t]*\|([^|\n]+)\|[ \t]*>[ \t]*")
-_LABEL_BARE = re.compile(rf"({_any_of(ARROWS)})[ \t]*([^|\n][^>\n]{{1,120}}?)[ \t]*>[ \t]*(?={NODE_NAME}[ \t]*[\[(])")
-_TWO_EDGES = re.compile(rf"([\])])[ \t]+(?=\w+[ \t]*(?:{_any_of(ARROWS)}))", re.A)
-_DECLARES = re.compile(rf"\s*(?:{_any_of(DIAGRAM_WORDS)})\b", re.I)
-_DIAGRAM_LINE = re.compile(rf"(?:{NODE_NAME}\s*(?:{_any_of(ARROWS + BACK_ARROWS)})|{NODE_NAME}\s*[\[(].*[\])]$|[A-Za-z0-9_]{{1,4}}$|(?i:{_any_of(META_WORDS)})\b)")
+_FENCED = re.compile(FENCED, re.S | re.I)
+_LABEL_IN_BARS, _LABEL_BARE, _TWO_EDGES = re.compile(LABEL_IN_BARS), re.compile(LABEL_BARE), re.compile(TWO_EDGES, re.A)
+_DECLARES = re.compile(DECLARES, re.I)
+_DIAGRAM_LINES = [re.compile(p) for p in (EDGE_LINE, NODE_LINE, SHORT_LINE, META_LINE)]
 _LISTED = re.compile(LIST_MARK)
 _TABLE_ROW, _TABLE_RULE = re.compile(TABLE_ROW), re.compile(TABLE_RULE)
 
@@ -55,7 +51,7 @@ def _fenced(block: str) -> str:
 
 def _diagram_like(line: str) -> bool:
     line = line.strip()
-    return bool(line) and bool(_DECLARES.match(line) or _DIAGRAM_LINE.match(line) or any(a in line for a in LOOSE_ARROWS))
+    return bool(line) and bool(_DECLARES.match(line) or any(p.match(line) for p in _DIAGRAM_LINES) or any(a in line for a in LOOSE_ARROWS))
 
 
 def _compact(lines: list[str]) -> str:
