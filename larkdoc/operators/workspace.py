@@ -135,7 +135,7 @@ def apply_decisions(decided: DataFrame, documents: DataFrame, chunks: DataFrame,
 def resolve_selected(documents: DataFrame, selected: DataFrame) -> DataFrame:
     """Numbered documents among the selected ids (trimmed, not blank), in document order."""
     wanted = selected.select(*WORKSPACE, F.trim("document_id").alias("document_id")).where("document_id <> ''").distinct()
-    numbers = document_numbers(documents.withColumn("document_id", F.col("document_id").cast("string")))
+    numbers = document_numbers(documents).withColumn("document_id", F.col("document_id").cast("string"))  # numbered in the ids' own order
     return numbers.join(small(wanted), [*WORKSPACE, "document_id"], "left_semi")
 
 
