@@ -229,12 +229,10 @@ def chunk_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.chunk_key(F.col("doc_id"), none, F.col("doc_id") % 7, none, F.col("text")).alias("chunk_key"))
 
 
-@query("""SELECT doc_id, round(list_sum(v), 6) AS total, v[1] AS first, v[256] AS last FROM (SELECT doc_id, list_transform(range(256), lambda i: ('0x' || substr(sha256(text || (i // 32)), 2 * (i % 32)::INT + 1, 2))::INT / 255.0::DOUBLE) AS v FROM documents WHERE text IS NOT NULL)""")
+@query("""SELECT doc_id, i::INT AS i, (('0x' || substr(sha256(text || (i // 32)), 2 * (i % 32)::INT + 1, 2))::INT / 255.0::DOUBLE) AS value FROM (SELECT doc_id, text, unnest(range(256)) AS i FROM documents)""")
 def hash_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The vectors of all documents, by their sums and ends."""
-    made = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", vectors.hash_embedding(F.col("text")).alias("v"))
-    total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x)
-    return made.select("doc_id", F.round(total, 6).alias("total"), F.get("v", F.lit(0)).alias("first"), F.get("v", F.lit(255)).alias("last"))
+    """The whole vectors of all documents, a row for each number; a null text has null numbers."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(vectors.hash_embedding(F.col("text"))).alias("i", "value"))
 
 
 def _knn_sql(where: str) -> str:

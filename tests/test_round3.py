@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from larkdoc.operators import workspace
+from larkdoc.plans import queries as plans
 
 
 def test_selected_documents_are_numbered_in_the_order_of_their_ids(spark):
@@ -11,3 +12,10 @@ def test_selected_documents_are_numbered_in_the_order_of_their_ids(spark):
     wanted = held.select("username", "chat_id", F.col("document_id").cast("string").alias("document_id"))
     found = workspace.resolve_selected(held, wanted).select("document_id", "upload_index").collect()
     assert {tuple(r) for r in found} == {("9", 1), ("10", 2), ("100", 3)}
+
+
+def test_hash_embedding_gives_whole_vectors(spark, sf_dir):
+    made = plans.queries()["hash_embedding"](spark, sf_dir)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert set(made.columns) == {"doc_id", "i", "value"}
+    assert made.count() == 256 * docs.count() == made.select("doc_id", "i").distinct().count()
