@@ -232,6 +232,11 @@ def _may_link(similarity: float, a: str, b: str) -> Column:
     return left * (1 + similarity) >= (F.col(f"{a}.size") + F.col(f"{b}.size")) * similarity - 1e-9
 
 
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """``rows`` of one for each ``doc_id``, with the component that ``labels`` (node, component) have for it, or itself, as ``label``."""
+    return rows.join(labels, F.col("doc_id") == F.col("node"), "left").withColumn("label", F.coalesce("component", "doc_id")).drop("node", "component")
+
+
 def _classes(hits: DataFrame, sketches: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Components (node, component) of the links between documents that share a bucket; ``hits`` has (key, doc_id, n).
 
@@ -253,16 +258,17 @@ def _classes(hits: DataFrame, sketches: DataFrame, texts: DataFrame, similarity:
     links = _compared(pairs.unionByName(large.join(hubs, "key").where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b"))), sketches, texts, similarity)
     labels = written(components(links), "labels")
     home = hubs.join(labels, F.col("hub") == F.col("node"), "left").select("key", F.coalesce("component", "hub").alias("home"))
-    named = large.join(labels, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("label")).join(home, "key")
+    named = _labelled(large.groupBy("doc_id").agg(F.collect_list("key").alias("key")), labels).select(F.explode("key").alias("key"), "label").join(home, "key")
     open_ = written(named.groupBy("key").agg(F.max(F.col("label") != F.col("home")).alias("open")).where("open").select("key"), "open-buckets")
     if open_.isEmpty():
         return labels
     members = written(large.join(open_, "key", "left_semi").select("doc_id").distinct(), "open")
-    rare = written(rare_shingles(texts.join(members, "doc_id", "left_semi"), similarity), "rare")
+    rare = rare_shingles(texts.join(members, "doc_id", "left_semi"), similarity)
+    rare = written(rare.groupBy("doc_id", "size").agg(F.collect_list(F.struct("token", "at")).alias("rare")), "rare")  # a row for each text, so that labels meet texts and not their shingles
 
     def labelled(labels: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Rare shingles with the components of their texts, and the size of each that several components have."""
-        rows = written(rare.join(labels, F.col("doc_id") == F.col("node"), "left").select("token", "doc_id", "at", "size", F.coalesce("component", "doc_id").alias("label")), "labelled")
+        rows = written(_labelled(rare, labels).select(F.explode("rare").alias("rare"), "doc_id", "size", "label").select("rare.token", "doc_id", "rare.at", "size", "label"), "labelled")
         best = F.max_by(F.struct("doc_id", "at", "size", "label"), F.struct(F.col("size") - F.col("at"), -F.col("doc_id"))).alias("best")
         return rows, written(rows.groupBy("token").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), best).where("low < high").select("token", "n", "best"), "met")
 
