@@ -160,11 +160,19 @@ def answer_parts(answers: pd.Series) -> pd.DataFrame:
 
 
 def _branches(named: DataFrame, most_branches: int, most_children: int) -> DataFrame:
-    """(id, branch_no, branch, children) from (id, pos, branch, children): a branch where it first stands, with its distinct children."""
-    grouped = named.where("branch <> ''").groupBy("id", "branch").agg(F.min("pos").alias("pos"), F.array_sort(F.collect_list(F.struct("pos", "children"))).alias("rows"))
-    kept = F.array_distinct(F.filter(F.flatten(F.transform("rows", lambda x: x["children"])), lambda c: c.isNotNull() & (c != "") & (c != F.col("branch"))))
-    rows = F.slice(F.array_sort(F.collect_list(F.struct("pos", "branch", F.slice(kept, 1, most_children).alias("children")))), 1, most_branches)
-    return grouped.groupBy("id").agg(rows.alias("rows")).select("id", F.posexplode("rows").alias("branch_no", "row")).select("id", "branch_no", "row.branch", "row.children")
+    """(id, branch_no, branch, children) from (id, pos, branch, children): a branch where it first stands, with its distinct children.
+
+    Rows move once, to their id; only the branches that are kept are looked up in it.
+    """
+    held = named.where("branch <> ''").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "branch", "children"))).alias("rows"))
+    names = F.slice(F.array_distinct(F.transform("rows", lambda x: x["branch"])), 1, most_branches)
+
+    def kept(branch: Column) -> Column:
+        children = F.flatten(F.transform(F.filter("rows", lambda x: x["branch"] == branch), lambda x: x["children"]))
+        return F.slice(F.array_distinct(F.filter(children, lambda c: c.isNotNull() & (c != "") & (c != branch))), 1, most_children)
+
+    rows = F.transform(names, lambda n: F.struct(n.alias("branch"), kept(n).alias("children")))
+    return held.select("id", F.posexplode(rows).alias("branch_no", "row")).select("id", "branch_no", "row.branch", "row.children")
 
 
 def bullet_rows(answers: DataFrame, most_branches: int = 8, most_children: int = 4) -> DataFrame:

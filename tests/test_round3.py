@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from larkdoc.operators import workspace
+from larkdoc.operators import outline, workspace
 from larkdoc.plans import queries as plans
 
 
@@ -39,3 +39,11 @@ def test_labels_meet_texts_and_not_their_shingles(spark, monkeypatch):
     texts = [(i, " ".join(f"v{k}-{random_.randrange(5)}" if k % 25 == 3 else f"w{k}" for k in range(200))) for i in range(300)]
     near.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).count()
     assert 0 < held["rare"] <= 300 < held["labelled"]
+
+
+def test_outlines_move_their_rows_once(spark):
+    """A branch's rows go to their id at once, not to each branch first."""
+    rows = spark.createDataFrame([(1, 2, "b", ["x", "b", "x", ""]), (1, 1, "a", ["y"]), (1, 3, "b", ["z", None]), (1, 4, "c", []), (1, 0, "", ["n"])], "id long, pos int, branch string, children array<string>")
+    made = outline._branches(rows, 2, 2)
+    assert [tuple(r) for r in made.orderBy("branch_no").collect()] == [(1, 0, "a", ["y"]), (1, 1, "b", ["x", "z"])]
+    assert str(made._jdf.queryExecution().optimizedPlan().toString()).count("Aggregate [") == 1
