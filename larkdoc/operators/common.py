@@ -60,6 +60,20 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, rows_a_task: int, *keys: str) -> DataFrame:
+    """``df`` dealt over tasks of about ``rows_a_task`` rows, one a core at least, for work that is long beside its rows' bytes.
+
+    Without a number of partitions adaptive execution would join them by their bytes, to one task for a table of short rows.
+    """
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows_a_task))
+    return df.repartition(parts, *keys)
+
+
+def written_by_key(rows: DataFrame, key: str, rows_a_task: int, path: str) -> None:
+    """A folder of text for each ``key`` under ``path``, made by as many tasks as ``spread`` gives."""
+    spread(rows, rows_a_task, key).write.partitionBy(key).text(path)
+
+
 def in_key_order(batches: Iterator[pa.RecordBatch], begin: Callable[[], Any], step: Callable[[Any, tuple], tuple[Any, tuple]], names: list[str], types: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
     """A row for each row (id, key, more), which come sorted by key: ``step`` makes it of the key's state and the row, and gives the next state.
 

@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkdoc.operators import answers, chunking, workspace
-from larkdoc.operators.common import scratch
+from larkdoc.operators.common import scratch, written_by_key
 from larkdoc.plans.tables import asked_questions, query, table
 from larkdoc.sources import extract
 
+#: Files that a task makes or reads.
+FILES_A_TASK = 500
+
 
 def _zipped(members: dict[str, str]) -> bytes:
     out = io.BytesIO()
@@ -67,8 +70,8 @@ UNION ALL SELECT 'rejected', 's_nationkey=' || s_nationkey, 0, NULL, 'unsupporte
 def accepted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A folder of suppliers' text files, and of files by nation in a format that isn't taken."""
     root, held = scratch(spark, "folder"), table(spark, sf_dir, "supplier")
-    held.select(F.col("s_name").alias("value"), "s_suppkey").repartition("s_suppkey").write.partitionBy("s_suppkey").text(f"{root}/texts")
-    held.select("s_name", "s_nationkey").coalesce(1).write.option("compression", "none").partitionBy("s_nationkey").orc(f"{root}/others")
+    written_by_key(held.select(F.col("s_name").alias("value"), "s_suppkey"), "s_suppkey", FILES_A_TASK, f"{root}/texts")
+    held.select("s_name", "s_nationkey").repartition("s_nationkey").write.option("compression", "none").partitionBy("s_nationkey").orc(f"{root}/others")
     accepted, rejected = extract.read_files(spark, root)
     folder = F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1).alias("folder")
     none = F.lit(None).cast("string")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkdoc.operators import outline, workspace
+from larkdoc.operators.common import spread
 from larkdoc.plans import queries as plans
 
 
@@ -47,3 +48,10 @@ def test_outlines_move_their_rows_once(spark):
     made = outline._branches(rows, 2, 2)
     assert [tuple(r) for r in made.orderBy("branch_no").collect()] == [(1, 0, "a", ["y"]), (1, 1, "b", ["x", "z"])]
     assert str(made._jdf.queryExecution().optimizedPlan().toString()).count("Aggregate [") == 1
+
+
+def test_short_rows_are_spread_over_tasks(spark):
+    """However few bytes they have, rows that make a file each aren't one task's."""
+    rows = spark.range(2000).withColumnRenamed("id", "k")
+    parts = spread(rows, 100, "k").select("k", F.spark_partition_id().alias("p"))
+    assert parts.count() == 2000 and parts.select("p").distinct().count() >= 15
