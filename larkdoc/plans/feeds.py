@@ -8,7 +8,7 @@ from contextlib import nullcontext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkdoc.operators.common import scratch
+from larkdoc.operators.common import scratch, written_by_key
 from larkdoc.operators import workspace
 from larkdoc.plans.tables import AS_OF, query, stored_jobs, stored_messages, table
 from larkdoc.streaming import state, streams, timed
@@ -136,7 +136,8 @@ def _listed(spark: SparkSession, folder: str) -> list:
 def ingest_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as files of their own, ingested by a stream whose micro-batches leave the events of their jobs; summed over the batches."""
     root = scratch(spark, "ingest")
-    table(spark, sf_dir, "supplier").select(F.concat("s_name", F.lit(" of "), F.col("s_nationkey").cast("string")).alias("value"), "s_suppkey").repartition("s_suppkey").write.partitionBy("s_suppkey").text(f"{root}/files")
+    named = table(spark, sf_dir, "supplier").select(F.concat("s_name", F.lit(" of "), F.col("s_nationkey").cast("string")).alias("value"), "s_suppkey")
+    written_by_key(named, "s_suppkey", 500, f"{root}/files")
     streams.ingest_files(spark, f"{root}/files", f"{root}/chunks", f"{root}/jobs", f"{root}/state", {"owner": "ann"}, events_path=f"{root}/events").awaitTermination()
     jobs = state.job_snapshot(spark.read.parquet(f"{root}/events/batch=*"))
     return jobs.groupBy("status").agg(F.min("progress").alias("progress"), *[F.sum(c).alias(c) for c in ("files_total", "chunks_total", "chunks")])
