@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkdoc.operators import answers, chunking, workspace
-from larkdoc.operators.common import scratch, written_by_key
+from larkdoc.operators.common import scratch, spread, written_by_key
 from larkdoc.plans.tables import asked_questions, query, table
 from larkdoc.sources import extract
 
@@ -57,7 +57,7 @@ SELECT path, NULL, unnest([2, 10]), unnest([p_name, p_type]) FROM g WHERE good A
 SELECT path, 'First', -1, p_name || ' | 7' || chr(10) || p_type FROM g WHERE good AND e = '.xlsx' UNION ALL SELECT path, NULL, -1, NULL FROM g WHERE NOT good""")
 def office_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as documents, slides and sheets, some of them broken, extracted."""
-    files = table(spark, sf_dir, "part").withColumn("extension", F.explode(F.array(*map(F.lit, (".docx", ".pptx", ".xlsx")))))
+    files = spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type"), 10_000).withColumn("extension", F.explode(F.array(*map(F.lit, (".docx", ".pptx", ".xlsx")))))
     files = files.select(F.concat(F.lit("/up/"), F.col("p_partkey").cast("string"), "extension").alias("path"), "extension", _office("extension", "p_name", "p_type").alias("content"))
     rows, rejects = extract.extract_rows(files)
     slide = lambda c: F.coalesce(c, F.lit(-1)).alias("slide")
