@@ -28,7 +28,20 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+#: Bytes that a Python worker gets at once; texts and what is made of them take several times as much in it.
+BATCH_BYTES = 8 << 20
+BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's limit of an Arrow batch to ``BATCH_BYTES``; a smaller one stays."""
+    held = spark.conf.get(BATCHES).lower().removesuffix("b")
+    if not held.isdigit() or not 0 < int(held) <= BATCH_BYTES:
+        spark.conf.set(BATCHES, f"{BATCH_BYTES}b")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from larkdoc.operators import outline, workspace
 from larkdoc.operators.common import spread
 from larkdoc.plans import queries as plans
+from larkdoc.plans import tables
 
 
 def test_selected_documents_are_numbered_in_the_order_of_their_ids(spark):
@@ -55,3 +56,11 @@ def test_short_rows_are_spread_over_tasks(spark):
     rows = spark.range(2000).withColumnRenamed("id", "k")
     parts = spread(rows, 100, "k").select("k", F.spark_partition_id().alias("p"))
     assert parts.count() == 2000 and parts.select("p").distinct().count() >= 15
+
+
+def test_python_workers_get_small_batches(spark, sf_dir):
+    for before, after in (("64m", "8388608b"), ("1000b", "1000b")):
+        spark.conf.set(tables.BATCHES, before)
+        tables.table(spark, sf_dir, "documents")
+        assert spark.conf.get(tables.BATCHES) == after
+    spark.conf.unset(tables.BATCHES)
