@@ -68,26 +68,30 @@ class JobTimers(StatefulProcessor):
         self.handle = handle
         self.job = handle.getValueState("job", "status string, updated_us long")
 
-    def _keep(self, status: str, updated_us: int) -> None:
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
+    def _keep(self, held: bool, status: str, updated_us: int) -> None:
+        # each use of state is a call to the JVM: a job that isn't held has no timer and nothing to clear
+        if held:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
         due = _due(status, updated_us // 1_000_000, self.stale, self.retention)
-        if due is None:
-            self.job.clear()
-        else:
+        if due is not None:
             self.job.update((status, updated_us))
             self.handle.registerTimer(due * 1000)
+        elif held:
+            self.job.clear()
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         status, at = max(((r["status"], r["updated_us"]) for r in rows), key=lambda x: (x[1], x[0]))
-        if not self.job.exists() or self.job.get()[1] <= at:
-            self._keep(status, at)
+        held = self.job.get()
+        if held is None or held[1] <= at:
+            self._keep(held is not None, status, at)
         return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        if not self.job.exists():
+        held = self.job.get()
+        if held is None:
             return
-        status, _ = self.job.get()
+        status = held[0]
         now = timerValues.getCurrentWatermarkInMs() * 1000
         self.job.clear()
         if status == "processing":

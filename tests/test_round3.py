@@ -9,6 +9,7 @@ from larkdoc.operators import outline, workspace
 from larkdoc.operators.common import spread
 from larkdoc.plans import queries as plans
 from larkdoc.plans import tables
+from larkdoc.streaming import timed
 
 
 def test_selected_documents_are_numbered_in_the_order_of_their_ids(spark):
@@ -64,3 +65,20 @@ def test_python_workers_get_small_batches(spark, sf_dir):
         tables.table(spark, sf_dir, "documents")
         assert spark.conf.get(tables.BATCHES) == after
     spark.conf.unset(tables.BATCHES)
+
+
+def test_a_new_job_costs_few_state_calls():
+    """Calls go to the JVM one by one: three for a job with an end, one for a job without."""
+    calls = []
+
+    class Fake:
+        def __getattr__(self, name):
+            return lambda *_: calls.append(name)
+
+    timers = timed.JobTimers(60, 600)
+    timers.handle = timers.job = Fake()
+    timers.handleInputRows((1,), iter([{"status": "processing", "updated_us": 10**6}]), None)
+    assert calls == ["get", "update", "registerTimer"]
+    calls.clear()
+    timers.handleInputRows((2,), iter([{"status": "queued", "updated_us": 10**6}]), None)
+    assert calls == ["get"]
