@@ -145,7 +145,7 @@ def in_ranges(docs: DataFrame, rows_a_range: int = 2000, most_ranges: int = 200_
     return dealt.select("range", "guest", "doc_id", "text").repartition("range").sortWithinPartitions("range", "guest", F.col("doc_id").asc_nulls_first(), "text")
 
 
-EDITED = "doc_id long, n_chars long, edited_sha256 string, print binary, edited_print binary, next_print binary"
+EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -153,12 +153,15 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     The edited text has the last quarter (rounded down) of the code points replaced by the first as
     many of the next document, or all it has. Columns: doc_id, n_chars, edited_sha256, fingerprint,
-    edited_fingerprint, near_edited, near_next. A document alone is its own next one. Tasks hold two
-    documents at a time. For nulls, ties and the rest see ``document_fingerprints`` and ``in_ranges``.
+    edited_fingerprint, near_edited, near_next. A document alone is its own next one. A task hashes and
+    compares in one Python worker, which holds an Arrow batch and two documents at a time. For nulls,
+    ties and the rest see ``document_fingerprints`` and ``in_ranges``.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("print", pa.binary()), ("edited_print", pa.binary()), ("next_print", pa.binary())])
+        heads = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string())]
+        hashed = pa.schema([*heads, ("print", pa.binary()), ("edited_print", pa.binary()), ("next_print", pa.binary())])
+        schema = pa.schema([*heads, ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
         def rows() -> Iterator[tuple]:
             held = None
@@ -174,7 +177,10 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                         yield held[1], len(held[2]), hashlib.sha256(edited.encode("utf-8", "replace")).hexdigest(), held[3], fingerprint(edited), own
                     held = None if guest else (place, doc_id, text, own)
 
-        return batched(rows(), schema)
+        for made in batched(rows(), hashed):
+            prints = [c.to_pylist() for c in made.columns[3:]]
+            own, edited, following = (np.frombuffer(b"".join(p), np.uint8).reshape(len(p), -1) for p in prints)
+            strings = [pa.array([base64.b64encode(x).decode() for x in p]) for p in prints[:2]]
+            yield pa.RecordBatch.from_arrays([*made.columns[:3], *strings, pa.array(likeness(own, edited)), pa.array(likeness(own, following))], schema=schema)
 
-    found = in_ranges(id_and_text(docs, id_col, text_col)).mapInArrow(task, EDITED)
-    return found.select("doc_id", "n_chars", "edited_sha256", as_string("print").alias("fingerprint"), as_string("edited_print").alias("edited_fingerprint"), likeness_of("print", "edited_print").alias("near_edited"), likeness_of("print", "next_print").alias("near_next"))
+    return in_ranges(id_and_text(docs, id_col, text_col)).mapInArrow(task, EDITED)

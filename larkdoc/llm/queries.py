@@ -24,9 +24,11 @@ from larkdoc.llm.secrets import BASE_RULES, scan_secrets
 from larkdoc.llm.sharding import sharded_documents
 from larkdoc.llm.substrings import dedup_substrings
 from larkdoc.llm.toxicity import toxicity_scores
+from larkdoc.plans.tables import bounded_batches
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return edited_fingerprints(read_table(spark, sf_dir, "documents"))
 
 
