@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 from collections import deque
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from larkdoc.functions import rules
@@ -56,9 +57,49 @@ def _timed(rows: DataFrame, late: str) -> DataFrame:
     return rows.withColumn("event_time", F.timestamp_micros(((F.col("at") + EVENT_SHIFT) * 1_000_000).cast("long"))).withWatermark("event_time", late)
 
 
-def _forget_after(state: GroupState, seconds: float) -> None:
-    """Ends the state once the watermark has passed ``seconds``, unshifted."""
-    state.setTimeoutTimestamp(max(math.ceil((seconds + EVENT_SHIFT) * 1000), state.getCurrentWatermarkMs() + 1))
+#: Keys share a state by hash: Python is called for each of these buckets that a micro-batch touches, however many keys there are. A stream's
+#: state keeps to the number that it began with.
+BUCKETS = 8_192
+
+
+def _ends_ms(values: list[float], seconds: float) -> int:
+    """The watermark, in milliseconds, that ends the state ``values`` of a key."""
+    return math.ceil((values[-1] + seconds + EVENT_SHIFT) * 1000)
+
+
+def _keyed_stream(rows: DataFrame, late: str, seconds: float, step: Callable[[Iterable[float], tuple], tuple[Iterable[float], tuple]], found: dict[str, str]) -> DataFrame:
+    """A row of ``found`` (its id first) for each row (id, key, at, more) of a stream, as ``step`` makes it of the key's values and the row's (at, more), beside the key's next values.
+
+    Rows of a micro-batch are read in the order of (at, id). A key's values are numbers, none at first, and go once the watermark has
+    passed the last one by ``seconds``. Keys are kept as text, for each bucket of keys in one state.
+    """
+    row_id, key, at, *more = rows.columns
+
+    def bucket(_: tuple, frames: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
+        if group.hasTimedOut:
+            group.remove()
+            return
+        held = dict(zip(*group.get, strict=True)) if group.exists else {}
+        batch = pd.concat(list(frames)).sort_values([at, row_id])
+        out = []
+        for name, *row in zip(*(batch[c].tolist() for c in ("_key", at, *more)), strict=True):
+            held[name], made = step(held.get(name, ()), tuple(row))
+            out.append(made)
+        now = group.getCurrentWatermarkMs()
+        held = {name: list(values) for name, values in held.items() if len(values) and _ends_ms(values, seconds) > now}
+        if held:
+            group.update((list(held), list(held.values())))
+            group.setTimeoutTimestamp(max(_ends_ms(values, seconds) for values in held.values()))
+        elif group.exists:
+            group.remove()
+        yield pd.DataFrame({row_id: batch[row_id], **dict(zip(list(found)[1:], zip(*out, strict=True), strict=True))})
+
+    kind = rows.schema[key].dataType
+    plain = F.to_json(F.struct(key), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}) if isinstance(kind, (T.StructType, T.ArrayType)) else F.col(key).cast("string")
+    keyed = rows.withColumn("_key", F.coalesce(F.concat(F.lit("="), plain), F.lit(""))).drop(key)  # a null key is a key of its own
+    dealt = _timed(keyed, late).withColumn("_bucket", F.pmod(F.xxhash64("_key"), F.lit(BUCKETS)))
+    schema = ", ".join(f"{c} {t}" for c, t in found.items())
+    return dealt.groupBy("_bucket").applyInPandasWithState(bucket, schema, "keys array<string>, held array<array<double>>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def rate_limit_stream(events: DataFrame, limit: int, window: float = 60.0, late: str = "10 minutes") -> DataFrame:
@@ -68,19 +109,12 @@ def rate_limit_stream(events: DataFrame, limit: int, window: float = 60.0, late:
     state goes once the watermark has passed the window of its last accepted time.
     """
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        log = deque(state.get[0]) if state.exists else deque()
-        rows = pd.concat(list(frames)).sort_values(["at", "event_id"])
-        found = list(limit_events(rows["at"], limit, window, log))
-        state.update((list(log),))
-        _forget_after(state, log[-1] + window)
-        yield pd.DataFrame({"event_id": rows["event_id"], "allowed": [a for a, _ in found], "retry_after": [r for _, r in found]})
+    def step(times: Iterable[float], row: tuple) -> tuple[deque, tuple]:
+        log = times if isinstance(times, deque) else deque(times)
+        return log, next(limit_events(row, limit, window, log))
 
     chosen = events.select("event_id", "key", (F.unix_micros("ts") / 1e6).alias("at"))
-    return _timed(chosen, late).groupBy("key").applyInPandasWithState(step, "event_id long, allowed boolean, retry_after long", "log array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+    return _keyed_stream(chosen, late, window, step, {"event_id": "long", "allowed": "boolean", "retry_after": "long"})
 
 
 def job_after(job: tuple, kind: str | None, progress: int | None, chunks: int | None, detail: str | None, ts: int | None, files_total: int | None, chunks_total: int | None) -> tuple:
@@ -181,24 +215,12 @@ def pending_scopes_stream(messages: DataFrame, ttl: float = rules.PENDING_SECOND
     Messages may come up to ``late`` after later ones; Spark leaves out those that come after it.
     """
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
-        if group.hasTimedOut:
-            group.remove()
-            return
-        waiting = group.get[0] if group.exists else None
-        rows, out = pd.concat(list(frames)).sort_values(["at", "message_id"]), []
-        for turn in rows[["at", "ambiguous", "selects"]].itertuples(index=False):
-            outcome, waiting = next(pending_replies([tuple(turn)], ttl, waiting))
-            out.append(outcome)
-        if waiting is None:
-            group.remove()
-        else:
-            group.update((waiting,))
-            _forget_after(group, waiting + ttl)
-        yield pd.DataFrame({"message_id": rows["message_id"], "outcome": out})
+    def step(waits: Iterable[float], row: tuple) -> tuple[Iterable[float], tuple]:
+        outcome, waiting = next(pending_replies([row], ttl, next(iter(waits), None)))
+        return () if waiting is None else (waiting,), (outcome,)
 
     chosen = messages.select("message_id", "chat_id", F.col("at").cast("double").alias("at"), "ambiguous", "selects")
-    return _timed(chosen, late).groupBy("chat_id").applyInPandasWithState(step, "message_id long, outcome string", "waiting double", "append", GroupStateTimeout.EventTimeTimeout)
+    return _keyed_stream(chosen, late, ttl, step, {"message_id": "long", "outcome": "string"})
 
 
 def answer_memo_stream(asked: DataFrame, ttl: float = rules.MEMO_SECONDS, late: str = "10 minutes") -> DataFrame:
@@ -207,19 +229,9 @@ def answer_memo_stream(asked: DataFrame, ttl: float = rules.MEMO_SECONDS, late:
     Questions may come up to ``late`` after later ones; Spark leaves out those that come after it.
     """
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
-        if group.hasTimedOut:
-            group.remove()
-            return
-        stored = group.get[0] if group.exists else None
-        rows, out = pd.concat(list(frames)).sort_values(["at", "ask_id"]), []
-        for at in rows["at"]:
-            reused = stored is not None and at - stored < ttl
-            stored = stored if reused else at
-            out.append(reused)
-        group.update((float(stored),))
-        _forget_after(group, stored + ttl)
-        yield pd.DataFrame({"ask_id": rows["ask_id"], "reused": out})
+    def step(stored: Iterable[float], row: tuple) -> tuple[Iterable[float], tuple]:
+        reused = len(stored) > 0 and row[0] - stored[0] < ttl
+        return stored if reused else row, (reused,)
 
     chosen = asked.select("ask_id", "key", F.col("at").cast("double").alias("at"))
-    return _timed(chosen, late).groupBy("key").applyInPandasWithState(step, "ask_id long, reused boolean", "stored double", "append", GroupStateTimeout.EventTimeTimeout)
+    return _keyed_stream(chosen, late, ttl, step, {"ask_id": "long", "reused": "boolean"})
