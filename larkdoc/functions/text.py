@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import reduce
 
@@ -44,8 +45,21 @@ def overlap_score(question: Column, content: Column) -> Column:
     return F.size(F.array_intersect(question, content)) / F.greatest(F.lit(1), F.size(question))
 
 
+def guarded(pattern: str) -> str:
+    """``pattern`` behind a look at the next two characters, where it is alternatives of letters, spaces and ``\\s*`` that begin with a letter; else as it is.
+
+    The regex engine would try every alternative at every place of a text.
+    """
+    ways = pattern.split("|")
+    if len(ways) == 1 or not all(re.fullmatch(r"[^\W\d_](?:[^\W\d_]| |\\s\*)*", way) for way in ways):
+        return pattern
+    two = [way for way in ways if way[1:2].isalpha()]
+    pairs = ["".join(f"[{''.join(sorted({way[i] for way in two}))}]" for i in (0, 1))] if two else []
+    return f"(?={'|'.join([*pairs, *sorted({way[0] for way in ways if way not in two})])})(?:{pattern})"
+
+
 def matches(text: Column, pattern: str) -> Column:
-    return F.coalesce(text.rlike(ANY_CASE + pattern), F.lit(False))
+    return F.coalesce(text.rlike(ANY_CASE + guarded(pattern)), F.lit(False))
 
 
 def rewrite_question(text: Column) -> Column:
@@ -137,7 +151,7 @@ def split_branch_child(text: Column) -> Column:
 
 def question_flags(question: Column) -> dict[str, Column]:
     kinds = {"mindmap": rules.MINDMAP, "visual": rules.VISUAL, "complex": rules.COMPLEX, "simple_fact": rules.SIMPLE_FACT, "timeline": rules.TIMELINE, "pie": rules.PIE, "flow": rules.FLOW, "summary": rules.SUMMARY}
-    return {name: matches(question, f"(?:{pattern})") for name, pattern in kinds.items()}
+    return {name: matches(question, pattern) for name, pattern in kinds.items()}
 
 
 def diagram_kind(question: Column, branches: Column | None = None) -> Column:
