@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from larkdoc.functions import rules, text
 from larkdoc.operators.aliases import named_in
-from larkdoc.operators.common import latest, numbered, small, top_rows
+from larkdoc.operators.common import latest, numbered, small, top_rows, written
 
 WORKSPACE = ["username", "chat_id"]
 DUPLICATE_ACTIONS = ("cancel", "replace", "keep_both")
@@ -144,8 +144,10 @@ def select_documents(questions: DataFrame, documents: DataFrame, bare_numbers: b
 
     ``questions`` has qid, the workspace and question; ``documents`` the workspace, upload_index and name.
     Numbers meet by equality. Names are sought by an automaton of a workspace's aliases (``named_in``), in one pass over each question.
+    Questions are folded, and names made to aliases, once: what is read more than once is written before.
     """
-    asked = questions.select("qid", *WORKSPACE, text.fold_text("question").alias("folded"))
+    asked = written(questions.select("qid", *WORKSPACE, text.fold_text("question").alias("folded")), "asked")
+    documents = written(documents.select(*WORKSPACE, "upload_index", "name"), "named")
     every = asked.where(text.matches(F.col("folded"), rules.ALL_DOCUMENTS)).join(documents.select(*WORKSPACE, "upload_index"), WORKSPACE)
     # the text is folded, so any white space is one space
     numbers = F.regexp_extract_all("folded", F.lit(rules.DOCUMENT_NUMBER), 1)
@@ -153,7 +155,7 @@ def select_documents(questions: DataFrame, documents: DataFrame, bare_numbers: b
         numbers = F.concat(numbers, F.regexp_extract_all("folded", F.lit(rules.BARE_NUMBER), 1))
     said = asked.select("qid", *WORKSPACE, F.explode(F.array_distinct(F.transform(numbers, lambda n: n.cast("int")))).alias("upload_index"))
     by_number = said.join(documents.select(*WORKSPACE, "upload_index"), [*WORKSPACE, "upload_index"])
-    names = documents.select(*WORKSPACE, "upload_index", F.explode(text.document_aliases(F.col("name"))).alias("alias"))
+    names = written(documents.select(*WORKSPACE, "upload_index", F.explode(text.document_aliases(F.col("name"))).alias("alias")), "aliases")
     found = [rows.select("qid", "upload_index") for rows in (every, by_number, named_in(asked, names))]
     return found[0].unionByName(found[1]).unionByName(found[2]).distinct()
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from larkdoc.functions import rules, text
 from larkdoc.operators import analytics, answers, chunking, outline, retrieval, vectors, workspace
+from larkdoc.operators.common import written
 from larkdoc.plans import changes, feeds, files, indexed, texts, uploads  # noqa: F401  (they register theirs)
 from larkdoc.plans.tables import AS_OF, FILES, JOBS, MESSAGES, ORACLES, QUERIES, Query, asked_questions, query, quoted, stored_chunks, stored_files, stored_jobs, stored_messages, strip_sql, table, tokens_sql, ws_sql
 from larkdoc.sources import extract
@@ -459,8 +460,10 @@ q AS (SELECT item_id AS qid, 'src' || (item_id % 20) AS username, 'en' AS chat_i
 n AS (SELECT qid, username, chat_id, unnest(regexp_extract_all(folded, {quoted(rules.DOCUMENT_NUMBER)}, 1))::INT AS upload_index FROM q)
 SELECT qid, upload_index FROM n JOIN d USING (username, chat_id, upload_index) UNION SELECT qid, upload_index FROM q JOIN d USING (username, chat_id) WHERE regexp_matches(folded, {quoted(rules.ALL_DOCUMENTS)}) UNION SELECT qid, upload_index FROM q JOIN a USING (username, chat_id) WHERE contains(folded, alias)""")
 def select_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = F.concat(F.lit("Report "), F.element_at(text.token_set(F.col("text")), 1), F.lit(" "), F.element_at(F.reverse(text.token_set(F.col("text"))), 1), F.lit(".txt"))
-    named = workspace.document_numbers(table(spark, sf_dir, "documents").where(F.size(text.token_set(F.col("text"))) > 0).select(F.col("source").alias("username"), F.col("lang").alias("chat_id"), F.col("doc_id").alias("document_id"), F.lit(0).alias("created_at"), name.alias("name")))
+    name = lambda tokens: F.when(F.size(tokens) > 0, F.concat(F.lit("Report "), F.element_at(tokens, 1), F.lit(" "), F.element_at(tokens, -1), F.lit(".txt")))
+    called = F.element_at(F.transform(F.array(text.token_set(F.col("text"))), name), 1)  # a lambda, so that a text's tokens are made once
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("username"), F.col("lang").alias("chat_id"), F.col("doc_id").alias("document_id"), F.lit(0).alias("created_at"), called.alias("name"))
+    named = workspace.document_numbers(written(docs, "names").where("name is not null"))
     numbers = F.concat(F.lit("document "), (F.col("item_id") % 9 + 1).cast("string"), F.lit(" "), F.col("text"))
     spaces = named.select("username", "chat_id").distinct()
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("username"), F.lit("en").alias("chat_id"), numbers.alias("question")).join(spaces, ["username", "chat_id"], "left_semi")
