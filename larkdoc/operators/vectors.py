@@ -24,14 +24,18 @@ def hash_embedding(text: Column, dimensions: int = rules.HASH_DIMENSIONS) -> Col
     return F.slice(numbers, 1, dimensions)
 
 
-def embed_with(make: Callable[[], Callable[[list[str]], list[list[float]]]]) -> Callable[[Column], Column]:
-    """A column function that embeds texts in Arrow batches; ``make`` builds the embedder once in each task."""
+def embed_with(make: Callable[[], Callable[[list[str]], list[list[float]]]], at_once: int = 256) -> Callable[[Column], Column]:
+    """A column function that embeds texts, ``at_once`` of an Arrow batch at a time; ``make`` builds the embedder once in each task.
+
+    Vectors go out as soon as they are made, so a worker holds a batch of texts and ``at_once`` vectors.
+    """
 
     @F.pandas_udf("array<float>")
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         embedder = make()
         for texts in batches:
-            yield pd.Series([np.asarray(v, np.float32) for v in embedder(texts.fillna("").tolist())], dtype=object)
+            for at in range(0, len(texts), at_once):
+                yield pd.Series([np.asarray(v, np.float32) for v in embedder(texts.iloc[at : at + at_once].fillna("").tolist())], dtype=object)
 
     return embed
 
