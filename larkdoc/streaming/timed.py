@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from larkdoc.functions import rules
 from larkdoc.operators.workspace import WORKSPACE, log_of_turns
+from larkdoc.streaming.state import BUCKETS
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -58,6 +62,11 @@ def _due(status: str, updated_s: int, stale: int, retention: int) -> int | None:
     return None if limit is None else updated_s + limit + 1
 
 
+def _ended(status: str) -> tuple[str, str]:
+    """(op, status) of the change that ends a job held with this status."""
+    return ("update", "queued") if status == "processing" else ("delete", status)
+
+
 class JobTimers(StatefulProcessor):
     """A job's status with the second of its last update, while a timer of event time waits to requeue or to expire it."""
 
@@ -91,26 +100,73 @@ class JobTimers(StatefulProcessor):
         held = self.job.get()
         if held is None:
             return
-        status = held[0]
         now = timerValues.getCurrentWatermarkInMs() * 1000
         self.job.clear()
-        if status == "processing":
-            yield Row(job_id=key[0], op="update", status="queued", updated_us=now, change_us=now)
-        else:
-            yield Row(job_id=key[0], op="delete", status=status, updated_us=now, change_us=now)
-
-
-def recover_and_expire_stream(jobs: DataFrame, clock: DataFrame | None = None, stale: int = rules.STALE_SECONDS, retention: int = rules.RETENTION_SECONDS, late: str = "0 seconds") -> DataFrame:
+        op, status = _ended(held[0])
+        yield Row(job_id=key[0], op=op, status=status, updated_us=now, change_us=now)
+
+
+def _bucket_timers(stale: int, retention: int) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+    """``JobTimers`` for all jobs of a bucket: one state, and one timeout at the first end among them."""
+
+    def end_ms(at: int, status: str) -> int | None:
+        due = _due(status, at // 1_000_000, stale, retention)
+        return None if due is None else due * 1000
+
+    def bucket(_: tuple, frames: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
+        last: dict[object, tuple[int, str]] = {}
+        for frame in () if group.hasTimedOut else frames:
+            for job, at, status in zip(*(frame[c].tolist() for c in ("job_id", "updated_us", "status")), strict=True):
+                if job not in last or last[job] < (at, status):
+                    last[job] = at, status
+        held = {job: (at, status) for job, at, status in zip(*group.get, strict=True)} if group.exists else {}
+        held |= {job: said for job, said in last.items() if job not in held or held[job][0] <= said[0]}
+        now, kept, ended = group.getCurrentWatermarkMs(), [], []
+        for job, (at, status) in held.items():
+            end = end_ms(at, status)
+            if end is not None and end <= now:
+                ended.append((job, *_ended(status)))
+            elif end is not None:
+                kept.append((job, at, status, end))
+        if kept:
+            jobs, times, statuses, ends = map(list, zip(*kept, strict=True))
+            group.update((jobs, times, statuses))
+            group.setTimeoutTimestamp(min(ends) - 1)  # it comes once the watermark is beyond this time
+        elif group.exists:
+            group.remove()
+        if ended:
+            jobs, ops, statuses = map(list, zip(*ended, strict=True))
+            yield pd.DataFrame({"job_id": jobs, "op": ops, "status": statuses, "updated_us": now * 1000, "change_us": now * 1000})
+
+    return bucket
+
+
+def recover_and_expire_stream(jobs: DataFrame, clock: DataFrame | None = None, stale: int = rules.STALE_SECONDS, retention: int = rules.RETENTION_SECONDS, late: str = "0 seconds", buckets: int | None = BUCKETS) -> DataFrame:
     """Changes (job_id, op, status, updated_at, change_ts) for ``workspace.current_state`` as time passes over ``jobs`` (job_id, status, updated_at), for append mode.
 
     A processing job without an update for ``stale`` seconds is queued anew, a completed or failed one is deleted ``retention`` seconds
-    after its last update, both at the watermark's time. Each job with such an end has one timer and its last update
-    as state, nothing else, and both go when it fires; queued jobs have none. Start it under ``rocks_state``. Rows behind the watermark are left out.
+    after its last update, both at the watermark's time. A job with such an end is held with its last update, nothing else, until then;
+    queued jobs aren't. Start it under ``rocks_state``. Rows behind the watermark are left out.
+
+    Jobs share a state and a timer by hash, so Python and the state are called for each of the ``buckets`` that a micro-batch touches, however many
+    jobs there are. A stream's state keeps to the number that it began with. With None each job has a state and a timer of its own, as streams had that were
+    begun before there were buckets: a micro-batch then costs as much as its jobs, at several calls for each, and reads no others.
     """
     timed = with_clock(jobs.select("job_id", "status", "updated_at"), "updated_at", clock, late)
     rows = timed.where("job_id is not null and status is not null").withColumn("updated_us", F.unix_micros("updated_at"))
-    kind = jobs.schema["job_id"].dataType.simpleString()
-    found = rows.groupBy("job_id").transformWithState(JobTimers(max(30, stale), max(300, retention)), f"job_id {kind}, op string, status string, updated_us long, change_us long", "append", "EventTime")
+    kind, ends = jobs.schema["job_id"].dataType, (max(30, stale), max(300, retention))
+    said = "op string, status string, updated_us long, change_us long"
+    if buckets is None:
+        found = rows.groupBy("job_id").transformWithState(JobTimers(*ends), f"job_id {kind.simpleString()}, {said}", "append", "EventTime")
+    else:
+        plain = isinstance(kind, (T.IntegralType, T.DecimalType, T.StringType, T.BooleanType))  # what pandas and state give back as it was; others go as JSON
+        form = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+        named = rows if plain else rows.withColumn("job_id", F.to_json(F.struct("job_id"), form))
+        name = kind.simpleString() if plain else "string"
+        dealt = named.withColumn("_bucket", F.pmod(F.xxhash64("job_id"), F.lit(buckets)))
+        found = dealt.groupBy("_bucket").applyInPandasWithState(_bucket_timers(*ends), f"job_id {name}, {said}", f"job_ids array<{name}>, updated_us array<long>, statuses array<string>", "append", GroupStateTimeout.EventTimeTimeout)
+        if not plain:
+            found = found.withColumn("job_id", F.from_json("job_id", T.StructType().add("job_id", kind), form)["job_id"])
     return found.select("job_id", "op", "status", F.timestamp_micros("updated_us").alias("updated_at"), F.timestamp_micros("change_us").alias("change_ts"))
 
 
